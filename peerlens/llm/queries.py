@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, line_dedup, quality_rules
+from . import chat, decontaminate, line_dedup, packing, quality_rules
 
 QUERIES = {
+    "op3_packing": packing.op3_packing,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op7_chat_format": chat.op7_chat_format,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
