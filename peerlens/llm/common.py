@@ -126,7 +126,8 @@ class WordIndex:
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
     def hashed(self, words: list[bytes]) -> np.ndarray:
-        return self.hashes[self.numbers(words)] if words else np.zeros(0, np.uint64)
+        numbers = self.numbers(words)  # may replace the array of hashes
+        return self.hashes[numbers]
 
 
 class CachedEncoder:
