@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, line_dedup, lm_score, packing, quality_crf, quality_rules
+from . import chat, decontaminate, line_dedup, lm_score, ngram_join, packing, quality_crf, quality_rules
 
 QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_quality_crf": quality_crf.op5_quality_crf,
+    "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_chat_format": chat.op7_chat_format,
     "op8_lm_score": lm_score.op8_lm_score,
     "op9_line_dedup": line_dedup.op9_line_dedup,
