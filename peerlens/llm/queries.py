@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, line_dedup, lm_score, ngram_join, packing, quality_crf, quality_rules
+from . import chat, decontaminate, line_dedup, lm_score, ngram_join, packing, quality_crf, quality_rules, token_file
 
 QUERIES = {
+    "op1_token_file": token_file.op1_token_file,
     "op3_packing": packing.op3_packing,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_quality_crf": quality_crf.op5_quality_crf,
