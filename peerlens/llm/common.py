@@ -6,6 +6,7 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -98,38 +99,64 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class Numbering(dict):
+    """Gives every new key the next number and notes it in `new`."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, key):
+        self[key] = number = len(self)
+        self.new.append(key)
+        return number
+
+
 class WordIndex:
     """Maps byte words to small integers and to 64-bit hashes; forgets all when it holds too many."""
 
     def __init__(self, most: int = 1_000_000):
         import xxhash
 
-        self.most, self._hash = most, xxhash.xxh3_64_intdigest
+        self.most, self.hash_of = most, xxhash.xxh3_64_intdigest
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index = Numbering()
         self.hashes = np.zeros(1024, np.uint64)
 
-    def add(self, words: list[bytes]) -> None:
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """Valid until the next call."""
         if len(self.index) > self.most:
             self.clear()
-        new = [w for w in set(words) if w not in self.index]
-        at = len(self.index)
-        if at + len(new) > len(self.hashes):
-            self.hashes = np.concatenate([self.hashes, np.zeros(max(len(self.hashes), len(new)), np.uint64)])
-        self.hashes[at : at + len(new)] = [self._hash(w) for w in new]
-        self.index.update(zip(new, range(at, at + len(new)), strict=True))
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        self.add(words)
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
     def hashed(self, words: list[bytes]) -> np.ndarray:
-        numbers = self.numbers(words)  # may replace the array of hashes
+        numbers = self.numbers(words)
+        new, self.index.new = self.index.new, []
+        at = len(self.index) - len(new)
+        if len(self.index) > len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, np.zeros(max(len(self.hashes), len(self.index)), np.uint64)])
+        self.hashes[at : len(self.index)] = np.fromiter(map(self.hash_of, new), np.uint64, len(new))
         return self.hashes[numbers]
 
 
+def _byte_chars() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte: printable ones as they are, the others from 256 on."""
+    out, free = {}, 256
+    for b in range(256):
+        if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF:
+            out[b] = chr(b)
+        else:
+            out[b], free = chr(free), free + 1
+    return out
+
+
+_BYTE_CHARS = _byte_chars()
+#: Letters whose lower case depends on what is around them, or has several characters.
+_LOWER_ODD = frozenset("\u03a3\u0130")
+
+
 class CachedEncoder:
     """Token ids of whole texts, as the tokenizers library gives them.
 
@@ -147,10 +174,13 @@ class CachedEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.space, self.most = "\0 " if leading_space else "\0", most
+        self.lower = not leading_space
+        self.model = self.tokenizer.model
+        self.plain = self._plain_works()
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = Numbering()
         self.starts, self.lengths, self.marks = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.uint8)
         self.pool, self.used = np.zeros(4096, np.uint32), 0
 
@@ -164,24 +194,47 @@ class CachedEncoder:
         word = piece[1:] if piece[:1] == " " else piece
         return 1 if not word or len(word.split()) != 1 or word[0].isspace() or word[-1].isspace() else 0 if word[-1].isalnum() else 2
 
-    def _learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.index]
-        for i in range(0, len(new), 8192):
-            keys = new[i : i + 8192]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(keys, add_special_tokens=False)]
-            at, n = len(self.index), len(keys)
-            while at + n > len(self.starts):
-                self.starts, self.lengths, self.marks = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.marks))
-            sizes = np.fromiter(map(len, ids), np.int64, n)
-            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
-            while self.used + len(flat) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            self.pool[self.used : self.used + len(flat)] = flat
-            self.starts[at : at + n] = self.used + np.cumsum(sizes) - sizes
-            self.lengths[at : at + n] = sizes
-            self.marks[at : at + n] = list(map(self._mark, keys))
-            self.used += len(flat)
-            self.index.update(zip(keys, range(at, at + n), strict=True))
+    def _plain(self, piece: str) -> list[int]:
+        """Of a piece that is one run of letters: what the model gives for its bytes' characters, without the steps before it."""
+        if self.lower:
+            piece = piece.lower()
+        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_BYTE_CHARS))]
+
+    def _plain_works(self) -> bool:
+        """Whether the model alone gives what the whole tokenizer gives, on words of several alphabets."""
+        tries = ["a", "The", "onharent", "naïve", "Éiou", "größe", "ñezll", "слово", "漢字", "zzzzqqqq"]
+        tries += [" " + t for t in tries] if not self.lower else []
+        return all(self._plain(t) == self.tokenizer.encode(t, add_special_tokens=False).ids for t in tries)
+
+    def _learn(self) -> None:
+        """Encodes the pieces that are new in the index."""
+        new, self.index.new = self.index.new, []
+        at, n = len(self.index) - len(new), len(new)
+        while at + n > len(self.starts):
+            self.starts, self.lengths, self.marks = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.marks))
+        ids: list = [None] * n
+        marks = [0] * n
+        hard = []
+        for i, piece in enumerate(new):
+            word = piece[1:] if piece[:1] == " " and not self.lower else piece
+            if self.plain and word.isalpha() and (word.isascii() or (is_normalized("NFC", word) and not _LOWER_ODD.intersection(word))):
+                ids[i] = self._plain(piece)
+            else:
+                hard.append(i)
+                marks[i] = self._mark(piece)
+        for i in range(0, len(hard), 8192):
+            part = hard[i : i + 8192]
+            for k, e in zip(part, self.tokenizer.encode_batch_fast([new[k] for k in part], add_special_tokens=False), strict=True):
+                ids[k] = e.ids
+        sizes = np.fromiter(map(len, ids), np.int64, n)
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.starts[at : at + n] = self.used + np.cumsum(sizes) - sizes
+        self.lengths[at : at + n] = sizes
+        self.marks[at : at + n] = marks
+        self.used += len(flat)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array of uint32, and the number of ids of each text."""
@@ -202,8 +255,8 @@ class CachedEncoder:
                 continue
             sizes[k] = len(parts)
             pieces += parts
-        self._learn(set(pieces))
         found = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+        self._learn()
         marks = self.marks[found]
         unsafe = (marks & 1) > 0
         unsafe[1:] |= (marks[1:] == 4) & (marks[:-1] >= 2)
