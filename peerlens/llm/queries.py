@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, line_dedup, lm_score, ngram_join, packing, quality_crf, quality_rules, token_file
+from . import chat, decontaminate, line_dedup, lm_score, ngram_join, packing, quality_crf, quality_rules, suffix_dedup, token_file
 
 QUERIES = {
     "op1_token_file": token_file.op1_token_file,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_packing": packing.op3_packing,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_quality_crf": quality_crf.op5_quality_crf,
