@@ -14,8 +14,8 @@ language of the training documents; a document's probability sums over them, its
 The training documents are those with crc32(doc_id as text) mod 5 other than 1. Words are `[^\\x20\\x09-\\x0D]+` of the
 text with A-Z lower-cased; each document ends with one end token.
 
-Words of a document among the `HOT` most frequent ones (a fixed number, sent to all tasks) are scored where the document
-is; only the others are shuffled, as 64-bit hashes, to the table of words.
+Words that make up one in `HOT` of all training tokens or more (so there are at most that many, and they are sent to all
+tasks) are scored where the document is; only the others are shuffled, as 64-bit hashes, to the table of words.
 
 Defined cases: a null or empty text consists of the end only; a null doc_id counts as the empty text in the crc; repeated
 rows are scored (and counted) each; without training documents only the pieces weigh in; an empty table gives no rows.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-HOT = 100_000
+HOT = 500_000
 CLASSES = 6
 ROUNDS = 2
 DISCOUNT = 0.5
@@ -46,6 +46,7 @@ class Lattice:
 
     def __init__(self, pieces: list[bytes], logp: np.ndarray, stop: float):
         self.pieces, self.logp, self.stop = pieces, np.asarray(logp, np.float64), stop
+        self.priced = np.append(self.logp, -np.inf)  # the last is what no piece has
         keys = self._of(pieces)
         self.bits = max(12, int(np.ceil(np.log2(4 * len(pieces) + 1))))
         self.slot_key, self.slot_at = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
@@ -87,11 +88,17 @@ class Lattice:
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
-        at = np.where(self.slot_key[slot] == keys, self.slot_at[slot], -1)
+        at = self.slot_at[slot]
+        # Only where another piece sits in the slot does the search go on.
+        left = np.flatnonzero((at >= 0) & (self.slot_key[slot] != keys))
+        at[left] = -1
         for k in range(1, self.deepest + 1):
-            left = np.flatnonzero(at < 0)
+            if not len(left):
+                break
             near = (slot[left] + k) & ((1 << self.bits) - 1)
-            at[left] = np.where(self.slot_key[near] == keys[left], self.slot_at[near], -1)
+            there, same = self.slot_at[near], self.slot_key[near] == keys[left]
+            at[left[same]] = there[same]
+            left = left[(there >= 0) & ~same]
         return at
 
     def arcs(self, rows: np.ndarray) -> list[np.ndarray]:
@@ -112,7 +119,7 @@ class Lattice:
         for j, found in enumerate(arcs, 1):
             # Column l of found is the piece of l + 1 bytes that ends at j and starts at j - 1 - l.
             before = alpha[:, j - found.shape[1] : j][:, ::-1]
-            terms = np.where(found >= 0, self.logp[found], -np.inf) + before
+            terms = self.priced[found] + before
             top = terms.max(axis=1)
             alpha[:, j] = top + np.log(np.exp(terms - top[:, None]).sum(axis=1))
         return alpha
@@ -137,7 +144,7 @@ class Lattice:
             for j in range(size, 0, -1):
                 found = arcs[j - 1]
                 width = found.shape[1]
-                step = np.where(found >= 0, self.logp[found], -np.inf) + beta[:, j][:, None]
+                step = self.priced[found] + beta[:, j][:, None]
                 used = np.exp(step + alpha[:, j - width : j][:, ::-1] - whole[:, None])
                 ok = found >= 0
                 counts += np.bincount(found[ok], used[ok], len(self.pieces))
@@ -189,8 +196,8 @@ def _counts(docs: DataFrame, k: int) -> DataFrame:
             index.clear()
             counts[:] = 0
 
-        for batch in common.slices(batches, "body"):
-            if len(index.index) > 400_000:
+        for batch in common.slices(batches, "body", 2 << 20):
+            if len(index.index) > 250_000:
                 yield from flush()
             docs_ = [_tokens(b) for b in common.binary_list(batch.column("body"))]
             sizes = np.fromiter(map(len, docs_), np.int64, len(docs_))
@@ -260,7 +267,7 @@ def lm_score(docs: DataFrame, vocabulary: str, hot: int = HOT, rounds: int = ROU
         index = common.WordIndex(0)
         for batch in common.slices(batches, "word", 1 << 20):
             words = batch.column("word").to_pylist()
-            hashes = np.fromiter(map(index._hash, words), np.uint64, len(words)).view(np.int64)
+            hashes = np.fromiter(map(index.hash_of, words), np.uint64, len(words)).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(hashes), pa.array(sent.value.score(words)), *(batch.column(c) for c in cols)], names=["word", "h", "lattice", *cols])
 
     priced = counts.mapInArrow(scored, "word binary, h long, lattice double, " + ", ".join(f"{c} long" for c in cols))
@@ -285,14 +292,14 @@ def lm_score(docs: DataFrame, vocabulary: str, hot: int = HOT, rounds: int = ROU
     table = common.stored(table.select("word", "h", "c", "known", "base", *logs), "priced")
 
     marks = [f"s{i}" for i in range(k)]
-    top = table.where("c > 0").orderBy(F.desc("c"), "word").limit(hot).select("word", "base", *marks).collect()
+    top = table.where(F.col("c") >= max(1, -(-n_all // hot))).select("word", "base", *marks).collect()
     frequent = spark.sparkContext.broadcast(({bytes(r["word"]): i for i, r in enumerate(top)}, np.array([r[1:] for r in top], np.float64).reshape(len(top), k + 1)))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base_key, row = TaskContext.get().partitionId() << 33, 0
         near, values = frequent.value
         index = common.WordIndex(300_000)
-        for batch in common.slices(batches, "body"):
+        for batch in common.slices(batches, "body", 2 << 20):
             heads: list[list] = [[], [], []]
             keys, hashes, times = [], [], []
             sums_ = np.zeros((batch.num_rows, k + 1))
