@@ -17,7 +17,13 @@ from pyspark.sql import functions as F
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
 
+#: Rows in an Arrow batch at most, so that a batch of very long texts fits a worker beside its own arrays.
+BATCH_ROWS = 1_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
