@@ -114,7 +114,7 @@ def extracted(pages: DataFrame, replies: DataFrame, kind: Relation, company: str
     from pyspark.sql import Window
 
     both = pages.join(replies, ["doc", "source_page"])
-    rows = both.select("doc", "section_title", "source_page", F.col("content").alias("chunk_text"), F.posexplode(text.json_array(F.col("reply"), f"struct<{kind.schema.replace(' string', ':string').replace(' int', ':int')}>")).alias("pos", "e"))
+    rows = both.select("doc", "section_title", "source_page", F.col("content").alias("chunk_text"), F.posexplode(text.json_array(F.col("reply"), text.struct_of(kind.schema))).alias("pos", "e"))
     flat = rows.select("doc", "section_title", "source_page", "chunk_text", "pos", "e.*")
     typed = kind.parse(required(flat, kind.required), company)
     w = Window.partitionBy("doc").orderBy("source_page", "pos")

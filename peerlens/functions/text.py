@@ -54,6 +54,11 @@ def fenced(c: Column, language: str = "cypher") -> Column:
     return strip(F.when(F.length(body) > 0, body).otherwise(c))
 
 
+def struct_of(columns: str) -> str:
+    """A struct type from a list of columns and their types."""
+    return "struct<" + ",".join(":".join(part.split()) for part in columns.split(",")) + ">"
+
+
 def json_array(c: Column, schema: str) -> Column:
     """Rows of a tolerant JSON array; an empty array where the text holds none."""
     return F.coalesce(F.from_json(json_block(c), f"array<{schema}>"), F.from_json(F.lit("[]"), f"array<{schema}>"))

@@ -13,7 +13,7 @@ SCHEMA = "idx int, action string, merge_into int, value string, unit string, gaa
 
 def parse(replies: DataFrame, reply: str = "reply") -> DataFrame:
     """A row for each decision with an idx in the replies; the last one of an idx counts."""
-    rows = replies.select(*[c for c in replies.columns if c != reply], F.posexplode(text.json_array(F.col(reply), SCHEMA)).alias("_pos", "_d"))
+    rows = replies.select(*[c for c in replies.columns if c != reply], F.posexplode(text.json_array(F.col(reply), text.struct_of(SCHEMA))).alias("_pos", "_d"))
     rows = rows.select(*[c for c in rows.columns if c not in ("_pos", "_d")], "_pos", "_d.*").where("idx is not null")
     w = Window.partitionBy("idx").orderBy(F.desc("_pos"))
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_pos")

@@ -36,8 +36,8 @@ def dropped_edges(new: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges that upsert_edges leaves out, as an end is missing."""
     ends = nodes.select("label", "key").distinct()
     left = new.join(ends, (F.col("src_label") == F.col("label")) & (F.col("src") == F.col("key")), "left_anti")
-    right = new.join(ends, (F.col("dst_label") == F.col("label")) & (F.col("dst") == F.col("key")), "left_anti")
-    return left.unionByName(right).distinct()
+    right = new.join(ends, (F.col("src_label") == F.col("label")) & (F.col("src") == F.col("key")), "left_semi")
+    return left.unionByName(right.join(ends, (F.col("dst_label") == F.col("label")) & (F.col("dst") == F.col("key")), "left_anti"))
 
 
 def replace_of_company(old: DataFrame, new: DataFrame, company: str = "company") -> DataFrame:

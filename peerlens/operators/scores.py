@@ -21,7 +21,7 @@ def claim_score(correct: Column, source: Column) -> Column:
 
 def faithfulness(claims: DataFrame, by: list[str] | None = None) -> DataFrame:
     rows = claims.where(F.length(F.trim("claim_id")) > 0)
-    correct, source = F.coalesce("is_correct_source", F.lit(False)), F.col("correct_source")
+    correct, source = F.coalesce("is_correct_source", F.lit(False)), text.strip(F.coalesce("correct_source", F.lit("")))
     return rows.groupBy(*(by or [])).agg(
         F.avg(claim_score(correct, source)).alias("score"),
         F.count_if(correct).alias("n_correct"),

@@ -44,7 +44,7 @@ def risks(graph: Graph, target: str, topics: list[str] | None = None) -> DataFra
     # The filter sits below the outer join, so a peer without hits stays.
     both = own.join(_peers(graph, target), "target", "left").join(theirs, "peer", "left")
     empty = F.array().cast(theirs.schema["peer_risks"].dataType)
-    return both.select("target", "target_risks", "peer", F.coalesce("peer_risks", empty).alias("peer_risks")).limit(ROWS["lists"])
+    return both.select("target", "target_risks", "peer", F.coalesce("peer_risks", empty).alias("peer_risks")).orderBy("peer").limit(ROWS["lists"])
 
 
 def metrics(graph: Graph, target: str, categories: list[str] | None = None) -> DataFrame:
@@ -56,7 +56,7 @@ def metrics(graph: Graph, target: str, categories: list[str] | None = None) -> D
     theirs = capped(rows.withColumnRenamed("company", "peer"), ["peer", "category"], (*METRIC_FIELDS, "source_url"), PEER_METRICS, "peer_metrics")
     both = own.join(_peers(graph, target), "target", "left").join(theirs, ["peer", "category"], "left")
     empty = F.array().cast(theirs.schema["peer_metrics"].dataType)
-    return both.select("target", "category", "target_metrics", "peer", F.coalesce("peer_metrics", empty).alias("peer_metrics")).limit(ROWS["lists"])
+    return both.select("target", "category", "target_metrics", "peer", F.coalesce("peer_metrics", empty).alias("peer_metrics")).orderBy("category", "peer").limit(ROWS["lists"])
 
 
 def companies(graph: Graph) -> DataFrame:

@@ -10,7 +10,7 @@ FACTS = f"cik string, entityName string, facts map<string,map<string,struct<labe
 RELATION = "struct<src:struct<type:string,name:string>,tgt:struct<type:string,name:string,properties:map<string,string>>,rel:string,chunk_text:string,section_title:string,source_page:int,sic:struct<code:string,industry:string,sector:string>>"
 RELATIONS = f"relations array<{RELATION}>, validated_relation {RELATION}, relation string, company string"
 STATE = "job_id string, fiscal_year int, file_path string, main_company string, sic_codes array<string>, extraction_paths array<string>, completed_steps array<int>, created_at string"
-HITS = "struct<hits:struct<hits:array<struct<_id:string,_source:struct<ciks:array<string>,display_names:array<string>,form:string,adsh:string,file_date:string,period_ending:string>>>>"
+HITS = "hits struct<hits:array<struct<_id:string,_source:struct<ciks:array<string>,display_names:array<string>,form:string,adsh:string,file_date:string,period_ending:string>>>>"
 
 
 def sections(spark: SparkSession, path: str) -> DataFrame:
@@ -32,8 +32,7 @@ def search_hits(spark: SparkSession, path: str) -> DataFrame:
     """seq, id, cik, name, form, adsh, filing_date, period_of_report of landed search pages."""
     from ..functions.text import without_cik_suffix
 
-    schema = HITS.removeprefix("struct<").removesuffix(">").replace("hits:struct", "hits struct", 1)
-    pages = spark.read.schema(schema).json(path, multiLine=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode("hits.hits").alias("pos", "h"))
+    pages = spark.read.schema(HITS).json(path, multiLine=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode("hits.hits").alias("pos", "h"))
     return pages.select(
         F.struct("path", "pos").alias("seq"),
         F.col("h._id").alias("id"),
