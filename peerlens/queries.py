@@ -154,9 +154,10 @@ def metric_upsert_last_write(spark, sf):
     return graph.upsert_nodes(old, new, ["brand", "type"])
 
 
-@query("SELECT l_suppkey AS cik, count(*) AS n, CAST(sum(CAST(CASE WHEN l_linenumber % 4 = 0 THEN l_extendedprice ELSE round(l_extendedprice / 1000000, 4) END AS DECIMAL(18,4))) AS DOUBLE) AS total FROM lineitem GROUP BY 1")
+@query("SELECT l_suppkey AS cik, count(*) AS n, CAST(sum(CAST(CASE WHEN l_linenumber % 4 = 0 THEN l_extendedprice + 0.003 ELSE round((l_extendedprice + 0.003) / 1000000, 4) END AS DECIMAL(18,4))) AS DOUBLE) AS total FROM lineitem GROUP BY 1")
 def usd_to_million(spark, sf):
-    line = ln.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("cik"), F.col("l_extendedprice").alias("v"), F.when(F.col("l_linenumber") % 4 == 0, "shares").otherwise("USD").alias("unit"))
+    """The tenth of a cent keeps prices off the middle between two roundings."""
+    line = ln.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("cik"), (F.col("l_extendedprice") + 0.003).alias("v"), F.when(F.col("l_linenumber") % 4 == 0, "shares").otherwise("USD").alias("unit"))
     return line.groupBy("cik").agg(F.count("*").alias("n"), F.sum(numbers.in_millions(F.col("v"), F.col("unit")).cast("decimal(18,4)")).cast("double").alias("total"))
 
 
@@ -278,7 +279,7 @@ def row_dedup(spark, sf):
 
 
 @query(f"""WITH {ln.SUPPLIERS}, {ln.PEERS}, {ln.METRICS}, r AS (SELECT company, category, metric_type, row_number() OVER (PARTITION BY company, category ORDER BY category || '|' || metric_type || '|' || year) AS n FROM metrics),
-rows AS (SELECT DISTINCT peers.name AS peer, c.category FROM peers CROSS JOIN (SELECT DISTINCT category FROM metrics WHERE company = '{ln.TARGET}') c),
+rows AS (SELECT DISTINCT peers.name AS peer, c.category FROM (SELECT DISTINCT category FROM metrics WHERE company = '{ln.TARGET}') c LEFT JOIN peers ON TRUE),
 lim AS (SELECT *, row_number() OVER (ORDER BY category, peer) AS k FROM rows QUALIFY k <= 20),
 firsts AS (SELECT DISTINCT lim.peer, lim.category, r.metric_type, row_number() OVER (PARTITION BY lim.peer, r.metric_type ORDER BY k, r.n) AS m FROM lim JOIN r ON r.company = lim.peer AND r.category = lim.category AND r.n <= 15)
 SELECT lim.peer, lim.category, count(firsts.metric_type) AS n_peer FROM lim LEFT JOIN firsts ON firsts.peer = lim.peer AND firsts.category = lim.category AND m = 1 GROUP BY 1, 2""")
