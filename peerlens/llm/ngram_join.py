@@ -33,14 +33,20 @@ from . import common
 from .components import components
 
 SHINGLE = 5
-BLOCK = 512
+BLOCK = 1024
 COLUMNS = 4096
 #: Bits of the map that tells which classes are still in; more classes than bits only make it let more through.
 BITS = 1 << 22
+#: Counters of elements, for an order that puts frequent ones last; any order is right.
+CELLS = 1 << 20
+PARTS = 64
 _FACTORS = [np.uint64(x) for x in common.mix64(np.arange(71, 71 + SHINGLE, dtype=np.uint64)) | np.uint64(1)]
 _SHORT = common.mix64(np.arange(91, 91 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
 _ENTRY = np.dtype([("token", "<u8"), ("key", "<i8")])
+#: For the bounds 32 bits of an element do, besides its bucket: where two elements look alike, more classes stay in.
+_SHORT_ENTRY = np.dtype([("token", "<u4"), ("key", "<i8")])
 
+_U32 = np.uint64(32)
 _words = None
 
 
@@ -63,9 +69,14 @@ def sets_of(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     for i, d in enumerate(short.tolist()):
         own = flat[ends[d] - sizes[d] : ends[d]]
         rest[i] = (own * _SHORT[: len(own)]).sum() ^ _SHORT[len(own)]
-    h, doc = common.mix64(np.concatenate([h, rest])), np.concatenate([doc, short])
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
+    if len(short):
+        # A short text's one element goes where its place is among the others.
+        place = np.searchsorted(doc, short)
+        h, doc = np.insert(h, place, rest), np.insert(doc, place, short)
+    h = common.mix64(h)
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(lists)))]).tolist()
+    for b, e in zip(bounds[:-1], bounds[1:], strict=True):
+        h[b:e].sort()
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     return h[new], np.bincount(doc[new], minlength=len(lists))
@@ -90,9 +101,9 @@ def _lead(n: np.ndarray) -> np.ndarray:
     return n // 8 + 1
 
 
-def _bucketed(tokens: np.ndarray, keys: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    entries = np.empty(len(tokens), _ENTRY)
-    entries["token"], entries["key"] = tokens, keys
+def _bucketed(tokens: np.ndarray, keys: np.ndarray, buckets: int, kind: np.dtype) -> Iterator[tuple[int, bytes]]:
+    entries = np.empty(len(tokens), kind)
+    entries["token"], entries["key"] = tokens >> _U32 if kind is _SHORT_ENTRY else tokens, keys
     own = (tokens % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(own, kind="stable")
     bounds = np.flatnonzero(np.diff(own[order], prepend=-1, append=-1))
@@ -106,8 +117,9 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=names)
 
 
-def _postings(rows: DataFrame, buckets: int, prefix) -> DataFrame:
-    """From documents (body) or sets (key, raw): bucket and raw entries of the first prefix(n) elements of each class."""
+def _postings(rows: DataFrame, buckets: int, prefix, kind: np.dtype, often=None) -> DataFrame:
+    """From documents (body) or sets (key, raw): bucket and raw entries of the first prefix(n) elements of each class, by
+    hash, or by what often (a broadcast table of counts) holds and then by hash."""
     has_sets = "raw" in rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,14 +141,17 @@ def _postings(rows: DataFrame, buckets: int, prefix) -> DataFrame:
             if len(seen) > 2_000_000:
                 seen.clear()
             starts = np.cumsum(counts) - counts
+            if often is not None:
+                rank = often.value[(h % np.uint64(CELLS)).astype(np.int64)]
+                h = h[np.lexsort((h, rank, np.repeat(np.arange(len(counts)), counts)))]
             lengths = np.minimum(prefix(counts), counts) * first
             at = common.ragged(starts, lengths)
-            yield _batch(list(_bucketed(h[at], np.repeat(keys, lengths), buckets)), ["bucket", "raw"], [pa.int32(), pa.binary()])
+            yield _batch(list(_bucketed(h[at], np.repeat(keys, lengths), buckets, kind)), ["bucket", "raw"], [pa.int32(), pa.binary()])
 
     return rows.mapInArrow(run, "bucket int, raw binary")
 
 
-def _gathered(postings: DataFrame, buckets: int, each, schema: str) -> DataFrame:
+def _gathered(postings: DataFrame, buckets: int, each, schema: str, kind: np.dtype) -> DataFrame:
     """Applies each(entries, sorted by token and key, distinct) to what a partition has of its buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +160,7 @@ def _gathered(postings: DataFrame, buckets: int, each, schema: str) -> DataFrame
             for bucket, raw in zip(batch.column("bucket").to_pylist(), batch.column("raw").to_pylist(), strict=True):
                 held.setdefault(bucket, []).append(raw)
         for bucket in list(held):
-            entries = np.frombuffer(b"".join(held.pop(bucket)), _ENTRY)
+            entries = np.frombuffer(b"".join(held.pop(bucket)), kind)
             order = np.lexsort((entries["key"], entries["token"]))
             token, key = entries["token"][order], entries["key"][order]
             new = np.ones(len(token), bool)
@@ -164,9 +179,35 @@ def _shared(token: np.ndarray) -> np.ndarray:
     return out
 
 
-def _count_shared(token: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
-    keys, n = np.unique(key[_shared(token)], return_counts=True)
-    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["key", "n_shared"])
+_COUNT = np.dtype([("key", "<i8"), ("n", "<i8")])
+
+
+def _counter(parts: int):
+    """Counts of each class's shared elements, packed by a part of the classes: a row for each part, not for each class."""
+
+    def run(token: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
+        keys, n = np.unique(key[_shared(token)], return_counts=True)
+        own = (keys.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(own, kind="stable")
+        packed = np.empty(len(keys), _COUNT)
+        packed["key"], packed["n"] = keys[order], n[order]
+        own = own[order]
+        bounds = np.flatnonzero(np.diff(own, prepend=-1, append=-1))
+        yield _batch([(int(own[b]), packed[b:e].tobytes()) for b, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], ["part", "raw"], [pa.int32(), pa.binary()])
+
+    return run
+
+
+def _summed(counts: DataFrame, parts: int) -> DataFrame:
+    """key, n_shared from packed counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [raw for batch in batches for raw in batch.column("raw").to_pylist()]
+        every = np.frombuffer(b"".join(held), _COUNT)
+        keys, at = np.unique(every["key"], return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(at, every["n"], len(keys)).astype(np.int64))], names=["key", "n_shared"])
+
+    return counts.repartition(parts, "part").mapInArrow(run, "key long, n_shared long")
 
 
 def _stars(token: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -180,30 +221,52 @@ def _stars(token: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
 
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    """A map of BITS bits with those of all keys set; always of this size, however many keys there are."""
+def _reduced(arrays: DataFrame, size: int, kind, together) -> np.ndarray:
+    """One array of fixed size from the parts (part, raw) that tasks have made of theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BITS, bool)
-        for batch in batches:
-            bits[batch.column("key").to_numpy().view(np.uint64) % np.uint64(BITS)] = True
-        if bits.any():
-            parts = np.packbits(bits).reshape(64, -1)
-            some = [i for i in range(64) if parts[i].any()]
-            yield _batch([(i, parts[i].tobytes()) for i in some], ["part", "raw"], [pa.int32(), pa.binary()])
-
-    def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, raw in zip(batch.column("part").to_pylist(), batch.column("raw").to_pylist(), strict=True):
-                one = np.frombuffer(raw, np.uint8)
-                held[part] = held[part] | one if part in held else one
+                one = np.frombuffer(raw, kind)
+                held[part] = together(held[part], one) if part in held else one
         yield _batch([(p, x.tobytes()) for p, x in held.items()], ["part", "raw"], [pa.int32(), pa.binary()])
 
-    out = np.zeros((64, BITS // 512), np.uint8)
-    for r in keys.select("key").mapInArrow(run, "part int, raw binary").repartition(64, "part").mapInArrow(union, "part int, raw binary").collect():
-        out[r["part"]] = np.frombuffer(r["raw"], np.uint8)
-    return np.unpackbits(out.reshape(-1)).astype(bool)
+    out = np.zeros((PARTS, size // PARTS), kind)
+    for r in arrays.repartition(PARTS, "part").mapInArrow(run, "part int, raw binary").collect():
+        out[r["part"]] = np.frombuffer(r["raw"], kind)
+    return out.reshape(-1)
+
+
+def _parts(array: np.ndarray) -> pa.RecordBatch:
+    rows = array.reshape(PARTS, -1)
+    return _batch([(i, rows[i].tobytes()) for i in range(PARTS) if rows[i].any()], ["part", "raw"], [pa.int32(), pa.binary()])
+
+
+def _bitmap(keys: DataFrame, size: int = BITS) -> np.ndarray:
+    """A map of `size` bits with those of all keys set; always of this size, however many keys there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size, bool)
+        for batch in batches:
+            bits[batch.column("key").to_numpy().view(np.uint64) % np.uint64(size)] = True
+        yield _parts(np.packbits(bits))
+
+    packed = _reduced(keys.select("key").mapInArrow(run, "part int, raw binary"), size // 8, np.uint8, np.bitwise_or)
+    return np.unpackbits(packed).astype(bool)
+
+
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """CELLS counters of the sets' elements."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(CELLS, np.uint32)
+        for batch in common.slices(batches, "raw"):
+            h = np.frombuffer(b"".join(common.binary_list(batch.column("raw"))), np.uint64)
+            cells += np.bincount((h % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+        yield _parts(cells)
+
+    return _reduced(sets.select("raw").mapInArrow(run, "part int, raw binary"), CELLS, np.uint32, np.add)
 
 
 def _product(x_sets: list[np.ndarray], y_sets: list[np.ndarray]) -> np.ndarray:
@@ -269,46 +332,58 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(edges, ["a", "b"], [pa.int64(), pa.int64()])
 
 
-def links(docs: DataFrame) -> DataFrame:
-    """a, b: a spanning forest of the links between classes of equal sets (named by their keys)."""
+def _only(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return np.unpackbits(known).astype(bool)[keys.view(np.uint64) % np.uint64(BITS)]
+
+
+def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b: a spanning forest of the links between classes of equal sets. classes: key and n of all of them."""
     spark = docs.sparkSession
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     lean = docs.select(common.text_bytes().alias("body"))
+
+    def those_with(counts: DataFrame, least):
+        """A map of the classes whose counted elements are enough."""
+        enough = _summed(counts, buckets).join(classes, "key").where(F.col("n_shared") >= least)
+        return spark.sparkContext.broadcast(np.packbits(_bitmap(enough)))
+
     # The first bound.
-    led = _gathered(_postings(lean, buckets, lambda n: n - need(n) + _lead(n)), buckets, _count_shared, "key long, n_shared long")
-    counted = common.stored(led.groupBy("key").agg(F.sum("n_shared").alias("n_shared")), "led")
-    bits = spark.sparkContext.broadcast(np.packbits(_bitmap(counted)))
+    led = _gathered(_postings(lean, buckets, lambda n: n - need(n) + _lead(n), _SHORT_ENTRY), buckets, _counter(buckets), "part int, raw binary", _SHORT_ENTRY)
+    first = those_with(led, F.floor(F.floor(F.col("n") * 3 / 4) / 8) + 1)
 
     def kept_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(bits.value).astype(bool)
         seen: set[int] = set()
         for batch in common.slices(batches, "body"):
             h, counts = sets_of(common.binary_list(batch.column("body")))
             keys = keys_of(h, counts)
-            ok = known[keys.view(np.uint64) % np.uint64(BITS)] & (counts > 0)
             ends = np.cumsum(counts)
             rows = []
-            for i in np.flatnonzero(ok).tolist():
+            for i in np.flatnonzero(_only(first.value, keys) & (counts > 0)).tolist():
                 key = int(keys[i])
                 if key not in seen:
                     seen.add(key)
-                    rows.append((key, int(counts[i]), h[ends[i] - counts[i] : ends[i]].tobytes()))
+                    rows.append((key, h[ends[i] - counts[i] : ends[i]].tobytes()))
             if len(seen) > 2_000_000:
                 seen.clear()
-            yield _batch(rows, ["key", "n", "raw"], [pa.int64(), pa.int64(), pa.binary()])
+            yield _batch(rows, ["key", "raw"], [pa.int64(), pa.binary()])
 
-    found = lean.mapInArrow(kept_sets, "key long, n long, raw binary")
-    least = F.floor(F.floor(F.col("n") * 3 / 4) / 8) + 1
-    # One row for each class: the copies that other tasks have seen fall out with the aggregation.
-    sets = common.stored(found.groupBy("key").agg(F.first("n").alias("n"), F.first("raw").alias("raw")).join(counted, "key").where(F.col("n_shared") >= least).select("key", "n", "raw"), "sets")
+    sets = common.stored(lean.mapInArrow(kept_sets, "key long, raw binary"), "sets")
     # The second.
-    covered = _gathered(_postings(sets.select("key", "raw"), buckets, lambda n: n), buckets, _count_shared, "key long, n_shared long")
-    covered = covered.groupBy("key").agg(F.sum("n_shared").alias("n_shared"))
-    left = common.stored(sets.join(covered, "key").where(F.col("n_shared") >= F.ceil(F.col("n") * 3 / 4)).select("key", "raw"), "left")
+    covered = _gathered(_postings(sets, buckets, lambda n: n, _SHORT_ENTRY), buckets, _counter(buckets), "part int, raw binary", _SHORT_ENTRY)
+    second = those_with(covered, F.ceil(F.col("n") * 3 / 4))
+
+    def kept_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_only(second.value, batch.column("key").to_numpy())))
+
+    # One row for each class: the copies that several tasks have seen fall out.
+    left = common.stored(sets.mapInArrow(kept_again, "key long, raw binary").groupBy("key").agg(F.first("raw").alias("raw")), "left")
     common.removed(sets)
     # Candidate groups, and the blocks that they are dealt into.
+    # Rare elements first: a passage that many documents share then links none that share nothing else.
     few = max(8, buckets // 8)
-    stars = _gathered(_postings(left, few, lambda n: n - need(n) + 1), few, _stars, "a long, b long")
+    often = spark.sparkContext.broadcast(_frequencies(left))
+    stars = _gathered(_postings(left, few, lambda n: n - need(n) + 1, _ENTRY, often), few, _stars, "a long, b long", _ENTRY)
     groups = components(stars)
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
     small = F.col("size") <= BLOCK
@@ -336,7 +411,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     lean = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.text_bytes().alias("body"))
     named = common.stored(lean.mapInArrow(run, "doc_id long, n_shingles long, key long"), "keys")
-    forest = common.stored(components(links(docs)), "forest")
+    classes = named.where("n_shingles > 0").groupBy("key").agg(F.first("n_shingles").alias("n"))
+    forest = common.stored(components(links(docs, classes)), "forest")
     rooted = named.where("n_shingles > 0").join(forest, named["key"] == forest["v"], "left").select("doc_id", "n_shingles", F.coalesce("root", "key").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     linked = rooted.join(lowest, "root").select("doc_id", "n_shingles", "component_id")
