@@ -3,8 +3,8 @@
 Every document gets statistics of its words and lines. For each stratum (a value of `stratum`, e.g. the language) and
 each rule, the labelled documents give, at every cutoff of a fixed grid, the number of good ones that the rule would
 reject. `alpha` is dealt evenly to the rules. The tightest cutoff whose exact binomial test rejects "more than this share
-of the good documents fall" at level `delta`, divided by the number of all tests made (Bonferroni), is the one used; a
-stratum without one never rejects. So with probability 1 - `delta` all rules together reject at most `alpha` of the good.
+of the good documents fall" is the one used, the level being `delta` over the number of strata and rules (Bonferroni;
+a rule's cutoffs are tested in a fixed order, the loosest first). A stratum without one never rejects. So with probability 1 - `delta` all rules together reject at most `alpha` of the good.
 
 Defined cases: a null or empty text has no words and fails the base rules; null strata form one stratum; repeated rows
 are judged alike; a document with several labels counts as good only if all of them say so; with an empty label table
@@ -144,7 +144,8 @@ def cutoffs(stats: DataFrame, labels: DataFrame, params: Params = Params()) -> D
         for i, c in enumerate(r.grid)
     ]
     grid = counted.select("stratum", "n_good", F.count("*").over(_whole()).alias("strata"), F.inline(F.array(*cells)))
-    tests = F.col("strata") * F.lit(sum(len(r.grid) for r in params.rules))
+    # A rule's cutoffs are tested from the loosest on until one fails, which needs no correction among them.
+    tests = F.col("strata") * F.lit(len(params.rules))
     share = params.alpha / max(1, len(params.rules))
     # The test can only succeed below the expected number, which keeps the sum of terms short.
     safe = F.when(F.col("n_rejected") < F.col("n_good") * share, tail(F.col("n_good"), F.col("n_rejected"), share) <= F.lit(params.delta) / tests)
