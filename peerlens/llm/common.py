@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import chain
+from pathlib import Path
 from unicodedata import is_normalized
 
 import numpy as np
@@ -21,7 +24,26 @@ WORD_SPLIT = r"[\x20\x09-\x0D]+"
 BATCH_ROWS = 1_000
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the package to the workers of this application, once: the driver serves it, so they needn't have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    package = Path(__file__).resolve().parent.parent
+    if package.is_dir():  # else it has come in an archive already
+        archive = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for file in sorted(package.rglob("*.py")):
+                z.write(file, file.relative_to(package.parent))
+        context.addPyFile(str(archive))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
