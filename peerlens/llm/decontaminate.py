@@ -279,3 +279,21 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         contaminated().alias("contaminated"),
     )
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP4_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS t FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS} AS t FROM benchmark),
+bw AS (SELECT DISTINCT item, m, array_to_string(t[i : i + m - 1], ' ') AS k
+       FROM (SELECT item, t, least(13, len(t)) AS m, unnest(range(1, len(t) - least(13, len(t)) + 2)) AS i FROM b WHERE len(t) > 0)),
+dw AS (SELECT doc_id, m, i, array_to_string(t[i : i + m - 1], ' ') AS k
+       FROM (SELECT doc_id, t, m, unnest(range(1, len(t) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM bw) WHERE len(t) >= m)),
+h AS (SELECT doc_id, i, m, item FROM dw JOIN bw USING (m, k)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM h) GROUP BY 1),
+it AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
+SELECT d.doc_id, CAST(len(t) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(t) AS contaminated
+FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id
+"""
