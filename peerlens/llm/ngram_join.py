@@ -401,30 +401,35 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return met.repartition(buckets, "group", "i", "j").mapInArrow(_block_links, "a long, b long")
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id for every row."""
+def _components_of_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """doc_id, th (a hash of the text), n_shingles, component_id for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "body"):
             h, counts = sets_of(common.binary_list(batch.column("body")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts.astype(np.int64)), pa.array(keys_of(h, counts))], names=["doc_id", "n_shingles", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(counts.astype(np.int64)), pa.array(keys_of(h, counts))], names=["doc_id", "th", "n_shingles", "key"])
 
-    lean = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.text_bytes().alias("body"))
-    named = common.stored(lean.mapInArrow(run, "doc_id long, n_shingles long, key long"), "keys")
+    lean = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), common.text_bytes().alias("body"))
+    named = common.stored(lean.mapInArrow(run, "doc_id long, th long, n_shingles long, key long"), "keys")
     classes = named.where("n_shingles > 0").groupBy("key").agg(F.first("n_shingles").alias("n"))
     forest = common.stored(components(links(docs, classes)), "forest")
-    rooted = named.where("n_shingles > 0").join(forest, named["key"] == forest["v"], "left").select("doc_id", "n_shingles", F.coalesce("root", "key").alias("root"))
+    rooted = named.where("n_shingles > 0").join(forest, named["key"] == forest["v"], "left").select("doc_id", "th", "n_shingles", F.coalesce("root", "key").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = rooted.join(lowest, "root").select("doc_id", "n_shingles", "component_id")
-    alone = named.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    linked = rooted.join(lowest, "root").select("doc_id", "th", "n_shingles", "component_id")
+    alone = named.where("n_shingles = 0").select("doc_id", "th", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without those that are linked to one with a smaller doc_id, directly or not; rows that repeat a doc_id stay."""
-    comps = ngram_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(comps, "doc_id", "left_anti").select(*docs.columns)
+def ngram_components(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """doc_id, n_shingles, component_id for every row."""
+    return _components_of_rows(docs, id_col).select("doc_id", "n_shingles", "component_id")
+
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs without rows that are linked, directly or not, to one with a smaller doc_id. Rows of one group with the same
+    smallest doc_id stay, and so do rows without a doc_id."""
+    gone = _components_of_rows(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"), F.col("th").alias("_th")).distinct()
+    return docs.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.xxhash64("text") == F.col("_th")), "left_anti")
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,8 +66,8 @@ def test_components_match_brute_force(spark, monkeypatch, seed, block):
 def test_empty_and_stage(spark):
     assert nj.ngram_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     text = " ".join(f"w{k}" for k in range(30))
-    docs = spark.createDataFrame([(5, text, "x"), (3, text + " more", "y"), (9, "other", "z"), (10, None, "n")], "doc_id long, text string, key string")
-    assert sorted((r.doc_id, r.key) for r in nj.one_of_each(docs).collect()) == [(3, "y"), (9, "z"), (10, "n")]
+    docs = spark.createDataFrame([(5, text, "x"), (3, text + " more", "y"), (9, "other", "z"), (10, None, "n"), (5, "another text", "w")], "doc_id long, text string, key string")
+    assert sorted((r.doc_id, r.key) for r in nj.one_of_each(docs).collect()) == [(3, "y"), (5, "w"), (9, "z"), (10, "n")]
 
 
 def test_components(spark):
