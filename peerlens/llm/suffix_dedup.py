@@ -30,16 +30,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .ngram_join import BITS, _batch, _bitmap
+from .ngram_join import _ENTRY, CELLS, _batch, _bitmap, _bucketed, _gathered, _parts, _reduced, _shared
 
 LENGTH = 400
-GRAM = 32
-SHARD = 256
+GRAM = 256
+SHARD = 1024
 #: Bytes of contexts in one suffix array.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+#: Bits of the maps that tell which anchors are looked for.
+BITS = 1 << 24
 _U = np.uint64
 _TABLE = common.mix64(np.arange(301, 557, dtype=np.uint64))
-_STEPS = common.mix64(np.arange(11, 17, dtype=np.uint64)) | _U(1)
+_STEPS = common.mix64(np.arange(11, 23, dtype=np.uint64)) | _U(1)
 _PLACE = _U((1 << 28) - 1)
 
 
@@ -85,46 +87,40 @@ def anchors(bodies: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ..
     return long[text], pos, h[at], left, size
 
 
-def suffix_ranks(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Ranks of all suffixes, each up to the end of its context (ends, for every place); equal suffixes share a rank.
-
-    A suffix that ends is before those that go on. With ties broken by place, the order is that of a text in which each
-    context is closed by a sign of its own.
-    """
+def suffix_order(data: np.ndarray) -> np.ndarray:
+    """The suffix array of data, by Larsson-Sadakane refinement in numpy."""
     n = len(data)
-    padded = np.concatenate([data.astype(np.uint64) + _U(1), np.zeros(7, np.uint64)])
-    left = ends - np.arange(n)
-    key = np.zeros(n, np.uint64)
-    for k in range(7):
-        key = key * _U(257) + np.where(left > k, padded[k : k + n], _U(0))
-    order = np.argsort(key, kind="stable")
-    rank = np.empty(n, np.int64)
-    new = np.ones(n, bool)
-    new[1:] = key[order][1:] != key[order][:-1]
-    rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
-    depth = 7
-    active = np.arange(n)
-    while True:
-        # Only groups are sorted again in which suffixes are still equal and some go on.
-        active = active[np.bincount(rank[active], minlength=n)[rank[active]] > 1]
-        going = left[active] > depth
-        open_groups = np.zeros(n, bool)
-        open_groups[rank[active[going]]] = True
-        active = active[open_groups[rank[active]]]
-        if not len(active):
-            return rank
-        going = left[active] > depth
-        second = np.where(going, rank[np.minimum(active + depth, n - 1)] + 1, 0)
-        pair = rank[active] * (n + 2) + second
-        order = np.argsort(pair, kind="stable")
-        active, pair = active[order], pair[order]
-        old = rank[active]
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    key = np.empty(n, np.uint64)
+    for k in range(min(8, n)):
+        part = padded[k : k + 8 * ((n - k + 7) // 8)].view(">u8")
+        key[k::8] = part[: len(key[k::8])]
+    active = np.argsort(key)
+    pair = key[active]
+    rank = np.zeros(n, np.int64)
+    depth = 8
+    while len(active):
         place = np.arange(len(active))
-        first, new = np.ones(len(active), bool), np.ones(len(active), bool)
-        first[1:] = old[1:] != old[:-1]
+        new, first = np.ones(len(active), bool), np.zeros(len(active), bool)
         new[1:] = pair[1:] != pair[:-1]
-        rank[active] = old + place[new][np.cumsum(new) - 1] - place[first][np.cumsum(first) - 1]
+        old = rank[active]
+        first[0] = True
+        first[1:] = old[1:] != old[:-1]
+        # A group keeps its place and is divided; its parts are numbered by where they begin.
+        rank[active] = old + np.maximum.accumulate(np.where(new, place, 0)) - np.maximum.accumulate(np.where(first, place, 0))
+        # Suffixes alone in their group are in place and aren't sorted again.
+        alone = new & np.append(new[1:], True)
+        active = active[~alone]
+        further = active + depth
+        # Where data ends within the part compared so far, the shorter suffix comes first.
+        second = np.where(further < n, rank[np.minimum(further, n - 1)], n - 1 - further)
+        pair = rank[active] * (n + depth + 1) + second + depth
+        order = np.argsort(pair)
+        active, pair = active[order], pair[order]
         depth *= 2
+    out = np.empty(n, np.int64)
+    out[rank] = np.arange(n)
+    return out
 
 
 def kasai(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: np.ndarray, end_of: np.ndarray, most: int) -> np.ndarray:
@@ -162,31 +158,27 @@ def repeated_windows(contexts: list[bytes], lefts: list[int], groups: list, leng
     """For each context the starts of its windows, whether each occurs in another context of its group at the same
     distance from the anchor, and the number of its class of equal windows."""
     sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))
-    data = np.frombuffer(b"".join(contexts), np.uint8)
-    ends = np.cumsum(sizes)
+    data = np.frombuffer(b"\0".join(contexts), np.uint8)
+    ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
-    end_of = np.repeat(ends, sizes)
-    rank = suffix_ranks(data, end_of)
-    order = np.argsort(rank, kind="stable")
+    end_of = np.repeat(ends, sizes + 1)[: len(data)]
+    order = suffix_order(data)
     before = np.full(len(data), -1, np.int64)
     before[order[1:]] = order[:-1]
     lcp = kasai(data, starts, ends, before, end_of, length)
-    # Between two suffixes of `length` bytes the shortest common prefix counts; one that ends sooner parts them.
-    new = lcp[order] < length
-    full = order[end_of[order] - order >= length]
-    new = new[end_of[order] - order >= length]
+    # Suffixes of one run share `length` bytes; a suffix that its context cuts shorter has no part in any.
     run = np.empty(len(data), np.int64)
-    run[full] = np.cumsum(new)
+    run[order] = np.cumsum(lcp[order] < length)
     counts = np.maximum(sizes - length + 1, 0)
     at = common.ragged(starts, counts)
     own = np.repeat(np.arange(len(contexts)), counts)
     number = {g: k for k, g in enumerate(dict.fromkeys(groups))}
     group = np.array([number[g] for g in groups], np.int64)[own]
-    distance = at - starts[own] - np.asarray(lefts, np.int64)[own]
-    order = np.lexsort((distance, group, run[at]))
-    keys = np.stack([run[at], group, distance])[:, order]
+    distance = at - starts[own] - np.asarray(lefts, np.int64)[own] + length
+    key = (run[at] * len(number) + group) * (2 * length + 1) + distance
+    order = np.argsort(key)
     first = np.ones(len(order), bool)
-    first[1:] = (keys[:, 1:] != keys[:, :-1]).any(axis=0)
+    first[1:] = key[order][1:] != key[order][:-1]
     label = np.cumsum(first) - 1
     again = np.bincount(label)[label] > 1 if len(label) else np.zeros(0, bool)
     hit, kind = np.zeros(len(at), bool), np.zeros(len(at), np.int64)
@@ -194,64 +186,58 @@ def repeated_windows(contexts: list[bytes], lefts: list[int], groups: list, leng
     return np.split(at - starts[own], np.cumsum(counts)[:-1]), hit, kind
 
 
-def _ranges(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """What windows at these (ascending) starts cover."""
-    if not len(starts):
-        return []
-    cut = np.flatnonzero(np.diff(starts) > length)
-    return list(zip(starts[np.append(0, cut + 1)].tolist(), (starts[np.append(cut, len(starts) - 1)] + length).tolist(), strict=True))
-
-
-def _digests(context: bytes, starts: list[int], length: int) -> list[tuple[int, int]]:
-    out = []
-    for s in starts:
-        d = xxhash.xxh3_128_intdigest(context[s : s + length])
-        out.append((d >> 64, d & 0xFFFFFFFFFFFFFFFF))
-    return out
-
-
 _CONTEXT = "f long, c1 long, c2 long"
 _WINDOW = np.dtype([("w1", "<u8"), ("w2", "<u8"), ("c1", "<i8"), ("c2", "<i8"), ("d", "<i4")])
 
 
 def _shard(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows f, c1, c2, left, body, shards, shard. Gives ranges (kind 0: b and e, from the anchor) and, of anchors in
+    """Rows f, c1, c2, left, body, shards, shard; several tasks may have sent the same context. Gives ranges (kind 0: b and e, from the anchor) and, of anchors in
     several shards, packed windows (kind 1: part and raw)."""
-    held: dict[tuple[int, int], list[tuple]] = {}
+    held: dict[tuple[int, int], dict[tuple[int, int], tuple]] = {}
     for batch in batches:
         cols = [batch.column(c).to_pylist() for c in ("f", "c1", "c2", "left", "body", "shards", "shard")]
         for f, c1, c2, left, body, shards, shard in zip(*cols, strict=True):
-            held.setdefault((f, shard), []).append((c1, c2, left, body, shards))
+            held.setdefault((f, shard), {}).setdefault((c1, c2), (c1, c2, left, body, shards))
 
     def solve(keys: list[tuple[int, int]]) -> pa.RecordBatch:
-        items = [(key, *item) for key in keys for item in held.pop(key)]
-        starts, hit, kind = repeated_windows([x[4] for x in items], [x[3] for x in items], [x[0] for x in items], length)
-        rows, at = [], 0
-        seen: set[int] = set()
-        packed: dict[tuple[int, int], list] = {}
-        for ((f, _), c1, c2, left, body, shards), own in zip(items, starts, strict=True):
-            marked, label = hit[at : at + len(own)], kind[at : at + len(own)]
-            at += len(own)
-            rows += [(f, c1, c2, 0, b - left, e - left, b"") for b, e in _ranges(own[marked], length)]
-            if shards > 1:
-                # One window of each class goes on: where the class has more, all are marked already.
-                go = []
-                for s, m, k in zip(own.tolist(), marked.tolist(), label.tolist(), strict=True):
-                    if not m or k not in seen:
-                        seen.add(k)
-                        go.append(s)
-                for s, (w1, w2) in zip(go, _digests(body, go, length), strict=True):
-                    packed.setdefault((f, (w1 >> 40) % shards), []).append((w1, w2, c1, c2, s - left))
-        for (f, part), windows in packed.items():
-            raw = np.array(windows, _WINDOW)
-            rows.append((f, 0, 0, 1, part, 0, raw[np.lexsort((raw["w2"], raw["w1"]))].tobytes()))
+        items = [(key, *item) for key in keys for item in held.pop(key).values()]
+        lefts = np.array([x[3] for x in items])
+        starts, hit, kind = repeated_windows([x[4] for x in items], lefts, [x[0] for x in items], length)
+        counts = np.fromiter(map(len, starts), np.int64, len(items))
+        start, own = np.concatenate(starts), np.repeat(np.arange(len(items)), counts)
+        # All windows of a context hold its anchor, so what they cover is one range.
+        marked = np.flatnonzero(hit)
+        of, first = np.unique(own[marked], return_index=True)
+        last = np.append(first[1:], len(marked))[: len(first)] - 1
+        rows = [(items[i][0][0], items[i][1], items[i][2], 0, b, e, b"") for i, b, e in zip(of.tolist(), (start[marked[first]] - lefts[of]).tolist(), (start[marked[last]] - lefts[of] + length).tolist(), strict=True)]
+        shards = np.array([x[5] for x in items])
+        if (shards > 1).any():
+            # One window of each class goes on: where the class has more, all are marked already.
+            go = np.zeros(len(own), bool)
+            go[np.unique(kind, return_index=True)[1]] = True
+            at = np.flatnonzero(go & (shards[own] > 1))
+            raw = np.zeros(len(at), _WINDOW)
+            digests = b"".join(xxhash.xxh3_128_digest(items[i][4][s : s + length]) for i, s in zip(own[at].tolist(), start[at].tolist(), strict=True))
+            raw["w1"], raw["w2"] = np.frombuffer(digests, ">u8").reshape(-1, 2).T
+            for name, k in (("c1", 1), ("c2", 2)):
+                raw[name] = np.array([x[k] for x in items])[own[at]]
+            raw["d"] = start[at] - lefts[own[at]]
+            names = np.array([x[0][0] for x in items])[own[at]]
+            part = ((raw["w1"] >> _U(40)) % (shards[own[at]] // 4 + 1).astype(np.uint64)).astype(np.int64)
+            order = np.lexsort((raw["w2"], raw["w1"], part, names))
+            raw, names, part = raw[order], names[order], part[order]
+            new = np.ones(len(at), bool)
+            new[1:] = (names[1:] != names[:-1]) | (part[1:] != part[:-1])
+            cut = np.flatnonzero(new)
+            rows += [(int(names[b]), 0, 0, 1, int(part[b]), 0, raw[b:e].tobytes()) for b, e in zip(cut.tolist(), np.append(cut[1:], len(at)).tolist(), strict=False)]
         return _batch(rows, ["f", "c1", "c2", "kind", "b", "e", "raw"], [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.binary()])
 
     keys, size = [], 0
     for key in list(held):
-        if len(held[key]) > 1 or held[key][0][4] > 1:
+        items_ = list(held[key].values())
+        if len(items_) > 1 or items_[0][4] > 1:
             keys.append(key)
-            size += sum(len(x[3]) for x in held[key])
+            size += sum(len(x[3]) for x in items_)
             if size >= CHUNK:
                 yield solve(keys)
                 keys, size = [], 0
@@ -272,8 +258,15 @@ def _merge(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         # Each shard's windows are found in the union by binary search; a window is in a shard's list once.
         places = [np.searchsorted(union, k) for k in keys]
         times = np.bincount(np.concatenate(places), minlength=len(union))
-        rows = [(f, int(w["c1"]), int(w["c2"]), 0, int(w["d"]), int(w["d"]) + length, b"") for s, at in zip(shards, places, strict=True) for w in s[times[at] > 1]]
-        yield _batch(rows, ["f", "c1", "c2", "kind", "b", "e", "raw"], [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.binary()])
+        found = np.concatenate([s[times[at] > 1] for s, at in zip(shards, places, strict=True)])
+        found = found[np.lexsort((found["d"], found["c2"], found["c1"]))]
+        new = np.ones(len(found), bool)
+        new[1:] = (found["c1"][1:] != found["c1"][:-1]) | (found["c2"][1:] != found["c2"][:-1])
+        first = np.flatnonzero(new)
+        n = len(first)
+        last = np.append(first[1:], len(found))[:n] - 1
+        cols = [pa.array(np.full(n, f)), pa.array(found["c1"][first]), pa.array(found["c2"][first]), pa.array(np.zeros(n, np.int32)), pa.array(found["d"][first]), pa.array((found["d"][last] + length).astype(np.int32)), pa.array([b""] * n, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, names=["f", "c1", "c2", "kind", "b", "e", "raw"])
 
 
 def _key(col: str, seed: int):
@@ -285,48 +278,78 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int
     spark = docs.sparkSession
     lean = docs.select(common.text_bytes().alias("body")).select("body", _key("body", 1).alias("t1"), _key("body", 2).alias("t2"))
 
-    def found(batches: Iterator[pa.RecordBatch], known: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-        """known: a bit for each anchor that is looked for; then contexts come back, each once."""
+    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def found(batches: Iterator[pa.RecordBatch], known, bodies_too: bool = False) -> Iterator[pa.RecordBatch]:
+        """Without known, all anchors, packed. Else a row for each anchor whose bit is set, or each context with its bytes."""
+        known = None if known is None else known.value
         seen: set = set()
+        given: set = set()
         for batch in common.slices(batches, "body"):
             bodies = common.binary_list(batch.column("body"))
             t1, t2 = (batch.column(c).to_numpy() for c in ("t1", "t2"))
             first = []
-            for i, t in enumerate(zip(t1.tolist(), t2.tolist(), strict=True)):
+            for t in zip(t1.tolist(), t2.tolist(), strict=True):
                 first.append(t not in seen)
                 seen.add(t)
-            if len(seen) > 2_000_000:
+            if len(seen) > 300_000:
                 seen.clear()
             text, pos, h, left, size = anchors([b if ok else b"" for b, ok in zip(bodies, first, strict=True)], length, gram)
-            if known is not None:
-                some = known[h % _U(BITS)]
-                text, pos, h, left, size = (x[some] for x in (text, pos, h, left, size))
-            parts = [bodies[t][p - b : p - b + s] for t, p, b, s in zip(text.tolist(), pos.tolist(), left.tolist(), size.tolist(), strict=True)]
-            names = [xxhash.xxh3_128_intdigest(part, seed=b) for part, b in zip(parts, left.tolist(), strict=True)]
+            if known is None:
+                place = common.mix64(t1[text].view(np.uint64) ^ (t2[text].view(np.uint64) * _STEPS[1]) ^ (pos.astype(np.uint64) * _STEPS[2])).view(np.int64)
+                yield _batch(list(_bucketed(h, place, parts, _ENTRY)), ["bucket", "raw"], [pa.int32(), pa.binary()])
+                continue
+            place = h % _U(BITS)
+            some = (known[(place >> _U(3)).astype(np.int64)] >> (_U(7) - (place & _U(7))).astype(np.uint8)) & 1 > 0
+            text, pos, h, left, size = (x[some] for x in (text, pos, h, left, size))
+            pieces = [bodies[t][p - b : p - b + s] for t, p, b, s in zip(text.tolist(), pos.tolist(), left.tolist(), size.tolist(), strict=True)]
+            names = [xxhash.xxh3_128_intdigest(piece, seed=b) for piece, b in zip(pieces, left.tolist(), strict=True)]
+            if bodies_too:
+                new = []
+                for i, name in enumerate(names):
+                    if name not in given:
+                        given.add(name)
+                        new.append(i)
+                if len(given) > 200_000:
+                    given.clear()
+                names, pieces, h, left = [names[i] for i in new], [pieces[i] for i in new], h[new], left[new]
             c1 = np.fromiter((x >> 64 for x in names), np.uint64, len(names)).view(np.int64)
             c2 = np.fromiter((x & 0xFFFFFFFFFFFFFFFF for x in names), np.uint64, len(names)).view(np.int64)
             cols = [pa.array(h.view(np.int64)), pa.array(c1), pa.array(c2), pa.array(left.astype(np.int32))]
-            if known is None:
+            if bodies_too:
+                shards = np.maximum(1, -(-loads.value[(h % _U(CELLS)).astype(np.int64)].astype(np.int64) // shard)).astype(np.int32)
+                own = (c1.view(np.uint64) % shards.astype(np.uint64)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(pieces, pa.binary()), pa.array(shards), pa.array(own)], names=["f", "c1", "c2", "left", "body", "shards", "shard"])
+            else:
                 cols += [pa.array(t1[text]), pa.array(t2[text]), pa.array(pos), pa.array(size.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(cols, names=["f", "c1", "c2", "left", "t1", "t2", "pos", "size"])
-            else:
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(parts, pa.binary())], names=["f", "c1", "c2", "left", "body"])
 
-    placed = common.stored(lean.mapInArrow(lambda b: found(b, None), _CONTEXT + ", left int, t1 long, t2 long, pos long, size int"), "anchors")
+    def anchors_again(token: np.ndarray, _: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(token[_shared(token)]).view(np.int64))], names=["key"])
+
+    def sent(keys: DataFrame):
+        return spark.sparkContext.broadcast(np.packbits(_bitmap(keys, BITS)))
+
+    twice = sent(_gathered(lean.mapInArrow(lambda b: found(b, None), "bucket int, raw binary"), parts, anchors_again, "key long", _ENTRY))
+    rows = lean.mapInArrow(lambda b: found(b, twice), _CONTEXT + ", left int, t1 long, t2 long, pos long, size int")
+    again = common.stored(rows, "again")
     place = F.struct("t1", "t2", "pos")
-    twice = placed.groupBy("f").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo < hi").select("f")
-    again = common.stored(placed.join(twice, "f"), "again")
     kinds = again.groupBy("f", "c1", "c2").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.first("left").alias("left"), F.first("size").alias("size"))
     kinds = common.stored(kinds.select("f", "c1", "c2", (F.col("lo") < F.col("hi")).alias("whole"), "left", "size"), "kinds")
-    common.removed(placed)
-    several = common.stored(kinds.groupBy("f").agg(F.count("*").alias("n")).where("n > 1"), "several")
-    bits = spark.sparkContext.broadcast(np.packbits(_bitmap(several.select(F.col("f").alias("key")))))
-    contexts = lean.mapInArrow(lambda b: found(b, np.unpackbits(bits.value).astype(bool)), _CONTEXT + ", left int, body binary")
-    contexts = contexts.groupBy("f", "c1", "c2").agg(F.first("left").alias("left"), F.first("body").alias("body"))
-    sharded = contexts.join(several, "f").withColumn("shards", F.ceil(F.col("n") / shard).cast("int")).withColumn("shard", F.pmod(F.xxhash64("c1", "c2"), F.col("shards")).cast("int"))
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    several = kinds.groupBy("f").agg(F.count("*").alias("n")).where("n > 1")
+    bits = sent(several.select(F.col("f").alias("key")))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(CELLS, np.uint32)
+        for batch in batches:
+            cells += np.bincount((batch.column("f").to_numpy().view(np.uint64) % _U(CELLS)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+        yield _parts(cells)
+
+    # How many contexts an anchor has at most, in a table of fixed size: this alone decides into how many shards it goes.
+    loads = spark.sparkContext.broadcast(_reduced(kinds.select("f").mapInArrow(counted, "part int, raw binary"), CELLS, np.uint32, np.add))
+    contexts = lean.mapInArrow(lambda b: found(b, bits, True), _CONTEXT + ", left int, body binary, shards int, shard int")
     schema = _CONTEXT + ", kind int, b int, e int, raw binary"
-    solved = common.stored(sharded.drop("n").repartition(parts, "f", "shard").mapInArrow(lambda b: _shard(b, length), schema), "solved")
+    solved = common.stored(contexts.repartition(parts, "f", "shard").mapInArrow(lambda b: _shard(b, length), schema), "solved")
     across = solved.where("kind = 1").select("f", "b", "raw").repartition(parts, "f", "b").mapInArrow(lambda b: _merge(b, length), schema)
     ranges = solved.where("kind = 0").unionByName(across).select("f", "c1", "c2", "b", "e")
     ranges = ranges.unionByName(kinds.where("whole").select("f", "c1", "c2", (-F.col("left")).alias("b"), (F.col("size") - F.col("left")).alias("e")))
