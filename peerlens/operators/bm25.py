@@ -17,23 +17,26 @@ TAG_LEAST, TAG_TOP = 2.0, 15
 FACT_LEAST, FACT_TOP = 3.0, 1
 
 
-def index(corpus: DataFrame, doc: str = "doc_id", tokens: str = "tokens") -> DataFrame:
-    """doc, term, weight: what each term adds to a document's score."""
-    sized = corpus.select(F.col(doc).alias("doc"), F.size(tokens).alias("dl"), F.col(tokens).alias("tokens"))
-    totals = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = sized.select("doc", "dl", F.explode("tokens").alias("term")).groupBy("doc", "dl", "term").agg(F.count("*").alias("f"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(totals))
-    raw = df.select("term", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    idf = raw.join(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+def index(corpus: DataFrame, doc: str = "doc_id", tokens: str = "tokens", by: str | None = None) -> DataFrame:
+    """doc, term, weight: what each term adds to a document's score. With by, each of its values is a corpus of its own."""
+    g = [F.col(by).alias("corpus")] if by else [F.lit("").alias("corpus")]
+    sized = corpus.select(*g, F.col(doc).alias("doc"), F.size(tokens).alias("dl"), F.col(tokens).alias("tokens"))
+    totals = sized.groupBy("corpus").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    small = (lambda df: df) if by else F.broadcast  # one row without by
+    tf = sized.select("corpus", "doc", "dl", F.explode("tokens").alias("term")).groupBy("corpus", "doc", "dl", "term").agg(F.count("*").alias("f"))
+    df = tf.groupBy("corpus", "term").agg(F.count("*").alias("df")).join(small(totals), "corpus")
+    raw = df.select("corpus", "term", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    mean = raw.groupBy("corpus").agg(F.avg("raw").alias("mean"))
+    idf = raw.join(small(mean), "corpus").select("corpus", "term", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     weight = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return tf.join(idf, "term").select("doc", "term", weight.alias("weight"))
+    return tf.join(idf, ["corpus", "term"]).select(*(["corpus"] if by else []), "doc", "term", weight.alias("weight"))
 
 
-def scores(corpus: DataFrame, queries: DataFrame, doc: str = "doc_id", tokens: str = "tokens") -> DataFrame:
-    """query, doc, score of every document that has a term of the query. queries: query, tokens."""
+def scores(corpus: DataFrame, queries: DataFrame, doc: str = "doc_id", tokens: str = "tokens", by: str | None = None) -> DataFrame:
+    """query, doc, score (with by: and corpus) of every document that has a term of the query. queries: query, tokens."""
     asked = queries.select("query", F.explode("tokens").alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
-    return index(corpus, doc, tokens).join(asked, "term").groupBy("query", "doc").agg(F.sum(F.col("times") * F.col("weight")).alias("score"))
+    keys = ["corpus"] if by else []
+    return index(corpus, doc, tokens, by).join(asked, "term").groupBy(*keys, "query", "doc").agg(F.sum(F.col("times") * F.col("weight")).alias("score"))
 
 
 def top(scored: DataFrame, n: int, least: float) -> DataFrame:
