@@ -340,15 +340,16 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """a, b: a spanning forest of the links between classes of equal sets. classes: key and n of all of them."""
     spark = docs.sparkSession
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(8, buckets // 8)
     lean = docs.select(common.text_bytes().alias("body"))
 
     def those_with(counts: DataFrame, least):
         """A map of the classes whose counted elements are enough."""
-        enough = _summed(counts, buckets).join(classes, "key").where(F.col("n_shared") >= least)
+        enough = _summed(counts, parts).join(classes, "key").where(F.col("n_shared") >= least)
         return spark.sparkContext.broadcast(np.packbits(_bitmap(enough)))
 
     # The first bound.
-    led = _gathered(_postings(lean, buckets, lambda n: n - need(n) + _lead(n), _SHORT_ENTRY), buckets, _counter(buckets), "part int, raw binary", _SHORT_ENTRY)
+    led = _gathered(_postings(lean, buckets, lambda n: n - need(n) + _lead(n), _SHORT_ENTRY), buckets, _counter(parts), "part int, raw binary", _SHORT_ENTRY)
     first = those_with(led, F.floor(F.floor(F.col("n") * 3 / 4) / 8) + 1)
 
     def kept_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,7 +370,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
     sets = common.stored(lean.mapInArrow(kept_sets, "key long, raw binary"), "sets")
     # The second.
-    covered = _gathered(_postings(sets, buckets, lambda n: n, _SHORT_ENTRY), buckets, _counter(buckets), "part int, raw binary", _SHORT_ENTRY)
+    covered = _gathered(_postings(sets, buckets, lambda n: n, _SHORT_ENTRY), buckets, _counter(parts), "part int, raw binary", _SHORT_ENTRY)
     second = those_with(covered, F.ceil(F.col("n") * 3 / 4))
 
     def kept_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
