@@ -93,7 +93,8 @@ def line_dedup(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS)
     runs = _windows(docs, text, min_words)
     place = F.struct("doc_id", "th", "b")
     # Names that occur once fall out after a partial aggregation; a name that fills a third of all rows is one row here.
-    repeated = runs.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("k1", "k2", "first")
+    # They are written, as only a join of two exchanges can be split where one name is very frequent.
+    repeated = common.stored(runs.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("k1", "k2", "first"), "runs")
     later = runs.join(repeated, ["k1", "k2"]).where(place > F.col("first")).select("doc_id", "th", "b", "e")
     spans = later.groupBy(F.col("doc_id").alias("id"), F.col("th").alias("key")).agg(F.collect_set(F.struct("b", "e")).alias("spans"))
     gone = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["b"], s["e"]))))

@@ -386,7 +386,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     often = spark.sparkContext.broadcast(_frequencies(left))
     stars = _gathered(_postings(left, few, lambda n: n - need(n) + 1, _ENTRY, often), few, _stars, "a long, b long", _ENTRY)
     groups = components(stars)
-    sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
+    sizes = common.stored(groups.groupBy("root").agg(F.count("*").alias("size")), "sizes")
     small = F.col("size") <= BLOCK
     total = left.count()
     small_blocks = max(1, total // max(1, BLOCK // 2))
@@ -415,7 +415,8 @@ def _components_of_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     classes = named.where("n_shingles > 0").groupBy("key").agg(F.first("n_shingles").alias("n"))
     forest = common.stored(components(links(docs, classes)), "forest")
     rooted = named.where("n_shingles > 0").join(forest, named["key"] == forest["v"], "left").select("doc_id", "th", "n_shingles", F.coalesce("root", "key").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # Written, so that the join below has an exchange on each side and can be split where a component is large.
+    lowest = common.stored(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "lowest")
     linked = rooted.join(lowest, "root").select("doc_id", "th", "n_shingles", "component_id")
     alone = named.where("n_shingles = 0").select("doc_id", "th", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)

@@ -353,7 +353,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int
     across = solved.where("kind = 1").select("f", "b", "raw").repartition(parts, "f", "b").mapInArrow(lambda b: _merge(b, length), schema)
     ranges = solved.where("kind = 0").unionByName(across).select("f", "c1", "c2", "b", "e")
     ranges = ranges.unionByName(kinds.where("whole").select("f", "c1", "c2", (-F.col("left")).alias("b"), (F.col("size") - F.col("left")).alias("e")))
-    covered = ranges.groupBy("f", "c1", "c2").agg(F.collect_set(F.struct("b", "e")).alias("ranges"))
+    # Written, so that the join has an exchange on each side and can be split where one context has very many places.
+    covered = common.stored(ranges.groupBy("f", "c1", "c2").agg(F.collect_set(F.struct("b", "e")).alias("ranges")), "covered")
     spans = again.join(covered, ["f", "c1", "c2"]).select("t1", "t2", F.transform("ranges", lambda r: F.struct((F.col("pos") + r["b"]).alias("b"), (F.col("pos") + r["e"]).alias("e"))).alias("spans"))
     return spans.groupBy("t1", "t2").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
