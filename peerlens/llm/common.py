@@ -102,6 +102,18 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 << 20)
             at = end
 
 
+def gathered(batches: Iterable[pa.RecordBatch], rows: int = 60_000) -> Iterator[pa.RecordBatch]:
+    """Joins small batches to ones of about so many rows, for columns of short values."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def binary_list(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.to_pylist()]
 

@@ -218,7 +218,7 @@ def _expected(words: DataFrame, lattice: Lattice) -> Lattice:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, n = np.zeros(len(sent.value.pieces)), 0
-        for batch in common.slices(batches, "word", 1 << 20):
+        for batch in common.slices(common.gathered(batches), "word", 1 << 20):
             more, m = sent.value.expected(batch.column("word").to_pylist())
             counts, n = counts + more, n + m
         some = np.flatnonzero(counts)
@@ -265,7 +265,7 @@ def lm_score(docs: DataFrame, vocabulary: str, hot: int = HOT, rounds: int = ROU
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = common.WordIndex(0)
-        for batch in common.slices(batches, "word", 1 << 20):
+        for batch in common.slices(common.gathered(batches), "word", 1 << 20):
             words = batch.column("word").to_pylist()
             hashes = np.fromiter(map(index.hash_of, words), np.uint64, len(words)).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(hashes), pa.array(sent.value.score(words)), *(batch.column(c) for c in cols)], names=["word", "h", "lattice", *cols])
