@@ -124,7 +124,7 @@ def _postings(rows: DataFrame, buckets: int, prefix, kind: np.dtype, often=None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in common.slices(batches, "raw" if has_sets else "body"):
+        for batch in common.slices(batches, "raw" if has_sets else "body", 2 << 20):
             if has_sets:
                 raws = common.binary_list(batch.column("raw"))
                 h = np.frombuffer(b"".join(raws), np.uint64)
@@ -354,7 +354,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
     def kept_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in common.slices(batches, "body"):
+        for batch in common.slices(batches, "body", 2 << 20):
             h, counts = sets_of(common.binary_list(batch.column("body")))
             keys = keys_of(h, counts)
             ends = np.cumsum(counts)
@@ -406,7 +406,7 @@ def _components_of_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """doc_id, th (a hash of the text), n_shingles, component_id for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "body"):
+        for batch in common.slices(batches, "body", 2 << 20):
             h, counts = sets_of(common.binary_list(batch.column("body")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(counts.astype(np.int64)), pa.array(keys_of(h, counts))], names=["doc_id", "th", "n_shingles", "key"])
 

@@ -181,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Field | None:
     lean = docs.select("doc_id", common.text_bytes().alias("body")).join(F.broadcast(chosen), "doc_id").select("doc_id", "body", "quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "body"):
+        for batch in common.slices(batches, "body", 1 << 20):
             own, _, counts = line_features(common.binary_list(batch.column("body")))
             ends = np.cumsum(counts)
             raw = [own[e - c : e].astype("<f4").tobytes() for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
@@ -209,7 +209,7 @@ def classify(docs: DataFrame, field: Field | None, text: str = "text", threshold
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "__body"):
+        for batch in common.slices(batches, "__body", 1 << 20):
             own, sizes, counts = line_features(common.binary_list(batch.column("__body")))
             if field is None:
                 score = np.full(len(counts), 0.5)
