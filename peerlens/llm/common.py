@@ -325,5 +325,11 @@ def encoder(path: str, leading_space: bool) -> CachedEncoder:
     return _encoders[key]
 
 
+def release() -> None:
+    """Forgets what encoders of earlier tasks in this worker have kept, for operators that need the memory themselves."""
+    for one in _encoders.values():
+        one.clear()
+
+
 def crc32_ids(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4").tobytes())

@@ -406,6 +406,7 @@ def _components_of_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """doc_id, th (a hash of the text), n_shingles, component_id for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         for batch in common.slices(batches, "body", 2 << 20):
             h, counts = sets_of(common.binary_list(batch.column("body")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(counts.astype(np.int64)), pa.array(keys_of(h, counts))], names=["doc_id", "th", "n_shingles", "key"])

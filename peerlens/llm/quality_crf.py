@@ -209,6 +209,7 @@ def classify(docs: DataFrame, field: Field | None, text: str = "text", threshold
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         for batch in common.slices(batches, "__body", 1 << 20):
             own, sizes, counts = line_features(common.binary_list(batch.column("__body")))
             if field is None:
