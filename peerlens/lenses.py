@@ -36,10 +36,12 @@ def metrics(spark: SparkSession, sf: str) -> DataFrame:
     """company, category, metric_type (brand), year, value, name, seq: sums of prices, exact in cents."""
     part = table(spark, sf, "part").select("p_partkey", "p_brand", category().alias("category"))
     line = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey", F.year("l_shipdate").cast("string").alias("year"), F.col("l_extendedprice").cast("decimal(18,2)").alias("price"))
-    summed = line.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey", "category", F.col("p_brand").alias("metric_type"), "year").agg(F.sum("price").cast("double").alias("value"))
     names = table(spark, sf, "supplier").select("s_suppkey", F.col("s_name").alias("company"))
+    both = line.join(part, F.col("l_partkey") == F.col("p_partkey")).join(names, F.col("l_suppkey") == F.col("s_suppkey"))
+    # By the company's name, so that conditions on companies reach the scan of suppliers.
+    summed = both.groupBy("company", "category", F.col("p_brand").alias("metric_type"), "year").agg(F.sum("price").cast("double").alias("value"))
     name = F.concat("metric_type", F.lit(" ("), "year", F.lit(")"))
-    return summed.join(names, F.col("l_suppkey") == F.col("s_suppkey")).select("company", "category", "metric_type", "year", "value", name.alias("name"), F.concat_ws("|", "category", "metric_type", "year").alias("seq"), F.col("metric_type").alias("gaap_concept"))
+    return summed.select("company", "category", "metric_type", "year", "value", name.alias("name"), F.concat_ws("|", "category", "metric_type", "year").alias("seq"), F.col("metric_type").alias("gaap_concept"))
 
 
 METRICS = f"""metrics AS (

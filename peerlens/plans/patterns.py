@@ -34,13 +34,18 @@ def _peers(graph: Graph, target: str) -> DataFrame:
     return graph["competes"].where(F.col("target") == target).select("peer", "target").distinct()
 
 
+def _of_peers(rows: DataFrame, graph: Graph, target: str) -> DataFrame:
+    """Only the peers' rows, before they are ranked; the semi-join also moves below what rows aggregate."""
+    return rows.withColumnRenamed("company", "peer").join(_peers(graph, target).select("peer"), "peer", "left_semi")
+
+
 def risks(graph: Graph, target: str, topics: list[str] | None = None) -> DataFrame:
     """target, target_risks, peer, peer_risks. Without any fitting risk of the target there is no row; a peer without
     fitting risks has an empty list, and no peer at all gives one row with a null peer."""
     there = [c for c in TEXT_FIELDS if c in graph["risks"].columns]
     fitting = graph["risks"].where(text.contains_any([F.col(c) for c in there], topics or []))
     own = capped(fitting.where(F.col("company") == target).withColumnRenamed("company", "target"), ["target"], RISK_FIELDS, TARGET_RISKS, "target_risks")
-    theirs = capped(fitting.withColumnRenamed("company", "peer"), ["peer"], RISK_FIELDS, PEER_RISKS, "peer_risks")
+    theirs = capped(_of_peers(fitting, graph, target), ["peer"], RISK_FIELDS, PEER_RISKS, "peer_risks")
     # The filter sits below the outer join, so a peer without hits stays.
     both = own.join(_peers(graph, target), "target", "left").join(theirs, "peer", "left")
     empty = F.array().cast(theirs.schema["peer_risks"].dataType)
@@ -53,7 +58,7 @@ def metrics(graph: Graph, target: str, categories: list[str] | None = None) -> D
     if categories:
         rows = rows.where(F.col("category").isin(*categories))
     own = capped(rows.where(F.col("company") == target).withColumnRenamed("company", "target"), ["target", "category"], METRIC_FIELDS, TARGET_METRICS, "target_metrics")
-    theirs = capped(rows.withColumnRenamed("company", "peer"), ["peer", "category"], (*METRIC_FIELDS, "source_url"), PEER_METRICS, "peer_metrics")
+    theirs = capped(_of_peers(rows, graph, target), ["peer", "category"], (*METRIC_FIELDS, "source_url"), PEER_METRICS, "peer_metrics")
     both = own.join(_peers(graph, target), "target", "left").join(theirs, ["peer", "category"], "left")
     empty = F.array().cast(theirs.schema["peer_metrics"].dataType)
     return both.select("target", "category", "target_metrics", "peer", F.coalesce("peer_metrics", empty).alias("peer_metrics")).orderBy("category", "peer").limit(ROWS["lists"])
