@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 from pathlib import Path
 from unicodedata import is_normalized
@@ -139,6 +140,22 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: What this worker process keeps from task to task, by name: how to forget it.
+held: dict[str, Callable[[], object]] = {}
+
+
+def release(but: str = "") -> None:
+    """Called when a task begins: forgets what earlier tasks of other operators have kept in this worker, and gives free
+    memory back to the system."""
+    for name, forget in held.items():
+        if name != but:
+            forget()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 class Numbering(dict):
     """Gives every new key the next number and notes it in `new`."""
 
@@ -319,17 +336,12 @@ _encoders: dict[tuple, CachedEncoder] = {}
 
 def encoder(path: str, leading_space: bool) -> CachedEncoder:
     """One encoder for each worker process."""
+    held["encoders"] = lambda: [one.clear() for one in _encoders.values()]
     key = (path, leading_space)
     if key not in _encoders:
         _encoders[key] = CachedEncoder(path, leading_space)
     return _encoders[key]
 
 
-def release() -> None:
-    """Forgets what encoders of earlier tasks in this worker have kept, for operators that need the memory themselves."""
-    for one in _encoders.values():
-        one.clear()
-
-
 def crc32_ids(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4").tobytes())

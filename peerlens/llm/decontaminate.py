@@ -189,6 +189,7 @@ def _pass(docs: DataFrame, block: Sequence[tuple[str, bytes]], window: int, text
     types = {"items": pa.list_(pa.string()), "spans": pa.list_(pa.struct([("b", pa.int32()), ("e", pa.int32())]))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         scan = detector.value.scan
         for batch in common.slices(batches, "__bytes"):
             n_words, n_hit, items, spans = [], [], [], []

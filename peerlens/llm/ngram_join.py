@@ -53,7 +53,9 @@ _words = None
 def sets_of(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct shingle hashes of all texts, and their numbers."""
     global _words
-    _words = _words or common.WordIndex(300_000)
+    if _words is None:
+        _words = common.WordIndex(300_000)
+        common.held["words"] = _words.clear
     lists = [b.lower().split() for b in bodies]
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
     flat = _words.hashed([w for one in lists for w in one])
@@ -123,6 +125,7 @@ def _postings(rows: DataFrame, buckets: int, prefix, kind: np.dtype, often=None)
     has_sets = "raw" in rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release("words")
         seen: set[int] = set()
         for batch in common.slices(batches, "raw" if has_sets else "body", 2 << 20):
             if has_sets:
@@ -313,6 +316,7 @@ def _forest(links: np.ndarray, x_keys: np.ndarray, y_keys: np.ndarray) -> list[t
 
 def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a partition: group, i, j (blocks that meet), side (0: of block i, 1: of block j), key, raw."""
+    common.release()
     held: dict[tuple, tuple[dict[int, bytes], dict[int, bytes]]] = {}
     for batch in batches:
         cols = [batch.column(c).to_pylist() for c in ("group", "i", "j", "side", "key", "raw")]
@@ -353,6 +357,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     first = those_with(led, F.floor(F.floor(F.col("n") * 3 / 4) / 8) + 1)
 
     def kept_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release("words")
         seen: set[int] = set()
         for batch in common.slices(batches, "body", 2 << 20):
             h, counts = sets_of(common.binary_list(batch.column("body")))
@@ -406,7 +411,7 @@ def _components_of_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """doc_id, th (a hash of the text), n_shingles, component_id for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.release()
+        common.release("words")
         for batch in common.slices(batches, "body", 2 << 20):
             h, counts = sets_of(common.binary_list(batch.column("body")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(counts.astype(np.int64)), pa.array(keys_of(h, counts))], names=["doc_id", "th", "n_shingles", "key"])

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import common
 
 LENGTH = 1024
-GROUP_TOKENS = 4 << 20
+GROUP_TOKENS = 2 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -73,6 +73,7 @@ def pack(docs: DataFrame, tokenizer: str, leading_space: bool = True, end_id: in
     schema = SCHEMA + (", ids binary" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release("encoders")
         encode = common.encoder(tokenizer, leading_space).encode
         base, held, waiting = TaskContext.get().partitionId() << 33, 0, []
 

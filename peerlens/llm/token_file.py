@@ -221,6 +221,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, leading_space: bool
     ordered = lean.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release("encoders")
         encode = common.encoder(tokenizer, leading_space).encode
         part, number, held, waiting = TaskContext.get().partitionId(), 0, 0, []
 
