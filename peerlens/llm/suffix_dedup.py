@@ -190,6 +190,7 @@ _CONTEXT = "f long, c1 long, c2 long"
 _WINDOW = np.dtype([("w1", "<u8"), ("w2", "<u8"), ("c1", "<i8"), ("c2", "<i8"), ("d", "<i4")])
 
 
+@common.tidy
 def _shard(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Rows f, c1, c2, left, body, shards, shard; several tasks may have sent the same context. Gives ranges (kind 0: b and e, from the anchor) and, of anchors in
     several shards, packed windows (kind 1: part and raw)."""
@@ -245,6 +246,7 @@ def _shard(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         yield solve(keys)
 
 
+@common.tidy
 def _merge(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Rows f, b (part) and raw of several shards, each sorted. Gives the ranges of windows that two shards have."""
     held: dict[tuple[int, int], list[bytes]] = {}
@@ -280,6 +282,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int
 
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+    @common.tidy
     def found(batches: Iterator[pa.RecordBatch], known, bodies_too: bool = False) -> Iterator[pa.RecordBatch]:
         """Without known, all anchors, packed. Else a row for each anchor whose bit is set, or each context with its bytes."""
         known = None if known is None else known.value
