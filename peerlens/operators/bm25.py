@@ -1,7 +1,8 @@
 """Okapi BM25 as joins and aggregates.
 
 idf = ln(N - df + 0.5) - ln(df + 0.5); a negative one becomes `EPSILON` times the mean idf of all terms. A query term that
-occurs twice counts twice. The corpus is shuffled once by term; only its one-row totals are broadcast.
+occurs twice counts twice. Of the whole corpus only its terms and their counts are shuffled; its one-row totals are
+broadcast.
 """
 
 from __future__ import annotations
@@ -17,17 +18,22 @@ TAG_LEAST, TAG_TOP = 2.0, 15
 FACT_LEAST, FACT_TOP = 3.0, 1
 
 
-def index(corpus: DataFrame, doc: str = "doc_id", tokens: str = "tokens", by: str | None = None) -> DataFrame:
-    """doc, term, weight: what each term adds to a document's score. With by, each of its values is a corpus of its own."""
+def index(corpus: DataFrame, doc: str = "doc_id", tokens: str = "tokens", by: str | None = None, terms: DataFrame | None = None) -> DataFrame:
+    """doc, term, weight: what each term adds to a document's score. With by, each of its values is a corpus of its own.
+    With terms (term, each once) only theirs come out; all counts and means are still those of the whole corpus."""
     g = [F.col(by).alias("corpus")] if by else [F.lit("").alias("corpus")]
     sized = corpus.select(*g, F.col(doc).alias("doc"), F.size(tokens).alias("dl"), F.col(tokens).alias("tokens"))
     totals = sized.groupBy("corpus").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     small = (lambda df: df) if by else F.broadcast  # one row without by
-    tf = sized.select("corpus", "doc", "dl", F.explode("tokens").alias("term")).groupBy("corpus", "doc", "dl", "term").agg(F.count("*").alias("f"))
-    df = tf.groupBy("corpus", "term").agg(F.count("*").alias("df")).join(small(totals), "corpus")
+    # Distinct within the row, so that only terms and their counts are shuffled.
+    held = sized.select("corpus", F.explode(F.array_distinct("tokens")).alias("term"))
+    df = held.groupBy("corpus", "term").agg(F.count("*").alias("df")).join(small(totals), "corpus")
     raw = df.select("corpus", "term", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.groupBy("corpus").agg(F.avg("raw").alias("mean"))
-    idf = raw.join(small(mean), "corpus").select("corpus", "term", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    # The terms come in after the mean, which is that of all.
+    chosen = (lambda df: df.join(terms, "term")) if terms is not None else (lambda df: df)
+    idf = chosen(raw).join(small(mean), "corpus").select("corpus", "term", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    tf = chosen(sized.select("corpus", "doc", "dl", F.explode("tokens").alias("term"))).groupBy("corpus", "doc", "dl", "term").agg(F.count("*").alias("f"))
     weight = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return tf.join(idf, ["corpus", "term"]).select(*(["corpus"] if by else []), "doc", "term", weight.alias("weight"))
 
@@ -36,7 +42,8 @@ def scores(corpus: DataFrame, queries: DataFrame, doc: str = "doc_id", tokens: s
     """query, doc, score (with by: and corpus) of every document that has a term of the query. queries: query, tokens."""
     asked = queries.select("query", F.explode("tokens").alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
     keys = ["corpus"] if by else []
-    return index(corpus, doc, tokens, by).join(asked, "term").groupBy(*keys, "query", "doc").agg(F.sum(F.col("times") * F.col("weight")).alias("score"))
+    weights = index(corpus, doc, tokens, by, asked.select("term").distinct())
+    return weights.join(asked, "term").groupBy(*keys, "query", "doc").agg(F.sum(F.col("times") * F.col("weight")).alias("score"))
 
 
 def top(scored: DataFrame, n: int, least: float) -> DataFrame:

@@ -382,7 +382,7 @@ s AS (SELECT query, doc_id AS doc, sum(times * idf * f * 2.5 / (f + 1.5 * (0.25
 
 
 def _bm25(spark, sf):
-    corpus = ln.table(spark, sf, "documents").select("doc_id", text.words(F.lower(F.substring("text", 1, 200))).alias("tokens"))
+    corpus = ln.table(spark, sf, "documents").select("doc_id", text.words(F.lower("text")).alias("tokens"))
     asked = spark.createDataFrame([("a", ["the", "license", "license"], 1), ("b", ["und", "der"], 2)], "query string, tokens array<string>, ord int")
     return bm25.scores(corpus, asked), asked
 
