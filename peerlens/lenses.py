@@ -61,9 +61,9 @@ PEERS = "peers AS (SELECT name FROM suppliers WHERE region = (SELECT region FROM
 
 
 def risks(spark: SparkSession, sf: str) -> DataFrame:
-    """company (the source), name, description, seq, citation_id of every document."""
+    """company (the source), name and description (both the whole text), seq, citation_id of every document."""
     d = table(spark, sf, "documents")
-    return d.select(F.col("source").alias("company"), F.substring("text", 1, 40).alias("name"), F.col("text").alias("description"), F.col("doc_id").alias("seq"), F.format_string("R%06d", "doc_id").alias("citation_id"))
+    return d.select(F.col("source").alias("company"), F.col("text").alias("name"), F.col("text").alias("description"), F.col("doc_id").alias("seq"), F.format_string("R%06d", "doc_id").alias("citation_id"))
 
 
 def graph(spark: SparkSession, sf: str) -> dict[str, DataFrame]:

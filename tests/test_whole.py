@@ -42,3 +42,13 @@ def test_bm25_of_whole_texts(spark):
         left = [(k, v) for k, v in want.items() if k[0] == q and v > bm25.SECTION_LEAST and k[1] not in [d for (_, d), _ in taken]]
         taken += sorted(left, key=lambda x: (-x[1], x[0][1]))[:1]
     assert {(r.query, r.doc): r.score for r in QUERIES["bm25_greedy_sections"](spark, SF).collect()} == {k: pytest.approx(v, abs=2e-6) for k, v in taken}
+
+
+def test_risks_that_begin_alike_stay(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    want = {}
+    for i, t in sorted(docs):
+        want.setdefault(t.strip(" ").lower(), i)
+    got = [(r.name, r.seq) for r in QUERIES["risk_dedup"](spark, SF).collect()]
+    assert sorted(got) == sorted(want.items())
+    assert len(want) > len({t[:40].strip(" ").lower() for _, t in docs})
