@@ -51,10 +51,10 @@ METRICS = f"""metrics AS (
 
 
 def peers(spark: SparkSession, sf: str) -> DataFrame:
-    """Every fifth supplier of the target's region."""
+    """All other suppliers of the target's region."""
     s = suppliers(spark, sf)
     region = s.where(F.col("s_suppkey") == 0).select(F.col("region").alias("home"))
-    return s.join(F.broadcast(region), F.col("region") == F.col("home")).where("s_suppkey % 5 = 0 and s_suppkey > 0").select(F.col("name"), "region")
+    return s.join(F.broadcast(region), F.col("region") == F.col("home")).where("s_suppkey <> 0").select(F.col("name"), "region")
 
 
 PEERS = "peers AS (SELECT name FROM suppliers WHERE region = (SELECT region FROM suppliers WHERE s_suppkey = 0) AND s_suppkey % 5 = 0 AND s_suppkey > 0)"
@@ -82,8 +82,10 @@ def graph(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
 
 
 def risk_graph(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """All other sources are peers of src0."""
     g = graph(spark, sf)
-    return g | {"competes": spark.range(1, 6).select(F.concat(F.lit("src"), F.col("id").cast("string")).alias("peer"), F.lit("src0").alias("target"))}
+    sources = g["risks"].where("company <> 'src0'").select(F.col("company").alias("peer")).distinct()
+    return g | {"competes": sources.withColumn("target", F.lit("src0"))}
 
 
 def facts(spark: SparkSession, sf: str) -> DataFrame:

@@ -52,3 +52,20 @@ def test_risks_that_begin_alike_stay(spark):
     got = [(r.name, r.seq) for r in QUERIES["risk_dedup"](spark, SF).collect()]
     assert sorted(got) == sorted(want.items())
     assert len(want) > len({t[:40].strip(" ").lower() for _, t in docs})
+
+
+def test_all_others_are_peers(spark):
+    sf = SF.replace("0.001", "0.01")
+    region = {r.n_nationkey: r.n_regionkey for r in spark.read.parquet(f"{sf}/nation.parquet").collect()}
+    supplier = {r.s_suppkey: (r.s_name, region[r.s_nationkey]) for r in spark.read.parquet(f"{sf}/supplier.parquet").collect()}
+    want = sorted(name for k, (name, home) in supplier.items() if k and home == supplier[0][1])
+    assert any(supplier[k][0] in want for k in supplier if k % 5)
+    for name in ("competes_with", "operates_in_edges"):
+        assert sorted(r.src for r in QUERIES[name](spark, sf).collect()) == want
+    metrics = [(r.category, r.peer) for r in QUERIES["peer_metrics_by_category"](spark, sf).collect()]
+    assert metrics == sorted((c, p) for c in {c for c, _ in metrics} for p in want)[:20]
+    nested = [(r.category, r.peer) for r in QUERIES["nested_dedup"](spark, sf).collect()]
+    assert {p for _, p in nested} <= set(want) and sorted(p for c, p in nested if c == min(nested)[0]) == want[:20]
+    others = sorted({r.source for r in spark.read.parquet(f"{sf}/documents.parquet").select("source").distinct().collect()} - {"src0"})
+    for name in ("peer_risks_all", "peer_risks_by_topic"):
+        assert [r.peer for r in QUERIES[name](spark, sf).collect()] == others
