@@ -69,3 +69,10 @@ def test_all_others_are_peers(spark):
     others = sorted({r.source for r in spark.read.parquet(f"{sf}/documents.parquet").select("source").distinct().collect()} - {"src0"})
     for name in ("peer_risks_all", "peer_risks_by_topic"):
         assert [r.peer for r in QUERIES[name](spark, sf).collect()] == others
+
+
+def test_every_part_is_written(spark):
+    last = {}
+    for r in spark.read.parquet(f"{SF}/part.parquet").select("p_brand", "p_type", "p_partkey").collect():
+        last[r.p_brand, r.p_type] = max(r.p_partkey, last.get((r.p_brand, r.p_type), -1))
+    assert {(r.brand, r.type): r.n for r in QUERIES["metric_upsert_last_write"](spark, SF).collect()} == last
