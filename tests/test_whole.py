@@ -76,3 +76,32 @@ def test_every_part_is_written(spark):
     for r in spark.read.parquet(f"{SF}/part.parquet").select("p_brand", "p_type", "p_partkey").collect():
         last[r.p_brand, r.p_type] = max(r.p_partkey, last.get((r.p_brand, r.p_type), -1))
     assert {(r.brand, r.type): r.n for r in QUERIES["metric_upsert_last_write"](spark, SF).collect()} == last
+
+
+def test_truth_of_all_years(spark):
+    read = lambda name: spark.read.parquet(f"{SF}/{name}.parquet").collect()
+    tag = {r.p_partkey: r.p_brand for r in read("part")}
+    filed = {r.o_orderkey: r.o_orderdate for r in read("orders")}
+    groups, ours = {}, {}
+    for r in read("lineitem"):
+        key, date = (r.l_suppkey, tag[r.l_partkey]), filed[r.l_orderkey]
+        groups.setdefault(key, []).append((r.l_linenumber % 3 == 0, r.l_linenumber % 4 != 0, str(r.l_shipdate)[:10], str(date)[:10], r.l_extendedprice, r.l_returnflag in "RA"))
+        k = (*key, str(r.l_shipdate)[:4])
+        ours[k] = max(r.l_extendedprice, ours.get(k, 0))
+    want = {}
+    for key, rows in groups.items():
+        rows = [r for r in rows if r[0] == min(x[0] for x in rows)]
+        usd = any(r[1] for r in rows)
+        for r in rows:
+            if r[1] == usd and r[5]:
+                for year in {r[2][:4], r[3][:4]}:
+                    place = (r[2], r[3], -r[4])
+                    want[(*key, year)] = max(place, want.get((*key, year), place))
+    got = {(r.cik, r.tag, r.year): (r.end, r.filed, -r.val) for r in QUERIES["ground_truth_best"](spark, SF).collect()}
+    assert got == want and {"1995", "2001"} <= {k[2] for k in got}
+    counted = {r.year: r for r in QUERIES["value_match_2pct"](spark, SF).collect()}
+    assert set(counted) == {k[2] for k in ours}
+    for year, r in counted.items():
+        mine = [k for k in ours if k[2] == year]
+        assert r.n_match + r.n_mismatch == sum(k in want for k in mine) and r.n_not_found == sum(k not in want for k in mine)
+        assert r.n_match == pytest.approx(sum(k in want and abs(ours[k] + want[k][2]) <= 0.02 * abs(want[k][2]) for k in mine), abs=1)
