@@ -1,10 +1,12 @@
 """Log-probability of whole documents from a lattice of subwords over word counts of the corpus.
 
-The vocabulary of pieces is an existing one, read from a file; its scores order the pieces and give the starting
-probabilities, which expectation maximisation over all distinct training words then fits. A word's probability sums over
+The vocabulary of pieces is an existing one, read from a file. Its scores are merge ranks of byte-pair encoding, not
+log-probabilities, so they only order the pieces: the piece in place r starts with a weight of 1 / (r + 10), and
+expectation maximisation over all distinct training words then fits the probabilities. A word's probability sums over
 all of its segmentations into pieces, by a forward recursion in logarithms; words that training has seen are further
-arcs of the lattice that span a whole word, weighted by their counts less a discount. There is a set of counts for each
-language of the training documents; a document's probability sums over them, its own language unknown.
+arcs of the lattice that span a whole word, weighted by their counts less a discount. Each of the `CLASSES` - 1 most
+frequent languages of the training documents has a set of counts; all later languages are pooled in one further set. A
+document's probability sums over the sets, its own language unknown.
 
     L(w)    = stop * sum over segmentations of the product of the pieces' probabilities
     P(w)    = max(c - d, 0) / N + d * V / N * L(w)
@@ -38,7 +40,6 @@ HOT = 500_000
 CLASSES = 6
 ROUNDS = 2
 DISCOUNT = 0.5
-LONGEST_PIECE = 16
 
 
 class Lattice:
@@ -47,6 +48,7 @@ class Lattice:
     def __init__(self, pieces: list[bytes], logp: np.ndarray, stop: float):
         self.pieces, self.logp, self.stop = pieces, np.asarray(logp, np.float64), stop
         self.priced = np.append(self.logp, -np.inf)  # the last is what no piece has
+        self.longest = max(map(len, pieces))
         keys = self._of(pieces)
         self.bits = max(12, int(np.ceil(np.log2(4 * len(pieces) + 1))))
         self.slot_key, self.slot_at = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
@@ -69,7 +71,7 @@ class Lattice:
             if model.is_control(k) or model.is_unknown(k) or model.is_byte(k):
                 continue
             raw = model.id_to_piece(k).lower().replace("▁", " ").encode()
-            if 0 < len(raw) <= LONGEST_PIECE and b" " not in raw[1:]:
+            if raw and b" " not in raw[1:]:
                 seen[raw] = max(model.get_score(k), seen.get(raw, -1e9))
         pieces = sorted(seen, key=lambda p: (-seen[p], p))
         weight = 1.0 / (np.arange(len(pieces)) + 10.0)
@@ -108,7 +110,7 @@ class Lattice:
         out = []
         for j in range(size):
             # All strings that end at j: those that ended before, one byte longer, and the new byte alone.
-            h = np.concatenate([np.zeros((n, 1), np.uint64), h[:, : LONGEST_PIECE - 1]], axis=1) * np.uint64(0x9E3779B97F4A7C15) + (rows[:, j : j + 1].astype(np.uint64) + np.uint64(1))
+            h = np.concatenate([np.zeros((n, 1), np.uint64), h[:, : self.longest - 1]], axis=1) * np.uint64(0x9E3779B97F4A7C15) + (rows[:, j : j + 1].astype(np.uint64) + np.uint64(1))
             out.append(self._find(common.mix64(h).ravel()).reshape(h.shape))
         return out
 

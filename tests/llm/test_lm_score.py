@@ -101,3 +101,12 @@ def test_empty_and_untrained(spark):
     assert lm.lm_score(docs.limit(0), PATH).count() == 0
     alone = lm.lm_score(docs.where("crc32(cast(cast(doc_id as string) as binary)) % 5 = 1"), PATH).collect()
     assert alone and all(r.held_out and r.train_tokens == 0 and r.score < 0 for r in alone)
+
+
+def test_longest_pieces_are_in():
+    lattice = lm.Lattice.start(PATH)
+    assert lattice.longest == len(" становништво".encode()) == 25
+    word = "становништво".encode()
+    longest = lattice.pieces.index(b" " + word)
+    assert lattice.expected([word])[0][longest] > 0
+    assert lattice.score([word])[0] == pytest.approx(by_hand(lattice, word)[0], rel=1e-9)
