@@ -1,13 +1,14 @@
 """Deletes later copies of repeated runs of lines, in DataFrame functions only.
 
-Every line gets an id (a hash of its text). Prefix doubling names the suffixes of each document's line-id sequence:
-name k of place i stands for the 2^k lines from i on, made of the names k-1 of the places i and i + 2^(k-1). Any run is
-then named by two overlapping names of one level, so runs of any length are compared in one shuffle by name. Suffixes
-with equal names form the intervals of common prefixes; the first place of an interval keeps its lines, all others are
-later copies.
-
-A run counts when its lines have `min_words` words or more. Every repeated run is a union of the shortest counting runs
-that begin or end at its lines, and those are what is compared, so maximal runs of any length come out whole.
+Every line gets an id (a hash of its text). Within each row, prefix doubling composes hashes: name k of place i stands for
+the 2^k lines from i on, made of the names k-1 of the places i and i + 2^(k-1). Two overlapping names of one level then
+name any window of lines. Windows with equal names are grouped; the first place of a group keeps its lines, all others
+are later copies. No suffix array, ranks or longest-common-prefix intervals are built.
+
+A run counts when its lines have `min_words` words or more. Only the shortest counting windows, that begin or end at each
+line, are compared (at most `min_words` lines that have words). This deletes the same lines as comparing maximal runs:
+every line of a counting run lies in such a window within the run, and a window is repeated wherever the run is; in turn
+a repeated window is itself a repeated counting run.
 
 Defined cases: order is by doc_id (null first), then text, then line. Rows with equal doc_id and text are one document:
 all get the same result. A null text stays null; an empty one stays empty. Lines without words join runs but start and
