@@ -1,7 +1,7 @@
 """The corpus pipeline: quality, repeated lines, near copies, benchmark passages, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all its predecessor kept, and but for the last returns the columns of
-documents. Rows that share a doc_id stay distinct documents.
+documents. Rows that share a doc_id, or have none, are distinct documents; of linked ones a single row stays.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays."""
+    """Of each group of linked documents the one with the smallest doc_id (null last) stays, as a single row."""
     return ngram_join.one_of_each(docs.select(*COLUMNS))
 
 

@@ -407,8 +407,8 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return met.repartition(buckets, "group", "i", "j").mapInArrow(_block_links, "a long, b long")
 
 
-def _components_of_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """doc_id, th (a hash of the text), n_shingles, component_id for every row."""
+def _rooted(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """doc_id, th (a hash of the text) and n_shingles of every row; and those with shingles, with the root of their group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.release("words")
@@ -421,23 +421,36 @@ def _components_of_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     classes = named.where("n_shingles > 0").groupBy("key").agg(F.first("n_shingles").alias("n"))
     forest = common.stored(components(links(docs, classes)), "forest")
     rooted = named.where("n_shingles > 0").join(forest, named["key"] == forest["v"], "left").select("doc_id", "th", "n_shingles", F.coalesce("root", "key").alias("root"))
-    # Written, so that the join below has an exchange on each side and can be split where a component is large.
-    lowest = common.stored(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "lowest")
-    linked = rooted.join(lowest, "root").select("doc_id", "th", "n_shingles", "component_id")
-    alone = named.where("n_shingles = 0").select("doc_id", "th", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone)
+    return named.select("doc_id", "th", "n_shingles"), rooted
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
-    return _components_of_rows(docs, id_col).select("doc_id", "n_shingles", "component_id")
+    named, rooted = _rooted(docs, id_col)
+    # Written, so that the join below has an exchange on each side and can be split where a component is large.
+    lowest = common.stored(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "lowest")
+    linked = rooted.join(lowest, "root").select("doc_id", "n_shingles", "component_id")
+    alone = named.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without rows that are linked, directly or not, to one with a smaller doc_id. Rows of one group with the same
-    smallest doc_id stay, and so do rows without a doc_id."""
-    gone = _components_of_rows(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"), F.col("th").alias("_th")).distinct()
-    return docs.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.xxhash64("text") == F.col("_th")), "left_anti")
+    """docs with exactly one row of each group of rows that are linked, directly or not: that of the smallest doc_id (null
+    last), then of the smallest hash of the text, then of the smallest other columns. Rows without words all stay."""
+    named, rooted = _rooted(docs)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    # Written, so that the join below has an exchange on each side and can be split where a group is large.
+    first = common.stored(rooted.groupBy("root").agg(F.min(place).alias("first")), "first")
+    gone = rooted.join(first, "root").where(place > F.col("first")).select(F.col("doc_id").alias("_gone"), F.col("th").alias("_th")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.xxhash64("text") == F.col("_th"))
+    left = docs.join(gone, same, "left_anti")
+    # Rows that share both doc_id and text are one place.
+    again = named.where("n_shingles > 0").groupBy(F.col("doc_id").alias("_gone"), F.col("th").alias("_th")).count().where("count > 1").drop("count")
+    again = common.stored(again, "again")
+    if again.isEmpty():
+        return left
+    one = left.join(again, same, "left_semi").groupBy("doc_id", F.xxhash64("text").alias("_th")).agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return left.join(again, same, "left_anti").unionByName(one.select("_row.*"))
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

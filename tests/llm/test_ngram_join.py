@@ -70,6 +70,17 @@ def test_empty_and_stage(spark):
     assert sorted((r.doc_id, r.key) for r in nj.one_of_each(docs).collect()) == [(3, "y"), (5, "w"), (9, "z"), (10, "n")]
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(30)) for x in "ab")
+    rows = [(4, a, "p"), (4, a, "o"), (None, a, "q"), (4, a + " more", "r"), (None, b, "s"), (None, b, "s"), (None, b + " more", "t"), (8, "other", "u"), (None, None, "v"), (None, None, "v"), (8, "else", "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    got = [tuple(r) for r in nj.one_of_each(docs).collect()]
+    assert sorted(r[2] for r in got if r[1] in ("other", "else", None)) == ["u", "v", "v", "w"]
+    linked = [r for r in got if r[1] not in ("other", "else", None)]
+    assert len(linked) == 2 and {r[0] for r in linked} == {4, None}
+    assert [r[2] for r in linked if r[0] == 4] in (["o"], ["r"])
+
+
 def test_components(spark):
     rng = random.Random(7)
     for edges in ([(k, k + 1) for k in range(40)], [(1, k) for k in range(2, 50)], [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]):
