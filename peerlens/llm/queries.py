@@ -17,4 +17,4 @@ QUERIES = {
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
-ORACLE_SQL = {"op4_decontaminate": decontaminate.OP4_SQL, "op6_ngram_join": ngram_join.OP6_SQL, "op7_chat_format": chat.OP7_SQL}
+ORACLE_SQL = {"op4_decontaminate": decontaminate.OP4_SQL, "op6_ngram_join": ngram_join.OP6_SQL, "op7_chat_format": chat.OP7_SQL, "op9_line_dedup": line_dedup.OP9_SQL}

@@ -45,9 +45,29 @@ def test_line_dedup_matches_brute_force(spark):
     want = brute_lines(rows, line_dedup.MIN_WORDS)
     assert len(got) == len(rows)
     for r in got:
-        # Blank lines inside a deleted run are not named, so compare the lines that have words.
-        kept, _ = want[(r.doc_id, r.text)]
-        assert [x for x in (r.text_kept or "").split("\n") if x] == [x for x in (kept or "").split("\n") if x], r
+        kept, gone = want[(r.doc_id, r.text)]
+        assert (r.text_kept, r.n_removed) == (kept, gone), r
+        assert r.n_lines == (len(r.text.split("\n")) if r.text else 0)
+    assert any(r.n_removed and "\n\n" in r.text for r in got)
+
+
+@pytest.mark.parametrize("least", [1, 2, 4, 7, 10, 17])
+def test_line_dedup_of_any_length(spark, least):
+    """Other limits than 10 need other numbers of rounds."""
+    rng = random.Random(least)
+    pool = ["a", "b", "a b", "c d e", " ", "", "f\tg h", "i j k l m n o", "p\r", "q r\x0bs"]
+    rows = [(k, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 40)))) for k in range(25)]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_words=least).collect()
+    want = brute_lines(rows, least)
+    for r in got:
+        assert (r.text_kept, r.n_removed) == want[(r.doc_id, r.text)], r
+
+
+def test_line_dedup_of_a_very_long_text(spark):
+    long = "\n".join(f"line number {k} of a text that is very long indeed" for k in range(30_000))
+    rows = [(1, long), (2, "short\n" + long), (3, "line number 7 of a text that is very long indeed")]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].n_removed, got[2].text_kept, got[2].n_removed, got[3].text_kept) == (0, "short", 30_000, "")
 
 
 def test_line_dedup_clashing_columns_and_empty(spark):
