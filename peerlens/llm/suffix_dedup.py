@@ -5,9 +5,11 @@
    windows that contain it) is a context. Anchors that occur once fall out, which leaves the texts' unique parts.
 2. Contexts that occur twice as a whole are repeated as a whole, however many copies there are; a group of near copies
    shrinks to its distinct contexts.
-3. The distinct contexts of an anchor go to a shard. Each shard builds a suffix array (Larsson-Sadakane refinement: only
-   groups of suffixes that are still equal are sorted again, by the ranks of the suffixes h further on) and the common
-   prefixes of neighbours (Kasai, one lane for each context). Suffixes that share `LENGTH` bytes mark their windows.
+3. The distinct contexts of an anchor go to a shard, without the anchor itself: it stands at the same place in all windows
+   that are compared, so they are equal if what is left and right of it is. Each shard builds a suffix array
+   (Larsson-Sadakane refinement: only groups of suffixes that are still equal are sorted again, by the ranks of the
+   suffixes h further on) and the common prefixes of neighbours (Kasai, one lane for each context). Suffixes that share
+   what a window has beside its anchor mark their windows.
 4. An anchor with more than `SHARD` distinct contexts is dealt to several shards. Each gives the sorted digests of its
    windows, cut into ranges; the ranges of all shards meet and are merged by binary search.
 
@@ -15,7 +17,8 @@ A text that occurs more than once repeats wholly. Strings are compared in the in
 role, and all occurrences are removed.
 
 Defined cases: a null text counts as empty; a text of fewer than `LENGTH` bytes loses nothing; rows with equal texts,
-repeated doc_ids included, are copies of one another; an empty table gives no rows. Extra columns are ignored.
+repeated doc_ids included, are copies of one another; an empty table gives no rows. A very long text is one row, whose
+hashes (8 bytes for each of its own) are made together. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ GRAM = 256
 SHARD = 1024
 #: Bytes of contexts in one suffix array.
 CHUNK = 1 << 18
+#: Bytes of texts whose hashes are made together: arrays of this many longs stay in a core's cache.
+BLOCK = 1 << 15
 #: Bits of the maps that tell which anchors are looked for.
 BITS = 1 << 24
 _U = np.uint64
@@ -64,6 +69,17 @@ def _window_min(x: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(bodies: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
     """text (its place in bodies), pos, hash, left (bytes before it in its context) and size (of the context)."""
+    parts, begin, held = [], 0, 0
+    for i, body in enumerate(bodies, 1):
+        held += len(body) if len(body) >= length else 0
+        if held >= BLOCK or i == len(bodies):
+            text, *rest = _anchors(bodies[begin:i], length, gram)
+            parts.append((text + begin, *rest))
+            begin, held = i, 0
+    return tuple(map(np.concatenate, zip(*parts, strict=True))) if parts else _anchors([], length, gram)
+
+
+def _anchors(bodies: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
     width = length - gram + 1
     sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
     long = np.flatnonzero(sizes >= length)
@@ -123,10 +139,12 @@ def suffix_order(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def kasai(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: np.ndarray, end_of: np.ndarray, most: int) -> np.ndarray:
-    """Common prefix (up to `most`) of every suffix with the one before it in the order (before: -1 if none).
+def kasai(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: np.ndarray, end_of: np.ndarray, most: int, least: int = 1) -> np.ndarray:
+    """Common prefix (up to `most`) of every suffix of `least` bytes or more with the one of them before it in the order
+    (before: -1 if none).
 
-    Each context is a lane that walks through its suffixes from left to right and keeps what is left of the last prefix.
+    Each context is a lane that walks through its suffixes from left to right and keeps what is left of the last prefix,
+    unless the suffix it was shared with is the last one of its context.
     """
     n = len(data)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
@@ -134,7 +152,8 @@ def kasai(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: np.nda
     for k in range(8):
         wide |= padded[k : k + n].astype(np.uint64) << _U(8 * k)
     out = np.zeros(n, np.int64)
-    i, lane, known = starts.copy(), np.arange(len(starts)), np.zeros(len(starts), np.int64)
+    lane = np.flatnonzero(ends - starts >= least)
+    i, known = starts[lane], np.zeros(len(lane), np.int64)
     while len(i):
         j = before[i]
         other = np.maximum(j, 0)
@@ -146,9 +165,9 @@ def kasai(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: np.nda
         known += np.where(eight, 8, one)
         done = ~eight & ~one
         out[i[done]] = np.minimum(known[done], room[done])
-        known[done] = np.maximum(known[done] - 1, 0)
+        known = np.where(done, np.where(other + least < end_of[other], np.maximum(known - 1, 0), 0), known)
         i = i + done
-        stay = i < ends[lane]
+        stay = i + least <= ends[lane]
         if not stay.all():
             i, lane, known = i[stay], lane[stay], known[stay]
     return out
@@ -163,11 +182,13 @@ def repeated_windows(contexts: list[bytes], lefts: list[int], groups: list, leng
     starts = ends - sizes
     end_of = np.repeat(ends, sizes + 1)[: len(data)]
     order = suffix_order(data)
+    # A suffix that its context cuts shorter than `length` has no part in any run.
+    order = order[order + length <= end_of[order]]
     before = np.full(len(data), -1, np.int64)
     before[order[1:]] = order[:-1]
-    lcp = kasai(data, starts, ends, before, end_of, length)
-    # Suffixes of one run share `length` bytes; a suffix that its context cuts shorter has no part in any.
-    run = np.empty(len(data), np.int64)
+    lcp = kasai(data, starts, ends, before, end_of, length, length)
+    # Suffixes of one run share `length` bytes.
+    run = np.zeros(len(data), np.int64)
     run[order] = np.cumsum(lcp[order] < length)
     counts = np.maximum(sizes - length + 1, 0)
     at = common.ragged(starts, counts)
@@ -191,10 +212,12 @@ _WINDOW = np.dtype([("w1", "<u8"), ("w2", "<u8"), ("c1", "<i8"), ("c2", "<i8"),
 
 
 @common.tidy
-def _shard(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows f, c1, c2, left, body, shards, shard; several tasks may have sent the same context. Gives ranges (kind 0: b and e, from the anchor) and, of anchors in
+def _shard(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Rows f, c1, c2, left, body (without the anchor, which all contexts of f share), shards, shard; several tasks may
+    have sent the same context. Gives ranges (kind 0: b and e, from the anchor) and, of anchors in
     several shards, packed windows (kind 1: part and raw)."""
     held: dict[tuple[int, int], dict[tuple[int, int], tuple]] = {}
+    inner = length - gram
     for batch in batches:
         cols = [batch.column(c).to_pylist() for c in ("f", "c1", "c2", "left", "body", "shards", "shard")]
         for f, c1, c2, left, body, shards, shard in zip(*cols, strict=True):
@@ -203,7 +226,7 @@ def _shard(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
     def solve(keys: list[tuple[int, int]]) -> pa.RecordBatch:
         items = [(key, *item) for key in keys for item in held.pop(key).values()]
         lefts = np.array([x[3] for x in items])
-        starts, hit, kind = repeated_windows([x[4] for x in items], lefts, [x[0] for x in items], length)
+        starts, hit, kind = repeated_windows([x[4] for x in items], lefts, [x[0] for x in items], inner)
         counts = np.fromiter(map(len, starts), np.int64, len(items))
         start, own = np.concatenate(starts), np.repeat(np.arange(len(items)), counts)
         # All windows of a context hold its anchor, so what they cover is one range.
@@ -218,7 +241,7 @@ def _shard(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
             go[np.unique(kind, return_index=True)[1]] = True
             at = np.flatnonzero(go & (shards[own] > 1))
             raw = np.zeros(len(at), _WINDOW)
-            digests = b"".join(xxhash.xxh3_128_digest(items[i][4][s : s + length]) for i, s in zip(own[at].tolist(), start[at].tolist(), strict=True))
+            digests = b"".join(xxhash.xxh3_128_digest(items[i][4][s : s + inner]) for i, s in zip(own[at].tolist(), start[at].tolist(), strict=True))
             raw["w1"], raw["w2"] = np.frombuffer(digests, ">u8").reshape(-1, 2).T
             for name, k in (("c1", 1), ("c2", 2)):
                 raw[name] = np.array([x[k] for x in items])[own[at]]
@@ -315,7 +338,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int
                         new.append(i)
                 if len(given) > 200_000:
                     given.clear()
-                names, pieces, h, left = [names[i] for i in new], [pieces[i] for i in new], h[new], left[new]
+                names, h, left = [names[i] for i in new], h[new], left[new]
+                pieces = [pieces[i][:b] + pieces[i][b + gram :] for i, b in zip(new, left.tolist(), strict=True)]
             c1 = np.fromiter((x >> 64 for x in names), np.uint64, len(names)).view(np.int64)
             c2 = np.fromiter((x & 0xFFFFFFFFFFFFFFFF for x in names), np.uint64, len(names)).view(np.int64)
             cols = [pa.array(h.view(np.int64)), pa.array(c1), pa.array(c2), pa.array(left.astype(np.int32))]
@@ -352,7 +376,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int
     loads = spark.sparkContext.broadcast(_reduced(kinds.select("f").mapInArrow(counted, "part int, raw binary"), CELLS, np.uint32, np.add))
     contexts = lean.mapInArrow(lambda b: found(b, bits, True), _CONTEXT + ", left int, body binary, shards int, shard int")
     schema = _CONTEXT + ", kind int, b int, e int, raw binary"
-    solved = common.stored(contexts.repartition(parts, "f", "shard").mapInArrow(lambda b: _shard(b, length), schema), "solved")
+    solved = common.stored(contexts.repartition(parts, "f", "shard").mapInArrow(lambda b: _shard(b, length, gram), schema), "solved")
     across = solved.where("kind = 1").select("f", "b", "raw").repartition(parts, "f", "b").mapInArrow(lambda b: _merge(b, length), schema)
     ranges = solved.where("kind = 0").unionByName(across).select("f", "c1", "c2", "b", "e")
     ranges = ranges.unionByName(kinds.where("whole").select("f", "c1", "c2", (-F.col("left")).alias("b"), (F.col("size") - F.col("left")).alias("e")))

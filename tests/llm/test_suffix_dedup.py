@@ -81,3 +81,13 @@ def test_order_and_prefixes():
             while n < most and a + n < ends[a] and b + n < ends[b] and data[a + n] == data[b + n]:
                 n += 1
             assert b == 250 or lcp[b] == n
+
+
+def test_very_long_texts_and_other_columns(spark):
+    rng = random.Random(2)
+    shared = "".join(rng.choice("abcdefgh ") for _ in range(700))
+    long = "".join(rng.choice("abcdefgh ") for _ in range(400_000))
+    rows = [(1, long[:200_000] + shared + long[200_000:], "x", 1), (2, shared, "y", 2), (3, "no " + shared[:399], None, None)]
+    got = {r.doc_id: r for r in sd.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string, body string, t1 int")).collect()}
+    assert (got[1].n_removed, got[1].n_spans, got[1].n_bytes) == (700, 1, 400_700)
+    assert (got[2].n_removed, got[3].n_removed) == (700, 0)
