@@ -1,14 +1,22 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Every document gets statistics of its words and lines. For each stratum (a value of `stratum`, e.g. the language) and
-each rule, the labelled documents give, at every cutoff of a fixed grid, the number of good ones that the rule would
-reject. `alpha` is dealt evenly to the rules. The tightest cutoff whose exact binomial test rejects "more than this share
-of the good documents fall" is the one used, the level being `delta` over the number of strata and rules (Bonferroni;
-a rule's cutoffs are tested in a fixed order, the loosest first). A stratum without one never rejects. So with probability 1 - `delta` all rules together reject at most `alpha` of the good.
+Every document gets statistics of its words and lines, and each rule rejects documents whose statistic is above a cutoff.
+The cutoffs come from the labelled documents, for each stratum (a value of `stratum`, e.g. the language). All rules tighten
+together along one path that is fixed beforehand: first the loosest cutoff of the first rule, of the second, and so on, then
+the next tighter one of each. At every step of the path an exact binomial test of the good documents that all rules
+together would reject asks whether more than `alpha` of the good fall; the path is followed as long as the test rejects
+that. As the steps are tested in a fixed order and the first failure ends it, no correction is needed within a stratum, and
+the whole of `alpha` is there for the rules together; the level is `delta` over the number of strata (Bonferroni). So with
+probability 1 - `delta` no stratum loses more than `alpha` of its good documents to the rules.
+
+Even without a rejected good document a stratum needs log(delta / strata) / log(1 - alpha) good ones for a first cutoff
+(152 for 5 strata and the parameters below); with fewer, only the base rules reject there.
 
 Defined cases: a null or empty text has no words and fails the base rules; null strata form one stratum; repeated rows
 are judged alike; a document with several labels counts as good only if all of them say so; with an empty label table
-no cutoff is found, so only the base rules reject. Other columns are not touched, whatever their names.
+no cutoff is found, so only the base rules reject; an empty table gives no rows. A very long text is one row of arrays of
+its words' hashes. Other columns are not touched, whatever their names, but that columns called like an added one are
+replaced.
 """
 
 from __future__ import annotations
@@ -70,48 +78,61 @@ def _repeat_words(ordered: Column) -> Column:
     return F.coalesce(covered, F.lit(0))
 
 
-def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (all long) to docs, and the arrays' sources."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    words = F.filter(F.split(body, common.WORD_SPLIT), lambda w: w != "")
-    lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    packed = F.regexp_replace(body, common.WORD_SPLIT, "")
-    first = docs.withColumns(
-        {
-            "_w": F.transform(words, lambda w: F.xxhash64(w)),
-            "_lines": F.transform(lines, lambda x: F.md5(x.cast("binary"))),
-            "word_chars": F.length(packed).cast("long"),
-            "n_symbols": (F.length(body) - F.length(F.regexp_replace(body, r"[#*$%&|<>]", ""))).cast("long"),
-        }
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def statistics(docs: DataFrame, text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (all long) to docs, and what `also` names of
+    n_lines, n_upper and n_digits. Such columns of docs are replaced."""
+    added = (*STATISTICS, *also)
+    # The columns of docs travel as one, so none can clash with those that are made on the way.
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in added]).alias("doc")
+    body = docs.select(own, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body"))
+    words = F.filter(F.split("body", common.WORD_SPLIT), lambda w: w != "")
+    lines = F.filter(F.split("body", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+
+    def count(pattern: str) -> Column:
+        return (F.length("body") - F.length(F.regexp_replace("body", pattern, ""))).cast("long")
+
+    counts = {"n_upper": count("[A-Z]"), "n_digits": count("[0-9]")}
+    first = body.select(
+        "doc",
+        F.transform(words, lambda w: F.xxhash64(w)).alias("w"),
+        F.transform(lines, lambda x: F.md5(x.cast("binary"))).alias("lines"),
+        F.length(F.regexp_replace("body", common.WORD_SPLIT, "")).cast("long").alias("word_chars"),
+        count(r"[#*$%&|<>]").alias("n_symbols"),
+        *[c.alias(name) for name, c in counts.items() if name in also],
     )
     windows = F.when(
-        F.size("_w") >= 8,
-        F.transform(F.sequence(F.lit(0), F.size("_w") - 8), lambda i: F.xxhash64(*[F.get(F.col("_w"), i + k) for k in range(8)])),
+        F.size("w") >= 8,
+        F.transform(F.sequence(F.lit(0), F.size("w") - 8), lambda i: F.xxhash64(*[F.get(F.col("w"), i + k) for k in range(8)])),
     ).otherwise(F.array().cast("array<bigint>"))
-    second = first.withColumns({"_h": windows, "n_words": F.size("_w").cast("long"), "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"), "_n_lines": F.size("_lines")})
-    third = second.withColumn("_o", _side_by_side(F.col("_h")))
-    return third.withColumn("n_repeat_words", _repeat_words(F.col("_o")).cast("long")).drop("_w", "_h", "_o", "_lines")
+    second = first.withColumns({"h": windows, "n_words": F.size("w").cast("long"), "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"), "n_lines": F.size("lines").cast("long")})
+    third = second.withColumn("o", _side_by_side(F.col("h")))
+    return third.withColumn("n_repeat_words", _repeat_words(F.col("o")).cast("long")).select("doc.*", *added)
 
 
 def rule_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """The statistics that the rules compare, as whole permille: `symbol_pm` etc."""
-    body = F.coalesce(F.col(text), F.lit(""))
-
-    def count(pattern: str) -> Column:
-        return F.length(body) - F.length(F.regexp_replace(body, pattern, ""))
 
     def share(part: Column, whole: Column) -> Column:
         return F.floor(part * 1000 / F.greatest(whole, F.lit(1)))
 
-    return statistics(docs, text).withColumns(
-        {
-            "symbol_pm": share(F.col("n_symbols"), F.col("word_chars")),
-            "dup_line_pm": share(F.col("n_dup_lines"), F.col("_n_lines")),
-            "repeat_pm": share(F.col("n_repeat_words"), F.col("n_words")),
-            "short_word_pm": share(F.col("n_words"), F.col("word_chars")),
-            "upper_pm": share(count("[A-Z]"), F.col("word_chars")),
-            "digit_pm": share(count("[0-9]"), F.col("word_chars")),
-        }
+    extra = ("n_lines", "n_upper", "n_digits")
+    own = docs.drop(*extra, *[r.name for r in RULES])
+    return (
+        statistics(own, text, extra)
+        .withColumns(
+            {
+                "symbol_pm": share(F.col("n_symbols"), F.col("word_chars")),
+                "dup_line_pm": share(F.col("n_dup_lines"), F.col("n_lines")),
+                "repeat_pm": share(F.col("n_repeat_words"), F.col("n_words")),
+                "short_word_pm": share(F.col("n_words"), F.col("word_chars")),
+                "upper_pm": share(F.col("n_upper"), F.col("word_chars")),
+                "digit_pm": share(F.col("n_digits"), F.col("word_chars")),
+            }
+        )
+        .drop(*extra)
     )
 
 
@@ -132,40 +153,51 @@ def tail(n: Column, k: Column, alpha: float) -> Column:
     return F.aggregate(steps, start, step, lambda a: a["sum"])
 
 
-def cutoffs(stats: DataFrame, labels: DataFrame, params: Params = Params()) -> DataFrame:
-    """For each stratum and rule with a safe cutoff: stratum, rule, cutoff, n_good, n_rejected."""
+def path(rules: Sequence[Rule]) -> list[tuple[Rule, float]]:
+    """All steps: the loosest cutoff of every rule, then the next one of every rule, and so on."""
+    grids = [(r, sorted(r.grid, reverse=True)) for r in rules]
+    return [(r, g[k]) for k in range(max((len(g) for _, g in grids), default=0)) for r, g in grids if k < len(g)]
+
+
+def first_step(rules: Sequence[Rule]) -> Column:
+    """The number (from 0) of the first step at which a document is rejected; the number of all steps if it never is."""
+    steps = path(rules)
+    return F.least(F.lit(len(steps)), F.lit(len(steps)), *[F.when(F.col(r.name) > c, t) for t, (r, c) in enumerate(steps)])
+
+
+def accepted_steps(stats: DataFrame, labels: DataFrame, params: Params = Params()) -> DataFrame:
+    """For each stratum with good documents: stratum, n_good, steps (how many of the path are safe) and n_rejected (good
+    documents that fall then)."""
     good = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_quality")).where("_quality = 1")
     rows = stats.where(~base_failed()).join(good, F.col("doc_id") == F.col("_id"))
-    counts = [F.count_if(F.col(r.name) > c).alias(f"{r.name}:{i}") for r in params.rules for i, c in enumerate(r.grid)]
-    counted = rows.groupBy(F.coalesce(F.col(params.stratum), F.lit("")).alias("stratum")).agg(F.count("*").alias("n_good"), *counts)
-    cells = [
-        F.struct(F.lit(r.name).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"`{r.name}:{i}`").alias("n_rejected"))
-        for r in params.rules
-        for i, c in enumerate(r.grid)
-    ]
-    grid = counted.select("stratum", "n_good", F.count("*").over(_whole()).alias("strata"), F.inline(F.array(*cells)))
-    # A rule's cutoffs are tested from the loosest on until one fails, which needs no correction among them.
-    tests = F.col("strata") * F.lit(len(params.rules))
-    share = params.alpha / max(1, len(params.rules))
+    each = rows.select(F.coalesce(F.col(params.stratum), F.lit("")).alias("stratum"), first_step(params.rules).alias("step"))
+    n = len(path(params.rules))
+    fallen = F.array(*[F.count_if(F.col("step") <= t) for t in range(n)])
+    counted = each.groupBy("stratum").agg(F.count("*").alias("n_good"), fallen.alias("fallen"))
+    # One row, so it is broadcast.
+    counted = counted.join(F.broadcast(counted.agg(F.count("*").alias("strata"))))
+
     # The test can only succeed below the expected number, which keeps the sum of terms short.
-    safe = F.when(F.col("n_rejected") < F.col("n_good") * share, tail(F.col("n_good"), F.col("n_rejected"), share) <= F.lit(params.delta) / tests)
-    return grid.where(safe).groupBy("stratum", "rule").agg(F.min_by(F.struct("cutoff", "n_good", "n_rejected"), "cutoff").alias("c")).select("stratum", "rule", "c.*")
+    def safe(k: Column) -> Column:
+        return F.coalesce(F.when(k < F.col("n_good") * params.alpha, tail(F.col("n_good"), k, params.alpha) <= F.lit(params.delta) / F.col("strata")), F.lit(False))
 
+    failed = F.array_position(F.transform("fallen", safe), F.lit(False))
+    out = counted.withColumn("steps", F.when(failed > 0, failed - 1).otherwise(n).cast("int"))
+    return out.select("stratum", "n_good", "steps", F.coalesce(F.get("fallen", F.col("steps") - 1), F.lit(0)).alias("n_rejected"))
 
-def _whole():
-    from pyspark.sql import Window
 
-    return Window.partitionBy(F.lit(1))
+def cutoffs(steps: DataFrame, params: Params = Params()) -> DataFrame:
+    """accepted_steps as cutoffs: stratum, rule, cutoff, n_good, n_rejected, for each rule that has one."""
+    taken = F.slice(F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(float(c)).alias("cutoff")) for r, c in path(params.rules)]), F.lit(1), F.col("steps"))
+    return steps.select("stratum", "n_good", "n_rejected", F.inline(taken)).groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"), F.first("n_good").alias("n_good"), F.first("n_rejected").alias("n_rejected"))
 
 
-def apply_rules(stats: DataFrame, limits: DataFrame, params: Params = Params()) -> DataFrame:
-    """Adds base_failed and kept. limits holds a row for each stratum and rule, strata being few, and is joined by stratum."""
-    wide = limits.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r.name, F.col("cutoff"))).alias(f"_cut_{r.name}") for r in params.rules])
-    joined = stats.withColumn("_stratum", F.coalesce(F.col(params.stratum), F.lit(""))).join(wide, F.col("_stratum") == F.col("stratum"), "left")
-    over = F.lit(False)
-    for r in params.rules:
-        over = over | F.coalesce(F.col(r.name) > F.col(f"_cut_{r.name}"), F.lit(False))
-    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~over)
+def apply_rules(stats: DataFrame, steps: DataFrame, params: Params = Params()) -> DataFrame:
+    """Adds base_failed and kept. steps (of accepted_steps) is joined by stratum."""
+    safe = steps.select(F.col("stratum").alias("_stratum"), F.col("steps").alias("_steps"))
+    joined = stats.join(safe, F.coalesce(F.col(params.stratum), F.lit("")) == F.col("_stratum"), "left")
+    fine = first_step(params.rules) >= F.coalesce("_steps", F.lit(0))
+    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & fine).drop("_stratum", "_steps")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> DataFrame:
@@ -175,8 +207,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, params: Params = Params())
     stats = common.stored(
         rule_statistics(lean).select("doc_id", params.stratum, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *names), "rules"
     )
-    limits = common.stored(cutoffs(stats, labels.select("doc_id", "quality"), params), "cutoffs")
-    return apply_rules(stats, limits, params).select(
+    steps = common.stored(accepted_steps(stats, labels.select("doc_id", "quality"), params), "steps")
+    return apply_rules(stats, steps, params).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 

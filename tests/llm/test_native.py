@@ -123,6 +123,64 @@ def test_rules_bound_false_rejections(spark):
     assert quality_rules.quality_rules(docs.limit(0), labels).count() == 0
 
 
+def brute_kept(rows, labels, params):
+    """kept of every row, by the definitions: binomial tails summed as fractions of whole numbers, the path step by step."""
+    from math import comb
+
+    stats = {}
+    for i, t, lang in rows:
+        n, chars, symbols, dup, repeat = brute_stats(t)
+        lines = sum(1 for x in (t or "").split("\n") if WORD.search(x))
+        share = lambda a, b: a * 1000 // max(b, 1)
+        pm = {"symbol_pm": share(symbols, chars), "dup_line_pm": share(dup, lines), "repeat_pm": share(repeat, n), "short_word_pm": share(n, chars)}
+        pm |= {"upper_pm": share(len(re.findall("[A-Z]", t or "")), chars), "digit_pm": share(len(re.findall("[0-9]", t or "")), chars)}
+        stats[i] = (lang or "", n < 20 or 100 * repeat > 30 * n, pm)
+    good = {d for d, q in labels if q == 1} - {d for d, q in labels if q != 1}
+    strata = {}
+    for i in good & set(stats):
+        if not stats[i][1]:
+            strata.setdefault(stats[i][0], []).append(stats[i][2])
+    steps = [(r.name, sorted(r.grid, reverse=True)[k]) for k in range(8) for r in params.rules]
+    taken = {}
+    for lang, own in strata.items():
+        taken[lang] = []
+        for t in range(1, len(steps) + 1):
+            k, n = sum(any(pm[r] > c for r, c in steps[:t]) for pm in own), len(own)
+            if sum(comb(n, j) * params.alpha**j * (1 - params.alpha) ** (n - j) for j in range(k + 1)) > params.delta / len(strata):
+                break
+            taken[lang] = steps[:t]
+    return {i: not failed and not any(pm[r] > c for r, c in taken.get(lang, [])) for i, (lang, failed, pm) in stats.items()}
+
+
+def test_kept_matches_brute_force(spark):
+    rng = random.Random(11)
+    rows = []
+    for k in range(900):
+        lang = ("en", "de", None)[k % 9 % 3 if k % 9 < 4 else 0]
+        words = [rng.choice(["plain", "words", f"w{rng.randrange(900)}", "Upper", "x"]) + str(rng.randrange(99)) * (rng.random() < 0.05) for _ in range(rng.randrange(15, 60))]
+        if rng.random() < 0.1:
+            words += ["#|*"] * rng.randrange(1, 12)
+        rows.append((k, " ".join(words) + "\nsame line here" * rng.choice([0, 0, 0, 2, 3]), lang))
+    labels = [(k, int(rng.random() < 0.9)) for k in range(0, 900, 1)] + [(5, 0), (10_000, 1), (None, 1)]
+    params = quality_rules.Params(alpha=0.08, delta=0.2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(docs, spark.createDataFrame(labels, "doc_id long, quality int"), params).collect()}
+    want = brute_kept(rows, labels, params)
+    assert got == want
+    # Some rule rejects more than the base rules in the large stratum, and a stratum of few rows has no cutoff.
+    base = {i for i, t, _ in rows if brute_stats(t)[0] < 20 or 100 * brute_stats(t)[4] > 30 * brute_stats(t)[0]}
+    assert any(not k for i, k in got.items() if i not in base)
+
+
+def test_rules_leave_other_columns_alone(spark):
+    docs = spark.createDataFrame([(1, "some words here", "mine", 4, 5, "q")], "doc_id long, text string, `_w` string, `w` int, n_lines int, `a.b` string")
+    row = quality_rules.statistics(docs).collect()[0].asDict()
+    assert (row["_w"], row["w"], row["n_lines"], row["a.b"], row["n_words"]) == ("mine", 4, 5, "q", 3)
+    long = "word " * 300_000 + "\n" + "one two three four five six seven eight " * 2
+    row = quality_rules.statistics(spark.createDataFrame([(1, long)], "doc_id long, text string")).collect()[0]
+    assert (row.n_words, row.n_dup_lines) == (300_016, 0)
+
+
 def test_chat_collapse(spark):
     def conv(c, *turns):
         return [(c, n, role, text) for n, (role, text) in enumerate(turns)]
