@@ -75,6 +75,14 @@ def removed(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(columns: Iterable[str], name: str) -> str:
+    """The name, or a longer one if a column has it already (names differ by more than case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_bytes(col: str = "text") -> Column:
     """The text as UTF-8 bytes, null as empty."""
     return F.coalesce(F.col(col), F.lit("")).cast("binary")

@@ -5,17 +5,21 @@ document streams through it once, and the state tells the longest match that end
 words, or of a whole item that is shorter, makes its words hit. Stretches of words too short for a match, since the words
 around them are in no item, never reach the automaton.
 
-The items are sent to every task only up to `block_bytes` at a time; a larger benchmark is dealt into blocks, each with
-an automaton of its own, and the documents pass one block after the other, adding spans.
+The items are sent to every task only up to `block_bytes` of text at a time, whose automaton takes about 125 times that
+much memory while the driver builds it and 33 times in a task (measured on a megabyte of random words); a larger benchmark is dealt into blocks, each with an
+automaton of its own, and the documents pass one block after the other, adding spans. What one pass gives is written
+before the next one reads it, so that no worker holds two automata. An item is never divided.
 
 Defined cases: a null or empty text has no words and is never contaminated; null or empty items match nothing; a null
 item_id counts as the empty text; items with equal ids count once; repeated rows are judged alike; with an empty
-benchmark nothing is hit. Columns of the input that are called like an added one are replaced.
+benchmark nothing is hit; an empty table gives no rows; a very long text is streamed like any other, in memory that its
+words need. `scan` replaces columns of docs that are called like an added one; `decontaminate` leaves all as they are.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -28,7 +32,8 @@ from pyspark.sql import types as T
 from . import common
 
 WINDOW = 13
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 1 << 20
+_NONE: tuple = ()
 
 #: Byte by byte: letters to lower case, everything that is in no word to a space.
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -66,12 +71,23 @@ class SuffixAutomaton:
         for k, (_, seq) in enumerate(items):
             self._mark(k, seq)
         order = sorted(range(1, len(self.size)), key=self.size.__getitem__)
+        # Items are looked up at states of `window` words or more only.
         for v in reversed(order):
-            if self.link[v] > 0:
+            if self.size[self.link[v]] >= window:
                 self.own[self.link[v]] |= self.own[v]
         for v in order:
-            if self.link[v] > 0:
+            if self.link[v] > 0 and self.whole[self.link[v]]:
                 self.whole[v] = self.whole[v] + self.whole[self.link[v]]
+        # Most states lead to one other and belong to no item: small forms, and shared ones for what is empty.
+        self.own = [tuple(s) if s and n >= window else _NONE for s, n in zip(self.own, self.size, strict=True)]
+        self.whole = [tuple(w) if w else _NONE for w in self.whole]
+        self.size, self.link = array("i", self.size), array("i", self.link)
+        self.word, self.next = array("i", [-1] * len(self.size)), array("i", [0] * len(self.size))
+        for v, step in enumerate(self.step):
+            if len(step) == 1:
+                ((self.word[v], self.next[v]),) = step.items()
+        self.branch = {v: step for v, step in enumerate(self.step) if len(step) > 1}
+        del self.step
 
     def _state(self, size: int, step: dict[int, int], link: int) -> int:
         self.step.append(step)
@@ -115,14 +131,18 @@ class SuffixAutomaton:
     def matches(self, seq: Sequence[int]) -> Iterator[tuple[int, int, set[int]]]:
         """For each place with a match: first word, place behind the last one, items."""
         v, size, least = 0, 0, self.window
+        only, after, branch = self.word, self.next, self.branch
         for at, word in enumerate(seq, 1):
-            while v and word not in self.step[v]:
+            while True:
+                to = after[v] if only[v] == word else branch[v].get(word) if v in branch else None
+                if to is not None:
+                    v, size = to, size + 1
+                    break
+                if not v:
+                    size = 0
+                    break
                 v = self.link[v]
                 size = self.size[v]
-            if word in self.step[v]:
-                v, size = self.step[v][word], size + 1
-            else:
-                v, size = 0, 0
             found: set[int] = set()
             longest = 0
             if size >= least:
@@ -184,17 +204,18 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _pass(docs: DataFrame, block: Sequence[tuple[str, bytes]], window: int, text: str, first: bool) -> DataFrame:
     detector = docs.sparkSession.sparkContext.broadcast(Detector.of(block, window))
     names = [n for n in docs.columns if n not in ADDED.names]
-    lean = docs.select(*[f"`{n}`" for n in docs.columns], common.text_bytes(f"`{text}`").alias("__bytes"))
+    raw = common.fresh([*docs.columns, *ADDED.names], "bytes")
+    lean = docs.select(*[f"`{n}`" for n in docs.columns], common.text_bytes(f"`{text}`").alias(raw))
     schema = T.StructType([docs.schema[n] for n in names] + ADDED.fields)
     types = {"items": pa.list_(pa.string()), "spans": pa.list_(pa.struct([("b", pa.int32()), ("e", pa.int32())]))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.release()
         scan = detector.value.scan
-        for batch in common.slices(batches, "__bytes"):
+        for batch in common.slices(batches, raw):
             n_words, n_hit, items, spans = [], [], [], []
             before = None if first else (batch.column("spans").to_pylist(), batch.column("items").to_pylist())
-            for k, body in enumerate(common.binary_list(batch.column("__bytes"))):
+            for k, body in enumerate(common.binary_list(batch.column(raw))):
                 tokens = words(body)
                 found, names_ = scan(tokens)
                 if before:
@@ -222,7 +243,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str
     for k in range(blocks):
         # At most about block_bytes reach the driver at a time.
         part = [(r["name"], bytes(r["body"])) for r in dealt.where(F.col("block") == k).collect()]
-        out = _pass(out, part, window, text, first=not k)
+        before, out = out, _pass(out, part, window, text, first=not k)
+        if k < blocks - 1:
+            out = common.stored(out, "scanned")
+            if k:
+                common.removed(before)
     return out
 
 
@@ -249,20 +274,21 @@ def cut(text: str | None, spans: Sequence) -> str | None:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "drop", min_words: int = WINDOW, **options) -> DataFrame:
     """mode "drop": without the contaminated documents. mode "cut": all documents, but spans of min_words words or more
     are cut out of the text, as are all spans of contaminated documents."""
-    found = scan(docs, benchmark, **options)
+    text = options.pop("text", "text")
+    # The columns of docs travel as one, so none can clash with the added ones.
+    found = scan(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{text}`").alias("text")), benchmark, **options)
     if mode == "drop":
-        return found.where(~contaminated()).select(*[f"`{c}`" for c in docs.columns if c not in ADDED.names])
-    text = options.get("text", "text")
-    names = [c for c in docs.columns if c not in ADDED.names]
-    schema = T.StructType([docs.schema[c] for c in names])
+        return found.where(~contaminated()).select("doc.*")
+    schema = T.StructType([found.schema["doc"], T.StructField("kept", T.StringType())])
     marked = found.withColumn("spans", F.when(contaminated(), F.col("spans")).otherwise(F.filter("spans", lambda s: s["e"] - s["b"] >= min_words)))
 
     def run(batches):
         for batch in batches:
-            texts = [cut(t, s) for t, s in zip(batch.column(text).to_pylist(), batch.column("spans").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else batch.column(c) for c in names], names=names)
+            texts = [cut(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(texts, pa.string())], names=["doc", "kept"])
 
-    return marked.select(*names, "spans").mapInArrow(run, schema)
+    out = marked.select("doc", "text", "spans").mapInArrow(run, schema)
+    return out.select(*[F.col("kept").alias(c) if c == text else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def items_digest(items) -> str:

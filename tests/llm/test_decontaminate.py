@@ -58,3 +58,16 @@ def test_modes_and_edges(spark):
     assert d.scan(docs, bench.limit(0)).where("n_hit > 0").count() == 0
     assert d.scan(docs.limit(0), bench).count() == 0
     assert d.items_digest(["1", "10"]) == hashlib.sha256(b"1,10").hexdigest()
+
+
+def test_clashing_columns_and_very_long_texts(spark):
+    item = " ".join(f"q{k}" for k in range(20))
+    long = "w " * 200_000 + item
+    rows = [(1, "x " + item, "a", 1, "s", b"1", 2), (2, long, "b", 2, "t", b"2", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, items string, n_hit int, spans string, bytes binary, doc int")
+    bench = spark.createDataFrame([(9, item)], "item_id long, text string")
+    (left,) = d.decontaminate(docs, bench).collect()
+    assert left.asDict() == {"doc_id": 2, "text": long, "items": "b", "n_hit": 2, "spans": "t", "bytes": b"2", "doc": 3}
+    cut = {r.doc_id: r for r in d.decontaminate(docs, bench, mode="cut").collect()}
+    assert (cut[1].text, cut[1]["items"], len(cut[2].text)) == ("x ", "a", 400_000)
+    assert d.scan(docs.drop("items", "n_hit", "spans"), bench).where("doc_id = 2").collect()[0].bytes == b"2"
