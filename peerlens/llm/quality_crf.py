@@ -5,12 +5,15 @@ before and after; neighbouring labels are tied by weights of their own. The forw
 probability of being good, and their mean, weighted by the lines' lengths, is the document's score.
 
 Training takes the labelled documents whose crc32(doc_id as text) mod 4 isn't 2, at most `TRAIN_DOCUMENTS` of them (those
-with the smallest hash of the id), and gives each line its document's label. Only these documents' features come to the
-driver, at most `TRAIN_LINES` lines of them. Labels, lang, source and doc_id are no features.
+with the smallest hash of the id), and gives each line its document's label. Of several rows with one doc_id the text of
+fewest lines, then the least one, is taken. In the order of doc_id, documents of at most `LONGEST` lines are taken until
+`TRAIN_LINES` lines are full; longer ones aren't trained on (they are scored like all others). Only the lines' features of
+these documents come to the driver. Labels, lang, source and doc_id are no features.
 
 Defined cases: a null or empty text counts as one empty line; a document with several labels counts as good only if all
 say so; without training rows every score is 0.5; with one class only, scores lean to it; repeated rows are scored each;
-an empty table gives no rows. Columns of the input that are called like an added one are replaced.
+an empty table gives no rows. A very long text is scored whole, in arrays of its lines' features. Columns of the input that
+are called like an added one are replaced, others pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from . import common
 
 TRAIN_DOCUMENTS = 8_000
 TRAIN_LINES = 200_000
+LONGEST = 20_000
 THRESHOLD = 0.7
 
 #: Kinds of bytes: 0 other signs, 1 small letters and bytes of non-ASCII letters, 2 capitals, 3 digits, 4 white space, 5 stops and commas, 6 symbols, 7 exclamation marks.
@@ -178,7 +182,19 @@ def train(docs: DataFrame, labels: DataFrame) -> Field | None:
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")).where(~held_out())
     # The ids alone pick the sample, so no text is sorted.
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCUMENTS)
-    lean = docs.select("doc_id", common.text_bytes().alias("body")).join(F.broadcast(chosen), "doc_id").select("doc_id", "body", "quality")
+    body = common.text_bytes()
+    lines = (F.length(body) - F.length(F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("\n"), F.lit("")).cast("binary")) + 1).alias("n")
+    found = docs.select("doc_id", lines, body.alias("body")).where(F.col("n") <= LONGEST).join(F.broadcast(chosen), "doc_id")
+    # One row for each of the sample's ids, written, as its numbers of lines come to the driver first.
+    lean = common.stored(found.groupBy("doc_id", "quality").agg(F.min(F.struct("n", "body")).alias("b")).select("doc_id", "quality", "b.n", "b.body"), "sample")
+    taken, total = [], 0
+    for r in lean.select("doc_id", "n").orderBy("doc_id").collect():
+        if total + r["n"] <= TRAIN_LINES:
+            taken.append(r["doc_id"])
+            total += r["n"]
+    if not taken:
+        return None
+    own_ids = docs.sparkSession.createDataFrame([(d,) for d in taken], T.StructType([docs.schema["doc_id"]]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "body", 1 << 20):
@@ -187,14 +203,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Field | None:
             raw = [own[e - c : e].astype("<f4").tobytes() for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("quality"), pa.array(counts), pa.array(raw, pa.binary())], names=["doc_id", "quality", "n", "raw"])
 
-    found = lean.mapInArrow(run, "doc_id long, quality int, n long, raw binary")
-    rows, lines = [], 0
-    for r in sorted(found.where(F.col("n") <= TRAIN_LINES // 10).collect(), key=lambda r: (r["doc_id"], r["n"], r["raw"])):
-        if lines + r["n"] <= TRAIN_LINES:
-            rows.append(r)
-            lines += r["n"]
-    if not rows:
-        return None
+    found = lean.join(F.broadcast(own_ids), "doc_id").select("doc_id", "quality", "body").mapInArrow(run, "doc_id long, quality int, n long, raw binary")
+    rows = sorted(found.collect(), key=lambda r: r["doc_id"])
     counts = np.array([r["n"] for r in rows])
     own = np.frombuffer(b"".join(r["raw"] for r in rows), "<f4").reshape(-1, OWN).astype(np.float64)
     return fit(with_neighbours(own, counts), counts, np.repeat([r["quality"] for r in rows], counts).astype(np.int64))
@@ -206,12 +216,13 @@ ADDED = ("score", "predicted")
 def classify(docs: DataFrame, field: Field | None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with score and predicted."""
     names = [c for c in docs.columns if c not in ADDED]
+    raw = common.fresh([*docs.columns, *ADDED], "body")
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.release()
-        for batch in common.slices(batches, "__body", 1 << 20):
-            own, sizes, counts = line_features(common.binary_list(batch.column("__body")))
+        for batch in common.slices(batches, raw, 1 << 20):
+            own, sizes, counts = line_features(common.binary_list(batch.column(raw)))
             if field is None:
                 score = np.full(len(counts), 0.5)
             else:
@@ -222,7 +233,7 @@ def classify(docs: DataFrame, field: Field | None, text: str = "text", threshold
             added = [pa.array(score), pa.array((score >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + added, names=[*names, *ADDED])
 
-    return docs.select(*[f"`{c}`" for c in names], common.text_bytes(f"`{text}`").alias("__body")).mapInArrow(run, schema)
+    return docs.select(*[f"`{c}`" for c in names], common.text_bytes(f"`{text}`").alias(raw)).mapInArrow(run, schema)
 
 
 def op5_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,3 +63,15 @@ def test_odd_rows(spark):
         assert len(out) == 4 and all(0 <= r.score <= 1 for r in out)
     assert q.train(docs.limit(0), labels) is None
     assert q.classify(docs.limit(0), None).count() == 0
+
+
+def test_samples_long_texts_and_other_columns(spark, monkeypatch):
+    """Longer texts than the limit and further rows of an id aren't trained on; all are scored, other columns stay."""
+    monkeypatch.setattr(q, "LONGEST", 50)
+    rows = [(k, "A plain line of words.\nAnother one here.", "c") for k in range(40)] + [(100 + k, "### $$$ !!!\n!!! ???", "d") for k in range(40)]
+    rows += [(k, "### $$$ !!!\n" * 60, "long") for k in range(40)] + [(7, "A plain line of words.\nAnother one here.\nAnd more", "again"), (500, "words and more words.\n" * 30_000, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, body string")
+    labels = spark.createDataFrame([(r[0], int(r[0] < 100)) for r in rows[:80]], "doc_id long, quality int")
+    out = q.classify(docs, q.train(docs, labels)).collect()
+    assert len(out) == len(rows) and {r.body for r in out} == {"c", "d", "long", "again", "e"}
+    assert min(r.score for r in out if r.body == "c") > max(r.score for r in out if r.body in ("d", "long"))
