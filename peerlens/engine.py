@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import entities
-from .operators import bm25, decisions, dedup, facts, graph, scores, sections
-from .plans import patterns, qa
-from .plans.provider import Provider
+from .functions import entities, text
+from .operators import bm25, dedup, facts, graph, scores, sections
+from .plans import patterns, peers, qa
+from .plans.provider import Provider, judged_passes
 from .sources import filings, tables
 from .streaming import steps
 
@@ -81,7 +82,7 @@ class Engine:
         leaves = parsed.where("leaf").withColumn("place", F.struct("doc", "pos"))
         asked = self.spark.createDataFrame([(q, q.split(), k) for k, q in enumerate(relation.queries)], "query string, tokens array<string>, ord int")
         corpus = leaves.select("place", F.split(F.lower("title"), " ").alias("tokens"))
-        found = bm25.greedy(bm25.scores(corpus, asked, doc="place"), asked)
+        found = bm25.found_or_fail(bm25.greedy(bm25.scores(corpus, asked, doc="place"), asked), kind)
         pages = leaves.join(found.select(F.col("doc").alias("place")), "place").select("doc", F.col("title").alias("section_title"), F.explode("pages").alias("page"))
         pages = pages.select("doc", "section_title", F.col("page.page_number").alias("source_page"), F.col("page.content").alias("content"))
         prompts = pages.select(F.lit(state["job_id"]).alias("job_id"), F.lit(kind).alias("phase"), F.col("source_page").alias("idx"), F.col("content").alias("prompt"), "doc", "source_page")
@@ -93,13 +94,64 @@ class Engine:
         accepted = facts.accepted_peers(metrics, risks.join(found.select("cik", "seq"), "cik"), most)
         return found.drop("seq").join(accepted, "cik")
 
+    def _kept(self, job: str) -> Callable[[DataFrame, str], DataFrame]:
+        def keep(df: DataFrame, label: str) -> DataFrame:
+            path = self._path(job, "stages", label)
+            tables.write_stage(df, path)
+            return self.spark.read.schema(df.schema).parquet(path)
+
+        return keep
+
     def metric_decisions(self, rows: DataFrame, job: str) -> DataFrame:
-        """All passes over a company's metrics, each with the provider's decisions."""
-        by_phase = {}
-        for phase in ("1b", "1", "1c", "2a", "2b"):
-            prompts = rows.select(F.lit(job).alias("job_id"), F.lit(phase).alias("phase"), "idx", F.col("name").alias("prompt"))
-            by_phase[phase] = decisions.parse(self.provider.replies(prompts).select("reply"))
-        return decisions.metric_passes(dedup.metrics(rows.withColumn("seq", F.col("idx"))).drop("seq"), by_phase)
+        """All passes over a company's metrics, each with the provider's decisions on what the pass before left, in batches
+        by chunk, category or number. Every pass is kept below the job."""
+        once = dedup.metrics(rows.withColumn("seq", F.col("idx"))).drop("seq").withColumn("job_id", F.lit(job))
+        return judged_passes(once, self.provider, keep=self._kept(job)).drop("job_id")
+
+    def pipeline(self, hits: Callable[[dict], DataFrame], texts: Callable[[dict], DataFrame], reported: Callable[[dict], DataFrame], taxonomy: DataFrame) -> dict[int, Callable[[dict], dict]]:
+        """The five steps for run(). The callables give, for a state, what services hold: search hits, filings (cik,
+        company, text) and company facts."""
+
+        def target(state: dict) -> dict:
+            job = state["job_id"]
+            found = self.extract(state, "HAS_METRIC").withColumn("idx", F.col("seq").cast("int")).withColumn("chunk", text.chunk_id(F.col("chunk_text")))
+            tables.write_stage(self.metric_decisions(found, job), self._path(job, "metrics"))
+            tables.write_stage(dedup.risks(self.extract(state, "FACES_RISK")), self._path(job, "risks"))
+            return {}
+
+        def load(state: dict) -> dict:
+            job = state["job_id"]
+            name = F.lit(state["main_company"])
+            own = graph.target_metrics(self.spark.read.parquet(self._path(job, "metrics"))).withColumn("company", name).withColumn("job_id", F.lit(job))
+            tables.write_stage(graph.citation_ids(own, "TARGET_M", ["idx"], ["job_id"]), self._path(job, "target_metrics"))
+            risks = self.spark.read.parquet(self._path(job, "risks")).withColumn("company", name).withColumn("job_id", F.lit(job))
+            tables.write_stage(graph.citation_ids(risks, "TARGET_R", ["seq"], ["job_id"]), self._path(job, "target_risks"))
+            return {}
+
+        def find_peers(state: dict) -> dict:
+            job = state["job_id"]
+            target_ = self.spark.createDataFrame([(state["main_company"],)], "name string")
+            wanted = self.spark.read.parquet(self._path(job, "target_metrics")).select("metric_type", "gaap_concept")
+            matched = self._kept(job)(peers.matched_facts(wanted, taxonomy, reported(state), state["fiscal_year"]), "matched")
+            filed = self._kept(job)(peers.risk_texts(texts(state)), "risk_texts")
+            chosen = self.peers(hits(state), target_, matched.select("cik"), filed.select("cik", "risk_count", "words"))
+            tables.write_stage(chosen, self._path(job, "peers"))
+            return {"sic_codes": state["sic_codes"]}
+
+        def load_peers(state: dict) -> dict:
+            job = state["job_id"]
+            chosen = self.spark.read.parquet(self._path(job, "peers")).select("cik", "name")
+            kept = lambda label: self.spark.read.parquet(self._path(job, "stages", label))
+            category = self.spark.read.parquet(self._path(job, "target_metrics")).select("metric_type", "category")
+            nodes = graph.peer_metrics(kept("matched").join(chosen.withColumnRenamed("name", "company"), "cik"), category).withColumn("job_id", F.lit(job))
+            tables.write_stage(graph.citation_ids(nodes, "PEER_M", ["cik", "metric_type", "end"], ["job_id"]), self._path(job, "peer_metrics"))
+            batches = peers.risk_batches(kept("risk_texts").join(chosen.select("cik"), "cik", "left_semi"))
+            tables.write_stage(peers.structured_risks(batches, self.provider, job), self._path(job, "peer_risks"))
+            edges = graph.competes_with(chosen, self.spark.createDataFrame([(state["main_company"],)], "name string"))
+            tables.write_stage(edges, self._path(job, "edges"))
+            return {}
+
+        return {1: self.parse, 2: target, 3: load, 4: find_peers, 5: load_peers}
 
     # Questions and scores
 
@@ -107,6 +159,27 @@ class Engine:
         rows = qa.deduplicated(patterns.ask(g, question))
         return {"rows": rows, "context": qa.context(rows), "citations": qa.citation_map(rows)}
 
+    def answer(self, g: patterns.Graph, question: patterns.Question, asked: str, job: str) -> dict[str, DataFrame]:
+        """Rows, citations, the answer and the trace of its reasoning (one row each), all kept below the job."""
+        rows = self._kept(job)(qa.deduplicated(patterns.ask(g, question)), "rows")
+
+        def said(phase: str, head: str, context: DataFrame) -> DataFrame:
+            prompt = F.concat(F.lit(f"{head}\nCompany: {question.target}\nQuestion: {asked}\n\n"), F.coalesce("context", F.lit("[]")))
+            prompts = context.select(F.lit(job).alias("job_id"), F.lit(phase).alias("phase"), F.lit(0).alias("idx"), prompt.alias("prompt"))
+            return self._kept(job)(self.provider.replies(prompts).select("reply"), phase)
+
+        answer = said("answer", "Answer from these rows and cite them as [CITE:id].", qa.context(rows)).select(text.without_thinking(F.col("reply")).alias("answer"))
+        trace = said("reasoning", "Lay out step by step how these rows lead to the answer.", qa.context(rows, qa.REASONING_ROWS, whole=True)).select(text.reasoning_trace(F.col("reply")).alias("reasoning"))
+        clean = qa.cleaned(rows)
+        extraction = clean.agg(F.count("*").alias("record_count"), F.to_json(F.collect_list(F.struct(*clean.columns))).alias("results")).select(F.lit(asked).alias("question"), "record_count", "results")
+        tables.write_answer(self._path(job, "answer"), extraction, answer, trace)
+        return {"rows": rows, "citations": qa.citation_map(rows), "answer": answer, "reasoning": trace}
+
+    def free(self, g: patterns.Graph, question: str, target: str, write: Callable[[str], str], tries: int = 2) -> tuple[str, DataFrame | None, str]:
+        """A query that a model writes (write gets the prompt), run read-only for one company and mended once after an error."""
+        prompt = f"Write one SQL query over the views {', '.join('graph_' + n for n in sorted(g))} for {target}: {question}"
+        return patterns.run_repaired(g, lambda error: write(prompt + (f"\nThe last attempt failed: {error}" if error else "")), target, tries)
+
     def companies(self, g: patterns.Graph) -> DataFrame:
         return patterns.companies(g)
 

@@ -47,8 +47,23 @@ def known_category(c: Column) -> Column:
     return F.when(c.isin(*KNOWN_CATEGORIES), c).otherwise("Other")
 
 
+def rounded(c: Column, places: int = 4) -> Column:
+    """To the nearest decimal by the exact value of the double, ties to the even digit. A double that is written with a 5
+    behind the last place is seldom exactly halfway; the exact product's sign tells on which side it lies."""
+    scale = 10 ** (places + 1)
+    half = F.rint(c * scale)
+    tie = (F.pmod(F.abs(half), F.lit(10)) == 5) & (c == half / scale)
+    # In two halves of its digits, whose products with the scale are exact, so the sign of the rest is, too.
+    wide = c * 134_217_729.0
+    high = wide - (wide - c)
+    side = (high * float(scale) - half) + (c - high) * float(scale)
+    down = F.floor(half / 10)
+    nearest = F.when(side > 0, down + 1).when(side < 0, down).otherwise(F.when(down % 2 == 0, down).otherwise(down + 1))
+    return F.when(tie, nearest / 10**places).otherwise(F.round(c, places))
+
+
 def in_millions(value: Column, unit: Column) -> Column:
-    return F.when(unit == "USD", F.round(value / 1_000_000, 4)).otherwise(value)
+    return F.when(unit == "USD", rounded(value / 1_000_000, 4)).otherwise(value)
 
 
 def scaled(value: Column, unit: Column) -> Column:

@@ -50,6 +50,13 @@ def top(scored: DataFrame, n: int, least: float) -> DataFrame:
     return first_of(scored.where(F.col("score") >= least), ["query"], [F.col("score").desc(), F.col("doc")], n)
 
 
+def found_or_fail(matched: DataFrame, what: str) -> DataFrame:
+    """Fails if no section fits a search."""
+    if matched.isEmpty():
+        raise LookupError(f"no section found for {what}")
+    return matched
+
+
 def greedy(scored: DataFrame, queries: DataFrame, least: float = SECTION_LEAST) -> DataFrame:
     """Queries in order (ord) each take their best document that none before took; query, doc, score, by score.
 

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 
 def first_of(df: DataFrame, keys: Sequence[Column | str], order: Sequence[Column | str], n: int = 1) -> DataFrame:
     """The first n rows of each key."""
+    if n == 1 and all(isinstance(c, str) for c in order):
+        # A minimum folds before the shuffle, so a key that very many rows have is one row of each task there.
+        named = [(F.col(k) if isinstance(k, str) else k).alias(f"_key{i}") for i, k in enumerate(keys)]
+        row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+        return df.groupBy(*named).agg(F.min_by(row, F.struct(*order)).alias("_row")).select("_row.*")
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
 
@@ -41,19 +46,32 @@ def rows(df: DataFrame, but: Sequence[str] = ("_strategy",), order: str = "seq")
 def nested(df: DataFrame, fields: Sequence[str], keys: Sequence[str], order: str, peer: str = "peer") -> DataFrame:
     """Drops items of list columns that an earlier row has already; fields that start with "peer" are compared within
     their peer only. An item's key is its first field of keys that isn't null; items without one stay."""
-    out = df
+    kind = "array<struct<field:string,space:string,key:string,pos:int>>"
+    lists = []
     for field in fields:
-        space = F.coalesce(F.col(peer), F.lit("")) if field.startswith("peer") else F.lit("")
         names = [f.name for f in df.schema[field].dataType.elementType.fields]
-        item_key = F.coalesce(*[F.col(f"item.{k}").cast("string") for k in keys if k in names])
-        items = df.select(order, space.alias("_space"), F.posexplode(field).alias("pos", "item")).withColumn("_key", item_key)
-        w = Window.partitionBy("_space", "_key").orderBy(order, "pos")
-        kept = items.withColumn("_n", F.row_number().over(w)).where(F.col("_key").isNull() | (F.col("_key") == "") | (F.col("_n") == 1))
-        again = kept.groupBy(order).agg(F.array_sort(F.collect_list(F.struct("pos", "item"))).alias("_items"))
-        lists = again.select(order, F.transform("_items", lambda x: x["item"]).alias("_new"))
-        empty = F.array().cast(df.schema[field].dataType)
-        out = out.join(lists, order, "left").withColumn(field, F.when(F.col(field).isNotNull(), F.coalesce("_new", empty))).drop("_new")
-    return out.select(*df.columns)
+        lists.append(F.coalesce(_item_keys(field, [k for k in keys if k in names], peer), F.array().cast(kind)))
+    if not lists:
+        return df
+    # The keys of all lists are exploded and ranked once; the items themselves stay in their row.
+    items = df.select(order, F.inline(F.concat(*lists))).where("key <> ''")
+    place = F.struct(order, "pos")
+    first = items.groupBy("field", "space", "key").agg(F.min(place).alias("first"))
+    again = items.join(first, ["field", "space", "key"]).where(place > F.col("first"))
+    out = df.join(again.groupBy(order).agg(F.collect_set(F.struct("field", "pos")).alias("_gone")), order, "left")
+    return out.withColumns({field: _not_gone(field) for field in fields}).select(*df.columns)
+
+
+def _item_keys(field: str, keys: Sequence[str], peer: str) -> Column:
+    space = F.coalesce(F.col(peer).cast("string"), F.lit("")) if field.startswith("peer") else F.lit("")
+    return F.transform(
+        field,
+        lambda x, i: F.struct(F.lit(field).alias("field"), space.alias("space"), F.coalesce(*[x[k].cast("string") for k in keys], F.lit("")).alias("key"), i.alias("pos")),
+    )
+
+
+def _not_gone(field: str) -> Column:
+    return F.filter(field, lambda _, i: ~F.coalesce(F.array_contains("_gone", F.struct(F.lit(field).alias("field"), i.alias("pos"))), F.lit(False)))
 
 
 def best_by(df: DataFrame, keys: Sequence[Column | str], score: Column, tie: str) -> DataFrame:

@@ -16,8 +16,10 @@ ANNUAL = ("10-K", "10-K/A")
 def explode_facts(docs: DataFrame) -> DataFrame:
     """From rows (cik, facts map of taxonomy to map of tag to its content): one row for each entry."""
     tags = docs.select("cik", F.explode("facts").alias("taxonomy", "tags")).select("cik", "taxonomy", F.explode("tags").alias("tag", "content"))
-    units = tags.select("cik", "taxonomy", "tag", F.col("content.label").alias("label"), F.col("content.description").alias("description"), F.explode("content.units").alias("unit", "entries"))
-    return units.select("cik", "taxonomy", "tag", "label", "description", "unit", F.inline("entries"))
+    content = [F.col("content.label").alias("label"), F.col("content.description").alias("description")]
+    # A map read from JSON keeps the order of the document.
+    units = tags.select("cik", "taxonomy", "tag", *content, F.posexplode("content.units").alias("unit_ord", "unit", "entries"))
+    return units.select("cik", "taxonomy", "tag", "label", "description", "unit", "unit_ord", F.inline("entries"))
 
 
 def in_fiscal_year(facts: DataFrame, fy: Column | int) -> DataFrame:
@@ -39,10 +41,12 @@ def preferred_taxonomy(facts: DataFrame, keys: list[str]) -> DataFrame:
     return known.withColumn("_best", F.min("_place").over(w)).where("_place = _best").drop("_place", "_best")
 
 
-def preferred_unit(facts: DataFrame, keys: list[str], unit: str = "USD") -> DataFrame:
-    """All rows in the wanted unit, else in the first other one by name."""
+def preferred_unit(facts: DataFrame, keys: list[str], unit: str = "USD", order: str = "unit_ord") -> DataFrame:
+    """All rows in the wanted unit, else in the first other one: by the order of the document, where facts have that
+    column, then by name."""
     w = Window.partitionBy(*keys)
-    rank = F.struct((F.col("unit") != unit).alias("other"), F.col("unit").alias("name"))
+    first = [F.col(order).alias("ord")] if order in facts.columns else []
+    rank = F.struct((F.col("unit") != unit).alias("other"), *first, F.col("unit").alias("name"))
     return facts.withColumn("_best", F.min(rank).over(w)).where(F.col("unit") == F.col("_best.name")).drop("_best")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers
@@ -22,14 +22,33 @@ def upsert_nodes(old: DataFrame, new: DataFrame, keys: Sequence[str], seq: str =
     return both.select(*keys, *cols, *[c for c in old.columns if c not in {*keys, *props}])
 
 
-def upsert_edges(old: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges whose two ends exist (nodes: label, key); equal ones once, the last properties counting."""
+def stamped(old: DataFrame, new: DataFrame, keys: Sequence[str], at: Column, seq: str = "seq") -> DataFrame:
+    """upsert_nodes with created_at, set when a node is made, and updated_at, set when a later write finds it."""
+    out = upsert_nodes(old, new.withColumn("created_at", at), keys, seq, on_create=("created_at",))
+    found = old.select(*keys).join(new.select(*keys).distinct(), list(keys), "left_semi").withColumn("_found", F.lit(True))
+    before = F.col("updated_at") if "updated_at" in old.columns else F.lit(None)
+    return out.join(found, list(keys), "left").withColumn("updated_at", F.when(F.col("_found"), at).otherwise(before)).drop("_found")
+
+
+def upsert_edges(old: DataFrame, new: DataFrame, nodes: DataFrame, seq: str = "seq") -> DataFrame:
+    """Edges whose two ends exist (nodes: label, key); equal ones once, the properties of the last write by seq counting
+    (all writes without that column count as one, and the largest properties by name count)."""
     ends = nodes.select("label", "key").distinct()
     ok = new.join(ends, (F.col("src_label") == F.col("label")) & (F.col("src") == F.col("key")), "left_semi")
     ok = ok.join(ends, (F.col("dst_label") == F.col("label")) & (F.col("dst") == F.col("key")), "left_semi")
-    every = old.withColumn("_new", F.lit(0)).unionByName(ok.withColumn("_new", F.lit(1)))
-    w = Window.partitionBy("src_label", "src", "rel", "dst_label", "dst").orderBy(F.desc("_new"))
-    return every.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_new")
+    written = F.col(seq).cast("long") if seq in new.columns else F.lit(0).cast("long")
+    key = ["src_label", "src", "rel", "dst_label", "dst"]
+    place = lambda step, at: F.struct(F.lit(step).alias("step"), at.alias("at"), F.to_json("props").alias("tie")).alias("_place")
+    every = old.select(*key, "props", place(0, F.lit(0).cast("long"))).unionByName(ok.select(*key, "props", place(1, written)))
+    return every.groupBy(*key).agg(F.max_by("props", "_place").alias("props"))
+
+
+def sic_edges(industries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (label, key, code, industry, sector) and edges HAS_SIC_CODE of industries (industry, sic) whose sic is given."""
+    given = industries.where(F.col("sic").isNotNull())
+    nodes = given.select(F.lit("SICCode").alias("label"), F.col("sic.code").alias("key"), "sic.*").dropDuplicates(["key"])
+    edges = given.select(F.lit("Industry").alias("src_label"), F.col("industry").alias("src"), F.lit("HAS_SIC_CODE").alias("rel"), F.lit("SICCode").alias("dst_label"), F.col("sic.code").alias("dst"))
+    return nodes, edges.distinct().withColumn("props", F.create_map().cast("map<string,string>"))
 
 
 def dropped_edges(new: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -68,8 +87,9 @@ def target_metrics(entities: DataFrame) -> DataFrame:
 
 
 def peer_metrics(facts: DataFrame, category_of: DataFrame) -> DataFrame:
-    """Peers' facts as nodes: dollars in millions, the category from the target's metric of that type."""
-    joined = facts.join(category_of.select("metric_type", F.col("category").alias("_category")), "metric_type", "left")
+    """Peers' facts as nodes: dollars in millions, the category from the target's metric of that type (the first by name,
+    if its metrics of one type have several)."""
+    joined = facts.join(category_of.groupBy("metric_type").agg(F.min("category").alias("_category")), "metric_type", "left")
     return joined.withColumns(
         {
             "value": numbers.in_millions(F.col("val"), F.col("unit")),
@@ -105,8 +125,10 @@ def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.unionByName(e).select("kind", "name", F.col("count").alias("n")).orderBy("kind", F.desc("n"), "name")
 
 
-def citation_ids(df: DataFrame, prefix: str, order: Sequence[str], job: Sequence[str] = ()) -> DataFrame:
+def citation_ids(df: DataFrame, prefix: str, order: Sequence[str], job: Sequence[str]) -> DataFrame:
     """citation_id: the prefix and a running number of four digits, within each job."""
+    if not job:
+        raise ValueError("citations are numbered within jobs; name the columns that tell them apart")
     w = Window.partitionBy(*job).orderBy(*order)
     return df.withColumn("citation_id", F.format_string(f"{prefix}%04d", F.row_number().over(w)))
 

@@ -19,29 +19,37 @@ LEVELS = 6
 def headed(docs: DataFrame, doc: str = "doc", body: str = "text") -> DataFrame:
     """doc, pos, title, level, raw of every section. A text without headings is one section named Document; what stands
     before the first heading belongs to none."""
-    whole = F.coalesce(F.col(body), F.lit(""))
-    lines = docs.select(F.col(doc).alias("doc"), F.posexplode(F.split(whole, "\n")).alias("line", "text"), whole.rlike(r"(?m)" + HEADING).alias("has"))
-    mark = F.col("text").rlike(HEADING)
-    w = Window.partitionBy("doc").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = lines.withColumn("pos", F.when(F.col("has"), F.count_if(mark).over(w) - 1).otherwise(0)).where("pos >= 0")
-    parts = numbered.groupBy("doc", "pos", "has").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("lines"))
-    first = F.get("lines", F.lit(0))["text"]
-    rest = F.when(F.col("has"), F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).otherwise(F.col("lines"))
-    return parts.select(
-        "doc",
-        F.col("pos").cast("int").alias("pos"),
-        F.when(F.col("has"), text.strip(F.regexp_extract(first, HEADING, 2))).otherwise("Document").alias("title"),
-        F.when(F.col("has"), F.length(F.regexp_extract(first, HEADING, 1))).otherwise(1).alias("level"),
-        text.strip(F.array_join(F.transform(rest, lambda x: x["text"]), "\n")).alias("raw"),
-    )
+    lines = F.split(F.coalesce(F.col(body), F.lit("")), "\n")
+    cut = docs.select(F.col(doc).alias("doc"), lines.alias("lines"))
+    heads = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(HEADING), i)), lambda i: i.isNotNull())
+    found = cut.withColumn("heads", heads)
+    none = F.size("heads") == 0
+
+    def section(at: Column, pos: Column) -> Column:
+        title = F.get(F.col("lines"), at)
+        end = F.coalesce(F.get(F.col("heads"), pos + 1), F.size("lines"))
+        return F.struct(
+            pos.alias("pos"),
+            text.strip(F.regexp_extract(title, HEADING, 2)).alias("title"),
+            F.length(F.regexp_extract(title, HEADING, 1)).alias("level"),
+            text.strip(F.array_join(F.slice("lines", at + 2, end - at - 1), "\n")).alias("raw"),
+        )
+
+    whole = F.array(F.struct(F.lit(0).alias("pos"), F.lit("Document").alias("title"), F.lit(1).alias("level"), text.strip(F.array_join("lines", "\n")).alias("raw")))
+    # All of it happens in the document's row, so nothing is shuffled.
+    return found.select("doc", F.inline(F.when(none, whole).otherwise(F.transform("heads", section))))
 
 
 def with_parents(sections: DataFrame) -> DataFrame:
-    """parent: the nearest section before with a lower level, null at the top; leaf: whether it has no subsection."""
+    """parent: the nearest section before with a lower level, null at the top; above: all that it lies in, the parent
+    first; leaf: whether it has no subsection."""
     w = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    lower = [F.when(F.lit(k) < F.col("level"), F.max(F.when(F.col("level") == k, F.col("pos"))).over(w)) for k in range(1, LEVELS)]
+    last = [F.when(F.lit(k) < F.col("level"), F.max(F.when(F.col("level") == k, F.col("pos"))).over(w)) for k in range(1, LEVELS)]
+    # The last section of a level is above this one unless one of a lower level came after it.
+    held = [x if not k else F.when(F.coalesce(F.greatest(F.lit(-1), *last[:k]) < x, F.lit(False)), x) for k, x in enumerate(last)]
     after = F.lead("level").over(Window.partitionBy("doc").orderBy("pos"))
-    return sections.withColumn("parent", F.greatest(*lower)).withColumn("leaf", F.coalesce(after <= F.col("level"), F.lit(True)))
+    out = sections.withColumns({"parent": F.greatest(*last), "above": F.sort_array(F.filter(F.array(*held), lambda p: p.isNotNull()), asc=False)})
+    return out.withColumn("leaf", F.coalesce(after <= F.col("level"), F.lit(True)))
 
 
 def with_pages(sections: DataFrame) -> DataFrame:
@@ -68,21 +76,9 @@ def with_pages(sections: DataFrame) -> DataFrame:
 
 
 def rolled_up(sections: DataFrame) -> DataFrame:
-    """word_count and text_length of inner sections: the sums over the leaves below them, as paths of ancestors."""
-    tree = sections.select("doc", "pos", "parent", "level")
-    pairs = tree.select("doc", F.col("pos").alias("leaf_pos"), F.col("parent").alias("above"))
-    ancestors = pairs
-    for _ in range(LEVELS - 2):
-        up = tree.select(F.col("doc").alias("d"), F.col("pos").alias("p"), F.col("parent").alias("next"))
-        further = pairs.join(up, (F.col("doc") == F.col("d")) & (F.col("above") == F.col("p"))).select("doc", "leaf_pos", F.col("next").alias("above"))
-        pairs = further.where("above is not null")
-        ancestors = ancestors.unionByName(pairs)
-    sums = (
-        ancestors.where("above is not null")
-        .join(sections.where("leaf").select("doc", F.col("pos").alias("leaf_pos"), "word_count", "text_length"), ["doc", "leaf_pos"])
-        .groupBy("doc", F.col("above").alias("pos"))
-        .agg(F.sum("word_count").alias("_words"), F.sum("text_length").alias("_chars"))
-    )
+    """word_count and text_length of inner sections: the sums over the leaves below them."""
+    leaves = sections.where("leaf").select("doc", F.explode("above").alias("pos"), "word_count", "text_length")
+    sums = leaves.groupBy("doc", "pos").agg(F.sum("word_count").alias("_words"), F.sum("text_length").alias("_chars"))
     joined = sections.join(sums, ["doc", "pos"], "left")
     return joined.withColumns({"word_count": F.coalesce("word_count", "_words", F.lit(0)).cast("long"), "text_length": F.coalesce("text_length", "_chars", F.lit(0)).cast("long")}).drop("_words", "_chars")
 
@@ -97,7 +93,7 @@ def first_pages(sections: DataFrame, n: int = 4) -> DataFrame:
     w = Window.partitionBy("doc").orderBy("pos", "i")
     top = pages.withColumn("n", F.row_number().over(w)).where(F.col("n") <= n)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.col("page.content").alias("c")))), lambda x: x["c"]), "\n\n")
-    return top.groupBy("doc").agg(joined.alias("text"))
+    return top.groupBy("doc").agg(joined.alias("text"), F.count("*").alias("n"))
 
 
 def company_name(reply: Column) -> Column:

@@ -6,8 +6,12 @@ seq), industries (company, industry), codes (industry, code).
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,15 +127,96 @@ def ask(graph: Graph, question: Question) -> DataFrame:
     return dedup.rows(out)
 
 
-def run_sql(graph: Graph, query: str, target: str, default_rows: int = ROWS["risks"], **args) -> DataFrame:
-    """Free SQL over the graph's views, read only: each view shows the target's part only where it has companies."""
-    spark = graph["targets"].sparkSession
-    views = {}
+#: Rows of a free query that names no limit, if it collects lists and if not.
+FREE_ROWS = {True: 20, False: 100}
+#: Nodes of which a plan that only reads consists, as the parser names them.
+_READS = frozenset(
+    "Project Aggregate Filter Sort Distinct Union Except Intersect Offset GlobalLimit LocalLimit SubqueryAlias UnresolvedWith UnresolvedRelation UnresolvedSubqueryColumnAliases UnresolvedHaving UnresolvedInlineTable OneRowRelation Join LateralJoin Generate WithWindowDefinition CTERelationDef Pivot Unpivot".split()
+)
+#: The columns by which each view is cut down to what concerns one target: its own rows or its peers'.
+_OWNERS = {"targets": "name", "peers": "name", "competes": "target", "risks": "company", "metrics": "company", "industries": "company"}
+
+
+class QueryRefused(ValueError):
+    pass
+
+
+def _plan_nodes(plan) -> list:
+    """All nodes of a parsed plan, those of its subqueries and named parts included."""
+    out, left = [], [plan]
+    while left:
+        node = left.pop()
+        out.append(node)
+        for group in (node.children(), node.innerChildren()):
+            left += [group.apply(i) for i in range(group.size())]
+    return out
+
+
+def checked_sql(spark, query: str, views: set[str]) -> None:
+    """Fails unless the query only reads, and only these views and what it names itself."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
+    nodes = _plan_nodes(plan)
+    kinds = {n.getClass().getSimpleName().rstrip("$") for n in nodes}
+    if not kinds <= _READS:
+        raise QueryRefused(f"only queries can be run, not {', '.join(sorted(kinds - _READS))}")
+    own = set()
+    for n in nodes:
+        if n.getClass().getSimpleName() == "UnresolvedWith":
+            pairs = n.cteRelations()
+            own |= {pairs.apply(i)._1().lower() for i in range(pairs.size())}
+    # Inside its own definition such a name would mean a table of the catalog.
+    taken = sorted(name for name in own if name in views or spark.catalog.tableExists(name))
+    named = {n.tableName().lower() for n in nodes if n.getClass().getSimpleName() == "UnresolvedRelation"}
+    if taken or not named <= views | own:
+        raise QueryRefused(f"no such view of the graph: {', '.join(taken or sorted(named - views - own))}")
+
+
+def isolated(graph: Graph, target: str) -> Graph:
+    """Every view with only the rows of the target and of its peers."""
+    peers = _peers(graph, target).select(F.col("peer").alias("_who"))
+    who = peers.unionByName(graph["targets"].where(F.col("name") == target).select(F.col("name").alias("_who"))).distinct()
+    out = {}
     for name, df in graph.items():
-        views[name] = df.where(F.col("name") == target) if name == "targets" else df
-    for name, df in views.items():
-        df.createOrReplaceTempView(f"graph_{name}")
-    lowered = query.strip().lower()
-    if not lowered.startswith(("select", "with")):
-        raise ValueError("only queries can be run")
-    return spark.sql(query, args=args or None).limit(default_rows)
+        owner = _OWNERS.get(name)
+        if name in ("targets", "competes"):
+            out[name] = df.where(F.col(owner) == target)
+        elif owner:
+            out[name] = df.join(who, F.col(owner) == F.col("_who"), "left_semi")
+        else:
+            out[name] = df
+    return out
+
+
+def run_sql(graph: Graph, query: str, target: str, **args) -> DataFrame:
+    """Free SQL over the graph's views (graph_risks etc.), for one target. It must only read; each view holds the rows of
+    the target and its peers only; without a limit of its own the result gets one. The views' names are those of one call,
+    so questions that run side by side don't see each other's."""
+    spark = graph["targets"].sparkSession
+    mark = uuid.uuid4().hex[:12]
+    text_ = query.strip().rstrip(";").strip()
+    checked_sql(spark, text_, {f"graph_{name}" for name in graph})
+    own = re.sub(r"(?i)\bgraph_(" + "|".join(sorted(graph)) + r")\b", lambda m: f"graph_{mark}_{m[1].lower()}", text_)
+    if not re.search(r"(?i)\blimit\b", own):
+        own += f"\nLIMIT {FREE_ROWS[bool(re.search(r'(?i)collect', own))]}"
+    names = {name: f"graph_{mark}_{name}" for name in graph}
+    try:
+        for name, df in isolated(graph, target).items():
+            df.createOrReplaceTempView(names[name])
+        return spark.sql(own, args=args or None)
+    finally:
+        # The plan has been resolved, so it doesn't need the names any more.
+        for name in names.values():
+            spark.catalog.dropTempView(name)
+
+
+def run_repaired(graph: Graph, write: Callable[[str], str], target: str, tries: int = 2) -> tuple[str, DataFrame | None, str]:
+    """Asks for a query (write gets the last error, empty at first) and runs it, with one more attempt after an error.
+    Gives the query, its rows (None if all attempts failed) and the last error."""
+    error, query = "", ""
+    for _ in range(tries):
+        query = write(error)
+        try:
+            return query, run_sql(graph, query, target), ""
+        except (AnalysisException, QueryRefused) as failed:
+            error = str(failed)
+    return query, None, error

@@ -84,7 +84,7 @@ def structured_risks(batches: DataFrame, provider: Provider, job: str) -> DataFr
     rows = replies.select("cik", "company", F.col("idx").alias("batch"), "paragraphs", F.posexplode(text.json_array(F.col("reply"), text.struct_of(entities.RISK))).alias("pos", "r")).select("cik", "company", "batch", "pos", "paragraphs", "r.*")
     valid = entities.valid_peer_risks(rows, "").withColumn("organization", F.when(F.col("organization") == "", F.col("company")).otherwise(F.col("organization")))
     placed = valid.withColumn("source_text", entities.source_paragraph(F.col("paragraphs"), F.col("source_index"))).drop("paragraphs", "source_index")
-    return graph.citation_ids(graph.risk_ids(placed, ["batch", "pos"]), "PEER_R", ["cik", "batch", "pos"])
+    return graph.citation_ids(graph.risk_ids(placed.withColumn("job_id", F.lit(job)), ["batch", "pos"]), "PEER_R", ["cik", "batch", "pos"], ["job_id"]).drop("job_id")
 
 
 def industry_codes(industries: DataFrame, codes: DataFrame) -> DataFrame:

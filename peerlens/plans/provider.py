@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -67,3 +67,41 @@ def numbered_prompt(head: str, item: Column, group: list[str], order: str, items
     line = F.concat(F.lit("["), F.col(order).cast("string"), F.lit("] "), item)
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("t")))), lambda x: x["t"]), "\n")
     return items.groupBy(*group).agg(F.concat(F.lit(head + "\n\n"), listed).alias("prompt"), F.count("*").cast("int").alias("n"))
+
+
+#: Items in a prompt of each phase, and what its prompts list together.
+BATCH = {"1b": 30, "1": 30, "1c": 50, "2a": 50, "2b": 50}
+GROUPS = {"1b": (), "1": ("chunk",), "1c": (), "2a": ("category",), "2b": ()}
+HEADS = {
+    "1b": "For each metric say whether it has a standard concept: KEEP, or REMOVE if there is none.",
+    "1": "These metrics come from one text. KEEP, REMOVE, FIX or MERGE each.",
+    "1c": "FIX the category of each metric that is in the wrong one.",
+    "2a": "These metrics are in one category. MERGE those that say the same.",
+    "2b": "These metrics of several categories report one value. MERGE those that say the same.",
+}
+
+
+def judged(rows: DataFrame, phase: str, provider: Provider, job: Sequence[str] = ("job_id",)) -> DataFrame:
+    """Decisions of one phase: prompts of so many items of a group each, and what their replies say."""
+    from ..operators import decisions
+
+    group = [*job, *GROUPS[phase]]
+    w = Window.partitionBy(*group).orderBy("idx")
+    dealt = rows.withColumn("_batch", F.floor((F.row_number().over(w) - 1) / BATCH[phase]).cast("int"))
+    item = F.concat_ws(" ", "name", F.concat(F.lit("= "), F.col("value").cast("string")), "unit", "category")
+    prompts = numbered_prompt(HEADS[phase], item, [*group, "_batch"], "idx", dealt)
+    # A prompt is named by its smallest idx.
+    asked = prompts.withColumns({"phase": F.lit(phase), "idx": F.regexp_extract("prompt", r"(?m)^\[(\d+)\]", 1).cast("int")})
+    return decisions.parse(provider.replies(asked).select(*job, "reply"), job=job)
+
+
+def judged_passes(rows: DataFrame, provider: Provider, job: Sequence[str] = ("job_id",), keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> DataFrame:
+    """All passes over metrics, each with the provider's decisions on what the pass before left. keep (table, label) writes
+    what is asked for twice, replies above all, and gives it back."""
+    from ..operators import decisions
+
+    out = rows
+    for phase, step in decisions.PHASES.items():
+        said = keep(judged(out, phase, provider, job), f"decisions-{phase}")
+        out = keep(step(out, said, job=job), f"metrics-{phase}")
+    return decisions.best_of_concept(out, job)

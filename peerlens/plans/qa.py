@@ -39,9 +39,10 @@ def deduplicated(rows: DataFrame, order: str = "seq") -> DataFrame:
     return dedup.nested(rows, [n for n, _, _ in LISTS if n in rows.columns], ITEM_KEYS, order)
 
 
-def context(rows: DataFrame, most: int = CONTEXT_ROWS, order: str = "seq") -> DataFrame:
-    """One row with the first rows as JSON."""
-    small = shortened(cleaned(rows.orderBy(order).limit(most)))
+def context(rows: DataFrame, most: int = CONTEXT_ROWS, order: str = "seq", whole: bool = False) -> DataFrame:
+    """One row with the first rows as JSON, long strings cut unless whole."""
+    small = cleaned(rows.orderBy(order).limit(most))
+    small = small if whole else shortened(small)
     body = F.to_json(F.array_sort(F.collect_list(F.struct(order, F.struct(*[c for c in small.columns if c != order]).alias("row")))), {"pretty": "true"})
     return small.agg(body.alias("context"))
 
@@ -74,6 +75,10 @@ def registry(rows: DataFrame) -> DataFrame:
     return items(rows).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").withColumn("summary", summary())
 
 
+def registry_counts(sources: DataFrame) -> DataFrame:
+    return sources.groupBy("type", "role").agg(F.count("*").alias("n"))
+
+
 def chunks(rows: DataFrame) -> DataFrame:
     """Sources to be judged: the first write counts, and of metrics also one for each company and concept."""
     first = Window.partitionBy("citation_id").orderBy("ord")

@@ -2,30 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import lenses as ln
 from .functions import numbers, text, tokens
 from .operators import bm25, claims, decisions, dedup, facts, graph, scores, sections
 from .plans import patterns, qa
+from .registry import ORACLE_SQL, QUERIES, query
 from .streaming import steps
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 # Graph questions
 
@@ -44,10 +31,10 @@ def peer_metrics_by_category(spark, sf):
 
 _RISKS = """WITH fit AS (SELECT source AS company, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents {where}),
 own AS (SELECT count(*) AS n, min(doc_id) AS first FROM fit WHERE company = 'src0' AND n <= 15 HAVING count(*) > 0),
-peers AS (SELECT 'src' || i AS peer FROM range(1, 6) t(i)),
+peers AS (SELECT DISTINCT source AS peer FROM documents WHERE source <> 'src0'),
 theirs AS (SELECT company, count(*) AS n, min(doc_id) AS first FROM fit WHERE n <= 10 GROUP BY 1)
 SELECT 'src0' AS target, own.n AS n_target, printf('R%06d', own.first) AS first_target, peer, coalesce(theirs.n, 0) AS n_peer, printf('R%06d', theirs.first) AS first_peer
-FROM own CROSS JOIN peers LEFT JOIN theirs ON theirs.company = peer"""
+FROM own CROSS JOIN peers LEFT JOIN theirs ON theirs.company = peer ORDER BY peer LIMIT 20"""
 
 
 def _flat_risks(out: DataFrame) -> DataFrame:
@@ -144,8 +131,8 @@ def exists_target_metrics(spark, sf):
     return ln.table(spark, sf, "supplier").select(F.col("s_name").alias("name")).join(ln.metrics(spark, sf).where("category = 'Other'").select("company"), F.col("name") == F.col("company"), "left_semi")
 
 
-@query("""WITH old AS (SELECT p_brand AS brand, p_type AS type, count(*) AS n FROM part WHERE p_partkey % 2 = 0 GROUP BY 1, 2),
-new AS (SELECT p_brand AS brand, p_type AS type, max(p_partkey) AS n FROM part WHERE p_partkey % 3 = 0 GROUP BY 1, 2)
+@query("""WITH old AS (SELECT p_brand AS brand, p_type AS type, count(*) AS n FROM part GROUP BY 1, 2),
+new AS (SELECT p_brand AS brand, p_type AS type, max(p_partkey) AS n FROM part GROUP BY 1, 2)
 SELECT coalesce(old.brand, new.brand) AS brand, coalesce(old.type, new.type) AS type, coalesce(new.n, old.n) AS n FROM old FULL JOIN new ON old.brand = new.brand AND old.type = new.type""")
 def metric_upsert_last_write(spark, sf):
     """Every part is in both batches: counted in the old one, a write of its own in the new one."""
@@ -157,7 +144,7 @@ def metric_upsert_last_write(spark, sf):
 
 @query("SELECT l_suppkey AS cik, count(*) AS n, CAST(sum(CAST(CASE WHEN l_linenumber % 4 = 0 THEN l_extendedprice + 0.003 ELSE round((l_extendedprice + 0.003) / 1000000, 4) END AS DECIMAL(18,4))) AS DOUBLE) AS total FROM lineitem GROUP BY 1")
 def usd_to_million(spark, sf):
-    """The tenth of a cent keeps prices off the middle between two roundings."""
+    """The tenth of a cent keeps prices off the middle between two roundings, where SQL rounds up and this engine doesn't always."""
     line = ln.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("cik"), (F.col("l_extendedprice") + 0.003).alias("v"), F.when(F.col("l_linenumber") % 4 == 0, "shares").otherwise("USD").alias("unit"))
     return line.groupBy("cik").agg(F.count("*").alias("n"), F.sum(numbers.in_millions(F.col("v"), F.col("unit")).cast("decimal(18,4)")).cast("double").alias("total"))
 
@@ -191,9 +178,9 @@ def latest_fact(spark, sf):
 
 _TRUTH = f"""{ln.FACTS}, t AS (SELECT *, min(CASE taxonomy WHEN 'us-gaap' THEN 1 ELSE 2 END) OVER (PARTITION BY cik, tag) AS best FROM facts),
 u AS (SELECT * , max(CASE WHEN unit = 'USD' THEN 1 ELSE 0 END) OVER (PARTITION BY cik, tag) AS usd FROM t WHERE (CASE taxonomy WHEN 'us-gaap' THEN 1 ELSE 2 END) = best),
-y AS (SELECT CAST(x AS VARCHAR) AS year FROM range(1996, 1999) r(x)),
+y AS (SELECT DISTINCT cik, tag, unnest([CAST(fy AS VARCHAR), left("end", 4)]) AS year FROM facts),
 c AS (SELECT cik, tag, year, val, unit, "end", filed, row_number() OVER (PARTITION BY cik, tag, year ORDER BY "end" DESC, filed DESC, val) AS n
-  FROM u, y WHERE unit = CASE WHEN usd = 1 THEN 'USD' ELSE 'shares' END AND form IN ('10-K', '10-K/A') AND (CAST(fy AS VARCHAR) = year OR left("end", 4) = year))"""
+  FROM u JOIN y USING (cik, tag) WHERE unit = CASE WHEN usd = 1 THEN 'USD' ELSE 'shares' END AND form IN ('10-K', '10-K/A') AND (CAST(fy AS VARCHAR) = year OR left("end", 4) = year))"""
 
 
 def _truth(spark, sf):
@@ -210,7 +197,7 @@ def ground_truth_best(spark, sf):
 
 
 @query(f"""WITH {_TRUTH}, ours AS (SELECT l_suppkey AS cik, p_brand AS tag, CAST(year(l_shipdate) AS VARCHAR) AS year, max(l_extendedprice) / 1000 AS value
-  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE year(l_shipdate) BETWEEN 1995 AND 1998 GROUP BY 1, 2, 3),
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3),
 m AS (SELECT ours.year, CASE WHEN c.val IS NULL THEN 'NOT_FOUND' WHEN abs(ours.value * 1000 - c.val) / abs(c.val) <= 0.02 THEN 'MATCH' ELSE 'MISMATCH' END AS s
   FROM ours LEFT JOIN (SELECT * FROM c WHERE n = 1) c ON c.cik = ours.cik AND c.tag = ours.tag AND c.year = ours.year)
 SELECT year, count(*) FILTER (s = 'MATCH') AS n_match, count(*) FILTER (s = 'MISMATCH') AS n_mismatch, count(*) FILTER (s = 'NOT_FOUND') AS n_not_found,
@@ -269,7 +256,7 @@ def metric_dedup(spark, sf):
     return dedup.metrics(rows).select(F.lower(F.trim("name")).alias("name"), "year", "idx")
 
 
-@query("SELECT lower(trim(left(text, 40))) AS name, min(doc_id) AS seq FROM documents GROUP BY 1")
+@query("SELECT lower(trim(text)) AS name, min(doc_id) AS seq FROM documents GROUP BY 1")
 def risk_dedup(spark, sf):
     return dedup.risks(ln.risks(spark, sf)).select(F.lower(F.trim("name")).alias("name"), "seq")
 
@@ -322,13 +309,6 @@ def fixed_batches(spark, sf):
     return decisions.fixed_batches(s, 3, "idx", "s_nationkey").drop("s_nationkey")
 
 
-@query()
-def size_batches(spark, sf):
-    """Batches of lines, closed at 5000 characters."""
-    d = ln.table(spark, sf, "documents").select("doc_id", F.transform(F.split("text", "\n"), F.length).alias("lengths"))
-    return d.select("doc_id", decisions.size_batches(F.col("lengths")).alias("b")).select("doc_id", (F.array_max("b") + 1).alias("n_batches"), F.size("b").alias("n_lines"))
-
-
 @query("SELECT substr(md5(text), 1, 8) AS chunk_id, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1")
 def chunk_hash_groups(spark, sf):
     return ln.table(spark, sf, "documents").groupBy(text.chunk_id(F.col("text")).alias("chunk_id")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
@@ -352,17 +332,6 @@ def section_parent(spark, sf):
     return sections.with_parents(sections.headed(ln.markdown(spark, sf))).select("doc", "pos", F.coalesce("parent", F.lit(-1)).cast("int").alias("parent"))
 
 
-@query()
-def page_split_counter(spark, sf):
-    out = sections.with_pages(sections.with_parents(sections.headed(ln.markdown(spark, sf))))
-    return out.where("leaf").select("doc", "pos", "start_page", "end_page", "word_count", "text_length")
-
-
-@query()
-def section_rollup(spark, sf):
-    return sections.parse(ln.markdown(spark, sf)).select("doc", "pos", "leaf", "word_count", "text_length")
-
-
 @query("SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS INT) AS words FROM documents")
 def word_counts(spark, sf):
     return ln.table(spark, sf, "documents").select("doc_id", text.word_count(F.col("text")).alias("words"))
@@ -376,7 +345,7 @@ def paragraph_split(spark, sf):
     return d.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.length("p")).cast("long").alias("longest"))
 
 
-_BM25 = """c AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(left(text, 200)), '\\s+'), lambda x: x <> '') AS t FROM documents),
+_BM25 = """c AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS t FROM documents),
 n AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM c), tf AS (SELECT doc_id, dl, term, count(*) AS f FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM c) GROUP BY 1, 2, 3),
 raw AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf, n GROUP BY term, n), idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
 q AS (SELECT * FROM (VALUES ('a', 'the', 1), ('a', 'license', 2), ('b', 'und', 1), ('b', 'der', 1)) v(query, term, times)),
@@ -397,14 +366,18 @@ def bm25_scores(spark, sf):
 @query(f"WITH {_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS n FROM s WHERE score >= 2.0) SELECT query, doc, round(score, 6) AS score FROM r WHERE n <= 15")
 def bm25_tag_top15(spark, sf):
     scored = _bm25(spark, sf)[0]
-    best = bm25.top(scored.withColumn("score", F.round("score", 9)), bm25.TAG_TOP, bm25.TAG_LEAST)
-    return best.withColumn("score", F.round("score", 6))
+    best = bm25.top(scored.withColumns({"exact": F.col("score"), "score": F.round("score", 9)}), bm25.TAG_TOP, bm25.TAG_LEAST)
+    return best.select("query", "doc", F.round("exact", 6).alias("score"))
 
 
-@query()
+_BEST = "ORDER BY round(score, 9) DESC, doc LIMIT 1"
+
+
+@query(f"""WITH {_BM25}, a AS (SELECT * FROM s WHERE query = 'a' AND score > 1.3 {_BEST}), b AS (SELECT * FROM s WHERE query = 'b' AND score > 1.3 AND doc NOT IN (SELECT doc FROM a) {_BEST})
+SELECT query, doc, round(round(score, 9), 6) AS score FROM a UNION ALL SELECT query, doc, round(round(score, 9), 6) FROM b""")
 def bm25_greedy_sections(spark, sf):
     scored, asked = _bm25(spark, sf)
-    return bm25.greedy(scored, asked).withColumn("score", F.round("score", 6))
+    return bm25.greedy(scored.withColumn("score", F.round("score", 9)), asked).withColumn("score", F.round("score", 6))
 
 
 _CLEAN = [("2,118.5", "2118.5"), ("1, 234", "1234"), ("$ (45.2)", "-45.2"), ("3.5x", "3.5"), ("(1,234)", "-1234"), ("-5", "-5"), ("12%", None), ("—", None), ("N/A", None), ("0", None), ("0.00", None), ("1.234", "1234"), ("(1.234)", "-1.234"), ("1.234x", "1234"), ("1_000", "1_000"), ("1d", None), ("nan", None)]
@@ -530,3 +503,6 @@ def html_paragraphs(spark, sf):
 
     md = ln.table(spark, sf, "pages").select(F.col("page_id").alias("doc"), filings.markdown_of(F.col("html")).alias("text"))
     return sections.parse(md).select("doc", "pos", "title", "level", "word_count")
+
+
+from . import answer_queries, source_queries  # noqa: E402, F401

@@ -23,10 +23,12 @@ _MARKS = {"b": "**", "strong": "**", "i": "_", "em": "_"}
 
 
 class _Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    __slots__ = ("tag", "attrs", "children", "parent", "text", "look")
 
     def __init__(self, tag: str, attrs: dict, parent):
         self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
+        #: What is written in it, as far as a heading could be that long, and whether it looks like a heading.
+        self.text, self.look = "", False
 
 
 class _Tree(HTMLParser):
@@ -57,17 +59,38 @@ class _Tree(HTMLParser):
 
 
 def _texts(node) -> list[str]:
-    if isinstance(node, str):
-        return [node.strip()] if node.strip() else []
-    return [] if node.tag in ("script", "style") else [t for c in node.children for t in _texts(c)]
-
-
-def _heading_look(node) -> bool:
-    if isinstance(node, str):
-        return False
-    style = node.attrs.get("style", "")
-    bold = "font-weight" in style or "text-decoration:underline" in style.replace(" ", "") or node.tag in ("strong", "b", "u")
-    return bold or any(_heading_look(c) for c in node.children)
+    """All pieces of text in order. Pages nest deeply, so nothing here recurs."""
+    out, left = [], [node]
+    while left:
+        at = left.pop()
+        if isinstance(at, str):
+            if at.strip():
+                out.append(at.strip())
+        elif at.tag not in ("script", "style"):
+            left += reversed(at.children)
+    return out
+
+
+def _summarise(root: _Node) -> None:
+    """Sets text and look of all nodes, children before parents."""
+    order, left = [], [root]
+    while left:
+        node = left.pop()
+        order.append(node)
+        left += [c for c in node.children if not isinstance(c, str)]
+    for node in reversed(order):
+        style = node.attrs.get("style", "")
+        node.look = "font-weight" in style or "text-decoration:underline" in style.replace(" ", "") or node.tag in ("strong", "b", "u") or any(not isinstance(c, str) and c.look for c in node.children)
+        if node.tag not in ("script", "style"):
+            parts, size = [], 0
+            for c in node.children:
+                own = " ".join(c.split()) if isinstance(c, str) else c.text
+                if own:
+                    parts.append(own)
+                    size += len(own) + 1
+                if size > LONGEST_HEADING + 1:
+                    break
+            node.text = " ".join(parts)[: LONGEST_HEADING + 1]
 
 
 def to_markdown(html: str) -> str:
@@ -75,51 +98,49 @@ def to_markdown(html: str) -> str:
     tree = _Tree()
     tree.feed(html or "")
     tree.close()
+    _summarise(tree.root)
     seen: set[tuple[str, str]] = set()
     out: list[str] = []
 
     def heading(node) -> str | None:
         if node.tag not in ("div", "p"):
             return None
-        title = re.sub(r"\s+", " ", " ".join(_texts(node)))
+        title = node.text
         if not title or len(title) > LONGEST_HEADING:
             return None
-        kind = "#" if PART.match(title) else "##" if ITEM.match(title) and _heading_look(node) else None
+        kind = "#" if PART.match(title) else "##" if ITEM.match(title) and node.look else None
         if kind is None or (kind, title[:KEY_CHARS]) in seen:
             return None
         seen.add((kind, title[:KEY_CHARS]))
         return f"{kind} {title}"
 
-    def walk(node, in_table: bool) -> None:
+    left: list[tuple] = [(tree.root, False)]
+    while left:
+        node, in_table = left.pop()
+        if in_table is None:  # what closes a node whose children are done
+            out.append(node)
+            continue
         if isinstance(node, str):
             out.append(re.sub(r"\s+", " ", node))
-            return
+            continue
         if node.attrs.get("id") == HIDDEN_ID or node.tag in _SILENT or node.tag == "img":
-            return
-        if node.tag == "hr":
-            out.append(f"\n\n{PAGE_BREAK}\n\n")
-            return
-        if node.tag == "br":
-            out.append("  \n")
-            return
+            continue
+        if node.tag in ("hr", "br"):
+            out.append(f"\n\n{PAGE_BREAK}\n\n" if node.tag == "hr" else "  \n")
+            continue
         title = None if in_table else heading(node)
-        if title:
-            out.append(f"\n\n{title}\n\n")
-            return
         level = re.fullmatch(r"h([1-6])", node.tag)
-        if level:
-            out.append(f"\n\n{'#' * int(level[1])} {' '.join(' '.join(_texts(node)).split())}\n\n")
-            return
+        if title or level:
+            out.append(f"\n\n{title or '#' * int(level[1]) + ' ' + ' '.join(' '.join(_texts(node)).split())}\n\n")
+            continue
         edge = "\n\n" if node.tag in _BLOCKS else ""
-        mark = _MARKS.get(node.tag, "") if _texts(node) else ""
+        mark = _MARKS.get(node.tag, "") if node.text else ""
         out.append(edge + ("\n  * " if node.tag == "li" else "") + mark)
-        for child in node.children:
-            walk(child, in_table or node.tag == "table")
+        left.append((mark + edge, None))
+        for child in reversed(node.children):
             if not isinstance(child, str) and child.tag in ("td", "th"):
-                out.append(" | ")
-        out.append(mark + edge)
-
-    walk(tree.root, False)
+                left.append((" | ", None))
+            left.append((child, in_table or node.tag == "table"))
     lines = [line.strip() if line.strip() else "" for line in "".join(out).split("\n")]
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip() + "\n"
 

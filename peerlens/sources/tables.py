@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ENTRY = "struct<end:string,val:double,accn:string,fy:int,fp:string,form:string,filed:string>"
@@ -57,9 +57,9 @@ def taxonomy(spark: SparkSession, path: str) -> DataFrame:
     return loc.join(arc, "loc").join(label, "lab").select("tag", "label").distinct()
 
 
-def fresh(cached: DataFrame, days: int = 30, at: str = "cached_at") -> DataFrame:
+def fresh(cached: DataFrame, days: int = 30, at: str = "cached_at", now: Column | None = None) -> DataFrame:
     """Rows of a cache that are not older than so many days."""
-    return cached.where(F.col(at) >= F.current_timestamp() - F.make_dt_interval(F.lit(days)))
+    return cached.where(F.col(at) >= (F.current_timestamp() if now is None else now) - F.make_dt_interval(F.lit(days)))
 
 
 def results_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -70,6 +70,20 @@ def job_state(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STATE).json(path, multiLine=True)
 
 
+def evaluation_inputs(spark: SparkSession, path: str) -> DataFrame:
+    """question, answer and results (JSON) of a question's artefacts below path, as write_answer leaves them."""
+    extraction = spark.read.schema("question string, record_count long, results string").json(f"{path}/extraction_result")
+    answer = spark.read.text(f"{path}/answer", wholetext=True).select(F.trim(F.regexp_replace("value", r"\s+$", "")).alias("answer"))
+    return extraction.join(answer)
+
+
+def write_answer(path: str, extraction: DataFrame, answer: DataFrame, reasoning: DataFrame) -> None:
+    """The artefacts of one question, a row each: question, record_count and results; the answer; the reasoning."""
+    extraction.write.mode("overwrite").json(f"{path}/extraction_result")
+    answer.write.mode("overwrite").text(f"{path}/answer")
+    reasoning.write.mode("overwrite").text(f"{path}/reasoning")
+
+
 def write_stage(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 

@@ -52,3 +52,11 @@ def test_tokens(spark):
     assert values(spark, [("The of",), ("Cost of Sales",)], "c string", k.query_tokens(F.col("c"))) == [(["the", "of"],), (["cost", "sal"],)]
     assert values(spark, [("Net  Income (Loss)",), ("Dividends",)], "c string", k.concept_keys(F.col("c"))) == [(["net income (loss)", "net income", "net income (loss)"],), (["dividends", "dividends", "dividend"],)]
     assert values(spark, [("Revenue (2023)",), ("Revenue",)], "c string", *k.metric_parts(F.col("c"))) == [("Revenue", "2023"), ("Revenue", None)]
+
+
+def test_rounded_like_python(spark):
+    """Also where the text of a double ends with a 5 behind the fourth place."""
+    values = [k / 1_000_000 for k in range(50, 60_000, 100)] + [-0.00145, -0.00135, 0.5, 0.0, 2.00005, 1234.56785, 0.00012500000001, 1 / 3, 0.03125, 98765.43215]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", n.rounded(F.col("v"), 4).alias("r")).collect()
+    assert [r.r for r in got] == [round(r.v, 4) for r in got]
+    assert any(round(v, 4) != float(f"{int(v * 10_000 + 0.5) / 10_000:.4f}") for v in values[:600])
