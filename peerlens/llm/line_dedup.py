@@ -26,6 +26,8 @@ are rows. Other columns pass through, whatever their names; those added are text
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -137,21 +139,32 @@ def line_dedup(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ADDED]).alias("doc"), F.col("doc_id").alias("own"), F.xxhash64(F.col(text)).alias("th"))
     joined = packed.join(spans, F.col("own").eqNullSafe(F.col("id")) & (F.col("th") == F.col("key")), "left")
     body = F.col("doc")[text]
-    # Columns of their own: inside a lambda the split would run once for every line.
-    joined = joined.select("doc", "spans", _lines(body).alias("lines"), F.when(F.col("spans").isNotNull(), _words(body)).alias("w"))
-    worded = F.filter(_span(F.size("lines")), lambda i: F.get(F.col("w"), i) > 0)
-    joined = joined.select("doc", "spans", "lines", F.when(F.col("spans").isNotNull(), worded).alias("at"))
-    gone = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(F.get(F.col("at"), s["i"]), F.get(F.col("at"), s["i"] + s["n"] - 1)))))
-    joined = joined.select("doc", "lines", gone.alias("gone"))
-    kept = F.array_except(_span(F.size("lines")), F.col("gone"))
+    joined = joined.select("doc", F.when(F.col("spans").isNotNull(), _without(body, F.col("spans"))).alias("cut"))
     return joined.select(
         "doc.*",
-        F.when(F.col("gone").isNull(), body).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("lines"), i)), "\n")).alias("text_kept"),
-        F.when(body.isNull() | (body == ""), F.lit(0)).otherwise(F.size("lines")).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.col("cut.kept"), body).alias("text_kept"),
+        F.when(body.isNull() | (body == ""), F.lit(0)).otherwise(F.size(_lines(body))).cast("long").alias("n_lines"),
+        F.coalesce(F.col("cut.n"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once. A column would do, but the optimiser may put its expression in its place, and
+    inside a lambda that runs for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _without(body: Column, spans: Column) -> Column:
+    """kept, n: the text without the lines of the spans (i, n: lines with words), and how many they are."""
+
+    def cut(all_: Column, at: Column) -> Column:
+        gone = F.array_distinct(F.flatten(F.transform(all_["spans"], lambda s: F.sequence(F.get(at, s["i"]), F.get(at, s["i"] + s["n"] - 1)))))
+        return _let(gone, lambda g: F.struct(F.array_join(F.transform(F.array_except(_span(F.size(all_["lines"])), g), lambda i: F.get(all_["lines"], i)), "\n").alias("kept"), F.size(g).alias("n")))
+
+    given = F.struct(_lines(body).alias("lines"), _words(body).alias("w"), spans.alias("spans"))
+    return _let(given, lambda x: _let(F.filter(_span(F.size(x["w"])), lambda i: F.get(x["w"], i) > 0), lambda at: cut(x, at)))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, and a digest of what stays."""
     out = line_dedup(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
