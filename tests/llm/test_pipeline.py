@@ -84,6 +84,7 @@ def test_null_columns_and_empty(spark, tmp_path):
     write(spark, odd, labels, items, tmp_path / "a")
     write(spark, [], [], [], tmp_path / "b")
     got = cp.run(spark, str(tmp_path / "a")).collect()
-    assert sorted(repr(r.doc_id) for r in got if r.start == 0) == ["7", "7", "None"]
+    # Equal rows are linked, so one of them stays.
+    assert sorted(repr(r.doc_id) for r in got if r.start == 0) == ["7", "None"]
     assert cp.run(spark, str(tmp_path / "b")).count() == 0
     assert quality_crf.TRAIN_DOCUMENTS > 0
