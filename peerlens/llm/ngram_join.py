@@ -114,14 +114,57 @@ def _bucketed(tokens: np.ndarray, keys: np.ndarray, buckets: int, kind: np.dtype
         yield int(own[b]), entries[b:e].tobytes()
 
 
+#: Stands for classes that were counted where they were found.
+_COUNTED = np.iinfo(np.int64).min
+
+
+def _sorted_distinct(tokens: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((keys, tokens))
+    tokens, keys = tokens[order], keys[order]
+    new = np.ones(len(tokens), bool)
+    new[1:] = (tokens[1:] != tokens[:-1]) | (keys[1:] != keys[:-1])
+    return tokens[new], keys[new]
+
+
+def _firsts(tokens: np.ndarray) -> np.ndarray:
+    first = np.ones(len(tokens), bool)
+    first[1:] = tokens[1:] != tokens[:-1]
+    return first
+
+
+def fold_to_stars(tokens: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, bytes]]]:
+    """One entry of each token, with the smallest class, and the pairs that tie the others to it. So a token that very many
+    classes have is one entry of each batch."""
+    tokens, keys = _sorted_distinct(tokens, keys)
+    first = _firsts(tokens)
+    lowest = keys[np.flatnonzero(first)][np.cumsum(first) - 1] if len(keys) else keys
+    pairs = np.unique(np.stack([keys[~first], lowest[~first]], axis=1), axis=0) if (~first).any() else np.zeros((0, 2), np.int64)
+    return tokens[first], keys[first], [(-1 - int(abs(pairs[0, 0]) % 1024), np.ascontiguousarray(pairs, "<i8").tobytes())] if len(pairs) else []
+
+
+def fold_to_counts(parts: int):
+    """Classes that share a token within the batch are counted at once, and one entry without a class goes on for it. A
+    class whose copies lie in several tasks may be counted more than once, so a bound may let more through, never less."""
+
+    def run(tokens: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, bytes]]]:
+        tokens, keys = _sorted_distinct(tokens, keys)
+        shared = _shared(tokens)
+        marks = tokens[shared & _firsts(tokens)]
+        counted = [(-1 - part, raw) for part, raw in _packed_counts(keys[shared], parts)]
+        return np.concatenate([tokens[~shared], marks]), np.concatenate([keys[~shared], np.full(len(marks), _COUNTED)]), counted
+
+    return run
+
+
 def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=names)
 
 
-def _postings(rows: DataFrame, buckets: int, prefix, kind: np.dtype, often=None) -> DataFrame:
+def _postings(rows: DataFrame, buckets: int, prefix, kind: np.dtype, fold, often=None) -> DataFrame:
     """From documents (body) or sets (key, raw): bucket and raw entries of the first prefix(n) elements of each class, by
-    hash, or by what often (a broadcast table of counts) holds and then by hash."""
+    hash, or by what often (a broadcast table of counts) holds and then by hash. fold takes out of a batch what can be told
+    there; its results have negative buckets."""
     has_sets = "raw" in rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,26 +192,27 @@ def _postings(rows: DataFrame, buckets: int, prefix, kind: np.dtype, often=None)
                 h = h[np.lexsort((h, rank, np.repeat(np.arange(len(counts)), counts)))]
             lengths = np.minimum(prefix(counts), counts) * first
             at = common.ragged(starts, lengths)
-            yield _batch(list(_bucketed(h[at], np.repeat(keys, lengths), buckets, kind)), ["bucket", "raw"], [pa.int32(), pa.binary()])
+            tokens, own, told = fold(h[at], np.repeat(keys, lengths))
+            yield _batch([*_bucketed(tokens, own, buckets, kind), *told], ["bucket", "raw"], [pa.int32(), pa.binary()])
 
     return rows.mapInArrow(run, "bucket int, raw binary")
 
 
-def _gathered(postings: DataFrame, buckets: int, each, schema: str, kind: np.dtype) -> DataFrame:
-    """Applies each(entries, sorted by token and key, distinct) to what a partition has of its buckets."""
+def _gathered(postings: DataFrame, buckets: int, each, schema: str, kind: np.dtype, told=None) -> DataFrame:
+    """Applies each(entries, sorted by token and key, distinct) to what a partition has of its buckets, and told to the
+    results that came with them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
         for batch in batches:
             for bucket, raw in zip(batch.column("bucket").to_pylist(), batch.column("raw").to_pylist(), strict=True):
-                held.setdefault(bucket, []).append(raw)
+                if bucket < 0:
+                    yield told(-1 - bucket, raw)
+                else:
+                    held.setdefault(bucket, []).append(raw)
         for bucket in list(held):
             entries = np.frombuffer(b"".join(held.pop(bucket)), kind)
-            order = np.lexsort((entries["key"], entries["token"]))
-            token, key = entries["token"][order], entries["key"][order]
-            new = np.ones(len(token), bool)
-            new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
-            yield from each(token[new], key[new])
+            yield from each(*_sorted_distinct(entries["token"], entries["key"]))
 
     return postings.repartition(buckets, "bucket").mapInArrow(run, schema)
 
@@ -189,18 +233,33 @@ def _counter(parts: int):
     """Counts of each class's shared elements, packed by a part of the classes: a row for each part, not for each class."""
 
     def run(token: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
-        keys, n = np.unique(key[_shared(token)], return_counts=True)
-        own = (keys.view(np.uint64) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(own, kind="stable")
-        packed = np.empty(len(keys), _COUNT)
-        packed["key"], packed["n"] = keys[order], n[order]
-        own = own[order]
-        bounds = np.flatnonzero(np.diff(own, prepend=-1, append=-1))
-        yield _batch([(int(own[b]), packed[b:e].tobytes()) for b, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], ["part", "raw"], [pa.int32(), pa.binary()])
+        yield _batch(list(_packed_counts(key[_shared(token) & (key != _COUNTED)], parts)), ["part", "raw"], [pa.int32(), pa.binary()])
 
     return run
 
 
+def _packed_counts(keys: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """How often each key is there, packed by part."""
+    keys, n = np.unique(keys, return_counts=True)
+    own = (keys.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(own, kind="stable")
+    packed = np.empty(len(keys), _COUNT)
+    packed["key"], packed["n"] = keys[order], n[order]
+    own = own[order]
+    bounds = np.flatnonzero(np.diff(own, prepend=-1, append=-1))
+    for b, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        yield int(own[b]), packed[b:e].tobytes()
+
+
+def _part_row(part: int, raw: bytes) -> pa.RecordBatch:
+    return _batch([(part, raw)], ["part", "raw"], [pa.int32(), pa.binary()])
+
+
+def _pair_rows(_: int, raw: bytes) -> pa.RecordBatch:
+    pairs = np.frombuffer(raw, "<i8").reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+
 def _summed(counts: DataFrame, parts: int) -> DataFrame:
     """key, n_shared from packed counts."""
 
@@ -340,8 +399,9 @@ def _only(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.unpackbits(known).astype(bool)[keys.view(np.uint64) % np.uint64(BITS)]
 
 
-def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """a, b: a spanning forest of the links between classes of equal sets. classes: key and n of all of them."""
+def links(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """a, b: a spanning forest of the links between classes of equal sets; and the tables that can be removed when it has
+    been read. classes: key and n of all of them."""
     spark = docs.sparkSession
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(8, buckets // 8)
@@ -353,7 +413,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
         return spark.sparkContext.broadcast(np.packbits(_bitmap(enough)))
 
     # The first bound.
-    led = _gathered(_postings(lean, buckets, lambda n: n - need(n) + _lead(n), _SHORT_ENTRY), buckets, _counter(parts), "part int, raw binary", _SHORT_ENTRY)
+    led = _gathered(_postings(lean, buckets, lambda n: n - need(n) + _lead(n), _SHORT_ENTRY, fold_to_counts(parts)), buckets, _counter(parts), "part int, raw binary", _SHORT_ENTRY, _part_row)
     first = those_with(led, F.floor(F.floor(F.col("n") * 3 / 4) / 8) + 1)
 
     def kept_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,7 +435,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
     sets = common.stored(lean.mapInArrow(kept_sets, "key long, raw binary"), "sets")
     # The second.
-    covered = _gathered(_postings(sets, buckets, lambda n: n, _SHORT_ENTRY), buckets, _counter(parts), "part int, raw binary", _SHORT_ENTRY)
+    covered = _gathered(_postings(sets, buckets, lambda n: n, _SHORT_ENTRY, fold_to_counts(parts)), buckets, _counter(parts), "part int, raw binary", _SHORT_ENTRY, _part_row)
     second = those_with(covered, F.ceil(F.col("n") * 3 / 4))
 
     def kept_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,7 +449,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     # Rare elements first: a passage that many documents share then links none that share nothing else.
     few = max(8, buckets // 8)
     often = spark.sparkContext.broadcast(_frequencies(left))
-    stars = _gathered(_postings(left, few, lambda n: n - need(n) + 1, _ENTRY, often), few, _stars, "a long, b long", _ENTRY)
+    stars = _gathered(_postings(left, few, lambda n: n - need(n) + 1, _ENTRY, fold_to_stars, often), few, _stars, "a long, b long", _ENTRY, _pair_rows)
     groups = components(stars)
     sizes = common.stored(groups.groupBy("root").agg(F.count("*").alias("size")), "sizes")
     small = F.col("size") <= BLOCK
@@ -404,7 +464,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64(F.lit(5), F.col("key")), F.col("n_blocks")).cast("int")
     met = dealt.withColumn("own", own).select("key", "raw", "group", "own", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"))
     met = met.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "key", "raw")
-    return met.repartition(buckets, "group", "i", "j").mapInArrow(_block_links, "a long, b long")
+    return met.repartition(buckets, "group", "i", "j").mapInArrow(_block_links, "a long, b long"), [left, sizes]
 
 
 def _rooted(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -419,7 +479,10 @@ def _rooted(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFra
     lean = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), common.text_bytes().alias("body"))
     named = common.stored(lean.mapInArrow(run, "doc_id long, th long, n_shingles long, key long"), "keys")
     classes = named.where("n_shingles > 0").groupBy("key").agg(F.first("n_shingles").alias("n"))
-    forest = common.stored(components(links(docs, classes)), "forest")
+    found, done = links(docs, classes)
+    forest = common.stored(components(found), "forest")
+    for table in done:
+        common.removed(table)
     rooted = named.where("n_shingles > 0").join(forest, named["key"] == forest["v"], "left").select("doc_id", "th", "n_shingles", F.coalesce("root", "key").alias("root"))
     return named.select("doc_id", "th", "n_shingles"), rooted
 

@@ -294,12 +294,23 @@ def _merge(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays(cols, names=["f", "c1", "c2", "kind", "b", "e", "raw"])
 
 
+def _two_of_each(h: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last place of every hash: enough to tell that it occurs twice, however often it does."""
+    order = np.lexsort((place, h))
+    h, place = h[order], place[order]
+    edge = np.ones(len(h) + 1, bool)
+    edge[1:-1] = h[1:] != h[:-1]
+    some = edge[:-1] | edge[1:]
+    return h[some], place[some]
+
+
 def _key(col: str, seed: int):
     return F.xxhash64(F.lit(seed), F.col(col))
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
-    """t1, t2 (the text's name: two hashes) and spans (array of b, e) of every distinct text in which strings repeat."""
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> tuple[DataFrame, list[DataFrame]]:
+    """t1, t2 (the text's name: two hashes) and spans (array of b, e) of every distinct text in which strings repeat; and the
+    tables that can be removed when these have been read."""
     spark = docs.sparkSession
     lean = docs.select(common.text_bytes().alias("body")).select("body", _key("body", 1).alias("t1"), _key("body", 2).alias("t2"))
 
@@ -323,7 +334,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int
             text, pos, h, left, size = anchors([b if ok else b"" for b, ok in zip(bodies, first, strict=True)], length, gram)
             if known is None:
                 place = common.mix64(t1[text].view(np.uint64) ^ (t2[text].view(np.uint64) * _STEPS[1]) ^ (pos.astype(np.uint64) * _STEPS[2])).view(np.int64)
-                yield _batch(list(_bucketed(h, place, parts, _ENTRY)), ["bucket", "raw"], [pa.int32(), pa.binary()])
+                yield _batch(list(_bucketed(*_two_of_each(h, place), parts, _ENTRY)), ["bucket", "raw"], [pa.int32(), pa.binary()])
                 continue
             place = h % _U(BITS)
             some = (known[(place >> _U(3)).astype(np.int64)] >> (_U(7) - (place & _U(7))).astype(np.uint8)) & 1 > 0
@@ -383,7 +394,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard: int
     # Written, so that the join has an exchange on each side and can be split where one context has very many places.
     covered = common.stored(ranges.groupBy("f", "c1", "c2").agg(F.collect_set(F.struct("b", "e")).alias("ranges")), "covered")
     spans = again.join(covered, ["f", "c1", "c2"]).select("t1", "t2", F.transform("ranges", lambda r: F.struct((F.col("pos") + r["b"]).alias("b"), (F.col("pos") + r["e"]).alias("e"))).alias("spans"))
-    return spans.groupBy("t1", "t2").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+    return spans.groupBy("t1", "t2").agg(F.flatten(F.collect_set("spans")).alias("spans")), [again, kinds, solved, covered]
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -400,8 +411,10 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, with_kept: bool = False,
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (with_kept: and kept, the bytes that stay) of every row."""
     named = docs.select("doc_id", common.text_bytes().alias("body")).select("doc_id", "body", _key("body", 1).alias("t1"), _key("body", 2).alias("t2"))
     copies = named.groupBy("t1", "t2").count().where("count > 1").select("t1", "t2", F.lit(True).alias("copied"))
-    spans = repeats(docs, length, **options)
+    spans, done = repeats(docs, length, **options)
     facts = common.stored(spans.join(copies, ["t1", "t2"], "full"), "spans")
+    for table in done:
+        common.removed(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "body", 2 << 20):

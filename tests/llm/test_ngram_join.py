@@ -90,3 +90,23 @@ def test_components(spark):
             for a, b in edges:
                 parent[a] = parent[b] = min(parent[a], parent[b])
         assert got == {v: p for v, p in parent.items() if any(a != b and v in (a, b) for a, b in edges)}
+
+
+def test_hot_elements_fold_within_a_batch():
+    """An element of very many classes is one entry that goes on; what it tells is kept."""
+    import numpy as np
+
+    tokens = np.array([7] * 5000 + [8, 9, 9], np.uint64)
+    keys = np.array([*range(5000), 1, 2, 2], np.int64)
+    t, k, told = nj.fold_to_stars(tokens, keys)
+    assert list(zip(t.tolist(), k.tolist(), strict=True)) == [(7, 0), (8, 1), (9, 2)]
+    pairs = np.frombuffer(told[0][1], "<i8").reshape(-1, 2)
+    assert told[0][0] < 0 and {tuple(p) for p in pairs.tolist()} == {(i, 0) for i in range(1, 5000)}
+    t, k, told = nj.fold_to_counts(4)(tokens, keys)
+    assert sorted(zip(t.tolist(), k.tolist(), strict=True)) == [(7, nj._COUNTED), (8, 1), (9, 2)]
+    counted = np.concatenate([np.frombuffer(raw, nj._COUNT) for _, raw in told])
+    assert len(counted) == 5000 and set(counted["n"].tolist()) == {1}
+    (rows,) = nj._counter(4)(np.array([7, 7, 8], np.uint64), np.array([nj._COUNTED, 3, 1], np.int64))
+    assert [np.frombuffer(r, nj._COUNT).tolist() for r in rows.column("raw").to_pylist()] == [[(3, 1)]]
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    assert [len(x) for x in nj.fold_to_stars(*none)] == [len(x) for x in nj.fold_to_counts(4)(*none)] == [0, 0, 0]
