@@ -1,8 +1,10 @@
 """Log-probability of whole documents from a lattice of subwords over word counts of the corpus.
 
-The vocabulary of pieces is an existing one, read from a file. Its scores are merge ranks of byte-pair encoding, not
-log-probabilities, so they only order the pieces: the piece in place r starts with a weight of 1 / (r + 10), and
-expectation maximisation over all distinct training words then fits the probabilities. A word's probability sums over
+The vocabulary of pieces is an existing one, read from a file. Its scores weigh the pieces, exp(score / T) each: they are
+merge ranks of byte-pair encoding and no log-probabilities, so T brings them to the range that log-probabilities of so many
+pieces have (the best and the last differ by the factor of the vocabulary's size). Expectation maximisation over all
+distinct training words then counts the pieces; the vocabulary's weights stay in as a prior, worth `PRIOR` pieces for each
+word. A word's probability sums over
 all of its segmentations into pieces, by a forward recursion in logarithms; words that training has seen are further
 arcs of the lattice that span a whole word, weighted by their counts less a discount. Each of the `CLASSES` - 1 most
 frequent languages of the training documents has a set of counts; all later languages are pooled in one further set. A
@@ -39,14 +41,17 @@ from . import common
 HOT = 500_000
 CLASSES = 6
 ROUNDS = 2
+PRIOR = 0.2
 DISCOUNT = 0.5
 
 
 class Lattice:
     """Pieces as byte strings (a word starts with a space) with log-probabilities, and the recursions over words."""
 
-    def __init__(self, pieces: list[bytes], logp: np.ndarray, stop: float):
+    def __init__(self, pieces: list[bytes], logp: np.ndarray, stop: float, prior: np.ndarray | None = None):
+        """prior: the vocabulary's own weights, which sum to 1 (none: all are alike)."""
         self.pieces, self.logp, self.stop = pieces, np.asarray(logp, np.float64), stop
+        self.prior = np.full(len(pieces), 1 / len(pieces)) if prior is None else prior
         self.priced = np.append(self.logp, -np.inf)  # the last is what no piece has
         self.longest = max(map(len, pieces))
         keys = self._of(pieces)
@@ -62,11 +67,13 @@ class Lattice:
 
     @staticmethod
     def start(path: str) -> Lattice:
-        """From a sentencepiece file; a piece's place in the order of scores gives its first probability."""
+        """From a sentencepiece file; bytes, which have no score, weigh as much as the last piece."""
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
-        seen: dict[bytes, float] = {bytes([b]): -1e9 for b in range(256)}
+        scores = [model.get_score(k) for k in range(model.get_piece_size()) if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k))]
+        best, last = max(scores), min(scores)
+        seen: dict[bytes, float] = {bytes([b]): last for b in range(256)}
         for k in range(model.get_piece_size()):
             if model.is_control(k) or model.is_unknown(k) or model.is_byte(k):
                 continue
@@ -74,9 +81,9 @@ class Lattice:
             if raw and b" " not in raw[1:]:
                 seen[raw] = max(model.get_score(k), seen.get(raw, -1e9))
         pieces = sorted(seen, key=lambda p: (-seen[p], p))
-        weight = 1.0 / (np.arange(len(pieces)) + 10.0)
-        stop = 0.2
-        return Lattice(pieces, np.log(weight / weight.sum() * (1 - stop)), math.log(stop))
+        weight = np.exp((np.array([seen[p] for p in pieces]) - best) * math.log(len(pieces)) / max(best - last, 1e-9))
+        prior, stop = weight / weight.sum(), 0.2
+        return Lattice(pieces, np.log(prior * (1 - stop)), math.log(stop), prior)
 
     @staticmethod
     def _of(strings: list[bytes]) -> np.ndarray:
@@ -155,9 +162,9 @@ class Lattice:
         return counts, len(words)
 
     def fitted(self, counts: np.ndarray, words: float) -> Lattice:
-        smooth = counts + 0.01
+        smooth = counts + (PRIOR * words + 0.01) * self.prior
         total = smooth.sum() + words + 0.01
-        return Lattice(self.pieces, np.log(smooth / total), math.log((words + 0.01) / total))
+        return Lattice(self.pieces, np.log(smooth / total), math.log((words + 0.01) / total), self.prior)
 
 
 def _by_length(words: list[bytes], limit: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
