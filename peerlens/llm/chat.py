@@ -1,16 +1,20 @@
 """Collapses cumulative snapshots of chats and renders those that stay.
 
 Loggers often store a conversation after every turn, so that each log is a prefix of the next. A rolling hash over the
-turns names every prefix of every conversation; a conversation whose full name is a proper prefix of another is dropped
-by an anti-join, and of equal conversations the one with the smallest id stays.
+turns names every prefix of every conversation: running sums, in a window over the conversation's turns, of two hashes of
+each turn with its place. A conversation whose full name is a proper prefix of another is dropped by an anti-join, and of
+equal conversations the one with the smallest id stays. Turns stay rows (which the window may spill) until the
+conversations that are left are put together.
 
 Defined cases: turns are ordered by turn (null first), then role, then text; null roles and texts count as empty, and
-repeated rows as further turns. A null conv_id is a conversation of its own. An empty table gives an empty result.
+repeated rows, or others with the same turn, as further turns. Rows with a null conv_id are one conversation. A very long
+text is hashed whole; a conversation that stays is one row. An empty table gives an empty result. Extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -19,36 +23,28 @@ from . import common
 TEMPLATE = ("<|", "|>\n", "\n")
 
 
-def _prefixes(turns: Column) -> Column:
-    """For every prefix its name: two chained 64-bit hashes, and the number of turns."""
-    chained = F.aggregate(
-        turns,
-        F.array().cast("array<struct<a:bigint,b:bigint>>"),
-        lambda acc, t: F.concat(
-            acc,
-            F.array(
-                F.struct(
-                    F.xxhash64(F.coalesce(F.try_element_at(acc, F.lit(-1))["a"], F.lit(11).cast("long")), t["role"], t["text"]).alias("a"),
-                    F.xxhash64(t["text"], F.coalesce(F.try_element_at(acc, F.lit(-1))["b"], F.lit(23).cast("long")), t["role"]).alias("b"),
-                )
-            ),
-        ),
-    )
-    return F.transform(chained, lambda x, i: F.struct(x["a"].alias("a"), x["b"].alias("b"), (i + 1).alias("n")))
+def prefixes(turns: DataFrame) -> DataFrame:
+    """conv_id, n (a turn's place, from 1), total, role, text, and a and b: the name of the prefix that ends with it."""
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = rows.withColumns({"n": F.row_number().over(order), "total": F.count("*").over(Window.partitionBy("conv_id"))})
+    # As decimals, since 64-bit sums would overflow.
+    hashed = numbered.withColumns({"a": F.xxhash64("n", "role", "text").cast("decimal(20,0)"), "b": F.xxhash64("text", F.lit(23), "role", "n").cast("decimal(20,0)")})
+    return hashed.select("conv_id", "n", "total", "role", "text", F.sum("a").over(running).alias("a"), F.sum("b").over(running).alias("b"))
 
 
 def collapse(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns and turns (array of role, text) of the conversations that stay."""
-    row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    convs = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("turns")).withColumn("names", _prefixes(F.col("turns")))
-    # Two readers below; the written form also survives the loss of an executor.
-    convs = common.stored(convs.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"), "names"), "chats")
-    proper = convs.select(F.explode(F.slice("names", F.lit(1), F.size("names") - 1)).alias("p")).select("p.*").distinct()
-    full = convs.withColumn("name", F.element_at("names", -1)).select("conv_id", F.col("name.a").alias("a"), F.col("name.b").alias("b"), F.col("name.n").alias("n"))
+    # Three readers below; the written form also survives the loss of an executor.
+    rows = common.stored(prefixes(turns), "turns")
+    proper = rows.where("n < total").select("a", "b", "n").distinct()
     # Equal conversations fold in a partial aggregation before anything is shuffled by name. The struct keeps a null id.
-    single = full.groupBy("a", "b", "n").agg(F.min(F.struct("conv_id")).alias("one")).join(proper, ["a", "b", "n"], "left_anti")
-    stay = single.select(F.col("one.conv_id").alias("id"))
-    return convs.join(stay, F.col("conv_id").eqNullSafe(F.col("id")), "left_semi").select("conv_id", F.size("turns").alias("n_turns"), "turns")
+    full = rows.where("n = total").groupBy("a", "b", "n").agg(F.min(F.struct("conv_id")).alias("one"))
+    stay = full.join(proper, ["a", "b", "n"], "left_anti").select(F.col("one.conv_id").alias("id"))
+    left = rows.join(stay, F.col("conv_id").eqNullSafe(F.col("id")), "left_semi")
+    each = left.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("n", "role", "text"))).alias("turns"))
+    return each.select("conv_id", F.size("turns").alias("n_turns"), F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
 def render(convs: DataFrame) -> DataFrame:

@@ -191,3 +191,16 @@ def test_chat_collapse(spark):
     assert set(got) == {4, 5, None, 7}
     assert got[4].rendered == "<|user|>\nhi\n<|user|>\n\n"
     assert chat.collapse(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_chat_ties_long_texts_and_other_columns(spark):
+    """Turns with one number follow by role and text; columns that are called like inner ones are ignored."""
+    long = "word " * 200_000
+    schema = "conv_id long, turn long, role string, text string, n int, total int, a string, id long"
+    more = (1, 2, "x", 3)
+    rows = [(1, 0, "user", "b", *more), (1, 0, "user", "a", *more), (1, None, "z", long, *more)]
+    rows += [(2, 0, "user", "a", *more), (2, None, "z", long, *more)]
+    rows += [(3, 1, "user", "a", *more), (3, 1, "user", "a", *more)] + [(4, k, "user", f"t{k}", *more) for k in range(3000)] + [(5, k, "user", f"t{k}", *more) for k in range(2999)]
+    got = {r.conv_id: r for r in chat.collapse(spark.createDataFrame(rows, schema)).collect()}
+    assert set(got) == {1, 3, 4} and got[4].n_turns == 3000
+    assert [t.text for t in got[1].turns] == [long, "a", "b"] and [t.text for t in got[3].turns] == ["a", "a"]
