@@ -22,7 +22,8 @@ Words that make up one in `HOT` of all training tokens or more (so there are at
 tasks) are scored where the document is; only the others are shuffled, as 64-bit hashes, to the table of words.
 
 Defined cases: a null or empty text consists of the end only; a null doc_id counts as the empty text in the crc; repeated
-rows are scored (and counted) each; without training documents only the pieces weigh in; an empty table gives no rows.
+rows are scored (and counted) each; without training documents only the pieces weigh in; an empty table gives no rows; a very long
+text's words are counted in its row before they are joined. Columns but doc_id, text and lang are ignored.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ approximate (up to hash collisions) and none has a cap.
 
 Defined cases: a null or empty text, or one without words, has no shingles and is linked with nothing; equal sets link;
 repeated rows are documents of one class; a null doc_id takes part, but is no component_id unless alone; an empty table
-gives no rows.
+gives no rows; a very long text's set is one row of eight bytes for each shingle. Other columns are ignored by
+`ngram_components` and kept, whatever their names, by `one_of_each`.
 """
 
 from __future__ import annotations
@@ -504,16 +505,17 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     # Written, so that the join below has an exchange on each side and can be split where a group is large.
     first = common.stored(rooted.groupBy("root").agg(F.min(place).alias("first")), "first")
-    gone = rooted.join(first, "root").where(place > F.col("first")).select(F.col("doc_id").alias("_gone"), F.col("th").alias("_th")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.xxhash64("text") == F.col("_th"))
+    own, th, row = (common.fresh(docs.columns, c) for c in ("gone", "th", "row"))
+    gone = rooted.join(first, "root").where(place > F.col("first")).select(F.col("doc_id").alias(own), F.col("th").alias(th)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(th))
     left = docs.join(gone, same, "left_anti")
     # Rows that share both doc_id and text are one place.
-    again = named.where("n_shingles > 0").groupBy(F.col("doc_id").alias("_gone"), F.col("th").alias("_th")).count().where("count > 1").drop("count")
+    again = named.where("n_shingles > 0").groupBy(F.col("doc_id").alias(own), F.col("th").alias(th)).agg(F.count("*").alias(row)).where(F.col(row) > 1).drop(row)
     again = common.stored(again, "again")
     if again.isEmpty():
         return left
-    one = left.join(again, same, "left_semi").groupBy("doc_id", F.xxhash64("text").alias("_th")).agg(F.min(F.struct(*docs.columns)).alias("_row"))
-    return left.join(again, same, "left_anti").unionByName(one.select("_row.*"))
+    one = left.join(again, same, "left_semi").groupBy("doc_id", F.xxhash64("text").alias(th)).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(row))
+    return left.join(again, same, "left_anti").unionByName(one.select(f"{row}.*"))
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
