@@ -46,54 +46,54 @@ def answer_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.substring("p_brand", 7, 9).cast("int").alias("seq"), F.lit("T").alias("target"), F.concat(F.lit("P"), "p_brand").alias("peer"), *_KINDS)
 
 
-_ITEMS = """parts AS (SELECT p_partkey AS k, p_name AS name, p_type, p_brand, CAST(substr(p_brand, 7) AS INT) AS seq, p_partkey % 4 AS l, row_number() OVER (PARTITION BY p_brand, p_partkey % 4 ORDER BY p_partkey) AS pos, p_size FROM part),
+ITEMS = """parts AS (SELECT p_partkey AS k, p_name AS name, p_type, p_brand, CAST(substr(p_brand, 7) AS INT) AS seq, p_partkey % 4 AS l, row_number() OVER (PARTITION BY p_brand, p_partkey % 4 ORDER BY p_partkey) AS pos, p_size FROM part),
 items AS (SELECT *, printf('X%04d', k % 500) AS citation_id, CASE WHEN l IN (0, 2) THEN 'Risk' ELSE 'Metric' END AS type, CASE WHEN l < 2 THEN 'target' ELSE 'peer' END AS role, CASE WHEN l < 2 THEN 'T' ELSE 'P' || p_brand END AS company,
   CASE WHEN l IN (0, 2) THEN name || ' — About ' || name ELSE name || ' = ' || p_size || ' USD (' || (k % 4 + 2020) || ')' END AS summary,
   CASE WHEN k % 5 <> 0 THEN 'Tag' || p_brand ELSE '' END AS tag, CASE WHEN k % 9 <> 0 THEN CAST(k % 7 AS VARCHAR) ELSE '' END AS link_cik,
   CASE WHEN k % 3 = 1 THEN repeat(name || ' ', 12) WHEN k % 3 = 2 THEN 'short' END AS source_text, CASE WHEN k % 3 = 0 THEN 'because' END AS why FROM parts WHERE k % 50 <> 49)"""
 
 
-@query(f"""WITH {_ITEMS}, r AS (SELECT *, row_number() OVER (PARTITION BY citation_id ORDER BY seq DESC, l DESC, pos DESC) AS n FROM items)
+@query(f"""WITH {ITEMS}, r AS (SELECT *, row_number() OVER (PARTITION BY citation_id ORDER BY seq DESC, l DESC, pos DESC) AS n FROM items)
 SELECT citation_id, type, role, company, summary FROM r WHERE n = 1""")
 def source_registry(spark, sf):
     """All sources by citation; the last write counts."""
     return qa.registry(answer_rows(spark, sf)).select("citation_id", "type", "role", "company", "summary")
 
 
-@query(f"""WITH {_ITEMS}, r AS (SELECT *, row_number() OVER (PARTITION BY citation_id ORDER BY seq DESC, l DESC, pos DESC) AS n FROM items) SELECT type, role, count(*) AS n FROM r WHERE n = 1 GROUP BY 1, 2""")
+@query(f"""WITH {ITEMS}, r AS (SELECT *, row_number() OVER (PARTITION BY citation_id ORDER BY seq DESC, l DESC, pos DESC) AS n FROM items) SELECT type, role, count(*) AS n FROM r WHERE n = 1 GROUP BY 1, 2""")
 def registry_counts(spark, sf):
     return qa.registry_counts(qa.registry(answer_rows(spark, sf)))
 
 
-@query(f"""WITH {_ITEMS}, r AS (SELECT *, row_number() OVER (PARTITION BY citation_id ORDER BY seq, l, pos) AS n FROM items), o AS (SELECT * FROM r WHERE n = 1),
+@query(f"""WITH {ITEMS}, r AS (SELECT *, row_number() OVER (PARTITION BY citation_id ORDER BY seq, l, pos) AS n FROM items), o AS (SELECT * FROM r WHERE n = 1),
 s AS (SELECT *, row_number() OVER (PARTITION BY type, company, CASE WHEN type = 'Metric' THEN p_type ELSE citation_id END ORDER BY seq, l, pos) AS m FROM o) SELECT citation_id, type, company, summary FROM s WHERE m = 1""")
 def judged_chunks(spark, sf):
     """Sources to be judged: the first write counts; of a company's metrics one for each concept."""
     return qa.chunks(answer_rows(spark, sf)).select("citation_id", "type", "company", "summary")
 
 
-@query(f"""WITH {_ITEMS}, r AS (SELECT *, row_number() OVER (PARTITION BY citation_id ORDER BY seq, l, pos) AS n FROM items)
+@query(f"""WITH {ITEMS}, r AS (SELECT *, row_number() OVER (PARTITION BY citation_id ORDER BY seq, l, pos) AS n FROM items)
 SELECT citation_id, type, company, role, CASE WHEN k % 2 = 1 THEN 'https://x/' || p_brand WHEN k % 9 <> 0 THEN 'https://x/CIK00' || (k % 7) || '.json' END AS document_url, CAST(k % 30 AS VARCHAR) AS source_page,
   CASE WHEN k % 6 <> 0 THEN p_type END AS section_title, summary FROM r WHERE n = 1""")
 def citation_map(spark, sf):
     return qa.citation_map(answer_rows(spark, sf))
 
 
-@query(f"""WITH {_ITEMS}, m AS (SELECT * FROM items WHERE l = 3 AND link_cik <> '' AND tag <> ''), r AS (SELECT *, row_number() OVER (PARTITION BY citation_id ORDER BY seq, l, pos) AS n FROM m)
+@query(f"""WITH {ITEMS}, m AS (SELECT * FROM items WHERE l = 3 AND link_cik <> '' AND tag <> ''), r AS (SELECT *, row_number() OVER (PARTITION BY citation_id ORDER BY seq, l, pos) AS n FROM m)
 SELECT citation_id, company, link_cik AS cik, tag AS xbrl_tag FROM r WHERE n = 1""")
 def peer_metric_items(spark, sf):
     """Peers' metrics with a tag and a CIK in their link."""
     return qa.peer_metric_items(answer_rows(spark, sf)).select("citation_id", "company", "cik", "xbrl_tag")
 
 
-@query(f"""WITH {_ITEMS}, c AS (SELECT *, CASE WHEN k % 3 = 1 THEN source_text ELSE '' END AS chunk_text FROM items WHERE l = 2)
+@query(f"""WITH {ITEMS}, c AS (SELECT *, CASE WHEN k % 3 = 1 THEN source_text ELSE '' END AS chunk_text FROM items WHERE l = 2)
 SELECT citation_id, company, CAST(k % 7 AS VARCHAR) AS cik, name AS risk_theme, chunk_text, CASE WHEN chunk_text = '' THEN 'missing' END AS skip_reason FROM c""")
 def risk_chunks(spark, sf):
     """Peers' risks with the text to judge; nothing falls out as a repeat."""
     return qa.risk_chunks(answer_rows(spark, sf))
 
 
-@query(f"""WITH {_ITEMS}, r AS (SELECT *, row_number() OVER (PARTITION BY citation_id ORDER BY seq, l, pos) AS n FROM items WHERE l < 2)
+@query(f"""WITH {ITEMS}, r AS (SELECT *, row_number() OVER (PARTITION BY citation_id ORDER BY seq, l, pos) AS n FROM items WHERE l < 2)
 SELECT citation_id, type, name AS extracted_name, CAST(p_size AS VARCHAR) AS extracted_value, CASE WHEN type = 'Risk' THEN CASE WHEN length(trim(coalesce(source_text, ''))) >= 80 THEN trim(source_text) ELSE 'About ' || name || CASE WHEN why IS NOT NULL THEN ' | because' ELSE '' END END
   ELSE coalesce(source_text, concat_ws(' | ', CASE WHEN k % 6 <> 0 THEN 'Section: ' || p_type END, 'Page: ' || (k % 30), CASE WHEN tag <> '' THEN 'Tag: ' || tag END)) END AS source_text FROM r WHERE n = 1""")
 def target_chunks(spark, sf):

@@ -13,8 +13,12 @@ STATE = "job_id string, fiscal_year int, file_path string, main_company string,
 HITS = "hits struct<hits:array<struct<_id:string,_source:struct<ciks:array<string>,display_names:array<string>,form:string,adsh:string,file_date:string,period_ending:string>>>>"
 
 
+#: Sections as a flat list in the order of the document; pages of leaves only.
+SECTIONS = "doc string, sections array<struct<pos:int,title:string,level:int,parent:int,leaf:boolean,word_count:bigint,text_length:bigint,pages:array<struct<page_number:int,content:string>>>>"
+
+
 def sections(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(path, multiLine=True)
+    return spark.read.schema(SECTIONS).json(path, multiLine=True)
 
 
 def relations(spark: SparkSession, path: str) -> DataFrame:
