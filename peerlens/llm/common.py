@@ -244,7 +244,7 @@ class CachedEncoder:
     a special token) are encoded whole.
     """
 
-    def __init__(self, path: str, leading_space: bool, most: int = 600_000):
+    def __init__(self, path: str, leading_space: bool, most: int = 400_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -9,7 +9,8 @@ Sequences are made in groups of about `group_tokens` tokens inside a partition,
 bounded. A document longer than a group is still one list of ids.
 
 Defined cases: a null text counts as empty and gives its end id only; repeated rows are packed as often as they come; an
-empty table gives no rows. Extra columns are ignored.
+empty table gives no rows; a very long text is cut into as many sequences as it fills. Extra columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -95,7 +96,7 @@ def pack(docs: DataFrame, tokenizer: str, leading_space: bool = True, end_id: in
             base += int(table[:, 3].max()) + 1
             return pa.RecordBatch.from_arrays(rows, names=[*COLUMNS, *["ids"] * with_ids])
 
-        for batch in common.slices(batches, "text"):
+        for batch in common.slices(batches, "text", 1 << 20):
             ids, counts = encode(batch.column("text").to_pylist())
             sizes = counts + 1
             whole = np.full(int(sizes.sum()), end_id, "<u4")
