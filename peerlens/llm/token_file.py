@@ -11,7 +11,8 @@ Segments are rows of a Parquet table (part, number in the part, documents, token
 can hold them, and a lost task writes its own part again.
 
 Defined cases: a null or empty text is its end id alone; a null doc_id sorts first; rows that repeat a doc_id follow one
-another by text; an empty table gives an empty file. Extra columns are ignored.
+another by text; an empty table gives an empty file; a very long text's ids stay together in one segment, which grows with
+them. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,13 +44,13 @@ class ChecksumError(ValueError):
 
 
 class _Model:
-    """Predictions for many blocks at once; the coder and the decoder drive equal copies of it."""
+    """Predictions for many blocks at once; the coder and the decoder drive equal copies of it. A table's entry is an id and,
+    in its two lowest bits, how sure it is."""
 
     def __init__(self, lanes: int, cumulative: np.ndarray):
         self.cum = cumulative.astype(np.int64)
         self.row = np.arange(lanes, dtype=np.int64)
-        self.id2, self.sure2 = np.full(lanes * SLOTS2, -1, np.int32), np.zeros(lanes * SLOTS2, np.int8)
-        self.id1, self.sure1 = np.full(lanes * SLOTS1, -1, np.int32), np.zeros(lanes * SLOTS1, np.int8)
+        self.table2, self.table1 = np.full(lanes * SLOTS2, -4, np.int32), np.full(lanes * SLOTS1, -4, np.int32)
         self.rate2, self.rate1 = np.full(lanes * 16, 1 << 15, np.int32), np.full(lanes * 16, 1 << 14, np.int32)
         self.base2, self.base1, self.base = self.row * SLOTS2, self.row * SLOTS1, self.row * 16
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
@@ -58,39 +59,44 @@ class _Model:
         """Sets both candidates and the weights w2, w1 and w0, which sum to 2^SCALE."""
         self.slot2 = self.base2 + (((self.last * 0x9E3B + self.before * 0x2F0D5) ^ (self.last >> 5)) & (SLOTS2 - 1))
         self.slot1 = self.base1 + ((self.last ^ (self.last >> 9)) & (SLOTS1 - 1))
-        self.c2, self.c1 = self.id2[self.slot2], self.id1[self.slot1]
-        self.s2, self.s1 = self.sure2[self.slot2], self.sure1[self.slot1]
+        self.v2, self.v1 = self.table2.take(self.slot2), self.table1.take(self.slot1)
+        self.c2, self.c1 = self.v2 >> 2, self.v1 >> 2
+        self.s2, self.s1 = self.v2 & 3, self.v1 & 3
         self.at = self.base + (self.s2 * 4 + self.s1)
-        self.p2, self.p1 = self.rate2[self.at], self.rate1[self.at]
+        self.p2, self.p1 = self.rate2.take(self.at), self.rate1.take(self.at)
         # At most 3/4 of what is left goes to each candidate, so order 0 keeps a sixteenth.
-        self.w2 = np.where(self.s2 > 0, self.p2.astype(np.int64) * 192, 0)
+        self.w2 = self.p2.astype(np.int64) * (192 * (self.s2 > 0))
         left = (1 << SCALE) - self.w2
-        self.w1 = np.where((self.s1 > 0) & (self.c1 != self.c2), (left >> 16) * (self.p1.astype(np.int64) * 3 >> 2), 0)
+        self.w1 = (left >> 16) * (self.p1.astype(np.int64) * 3 >> 2) * ((self.s1 > 0) & (self.c1 != self.c2))
+        self.both = self.w2 + self.w1
         self.w0 = left - self.w1
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of the ids' shares."""
-        two = (ids == self.c2) & (self.w2 > 0)
-        one = (ids == self.c1) & (self.w1 > 0)
-        low = self.cum[ids] * self.w0 >> STATIC
-        high = self.cum[ids + 1] * self.w0 >> STATIC
-        both = self.w2 + self.w1
-        start = np.where(two, 0, np.where(one, self.w2, both + low))
+        self.hit2, self.hit1 = ids == self.c2, ids == self.c1
+        two = self.hit2 & (self.w2 > 0)
+        one = self.hit1 & (self.w1 > 0)
+        low = self.cum.take(ids) * self.w0 >> STATIC
+        high = self.cum.take(ids + 1) * self.w0 >> STATIC
+        start = np.where(two, 0, np.where(one, self.w2, self.both + low))
         return start, np.where(two, self.w2, np.where(one, self.w1, high - low))
 
     def learn(self, ids: np.ndarray) -> None:
-        hit2, hit1 = ids == self.c2, ids == self.c1
-        self.rate2[self.at] = self.p2 + (((hit2.astype(np.int32) << 16) - self.p2) >> 5)
-        missed = ~hit2
-        rate1 = self.p1 + (((hit1.astype(np.int32) << 16) - self.p1) >> 5)
-        self.rate1[self.at] = np.where(missed, rate1, self.p1)
-        for hit, cand, sure, slot, table, sureness in ((hit2, self.c2, self.s2, self.slot2, self.id2, self.sure2), (hit1, self.c1, self.s1, self.slot1, self.id1, self.sure1)):
-            stay = hit | (sure > 1)
-            table[slot] = np.where(stay, cand, ids)
-            sureness[slot] = np.where(hit, np.minimum(sure + 1, 3), np.where(sure > 1, sure - 1, 1))
+        """Of the ids that interval() was last asked for."""
+        self.rate2[self.at] = self.p2 + (((self.hit2.astype(np.int32) << 16) - self.p2) >> 5)
+        rate1 = self.p1 + (((self.hit1.astype(np.int32) << 16) - self.p1) >> 5)
+        self.rate1[self.at] = np.where(self.hit2, self.p1, rate1)
+        new = (ids << 2 | 1).astype(np.int32)
+        for hit, value, sure, slot, table in ((self.hit2, self.v2, self.s2, self.slot2, self.table2), (self.hit1, self.v1, self.s1, self.slot1, self.table1)):
+            table[slot] = np.where(hit, value + (sure < 3), np.where(sure > 1, value - 1, new))
         self.before, self.last = self.last, ids
 
 
+def _unsettled(low: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Where the first 16 bits are settled, or the width has become too small."""
+    return ((low ^ (low + width)) < _TOP) | (width < _BOT)
+
+
 def _shares(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids and their numbers, scaled to sum to 2^STATIC with at least 1 each."""
     distinct, counts = np.unique(ids, return_counts=True)
@@ -118,16 +124,15 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.n
         width >>= _U(SCALE)
         low += width * start.astype(_U)
         width *= share.astype(_U)
-        while True:
-            apart = (low ^ (low + width)) >= _TOP
-            go = np.flatnonzero(~apart | (width < _BOT))
-            if not len(go):
-                break
+        go = np.flatnonzero(_unsettled(low, width))
+        while len(go):
             w, x = width[go], low[go]
-            w = np.where(apart[go], (_U(0) - x) & (_BOT - _U(1)), w)
+            w = np.where((x ^ (x + w)) >= _TOP, (_U(0) - x) & (_BOT - _U(1)), w) << _U(16)
             out[go, place[go]] = (x >> _U(48)).astype(np.uint16)
             place[go] += 1
-            low[go], width[go] = x << _U(16), w << _U(16)
+            x <<= _U(16)
+            low[go], width[go] = x, w
+            go = go[_unsettled(x, w)]
     for k in range(4):
         out[model.row, place + k] = (low >> _U(48 - 16 * k)).astype(np.uint16)
     return distinct, shares, [out[i, : n + 4].astype("<u2").tobytes() for i, n in enumerate(place.tolist())]
@@ -152,25 +157,23 @@ def decode_blocks(distinct: np.ndarray, shares: np.ndarray, blocks: list[bytes],
         model.predict()
         width >>= _U(SCALE)
         value = np.minimum((code - low) // width, _U((1 << SCALE) - 1)).astype(np.int64)
-        both = model.w2 + model.w1
-        rest = np.maximum(value - both, 0)
-        free = of_slot[np.minimum((((rest + 1) << STATIC) - 1) // model.w0, (1 << STATIC) - 1)]
-        own = np.where(value < model.w2, model.c2, np.where(value < both, model.c1, free)).astype(np.int64)
+        rest = np.maximum(value - model.both, 0)
+        free = of_slot.take(np.minimum((((rest + 1) << STATIC) - 1) // model.w0, (1 << STATIC) - 1))
+        own = np.where(value < model.w2, model.c2, np.where(value < model.both, model.c1, free)).astype(np.int64)
         start, share = model.interval(own)
         model.learn(own)
         out[t] = own
         low += width * start.astype(_U)
         width *= share.astype(_U)
-        while True:
-            apart = (low ^ (low + width)) >= _TOP
-            go = np.flatnonzero(~apart | (width < _BOT))
-            if not len(go):
-                break
+        go = np.flatnonzero(_unsettled(low, width))
+        while len(go):
             w, x = width[go], low[go]
-            w = np.where(apart[go], (_U(0) - x) & (_BOT - _U(1)), w)
+            w = np.where((x ^ (x + w)) >= _TOP, (_U(0) - x) & (_BOT - _U(1)), w) << _U(16)
             code[go] = code[go] << _U(16) | words[go, np.minimum(place[go], longest + 7)].astype(_U)
             place[go] += 1
-            low[go], width[go] = x << _U(16), w << _U(16)
+            x <<= _U(16)
+            low[go], width[go] = x, w
+            go = go[_unsettled(x, w)]
     return distinct[np.ascontiguousarray(out.T).ravel()]
 
 
@@ -236,7 +239,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, leading_space: bool
             kinds = [pa.int64()] * 4 + [pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=["part", "number", "n_docs", "n_tokens", "body"])
 
-        for batch in common.slices(batches, "text"):
+        for batch in common.slices(batches, "text", 1 << 20):
             ids, counts = encode(batch.column("text").to_pylist())
             sizes = counts + 1
             whole = np.full(int(sizes.sum()), end_id, np.uint32)
