@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
+from .numbering import numbered
 
 SCHEMA = "idx int, action string, merge_into int, value string, unit string, gaap_concept string, category string, reason string"
 
@@ -141,9 +142,9 @@ def chosen_industry(candidates: DataFrame, valid: DataFrame, choice: DataFrame)
 
 def fixed_batches(df: DataFrame, size: int, order: str = "idx", group: str | None = None) -> DataFrame:
     """batch and position in it, counted from 0."""
-    w = Window.partitionBy(*([group] if group else [])).orderBy(order)
-    place = F.row_number().over(w) - 1
-    return df.withColumn("batch", F.floor(place / size).cast("int")).withColumn("pos", (place % size).cast("int"))
+    place = F.col("_n") - 1
+    out = numbered(df, [group] if group else [], [order], "_n")
+    return out.withColumn("batch", F.floor(place / size).cast("int")).withColumn("pos", (place % size).cast("int")).drop("_n")
 
 
 def size_batches(lengths: Column, least: int = 5000) -> Column:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers
+from .numbering import numbered
 
 EDGES = "src_label string, src string, rel string, dst_label string, dst string, props map<string,string>"
 
@@ -16,6 +17,8 @@ def upsert_nodes(old: DataFrame, new: DataFrame, keys: Sequence[str], seq: str =
     """New properties overwrite old ones where they are given; of several writes to a key the last given value counts.
     Columns in on_create are only set when the node is made."""
     props = [c for c in new.columns if c not in {*keys, seq}]
+    if not props:  # nodes that have a key only
+        return old.join(new.select(*keys).distinct(), list(keys), "full")
     last = new.groupBy(*keys).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(seq))).alias(f"_new_{c}") if c not in on_create else F.min_by(c, seq).alias(f"_new_{c}") for c in props])
     both = old.join(last, list(keys), "full")
     cols = [F.coalesce(f"_new_{c}", c).alias(c) if c in old.columns and c not in on_create else F.coalesce(c, f"_new_{c}").alias(c) if c in old.columns else F.col(f"_new_{c}").alias(c) for c in props]
@@ -129,10 +132,8 @@ def citation_ids(df: DataFrame, prefix: str, order: Sequence[str], job: Sequence
     """citation_id: the prefix and a running number of four digits, within each job."""
     if not job:
         raise ValueError("citations are numbered within jobs; name the columns that tell them apart")
-    w = Window.partitionBy(*job).orderBy(*order)
-    return df.withColumn("citation_id", F.format_string(f"{prefix}%04d", F.row_number().over(w)))
+    return numbered(df, job, order, "_n").withColumn("citation_id", F.format_string(f"{prefix}%04d", "_n")).drop("_n")
 
 
 def risk_ids(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy("cik").orderBy(*order)
-    return df.withColumn("risk_id", F.format_string("%s_risk_%d", F.col("cik").cast("string"), F.row_number().over(w)))
+    return numbered(df, ["cik"], order, "_n").withColumn("risk_id", F.format_string("%s_risk_%d", F.col("cik").cast("string"), "_n")).drop("_n")
