@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import lenses as ln
@@ -280,18 +280,25 @@ def valid_peer_risks(spark, sf):
     return entities.valid_peer_risks(d, "Acme").select("k", "organization", entities.source_paragraph(paragraphs, F.col("source_index")).alias("source_text"))
 
 
-@query(r"""WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS n FROM documents), t AS (SELECT * FROM d WHERE n > 30)
-SELECT source AS cik, source || '_risk_' || row_number() OVER (PARTITION BY source ORDER BY doc_id) AS risk_id, printf('PEER_R%04d', row_number() OVER (ORDER BY source, doc_id)) AS citation_id, CAST(doc_id AS VARCHAR) AS risk_name FROM t""")
-def structured_peer_risks(spark, sf):
-    """Every filing's paragraphs in batches, a model's reply for each batch, and numbered risks with their paragraph."""
+def risk_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Every source as a filing whose risks are its longer texts, in batches."""
     flat = F.regexp_replace("text", r"(?U)\s+", " ")
     long = ln.table(spark, sf, "documents").where(text.word_count(F.col("text")) > 30).select("source", "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(" "), flat).alias("p"))
     filings_ = long.groupBy(F.col("source").alias("cik")).agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "p"))), lambda x: x["p"]).alias("individual_risks")).withColumn("company", F.concat(F.lit("C"), "cik"))
-    batches = peers.risk_batches(filings_)
-    # The reply names each paragraph of the prompt by its first word.
+    return peers.risk_batches(filings_)
+
+
+def risk_reply() -> Column:
+    """The reply to a batch: it names each paragraph of the prompt by its first word."""
     lines = F.regexp_extract_all("prompt", F.lit(r"(?m)^\[(\d+)\]\n(\d+) "), F.lit(2))
-    reply = F.to_json(F.transform(lines, lambda x, i: F.struct(x.alias("risk_name"), F.lit("a description of some length").alias("description"), F.lit("w").alias("why"), F.lit("").alias("organization"), i.alias("source_index"))))
-    out = peers.structured_risks(batches, provider.Rules(reply), "job")
+    return F.to_json(F.transform(lines, lambda x, i: F.struct(x.alias("risk_name"), F.lit("a description of some length").alias("description"), F.lit("w").alias("why"), F.lit("").alias("organization"), i.alias("source_index"))))
+
+
+@query(r"""WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS n FROM documents), t AS (SELECT * FROM d WHERE n > 30)
+SELECT source AS cik, source || '_risk_' || row_number() OVER (PARTITION BY source ORDER BY doc_id) AS risk_id, printf('PEER_R%04d', row_number() OVER (ORDER BY source, doc_id)) AS citation_id, CAST(doc_id AS VARCHAR) AS risk_name FROM t""")
+def structured_peer_risks(spark, sf):
+    """Every filing's paragraphs in batches, a model's reply for each batch, and numbered risks with their paragraph."""
+    out = peers.structured_risks(risk_batches(spark, sf), provider.Rules(risk_reply()), "job")
     return out.where(F.col("source_text").startswith(F.col("risk_name"))).select("cik", "risk_id", "citation_id", "risk_name")
 
 

@@ -8,24 +8,27 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import claims, facts, scores
+from ..operators import batches, claims, facts, scores
+from ..operators.numbering import numbered
+from ..sources.shared import stored
 from . import qa
 from .provider import Provider, numbered_prompt
 
 #: Items in a call of each test, questions that are made from an answer, characters of a source.
 CALLS = {"context_precision": 20, "target_validation": 8, "risk_peers_validation": 10, "faithfulness": 10}
 QUESTIONS, SOURCE_CHARS = 5, 600
+PAIRS = "Answer each theme on a line of its own: chunk.theme, YES or NO, and why."
 YES_NO = "Answer each item on a line of its own: its number, YES or NO, and why."
 
 
 def yes_no(items: DataFrame, provider: Provider, test: str, head: str, item: Column, order: str, job: Sequence[str] = ("job_id",)) -> DataFrame:
     """items with verdict and explanation, judged in calls of as many as the test allows."""
-    place = F.row_number().over(Window.partitionBy(*job).orderBy(order)) - 1
-    dealt = items.withColumns({"batch": F.floor(place / CALLS[test]).cast("int"), "item": (place % CALLS[test] + 1).cast("int")})
+    place = F.col("_n") - 1
+    dealt = numbered(items, job, [order], "_n").withColumns({"batch": F.floor(place / CALLS[test]).cast("int"), "item": (place % CALLS[test] + 1).cast("int")}).drop("_n")
     asked = numbered_prompt(f"{head}\n{YES_NO}", item, [*job, "batch"], "item", dealt)
     asked = asked.select(*job, F.lit(test).alias("phase"), F.col("batch").alias("idx"), "prompt", "n", "batch")
     said = claims.verdicts(provider.replies(asked), [*job, "batch"])
@@ -50,11 +53,35 @@ def target_validation(rows: DataFrame, provider: Provider, job: str) -> DataFram
     return out.select("citation_id", "type", "extracted_name", F.col("verdict").cast("string").alias("is_correctly_extracted"), "explanation")
 
 
+def risk_calls(found: DataFrame, job: Sequence[str] = ("job_id",), most: int = CALLS["risk_peers_validation"]) -> DataFrame:
+    """The evaluations (chunk_text, risk_theme, citation_id) with the call, chunk and theme numbers under which they are asked.
+    Rows of one text are asked together, in slices of at most `most`; slices go to calls in the order of their texts' first
+    rows, and a call takes slices while it has `most` evaluations or fewer."""
+    text_of = F.sha2(F.col("chunk_text").cast("binary"), 256)
+    rows = numbered(found.withColumn("_text", text_of), [*job, "_text"], ["citation_id", "risk_theme"], "_n")
+    rows = rows.withColumns({"_slice": F.floor((F.col("_n") - 1) / most), "theme": ((F.col("_n") - 1) % most + 1).cast("int")})
+    # An evaluation's text comes once for each slice.
+    slices = rows.groupBy(*job, "_text", "_slice").agg(F.count(F.lit(1)).alias("_size"))
+    first = rows.where("_n = 1").select(*job, "_text", F.col("citation_id").alias("_first"))
+    dealt = batches.batched(slices.join(first, [*job, "_text"]), job, ["_first", "_text", "_slice"], "_size", batches.by_call(most), "call")
+    placed = numbered(dealt, [*job, "call"], ["_first", "_text", "_slice"], "chunk").withColumn("chunk", F.col("chunk").cast("int"))
+    return rows.join(placed.select(*job, "_text", "_slice", "call", "chunk"), [*job, "_text", "_slice"]).drop("_text", "_slice", "_n")
+
+
 def risk_peers(rows: DataFrame, provider: Provider, job: str) -> DataFrame:
-    """company_name, risk_theme, is_semantically_relevant, relevance_explanation of peers' risks; texts that can't be judged
-    say why."""
+    """citation_id, company_name, risk_theme, is_semantically_relevant, relevance_explanation of peers' risks. A text is shown
+    once with all themes that are said to come from it; texts that can't be judged say why."""
     found = qa.risk_chunks(rows).withColumn("job_id", F.lit(job))
-    ok = yes_no(found.where("skip_reason is null"), provider, "risk_peers_validation", "Does each text bear out its theme?", F.concat("risk_theme", F.lit(": "), "chunk_text"), "citation_id")
+    dealt = stored(risk_calls(found.where("skip_reason is null")), "calls")
+    line = F.concat(F.col("chunk").cast("string"), F.lit("."), F.col("theme").cast("string"), F.lit(" "), "risk_theme")
+    chunks = dealt.groupBy("job_id", "call", "chunk").agg(F.any_value("chunk_text").alias("t"), F.sort_array(F.collect_list(F.struct("theme", line.alias("line")))).alias("themes"))
+    shown = F.concat(F.lit("Chunk "), F.col("chunk").cast("string"), F.lit("\n"), "t", F.lit("\n"), F.array_join(F.col("themes.line"), "\n"))
+    asked = chunks.groupBy("job_id", F.col("call").cast("int").alias("idx")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", shown.alias("s")))), lambda x: x["s"]), "\n\n").alias("prompt"))
+    asked = asked.withColumns({"phase": F.lit("risk_peers_validation"), "prompt": F.concat(F.lit(f"Does each text bear out its themes?\n{PAIRS}\n\n"), "prompt")})
+    said = claims.pair_verdicts(provider.replies(asked), ["job_id", "idx"])
+    said = said.select("job_id", F.col("idx").cast("long").alias("call"), "chunk", "theme", "verdict", "explanation")
+    ok = dealt.join(said, ["job_id", "call", "chunk", "theme"], "left").drop("call", "chunk", "theme")
+    ok = ok.withColumns({"verdict": F.coalesce("verdict", F.lit(False)), "explanation": F.coalesce("explanation", F.lit(claims.UNPARSED))})
     skipped = found.where("skip_reason is not null").withColumns({"verdict": F.lit(False), "explanation": F.concat(F.lit("Chunk "), "skip_reason")})
     both = ok.unionByName(skipped)
     return both.select("citation_id", F.col("company").alias("company_name"), "risk_theme", F.col("verdict").cast("string").alias("is_semantically_relevant"), F.col("explanation").alias("relevance_explanation"))
@@ -65,8 +92,7 @@ def faithfulness(answers: DataFrame, rows: DataFrame, provider: Provider, job: s
     answer."""
     sources = qa.registry(rows).select("citation_id", F.left("summary", F.lit(SOURCE_CHARS)).alias("summary"))
     found = claims.claims(answers, sources)
-    place = F.row_number().over(Window.partitionBy("answer_id").orderBy("claim_id")) - 1
-    dealt = found.withColumn("batch", F.floor(place / CALLS["faithfulness"]).cast("int"))
+    dealt = numbered(found, ["answer_id"], ["claim_id"], "_n").withColumn("batch", F.floor((F.col("_n") - 1) / CALLS["faithfulness"]).cast("int")).drop("_n")
     shown = dealt.join(sources, F.col("resolved_citation") == F.col("citation_id"), "left")
     line = F.concat(F.lit("CLAIM_ID: "), "claim_id", F.lit("\n"), "claim_text", F.lit("\nUSED_SOURCE: "), "resolved_citation", F.lit("\n"), F.coalesce("summary", F.lit("")))
     asked = shown.groupBy("answer_id", "batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("claim_id", line.alias("t")))), lambda x: x["t"]), "\n---\n").alias("prompt"))

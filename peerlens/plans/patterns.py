@@ -12,10 +12,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.shared import stored
 
 #: Items in a list, rows in a result.
 TARGET_RISKS, PEER_RISKS, TARGET_METRICS, PEER_METRICS = 15, 10, 20, 15
@@ -38,9 +39,22 @@ def _peers(graph: Graph, target: str) -> DataFrame:
     return graph["competes"].where(F.col("target") == target).select("peer", "target").distinct()
 
 
-def _of_peers(rows: DataFrame, graph: Graph, target: str) -> DataFrame:
-    """Only the peers' rows, before they are ranked; the semi-join also moves below what rows aggregate."""
-    return rows.withColumnRenamed("company", "peer").join(_peers(graph, target).select("peer"), "peer", "left_semi")
+def _listed(rows: DataFrame, graph: Graph, target: str, by: list[str], own: tuple[tuple[str, ...], int, str], theirs: tuple[tuple[str, ...], int, str]) -> tuple[DataFrame, DataFrame]:
+    """The lists of the target and of its peers (fields, how many, name), from one pass over the rows of all of them; the
+    semi-join also moves below what rows aggregate. The lists are written once, as plans over answers read them often."""
+    who = _peers(graph, target).select(F.col("peer").alias("company")).unionByName(graph["targets"].where(F.col("name") == target).select(F.col("name").alias("company")))
+    fields = tuple(dict.fromkeys((*own[0], *theirs[0])))
+    every = capped(rows.join(who, "company", "left_semi"), ["company", *by], fields, max(own[1], theirs[1]), "items")
+    every = stored(every, "lists")
+
+    def cut(side: tuple[tuple[str, ...], int, str]) -> Column:
+        there = [f.name for f in every.schema["items"].dataType.elementType.fields if f.name in side[0]]
+        return F.transform(F.slice("items", 1, side[1]), lambda x: F.struct(*[x[f].alias(f) for f in there])).alias(side[2])
+
+    return (
+        every.where(F.col("company") == target).select(F.col("company").alias("target"), *by, cut(own)),
+        every.select(F.col("company").alias("peer"), *by, cut(theirs)),
+    )
 
 
 def risks(graph: Graph, target: str, topics: list[str] | None = None) -> DataFrame:
@@ -48,8 +62,7 @@ def risks(graph: Graph, target: str, topics: list[str] | None = None) -> DataFra
     fitting risks has an empty list, and no peer at all gives one row with a null peer."""
     there = [c for c in TEXT_FIELDS if c in graph["risks"].columns]
     fitting = graph["risks"].where(text.contains_any([F.col(c) for c in there], topics or []))
-    own = capped(fitting.where(F.col("company") == target).withColumnRenamed("company", "target"), ["target"], RISK_FIELDS, TARGET_RISKS, "target_risks")
-    theirs = capped(_of_peers(fitting, graph, target), ["peer"], RISK_FIELDS, PEER_RISKS, "peer_risks")
+    own, theirs = _listed(fitting, graph, target, [], (RISK_FIELDS, TARGET_RISKS, "target_risks"), (RISK_FIELDS, PEER_RISKS, "peer_risks"))
     # The filter sits below the outer join, so a peer without hits stays.
     both = own.join(_peers(graph, target), "target", "left").join(theirs, "peer", "left")
     empty = F.array().cast(theirs.schema["peer_risks"].dataType)
@@ -61,8 +74,7 @@ def metrics(graph: Graph, target: str, categories: list[str] | None = None) -> D
     rows = graph["metrics"]
     if categories:
         rows = rows.where(F.col("category").isin(*categories))
-    own = capped(rows.where(F.col("company") == target).withColumnRenamed("company", "target"), ["target", "category"], METRIC_FIELDS, TARGET_METRICS, "target_metrics")
-    theirs = capped(_of_peers(rows, graph, target), ["peer", "category"], (*METRIC_FIELDS, "source_url"), PEER_METRICS, "peer_metrics")
+    own, theirs = _listed(rows, graph, target, ["category"], (METRIC_FIELDS, TARGET_METRICS, "target_metrics"), ((*METRIC_FIELDS, "source_url"), PEER_METRICS, "peer_metrics"))
     both = own.join(_peers(graph, target), "target", "left").join(theirs, ["peer", "category"], "left")
     empty = F.array().cast(theirs.schema["peer_metrics"].dataType)
     return both.select("target", "category", "target_metrics", "peer", F.coalesce("peer_metrics", empty).alias("peer_metrics")).orderBy("category", "peer").limit(ROWS["lists"])
@@ -137,6 +149,23 @@ _READS = frozenset(
 _OWNERS = {"targets": "name", "peers": "name", "competes": "target", "risks": "company", "metrics": "company", "industries": "company"}
 
 
+#: Functions that a free query may call: of values, of lists and of groups; none that reaches beyond its rows.
+FUNCTIONS = frozenset(
+    """count sum avg mean min max min_by max_by first last any_value median percentile percentile_approx stddev stddev_pop stddev_samp variance var_pop var_samp corr
+    count_if approx_count_distinct bool_and bool_or every some any collect_list collect_set array_agg listagg string_agg mode
+    row_number rank dense_rank percent_rank cume_dist ntile lag lead nth_value
+    lower upper trim ltrim rtrim btrim length char_length character_length concat concat_ws substring substr left right instr locate position replace translate split split_part
+    regexp_like regexp_extract regexp_extract_all regexp_replace regexp_count rlike like ilike startswith endswith contains lpad rpad initcap reverse repeat format_number format_string printf
+    abs ceil ceiling floor round bround sqrt power pow exp ln log log10 log2 sign signum mod pmod greatest least try_divide try_add try_subtract try_multiply try_cast try_to_number
+    coalesce nvl nvl2 nullif ifnull if isnull isnotnull isnan nanvl zeroifnull nullifzero
+    year month day quarter dayofmonth dayofweek dayofyear date date_add date_sub date_diff datediff date_format date_trunc trunc to_date to_timestamp months_between add_months make_date
+    array array_contains array_distinct array_join array_max array_min array_size array_sort sort_array array_union array_intersect array_except array_position array_remove arrays_zip
+    cardinality size element_at get slice flatten transform filter exists forall aggregate reduce explode explode_outer posexplode posexplode_outer inline inline_outer sequence
+    map map_keys map_values map_from_entries map_entries struct named_struct to_json string int bigint double float decimal boolean""".split()
+)
+COLLECTING = frozenset({"collect_list", "collect_set", "array_agg", "listagg", "string_agg"})
+
+
 class QueryRefused(ValueError):
     pass
 
@@ -152,8 +181,38 @@ def _plan_nodes(plan) -> list:
     return out
 
 
-def checked_sql(spark, query: str, views: set[str]) -> None:
-    """Fails unless the query only reads, and only these views and what it names itself."""
+def _expressions(nodes: list) -> list:
+    """All expressions of these nodes, as the parser gives them; those of subqueries are their plans' own."""
+    left, out = [], []
+    for node in nodes:
+        every = node.expressions()
+        left += [every.apply(i) for i in range(every.size())]
+    while left:
+        e = left.pop()
+        out.append(e)
+        below = e.children()
+        left += [below.apply(i) for i in range(below.size())]
+    return out
+
+
+def called(nodes: list) -> set[str]:
+    """Names of the functions that a parsed plan calls; fails where a name isn't plainly there."""
+    out = set()
+    for e in _expressions(nodes):
+        kind = e.getClass().getSimpleName()
+        if kind == "UnresolvedFunction":
+            parts = e.nameParts()
+            out.add(".".join(parts.apply(i).lower() for i in range(parts.size())))
+        elif kind == "UnresolvedGenerator":
+            out.add(e.name().unquotedString().lower())
+        elif "UnresolvedIdentifier" in kind or kind in ("ScalarSubqueryReference", "CallMethodViaReflection", "PythonUDF"):
+            raise QueryRefused(f"{kind} is not allowed")
+    return out
+
+
+def checked_sql(spark, query: str, views: set[str]) -> tuple[bool, bool]:
+    """Fails unless the query only reads, only these views and what it names itself, and calls allowed functions only.
+    Says whether the whole result has a limit, and whether lists are collected."""
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
     nodes = _plan_nodes(plan)
     kinds = {n.getClass().getSimpleName().rstrip("$") for n in nodes}
@@ -169,6 +228,13 @@ def checked_sql(spark, query: str, views: set[str]) -> None:
     named = {n.tableName().lower() for n in nodes if n.getClass().getSimpleName() == "UnresolvedRelation"}
     if taken or not named <= views | own:
         raise QueryRefused(f"no such view of the graph: {', '.join(taken or sorted(named - views - own))}")
+    functions = called(nodes)
+    if not functions <= FUNCTIONS:
+        raise QueryRefused(f"these functions can't be called: {', '.join(sorted(functions - FUNCTIONS))}")
+    top = plan
+    while top.getClass().getSimpleName() in ("UnresolvedWith", "SubqueryAlias"):
+        top = top.child()
+    return top.getClass().getSimpleName() == "GlobalLimit", bool(functions & COLLECTING)
 
 
 def isolated(graph: Graph, target: str) -> Graph:
@@ -194,15 +260,14 @@ def run_sql(graph: Graph, query: str, target: str, **args) -> DataFrame:
     spark = graph["targets"].sparkSession
     mark = uuid.uuid4().hex[:12]
     text_ = query.strip().rstrip(";").strip()
-    checked_sql(spark, text_, {f"graph_{name}" for name in graph})
+    limited, lists = checked_sql(spark, text_, {f"graph_{name}" for name in graph})
     own = re.sub(r"(?i)\bgraph_(" + "|".join(sorted(graph)) + r")\b", lambda m: f"graph_{mark}_{m[1].lower()}", text_)
-    if not re.search(r"(?i)\blimit\b", own):
-        own += f"\nLIMIT {FREE_ROWS[bool(re.search(r'(?i)collect', own))]}"
     names = {name: f"graph_{mark}_{name}" for name in graph}
     try:
         for name, df in isolated(graph, target).items():
             df.createOrReplaceTempView(names[name])
-        return spark.sql(own, args=args or None)
+        out = spark.sql(own, args=args or None)
+        return out if limited else out.limit(FREE_ROWS[lists])
     finally:
         # The plan has been resolved, so it doesn't need the names any more.
         for name in names.values():

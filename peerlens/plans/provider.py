@@ -7,9 +7,12 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
+from .replies import answered, busy
+
 
 class Provider(Protocol):
     def replies(self, prompts: DataFrame) -> DataFrame:
@@ -17,13 +20,13 @@ class Provider(Protocol):
 
 
 class Recorded:
-    """Replies from a table (job_id, phase, idx, reply)."""
+    """Replies from a table (prompt, reply), by the whole prompt; null where there is none."""
 
     def __init__(self, table: DataFrame):
         self.table = table
 
     def replies(self, prompts: DataFrame) -> DataFrame:
-        return prompts.join(self.table.select("job_id", "phase", "idx", "reply"), ["job_id", "phase", "idx"], "left")
+        return answered(prompts, self.table)
 
 
 class Rules:
@@ -49,8 +52,8 @@ class Live:
             for n in range(1, tries + 1):
                 try:
                     return call(prompt)
-                except (TimeoutError, ConnectionError):
-                    if n == tries:
+                except Exception as failed:
+                    if n == tries or not busy(failed):
                         raise
                     time.sleep(wait * n)
             return ""
@@ -86,8 +89,7 @@ def judged(rows: DataFrame, phase: str, provider: Provider, job: Sequence[str] =
     from ..operators import decisions
 
     group = [*job, *GROUPS[phase]]
-    w = Window.partitionBy(*group).orderBy("idx")
-    dealt = rows.withColumn("_batch", F.floor((F.row_number().over(w) - 1) / BATCH[phase]).cast("int"))
+    dealt = numbered(rows, group, ["idx"], "_n").withColumn("_batch", F.floor((F.col("_n") - 1) / BATCH[phase]).cast("int"))
     item = F.concat_ws(" ", "name", F.concat(F.lit("= "), F.col("value").cast("string")), "unit", "category")
     prompts = numbered_prompt(HEADS[phase], item, [*group, "_batch"], "idx", dealt)
     # A prompt is named by its smallest idx.

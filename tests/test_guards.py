@@ -49,11 +49,40 @@ def test_free_sql_sees_one_company(spark, g):
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("graph_")]
 
 
+def test_free_sql_calls_no_other_code(spark, g):
+    name = "peer.owned"
+    for attack in (
+        f"select reflect('java.lang.System', 'setProperty', '{name}', 'x')",
+        f"select name from graph_risks where java_method('java.lang.System', 'setProperty', '{name}', 'x') is null",
+        f"select name from graph_risks order by (select max(reflect('java.lang.System', 'setProperty', '{name}', 'x')) from graph_targets)",
+        f"select transform(array(1), x -> reflect('java.lang.System', 'setProperty', '{name}', 'x')) from graph_risks",
+        f"select name, count(*) over (partition by try_reflect('java.lang.System', 'setProperty', '{name}', 'x')) as n from graph_risks",
+        f"select name from graph_risks group by name having max(reflect('java.lang.System', 'setProperty', '{name}', 'x')) is null",
+        f"select identifier('reflect')('java.lang.System', 'setProperty', '{name}', 'x')",
+        f"select system.builtin.reflect('java.lang.System', 'setProperty', '{name}', 'x')",
+        "select x from graph_risks lateral view stack(1, reflect('a', 'b')) t as x",
+        "select input_file_name() from graph_risks",
+        "select raise_error(name) from graph_risks",
+        "select * from range(10)",
+    ):
+        with pytest.raises(patterns.QueryRefused):
+            patterns.run_sql(g, attack, "T")
+    assert spark._jvm.java.lang.System.getProperty(name) is None
+    ok = "select upper(name) as n, row_number() over (order by name) as k, case when company = 'T' then 1 else 0 end as own, cast(seq as string) as s from graph_risks where name like 'risk%'"
+    assert patterns.run_sql(g, ok, "T").count() == 2
+    assert patterns.run_sql(g, "select e from graph_risks lateral view explode(split(name, ' ')) t as e", "T").count() == 6
+
+
 def test_free_sql_limits_and_repair(spark, g):
     many = g | {"risks": spark.range(300).select(F.lit("T").alias("company"), F.col("id").cast("string").alias("name"), F.col("id").alias("seq"))}
     assert patterns.run_sql(many, "select name from graph_risks", "T").count() == 100
     assert patterns.run_sql(many, "select name, collect_list(seq) as s from graph_risks group by name", "T").count() == 20
     assert patterns.run_sql(many, "select name from graph_risks limit 150", "T").count() == 150
+    # A word in a text and a limit inside don't count as the result's own; one behind other parts does.
+    assert patterns.run_sql(many, "select name, 'no limit' as t from graph_risks", "T").count() == 100
+    assert patterns.run_sql(many, "select r.name from graph_risks r join (select name from graph_targets limit 1) t on true", "T").count() == 100
+    assert patterns.run_sql(many, "with x as (select name from graph_risks limit 250) select name from x", "T").count() == 100
+    assert patterns.run_sql(many, "with x as (select name from graph_risks) select name from x order by name limit 120", "T").count() == 120
     asked = []
 
     def write(error):

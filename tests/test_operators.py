@@ -201,7 +201,7 @@ def test_questions(spark):
 
 def test_providers(spark):
     prompts = df(spark, [("j", "1", 1, "p1"), ("j", "1", 2, "p2")], "job_id string, phase string, idx int, prompt string")
-    kept = Recorded(df(spark, [("j", "1", 1, "r1")], "job_id string, phase string, idx int, reply string")).replies(prompts)
+    kept = Recorded(df(spark, [("p1", "r1")], "prompt string, reply string")).replies(prompts)
     assert {r.idx: r.reply for r in kept.collect()} == {1: "r1", 2: None}
     assert {r.reply for r in Live(lambda p: p.upper()).replies(prompts).collect()} == {"P1", "P2"}
     out = numbered_prompt("Judge:", F.col("t"), ["g"], "i", df(spark, [("a", 2, "y"), ("a", 1, "x")], "g string, i int, t string")).first()

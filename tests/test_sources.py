@@ -60,7 +60,7 @@ def test_stream_of_steps(spark, tmp_path):
 
 def test_engine_resumes(spark, tmp_path):
     (tmp_path / "f.md").write_text("# PART I\n## Item 1A. Risk Factors\nDebt is high.\n## Item 2\nNone")
-    replies = spark.createDataFrame([("x", "FACES_RISK", 1, "[]")], "job_id string, phase string, idx int, reply string")
+    replies = spark.createDataFrame([("Debt is high.", "[]")], "prompt string, reply string")
     engine = Engine(spark, f"{tmp_path}/jobs", Recorded(replies))
     job = engine.create(f"{tmp_path}/f.md", 2024, "Acme")
     calls = []
