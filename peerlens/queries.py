@@ -505,4 +505,4 @@ def html_paragraphs(spark, sf):
     return sections.parse(md).select("doc", "pos", "title", "level", "word_count")
 
 
-from . import answer_queries, run_queries, source_queries  # noqa: E402, F401
+from . import answer_queries, run_queries, source_queries, store_queries  # noqa: E402, F401
