@@ -14,7 +14,7 @@ from .functions import entities, text
 from .operators import bm25, dedup, facts, graph, scores, sections
 from .plans import patterns, peers, qa
 from .plans.provider import Provider, judged_passes
-from .sources import filings, tables
+from .sources import filings, shared, tables
 from .streaming import steps
 
 
@@ -33,14 +33,21 @@ class Engine:
         return job
 
     def _save(self, state: dict) -> None:
+        """A state is written beside the ones before it, so that a crash can't lose them."""
+        number = max(self._states(state["job_id"]), default=0) + 1
         row = self.spark.createDataFrame([(json.dumps(state),)], "value string")
-        row.write.mode("overwrite").text(self._path(state["job_id"], "state"))
+        row.write.text(self._path(state["job_id"], "state", str(number)))
+
+    def _states(self, job: str) -> list[int]:
+        """Numbers of the states that were written to their end."""
+        folder = self._path(job, "state")
+        return [int(n) for n in shared.listed(self.spark, folder) if n.isdigit() and "_SUCCESS" in shared.listed(self.spark, f"{folder}/{n}")]
 
     def state(self, job: str) -> dict:
-        rows = self.spark.read.text(self._path(job, "state")).collect()
-        if not rows:
+        there = self._states(job)
+        if not there:
             raise KeyError(f"unknown job {job}")
-        return json.loads(rows[0]["value"])
+        return json.loads(self.spark.read.text(self._path(job, "state", str(max(there)))).first()["value"])
 
     def next_step(self, job: str) -> int | None:
         done = self.state(job)["completed_steps"]

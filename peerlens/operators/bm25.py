@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 from .dedup import first_of
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -23,11 +24,15 @@ def index(corpus: DataFrame, doc: str = "doc_id", tokens: str = "tokens", by: st
     With terms (term, each once) only theirs come out; all counts and means are still those of the whole corpus."""
     g = [F.col(by).alias("corpus")] if by else [F.lit("").alias("corpus")]
     sized = corpus.select(*g, F.col(doc).alias("doc"), F.size(tokens).alias("dl"), F.col(tokens).alias("tokens"))
-    totals = sized.groupBy("corpus").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     small = (lambda df: df) if by else F.broadcast  # one row without by
-    # Distinct within the row, so that only terms and their counts are shuffled.
-    held = sized.select("corpus", F.explode(F.array_distinct("tokens")).alias("term"))
-    df = held.groupBy("corpus", "term").agg(F.count("*").alias("df")).join(small(totals), "corpus")
+    # Distinct within the row, so that only terms and their counts are shuffled; a row without a term carries the document's
+    # length, so that totals come from the same pass. What is left has a row for each term.
+    once = F.concat(F.coalesce(F.array_distinct("tokens"), F.array().cast("array<string>")), F.array(F.lit(None).cast("string")))
+    held = sized.select("corpus", "dl", F.explode(once).alias("term"))
+    counted = held.groupBy("corpus", "term").agg(F.count(F.lit(1)).alias("df"), F.avg(F.when(F.col("term").isNull(), F.col("dl"))).alias("avgdl"))
+    counted = stored(counted, "terms")
+    totals = counted.where("term is null").select("corpus", F.col("df").alias("n"), "avgdl")
+    df = counted.where("term is not null").select("corpus", "term", "df").join(small(totals), "corpus")
     raw = df.select("corpus", "term", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.groupBy("corpus").agg(F.avg("raw").alias("mean"))
     # The terms come in after the mean, which is that of all.

@@ -13,6 +13,9 @@ SKIPPED_PARAGRAPHS = ("**sources", "sources:", "- ")
 SKIPPED_SENTENCES = ("**sources", "sources:", "- [", "#")
 CITE = r"(?i)\[CITE:([^\]]+)\]"
 UNPARSED = "Could not parse LLM response."
+#: Where a sentence ends and the next begins, and the line in which a judge answers for an item.
+SENTENCE_END = r"(?U)(?<=[.!?])\s+(?=[A-Z(\$\-])"
+VERDICT = r"(?i)^(\d+)\s*[:.)]\s*(YES|NO)\s*[-—–:]\s*(.*)"
 
 
 def _starts(c: Column, prefixes: tuple[str, ...]) -> Column:
@@ -27,7 +30,7 @@ def sentences(c: Column) -> Column:
     # Full stops of abbreviations, and white space within brackets, get marks that the split does not see.
     hidden = F.regexp_replace(c, rf"(?i)\b({'|'.join(ABBREVIATIONS)})\.", "$1\u0001")
     hidden = F.regexp_replace(hidden, r"(?U)\s(?=[^\[\]]*\])", "\u0002")
-    parts = F.split(hidden, r"(?U)(?<=[.!?])\s+(?=[A-Z(\$\-])")
+    parts = F.split(hidden, SENTENCE_END)
     return F.transform(parts, lambda p: F.replace(F.replace(p, F.lit("\u0001"), F.lit(".")), F.lit("\u0002"), F.lit(" ")))
 
 
@@ -89,10 +92,9 @@ def resolved(df: DataFrame, registry: DataFrame, raw: str = "raw_citation") -> D
 def verdicts(replies: DataFrame, keys: list[str], reply: str = "reply", n: str = "n") -> DataFrame:
     """Lines `3: YES - why` of each reply, for its items 1 to n: item, verdict, explanation; the last line of an item counts,
     and an item without one has failed."""
-    pattern = r"(?i)^(\d+)\s*[:.)]\s*(YES|NO)\s*[-—–:]\s*(.*)"
     lines = replies.select(*keys, F.col(n).alias("_n"), F.posexplode(F.split(reply, "\n")).alias("_line", "t")).withColumn("t", text.strip(F.col("t")))
-    hit = lines.where(F.col("t").rlike(pattern)).select(
-        *keys, "_line", F.regexp_extract("t", pattern, 1).try_cast("int").alias("item"), (F.upper(F.regexp_extract("t", pattern, 2)) == "YES").alias("verdict"), text.strip(F.regexp_extract("t", pattern, 3)).alias("explanation")
+    hit = lines.where(F.col("t").rlike(VERDICT)).select(
+        *keys, "_line", F.regexp_extract("t", VERDICT, 1).try_cast("int").alias("item"), (F.upper(F.regexp_extract("t", VERDICT, 2)) == "YES").alias("verdict"), text.strip(F.regexp_extract("t", VERDICT, 3)).alias("explanation")
     )
     last = hit.groupBy(*keys, "item").agg(F.max_by(F.struct("verdict", "explanation"), "_line").alias("v"))
     items = replies.where(F.col(n) > 0).select(*keys, F.explode(F.sequence(F.lit(1), F.col(n))).alias("item"))

@@ -50,9 +50,19 @@ def preferred_unit(facts: DataFrame, keys: list[str], unit: str = "USD", order:
     return facts.withColumn("_best", F.min(rank).over(w)).where(F.col("unit") == F.col("_best.name")).drop("_best")
 
 
+def preferred(facts: DataFrame, keys: list[str], unit: str = "USD", order: str = "unit_ord") -> DataFrame:
+    """preferred_unit of preferred_taxonomy, in one window: the best unit is that of the best taxonomy."""
+    place = F.array_position(F.array(*map(F.lit, TAXONOMIES)), F.col("taxonomy"))
+    first = [F.col(order).alias("ord")] if order in facts.columns else []
+    rank = F.struct(F.col("_place").alias("place"), (F.col("unit") != unit).alias("other"), *first, F.col("unit").alias("name"))
+    known = facts.withColumn("_place", place).where("_place > 0")
+    best = known.withColumn("_best", F.min(rank).over(Window.partitionBy(*keys)))
+    return best.where((F.col("_place") == F.col("_best.place")) & (F.col("unit") == F.col("_best.name"))).drop("_place", "_best")
+
+
 def ground_truth(facts: DataFrame, wanted: DataFrame, unit: str = "USD") -> DataFrame:
     """For each wanted (cik, tag, year): the entry with the latest end, then filing, of an annual report of that year."""
-    chosen = preferred_unit(preferred_taxonomy(facts, ["cik", "tag"]), ["cik", "tag"], unit)
+    chosen = preferred(facts, ["cik", "tag"], unit)
     annual = chosen.where(F.col("form").isin(*ANNUAL))
     hit = annual.join(wanted.select("cik", "tag", F.col("year").cast("string").alias("year")).distinct(), ["cik", "tag"])
     hit = hit.where((F.col("fy").cast("string") == F.col("year")) | (F.substring(F.col("end").cast("string"), 1, 4) == F.col("year")))
