@@ -42,7 +42,7 @@ def _peers(graph: Graph, target: str) -> DataFrame:
 def _listed(rows: DataFrame, graph: Graph, target: str, by: list[str], own: tuple[tuple[str, ...], int, str], theirs: tuple[tuple[str, ...], int, str]) -> tuple[DataFrame, DataFrame]:
     """The lists of the target and of its peers (fields, how many, name), from one pass over the rows of all of them; the
     semi-join also moves below what rows aggregate. The lists are written once, as plans over answers read them often."""
-    who = _peers(graph, target).select(F.col("peer").alias("company")).unionByName(graph["targets"].where(F.col("name") == target).select(F.col("name").alias("company")))
+    who = _peers(graph, target).select(F.col("peer").alias("company")).unionByName(rows.sparkSession.range(1).select(F.lit(target).alias("company")))
     fields = tuple(dict.fromkeys((*own[0], *theirs[0])))
     every = capped(rows.join(who, "company", "left_semi"), ["company", *by], fields, max(own[1], theirs[1]), "items")
     every = stored(every, "lists")
