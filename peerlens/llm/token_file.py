@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import common
 
 MAGIC = b"PLTK\x01"
-BLOCK = 1024
+BLOCK = 4096
 SEGMENT_TOKENS = 4 << 20
 SCALE, STATIC = 24, 20
 SLOTS2, SLOTS1 = 1024, 1024
