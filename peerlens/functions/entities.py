@@ -108,14 +108,17 @@ register(Relation("FACES_RISK", RISK, ("risk_name", "description"), ("risk facto
 register(Relation("OPERATES_IN", INDUSTRY, ("industry", "sector"), ("business",), lambda df, _company: industries(df)))
 
 
+def flat(pages: DataFrame, replies: DataFrame, kind: Relation) -> DataFrame:
+    """The raw entities of all replies, one a row, with where they come from."""
+    both = pages.join(replies, ["doc", "source_page"])
+    rows = both.select("doc", "section_title", "source_page", F.col("content").alias("chunk_text"), F.posexplode(text.json_array(F.col("reply"), text.struct_of(kind.schema))).alias("pos", "e"))
+    return rows.select("doc", "section_title", "source_page", "chunk_text", "pos", "e.*")
+
+
 def extracted(pages: DataFrame, replies: DataFrame, kind: Relation, company: str) -> DataFrame:
     """pages (doc, section_title, source_page, content) with replies (doc, source_page, reply): typed entities with
-    their provenance, in order of page and place (seq)."""
-    from pyspark.sql import Window
+    their provenance, numbered over all documents in order of document, page and place (seq)."""
+    from ..operators.numbering import numbered
 
-    both = pages.join(replies, ["doc", "source_page"])
-    rows = both.select("doc", "section_title", "source_page", F.col("content").alias("chunk_text"), F.posexplode(text.json_array(F.col("reply"), text.struct_of(kind.schema))).alias("pos", "e"))
-    flat = rows.select("doc", "section_title", "source_page", "chunk_text", "pos", "e.*")
-    typed = kind.parse(required(flat, kind.required), company)
-    w = Window.partitionBy("doc").orderBy("source_page", "pos")
-    return typed.withColumn("seq", F.row_number().over(w))
+    typed = kind.parse(required(flat(pages, replies, kind), kind.required), company)
+    return numbered(typed, [], ["doc", "source_page", "pos"], "seq").withColumn("seq", F.col("seq").cast("int"))

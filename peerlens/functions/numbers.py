@@ -102,9 +102,9 @@ def top_mean(values: Column, n: int = 3) -> Column:
 
 
 def cik_of_url(url: Column) -> Column:
-    """The CIK in a link without leading noughts; empty if there is none."""
-    found = F.regexp_extract(F.coalesce(url, F.lit("")), r"CIK0*(\d+)", 1)
-    return found
+    """The CIK in a link without leading noughts; null if there is none."""
+    found = F.regexp_extract(url, r"CIK0*(\d+)", 1)
+    return F.when(found != "", found)
 
 
 def padded_cik(cik: Column) -> Column:

@@ -63,19 +63,21 @@ def found_or_fail(matched: DataFrame, what: str) -> DataFrame:
 
 
 def greedy(scored: DataFrame, queries: DataFrame, least: float = SECTION_LEAST) -> DataFrame:
-    """Queries in order (ord) each take their best document that none before took; query, doc, score, by score.
+    """Queries in order (ord) each take their best document that none before took; query, doc, score, by score. If scored has
+    a column corpus, that is done in each corpus.
 
     The order is sequential by nature: it folds over the ranked candidates of all queries, of which there are at most as
     many for each query as there are queries.
     """
-    width = Window.partitionBy("query").orderBy(F.col("score").desc(), "doc")
+    by = ["corpus"] if "corpus" in scored.columns else []
+    width = Window.partitionBy(*by, "query").orderBy(F.col("score").desc(), "doc")
     n = queries.count()
     short = scored.where(F.col("score") > least).withColumn("rank", F.row_number().over(width)).where(F.col("rank") <= n).join(queries.select("query", "ord"), "query")
     item = F.struct("ord", "rank", "query", "doc", "score")
-    listed = short.groupBy().agg(F.array_sort(F.collect_list(item)).alias("items"))
+    listed = short.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("items"))
     taken = F.aggregate(
         "items",
         F.slice("items", 1, 0),
         lambda acc, x: F.when(F.exists(acc, lambda y: (y["doc"] == x["doc"]) | (y["query"] == x["query"])), acc).otherwise(F.concat(acc, F.array(x))),
     )
-    return listed.select(F.inline(taken)).select("query", "doc", "score").orderBy(F.desc("score"), "query")
+    return listed.select(*by, F.inline(taken)).select(*by, "query", "doc", "score").orderBy(F.desc("score"), "query")

@@ -67,6 +67,14 @@ def replace_of_company(old: DataFrame, new: DataFrame, company: str = "company")
     return old.join(new.select(company).distinct(), company, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def having_edge(nodes: DataFrame, edges: DataFrame, rel: str, of: str = "src") -> DataFrame:
+    """Nodes (label, key) at that end of some edge of the kind; the other end must exist, too."""
+    there = nodes.select(F.col("label").alias("_l"), F.col("key").alias("_k"))
+    far = "dst" if of == "src" else "src"
+    own = edges.where(F.col("rel") == rel).join(there, (F.col(f"{far}_label") == F.col("_l")) & (F.col(far) == F.col("_k")), "left_semi")
+    return nodes.join(own.select(F.col(f"{of}_label").alias("label"), F.col(of).alias("key")).distinct(), ["label", "key"], "left_semi")
+
+
 def detach_delete(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Without the nodes in gone (label, key) and without their edges."""
     g = gone.select("label", "key").distinct()

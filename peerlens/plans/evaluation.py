@@ -7,6 +7,7 @@ knows; `with_mean` adds the summary row where the test has one.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,3 +124,80 @@ def with_mean(rows: DataFrame, key: str, value: str, mark: str = "** MEAN **") -
     """Result rows as text, and a summary row of the share of true values."""
     share = rows.agg(F.avg(text.is_true(F.col(value)).cast("double")).alias("m")).select(F.lit(mark).alias(key), F.format_string("%.6f", F.coalesce("m", F.lit(0.0))).alias(value))
     return scores.with_summary(rows, share)
+
+
+@dataclass(frozen=True)
+class Inputs:
+    """What a test by name works on: the rows of a question, its question and answer (one row), results of tests that have
+    run before (by name), a text's vector, and facts that were reported."""
+
+    job: str
+    rows: DataFrame | None
+    said: DataFrame
+    provider: Provider
+    past: dict[str, DataFrame]
+    embed: Callable[[Column], Column] | None = None
+    reported: DataFrame | None = None
+
+    def one(self) -> tuple[str, str]:
+        r = self.said.first()
+        return r["question"], r["answer"]
+
+
+def _relevancy(given: Inputs) -> tuple[DataFrame, DataFrame]:
+    if given.embed is None:
+        raise ValueError("answer_relevancy needs a text's vector (embed)")
+    question, answer = given.one()
+    out = stored(answer_relevancy(answer, question, given.provider, given.embed, given.job, given.said), "relevancy")
+    marked = F.col("generated_question").isin(*scores.SUMMARY_MARKS)
+    return out.where(~marked), out.where(marked)
+
+
+def _precision(given: Inputs) -> tuple[DataFrame, DataFrame]:
+    out = stored(context_precision(given.rows, given.one()[0], given.provider, given.job), "precision")
+    share = out.agg(F.avg(text.is_true(F.col("is_relevant")).cast("double")).alias("m"))
+    return out, share.select(F.lit("** MEAN **").alias("citation_id"), F.format_string("%.6f", F.coalesce("m", F.lit(0.0))).alias("is_relevant"))
+
+
+def _alone(detail: DataFrame) -> tuple[DataFrame, DataFrame]:
+    detail = stored(detail, "results")
+    return detail, detail.limit(0)
+
+
+def components(given: Inputs) -> DataFrame:
+    """component, score of the tests that have run: those that scores.overall() weighs."""
+    names = {"risk_peers_validation": "risks_validation", "target_validation": "target_validation", "answer_source_traceability": "faithfulness", "context_precision": "context_precision", "answer_relevancy": "answer_relevancy", "num_values": "metrics_validation"}
+    empty = given.said.sparkSession.createDataFrame([], "component string, score double")
+    out = empty
+    for test, name in names.items():
+        if test not in given.past:
+            continue
+        rows = given.past[test]
+        one = facts.match_counts(rows).select(F.col("accuracy").alias("weighted")) if test == "num_values" else scores.weighted(rows, test)
+        out = out.unionByName(one.select(F.lit(name).alias("component"), F.col("weighted").alias("score")))
+    return out
+
+
+def _recall(given: Inputs) -> tuple[DataFrame, DataFrame]:
+    """Mean of the parts of evidence that there are."""
+    parts = components(given).where(F.col("component").isin(*scores.EVIDENCE))
+    return parts, parts.agg(F.avg("score").alias("score")).select(F.lit("** MEAN **").alias("component"), "score")
+
+
+def _overall(given: Inputs) -> tuple[DataFrame, DataFrame]:
+    out = stored(scores.overall(components(given)), "overall")
+    last = F.col("component") == "OVERALL"
+    return out.where(~last), out.where(last).withColumn("component", F.lit("** OVERALL **"))
+
+
+#: Tests by name: detail rows and a summary row, if the test has one.
+BY_NAME: dict[str, Callable[[Inputs], tuple[DataFrame, DataFrame]]] = {
+    "answer_relevancy": _relevancy,
+    "context_precision": _precision,
+    "answer_source_traceability": lambda g: _alone(faithfulness(g.said.select(F.lit(g.job).alias("answer_id"), "answer"), g.rows, g.provider, g.job)),
+    "context_recall": _recall,
+    "target_validation": lambda g: _alone(target_validation(g.rows, g.provider, g.job)),
+    "risk_peers_validation": lambda g: _alone(risk_peers(g.rows, g.provider, g.job)),
+    "num_values": lambda g: _alone(num_values(g.rows, g.reported)),
+    "overall_score": _overall,
+}

@@ -124,6 +124,11 @@ def chosen_strategies(reply: str) -> tuple[str, ...]:
     return ("metrics",) if reply.strip().lower() == "metrics" else STRATEGIES
 
 
+def skipped_strategies(chosen: tuple[str, ...]) -> tuple[str, ...]:
+    """All strategies but these, in their order."""
+    return tuple(s for s in STRATEGIES if s not in chosen)
+
+
 def ask(graph: Graph, question: Question) -> DataFrame:
     """The rows of all strategies, in order, as one table with _strategy and seq; equal rows once."""
     from ..operators import dedup

@@ -87,6 +87,11 @@ def structured_risks(batches: DataFrame, provider: Provider, job: str) -> DataFr
     return graph.citation_ids(graph.risk_ids(placed.withColumn("job_id", F.lit(job)), ["batch", "pos"]), "PEER_R", ["cik", "batch", "pos"], ["job_id"]).drop("job_id")
 
 
+def risk_totals(structured: DataFrame) -> DataFrame:
+    """How many risks each company has, and all of them (cik null)."""
+    return structured.rollup("cik").agg(F.count(F.lit(1)).alias("n_risks"))
+
+
 def industry_codes(industries: DataFrame, codes: DataFrame) -> DataFrame:
     """industries with the code of codes (industry, code), whatever the case; null if there is none."""
     table = codes.select(F.lower(F.trim("industry")).alias("_key"), "code").dropDuplicates(["_key"])

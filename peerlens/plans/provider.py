@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import numbers
 from ..operators.numbering import numbered
 from .replies import answered, busy
 
@@ -73,14 +74,18 @@ def numbered_prompt(head: str, item: Column, group: list[str], order: str, items
 
 
 #: Items in a prompt of each phase, and what its prompts list together.
-BATCH = {"1b": 30, "1": 30, "1c": 50, "2a": 50, "2b": 50}
-GROUPS = {"1b": (), "1": ("chunk",), "1c": (), "2a": ("category",), "2b": ()}
+BATCH = {"1b": 30, "1": 30, "1c": 50, "2a": 50, "2b": 15, "risk 1": 50, "risk 2": 500}
+GROUPS = {"1b": (), "1": ("chunk",), "1c": (), "2a": ("category",), "2b": (), "risk 1": ("chunk",), "risk 2": ()}
+#: Phases in which an item alone isn't asked about.
+SEVERAL = ("1", "2a", "risk 1", "risk 2")
 HEADS = {
     "1b": "For each metric say whether it has a standard concept: KEEP, or REMOVE if there is none.",
     "1": "These metrics come from one text. KEEP, REMOVE, FIX or MERGE each.",
     "1c": "FIX the category of each metric that is in the wrong one.",
     "2a": "These metrics are in one category. MERGE those that say the same.",
     "2b": "These metrics of several categories report one value. MERGE those that say the same.",
+    "risk 1": "These risks come from one text. KEEP, REMOVE or MERGE each.",
+    "risk 2": "These risks come from several texts. MERGE those that say the same.",
 }
 
 
@@ -89,9 +94,17 @@ def judged(rows: DataFrame, phase: str, provider: Provider, job: Sequence[str] =
     from ..operators import decisions
 
     group = [*job, *GROUPS[phase]]
-    dealt = numbered(rows, group, ["idx"], "_n").withColumn("_batch", F.floor((F.col("_n") - 1) / BATCH[phase]).cast("int"))
-    item = F.concat_ws(" ", "name", F.concat(F.lit("= "), F.col("value").cast("string")), "unit", "category")
-    prompts = numbered_prompt(HEADS[phase], item, [*group, "_batch"], "idx", dealt)
+    if phase == "2b":  # a batch holds groups of equal values, each of which is whole
+        keyed = rows.withColumn("_key", numbers.value_key(F.col("value")))
+        groups = decisions.cross_category_groups(rows, job).select(*job, "year", F.col("value_key").alias("_key"))
+        dealt = keyed.join(numbered(groups, job, ["year", "_key"], "_n"), [*job, "year", "_key"])
+    else:
+        dealt = numbered(rows, group, ["idx"], "_n")
+    dealt = dealt.withColumn("_batch", F.floor((F.col("_n") - 1) / BATCH[phase]).cast("int"))
+    said = ("name", "description") if phase.startswith("risk") else ("name", F.concat(F.lit("= "), F.col("value").cast("string")), "unit", "category")
+    prompts = numbered_prompt(HEADS[phase], F.concat_ws(" ", *said), [*group, "_batch"], "idx", dealt)
+    if phase in SEVERAL:
+        prompts = prompts.where("n > 1 or _batch > 0")
     # A prompt is named by its smallest idx.
     asked = prompts.withColumns({"phase": F.lit(phase), "idx": F.regexp_extract("prompt", r"(?m)^\[(\d+)\]", 1).cast("int")})
     return decisions.parse(provider.replies(asked).select(*job, "reply"), job=job)

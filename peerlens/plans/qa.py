@@ -118,7 +118,7 @@ def peer_metric_items(rows: DataFrame) -> DataFrame:
 
     w = Window.partitionBy("citation_id").orderBy("ord")
     found = items(rows).where("type = 'Metric' and role = 'peer'").withColumn("cik", cik_of_url(F.col("source_url")))
-    return found.where((F.col("cik") != "") & (F.length("xbrl_tag") > 0)).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return found.where(F.col("cik").isNotNull() & (F.length("xbrl_tag") > 0)).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
 def risk_chunks(rows: DataFrame) -> DataFrame:

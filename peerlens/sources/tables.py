@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ENTRY = "struct<end:string,val:double,accn:string,fy:int,fp:string,form:string,filed:string>"
@@ -21,6 +21,39 @@ def sections(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SECTIONS).json(path, multiLine=True)
 
 
+def _section_kind(depth: int) -> str:
+    """A section with its subsections, so many levels deep."""
+    inner = f",subsections:array<{_section_kind(depth - 1)}>" if depth > 1 else ""
+    return f"struct<title:string,level:int,word_count:bigint,text_length:bigint,start_page:int,end_page:int,page_contents:array<struct<page_number:int,content:string>>{inner}>"
+
+
+#: Headings have six levels, so sections lie in one another at most as deep.
+DEPTH = 6
+
+
+def section_tree(spark: SparkSession, path: str) -> DataFrame:
+    """Files with sections in sections, flat: path, pos (in the order of the document), title, level, parent, leaf,
+    word_count, text_length, start_page, end_page, pages. Each level is taken apart where the rows are; only the places of a
+    document's sections are put in order."""
+    files = spark.read.schema(f"sections array<{_section_kind(DEPTH)}>").json(path, multiLine=True).select(F.col("_metadata.file_path").alias("path"), "sections")
+    level = files.select("path", F.array().cast("array<int>").alias("up"), F.posexplode("sections").alias("k", "s"))
+    out = None
+    for depth in range(DEPTH, 0, -1):
+        level = level.select("path", F.concat("up", F.array("k")).alias("place"), "s")
+        inner = F.coalesce(F.size("s.subsections"), F.lit(0)) > 0 if depth > 1 else F.lit(False)
+        own = ("title", "level", "word_count", "text_length", "start_page", "end_page")
+        one = level.select("path", "place", *[F.col(f"s.{c}").alias(c) for c in own], F.col("s.page_contents").alias("pages"), (~inner).alias("leaf"))
+        out = one if out is None else out.unionByName(one)
+        if depth > 1:
+            level = level.where(inner).select("path", F.col("place").alias("up"), F.posexplode("s.subsections").alias("k", "s"))
+    w = Window.partitionBy("path")
+    numbered = out.withColumn("pos", F.row_number().over(w.orderBy("place")) - 1)
+    places = F.map_from_entries(F.collect_list(F.struct(F.array_join("place", "."), "pos")).over(w))
+    above = F.slice("place", 1, F.size("place") - 1)
+    parent = F.when(F.size("place") > 1, F.element_at(places, F.array_join(above, ".")))
+    return numbered.withColumn("parent", parent).select("path", "pos", "title", "level", "parent", "leaf", "word_count", "text_length", "start_page", "end_page", "pages")
+
+
 def relations(spark: SparkSession, path: str) -> DataFrame:
     """One row for each relation of all files, in order of path; both layouts of the files are read alike."""
     files = spark.read.schema(RELATIONS).json(path, multiLine=True).select("*", F.col("_metadata.file_path").alias("path"))

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from . import lenses as ln
 from .answer_queries import ITEMS, answer_rows, risk_batches, risk_reply
-from .functions import text
-from .operators import bm25, graph
+from .functions import entities, text
+from .operators import bm25, extraction_log, graph
 from .plans import evaluation, peers, provider, replies
 from .registry import query
 from .run_queries import odd_items
 from .source_queries import scratch
 from .sources import fetch
+from .sources.landing import Landing
 from .sources.store import StoredGraph, StoredTable
 from .sources.term_index import TermIndex
 
@@ -116,6 +117,53 @@ def recorded_targets(spark, sf):
     return evaluation.target_validation(rows, provider.Recorded(tape.recorded()), "k")
 
 
+@query("""WITH b AS (SELECT item_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS t FROM benchmark)
+SELECT 'Item ' || item_id AS title, 2 AS level, CAST(length('About ' || item_id || ' ' || t) AS BIGINT) AS text_length, md5('About ' || item_id || ' ' || t) AS body FROM b
+UNION ALL SELECT 'PART I', 1, CAST(length('About ' || item_id || ' ' || t) AS BIGINT), NULL FROM b""")
+def landed_sections(spark, sf):
+    """Texts that are uploaded as files in two drops, half of them twice under other names: each is parsed once."""
+    flat = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
+    item = F.col("item_id").cast("string")
+    rows = ln.table(spark, sf, "benchmark").select("item_id", item.alias("file"), F.concat(F.lit("# PART I\n\n## Item "), item, F.lit("\n\nAbout "), item, F.lit(" "), flat).alias("value"))
+    folder = scratch(spark, "uploads")
+    landing = Landing(spark, folder, scratch(spark, "landed"), buckets=4)
+    for k, drop in enumerate((rows.where("item_id % 2 = 0"), rows)):
+        drop.select("file", "value").repartition("file").write.partitionBy("file").text(f"{folder}/{k}")
+        landing.run().awaitTermination()
+    return landing.sections.read().select("title", "level", "text_length", F.when(F.col("leaf"), F.md5(F.get("pages", F.lit(0))["content"].cast("binary"))).alias("body"))
+
+
+@query("""SELECT p_brand AS brand, count(*) FILTER (WHERE p_size % 4 <> 0) AS pages, CAST(2 * count(*) FILTER (WHERE p_size % 4 <> 0) AS BIGINT) AS found,
+  count(*) FILTER (WHERE p_size % 4 <> 0 AND p_size % 3 = 0) AS no_description, CAST(2 * count(*) FILTER (WHERE p_size % 4 <> 0) - count(*) FILTER (WHERE p_size % 4 <> 0 AND p_size % 3 = 0) AS BIGINT) AS parsed FROM part GROUP BY 1""")
+def extraction_counts(spark, sf):
+    """Counts that are observed while entities pass: pages with a reply, risks found, and risks without a description."""
+    p = ln.table(spark, sf, "part")
+    pages = p.select(F.col("p_brand").alias("doc"), F.lit("s").alias("section_title"), F.col("p_partkey").alias("source_page"), F.col("p_name").alias("content"), "p_size")
+    risk = lambda name, about: F.struct(name.alias("risk_name"), about.alias("description"))
+    both = F.to_json(F.array(risk(F.col("content"), F.when(F.col("p_size") % 3 == 0, " ").otherwise("d")), risk(F.lit("other"), F.lit("d"))))
+    replies_ = pages.select("doc", "source_page", F.when(F.col("p_size") % 4 != 0, both).otherwise("none").alias("reply"))
+    kind = entities.relation("FACES_RISK")
+    raw = entities.flat(pages.drop("p_size"), replies_, kind)
+    total = extraction_log.counted(raw, kind)
+    seen = raw.withColumn("lacks", extraction_log.reason(kind)).groupBy(F.col("doc").alias("brand"))
+    out = seen.agg(F.count_distinct("source_page").alias("pages"), F.count(F.lit(1)).alias("found"), F.count_if(F.col("lacks") == "description").alias("no_description"), F.count_if(F.col("lacks").isNull()).alias("parsed"))
+    # The observed total has to be the sum of what each brand has; a brand without a reply has nought.
+    summed = out.agg((F.sum("found") == total["found"]).alias("ok"))
+    out = ln.table(spark, sf, "part").select(F.col("p_brand").alias("brand")).distinct().join(out, "brand", "left").na.fill(0)
+    return out.join(F.broadcast(summed)).withColumn("found", F.when(F.col("ok"), F.col("found"))).drop("ok")  # one row
+
+
+@query("SELECT s_name AS name FROM supplier WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity > 45)")
+def having_edges(spark, sf):
+    """Companies that have an edge of a kind to something that is there."""
+    s, line = ln.table(spark, sf, "supplier"), ln.table(spark, sf, "lineitem")
+    names = s.select("s_suppkey", "s_name")
+    nodes = s.select(F.lit("Company").alias("label"), F.col("s_name").alias("key")).unionByName(ln.table(spark, sf, "part").select(F.lit("Part").alias("label"), F.col("p_partkey").cast("string").alias("key")))
+    rel = F.when(F.col("l_quantity") > 45, "SELLS_MUCH").otherwise("SELLS")
+    edges = line.join(names, F.col("l_suppkey") == F.col("s_suppkey")).select(F.lit("Company").alias("src_label"), F.col("s_name").alias("src"), rel.alias("rel"), F.lit("Part").alias("dst_label"), F.col("l_partkey").cast("string").alias("dst"))
+    return graph.having_edge(nodes, edges, "SELLS_MUCH").select(F.col("key").alias("name"))
+
+
 def _digest(prompt: str, _key: str) -> str:
     """The model of the query below."""
     return hashlib.md5(prompt.encode()).hexdigest()

@@ -356,3 +356,45 @@ def test_batches_go_on_over_parts(spark, kind):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert {r.k: r.batch for r in batches.batched(df.where("g = 'hot'"), [], ["k"], "n", rule).collect()} == {k: v for k, v in want.items() if k < 700}
+
+
+# Uploads and section trees
+
+
+def test_uploads_land_once(spark, tmp_path):
+    from peerlens.sources.landing import Landing
+
+    folder = tmp_path / "up"
+    (folder / "sub").mkdir(parents=True)
+    (folder / "a.md").write_text("# PART I\n\n## Item 1\n\nWords of one.\n")
+    (folder / "b.htm").write_text("<html><body><p>PART I</p><p>Some text of b.</p></body></html>")
+    (folder / "c.exe").write_bytes(b"\0")
+    landing = Landing(spark, str(folder), str(tmp_path / "landed"), buckets=2)
+    landing.run().awaitTermination(120)
+    titles = lambda: sorted((r.title, r.word_count) for r in landing.sections.read().collect())
+    first = titles()
+    assert first == [("Item 1", 3), ("PART I", 3), ("PART I", 4)]
+    # A copy under another name, an empty file, which gives nothing, and a new one.
+    (folder / "sub/copy.md").write_text("# PART I\n\n## Item 1\n\nWords of one.\n")
+    (folder / "sub/empty.md").write_text("")
+    (folder / "sub/new.md").write_text("# PART II\n\nNew words.\n")
+    landing.run().awaitTermination(120)
+    assert titles() == sorted([*first, ("PART II", 2)]) and landing.files.read().count() == 3
+    # The same batch once more, as after a crash between its writes, changes nothing.
+    batch = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,htm}").load(str(folder))
+    landing._merge(batch, 7)
+    assert titles() == sorted([*first, ("PART II", 2)])
+
+
+def test_section_tree(spark, tmp_path):
+    leaf = lambda title, level, page: {"title": title, "level": level, "word_count": 2, "text_length": 9, "start_page": page, "end_page": page, "page_contents": [{"page_number": page, "content": title}]}
+    deep = leaf("F", 6, 5)
+    for level, name in ((5, "E"), (4, "D")):
+        deep = {"title": name, "level": level, "word_count": 2, "text_length": 9, "subsections": [deep]}
+    tree = {"sections": [{"title": "A", "level": 1, "word_count": 6, "text_length": 27, "subsections": [leaf("B", 2, 1), {"title": "C", "level": 2, "subsections": [deep]}]}, leaf("G", 1, 6)]}
+    (tmp_path / "x.json").write_text(json.dumps(tree))
+    (tmp_path / "y.json").write_text(json.dumps({"sections": [leaf("H", 1, 1)]}))
+    (tmp_path / "z.json").write_text(json.dumps({"sections": []}))
+    rows = sorted((r.path.rsplit("/", 1)[1], r.pos, r.title, r.level, r.parent, r.leaf, (r.pages or [[None]])[0][0]) for r in tables.section_tree(spark, f"{tmp_path}/*.json").collect())
+    x = [("A", 1, None, False, None), ("B", 2, 0, True, 1), ("C", 2, 0, False, None), ("D", 4, 2, False, None), ("E", 5, 3, False, None), ("F", 6, 4, True, 5), ("G", 1, None, True, 6)]
+    assert rows == [("x.json", k, *r) for k, r in enumerate(x)] + [("y.json", 0, "H", 1, None, True, 1)]
