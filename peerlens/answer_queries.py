@@ -493,11 +493,13 @@ def peer_metric_nodes(spark, sf):
     return graph.peer_metrics(rows, ln.entities(spark, sf).where("idx % 3 <> 0")).select("k", "name", "unit", "value", "category")
 
 
-@query("""SELECT strategy, n FROM (VALUES ('metrics', 1), ('risks, metrics', 2)) v(strategy, n)""")
+@query("""SELECT event_type AS reply, CASE WHEN event_type = 'view' THEN 'metrics' ELSE 'risks, metrics' END AS strategies, CASE WHEN event_type = 'view' THEN 'risks' ELSE '' END AS skipped, count(*) AS n FROM events GROUP BY 1""")
 def strategies_chosen(spark, sf):
-    """A router's replies; anything but `metrics` runs both."""
-    found = {", ".join(patterns.chosen_strategies(r)): len(patterns.chosen_strategies(r)) for r in (" Metrics\n", "risks", "", "both, please")}
-    return spark.createDataFrame(sorted(found.items()), "strategy string, n int")
+    """A router's reply for every event; anything but `metrics` runs both strategies."""
+    kinds = ln.table(spark, sf, "events").groupBy(F.col("event_type").alias("reply")).agg(F.count(F.lit(1)).alias("n"))
+    said = F.when(F.col("reply") == "view", F.lit(" Metrics\n")).otherwise(F.col("reply"))
+    chosen, skipped = patterns.strategies_of(said)
+    return kinds.select("reply", F.array_join(chosen, ", ").alias("strategies"), F.array_join(skipped, ", ").alias("skipped"), "n")
 
 
 @query(f"""WITH {ln.SUPPLIERS}, {ln.PEERS}, {ln.METRICS}, own AS (SELECT DISTINCT category FROM metrics WHERE company = '{ln.TARGET}'), m AS (SELECT category, name AS peer FROM own, peers ORDER BY 1, 2 LIMIT 20),

@@ -124,6 +124,13 @@ def chosen_strategies(reply: str) -> tuple[str, ...]:
     return ("metrics",) if reply.strip().lower() == "metrics" else STRATEGIES
 
 
+def strategies_of(reply: Column) -> tuple[Column, Column]:
+    """The chosen and the skipped strategies of a router's replies, as lists."""
+    every = F.array(*map(F.lit, STRATEGIES))
+    chosen = F.when(F.lower(text.strip(F.coalesce(reply, F.lit("")))) == "metrics", F.array(F.lit("metrics"))).otherwise(every)
+    return chosen, F.array_except(every, chosen)
+
+
 def skipped_strategies(chosen: tuple[str, ...]) -> tuple[str, ...]:
     """All strategies but these, in their order."""
     return tuple(s for s in STRATEGIES if s not in chosen)

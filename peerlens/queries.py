@@ -10,6 +10,7 @@ from .functions import numbers, text, tokens
 from .operators import bm25, claims, decisions, dedup, facts, graph, scores, sections
 from .plans import patterns, qa
 from .registry import ORACLE_SQL, QUERIES, query
+from .sources.shared import spread
 from .streaming import steps
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -353,7 +354,7 @@ s AS (SELECT query, doc_id AS doc, sum(times * idf * f * 2.5 / (f + 1.5 * (0.25
 
 
 def _bm25(spark, sf):
-    corpus = ln.table(spark, sf, "documents").select("doc_id", text.words(F.lower("text")).alias("tokens"))
+    corpus = spread(ln.table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", text.words(F.lower("text")).alias("tokens"))
     asked = spark.createDataFrame([("a", ["the", "license", "license"], 1), ("b", ["und", "der"], 2)], "query string, tokens array<string>, ord int")
     return bm25.scores(corpus, asked), asked
 
@@ -383,14 +384,26 @@ def bm25_greedy_sections(spark, sf):
 _CLEAN = [("2,118.5", "2118.5"), ("1, 234", "1234"), ("$ (45.2)", "-45.2"), ("3.5x", "3.5"), ("(1,234)", "-1234"), ("-5", "-5"), ("12%", None), ("—", None), ("N/A", None), ("0", None), ("0.00", None), ("1.234", "1234"), ("(1.234)", "-1.234"), ("1.234x", "1234"), ("1_000", "1_000"), ("1d", None), ("nan", None)]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', {repr(b) if b else 'NULL'})" for a, b in _CLEAN) + ") v(raw, value)")
+@query(f"""WITH v AS (SELECT * FROM (VALUES {", ".join(f"({i}, {repr(b) if b else 'NULL'})" for i, (_, b) in enumerate(_CLEAN))}) v(k, value)),
+p AS (SELECT p_partkey, p_partkey % {len(_CLEAN) + 1} AS k FROM part)
+SELECT p_partkey, CASE WHEN p.k = {len(_CLEAN)} THEN CAST(p_partkey + 1 AS VARCHAR) ELSE value END AS value FROM p LEFT JOIN v USING (k)""")
 def metric_clean(spark, sf):
-    return spark.createDataFrame([(a,) for a, _ in _CLEAN], "raw string").select("raw", numbers.clean_value(F.col("raw")).alias("value"))
+    """Every part's value in one of the forms in which filings write values."""
+    forms = F.array(*[F.lit(a) for a, _ in _CLEAN])
+    k = (F.col("p_partkey") % (len(_CLEAN) + 1)).cast("int")
+    raw = F.coalesce(F.get(forms, k), F.concat(F.lit("$ "), (F.col("p_partkey") + 1).cast("string")))
+    return ln.table(spark, sf, "part").select("p_partkey", numbers.clean_value(raw).alias("value"))
 
 
-@query("SELECT * FROM (VALUES ('EBITDAMarginRate', 'ebitda margin rate'), ('NetIncomeLoss', 'net income loss'), ('AssetsXOf', 'assets of')) v(tag, tokens)")
+@query("""WITH w AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(text, '[^A-Za-z]+'), lambda x: length(x) >= 2)) AS w FROM documents),
+u AS (SELECT DISTINCT upper(left(w, 1)) || lower(substr(w, 2)) AS w FROM w)
+SELECT w AS word, lower(w) || ' net of ' || 'ebitda' AS tokens FROM u""")
 def camel_tokens(spark, sf):
-    return spark.createDataFrame([("EBITDAMarginRate",), ("NetIncomeLoss",), ("AssetsXOf",)], "tag string").select("tag", F.array_join(tokens.tag_tokens(F.col("tag")), " ").alias("tokens"))
+    """Every word of the documents in a tag with an acronym behind it."""
+    words = ln.table(spark, sf, "documents").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("w")).where("length(w) >= 2")
+    capital = F.concat(F.upper(F.left("w", F.lit(1))), F.lower(F.substring("w", 2, 1 << 20))).alias("word")
+    tag = F.concat("word", F.lit("NetOfEBITDA"))
+    return words.select(capital).distinct().select("word", F.array_join(tokens.tag_tokens(tag), " ").alias("tokens"))
 
 
 _STEM = "CASE WHEN suffix(w, 'ings') AND length(w) >= 7 THEN left(w, length(w) - 4) WHEN suffix(w, 'ing') AND length(w) >= 6 THEN left(w, length(w) - 3) WHEN suffix(w, 'ies') AND length(w) >= 6 THEN left(w, length(w) - 3) WHEN suffix(w, 'es') AND length(w) >= 5 THEN left(w, length(w) - 2) WHEN suffix(w, 's') AND length(w) >= 4 THEN left(w, length(w) - 1) ELSE w END"

@@ -158,10 +158,19 @@ def free_question(spark, sf):
     return patterns.run_sql(ln.graph(spark, sf), asked, ln.TARGET)
 
 
-@query("SELECT * FROM (VALUES ('FACES_RISK', 2, 1), ('HAS_METRIC', 5, 4), ('OPERATES_IN', 2, 1)) v(relation, n_required, n_queries)")
+@query("""WITH k AS (SELECT *, p_partkey % 3 AS k FROM part), v AS (SELECT * FROM (VALUES (0, 'FACES_RISK'), (1, 'HAS_METRIC'), (2, 'OPERATES_IN')) v(k, relation))
+SELECT relation, count(*) AS n, count(*) FILTER (WHERE p_size % 4 <> 0) AS n_whole FROM k JOIN v USING (k) GROUP BY 1""")
 def relation_registry(spark, sf):
-    found = [entities.relation(name) for name in entities.relations()]
-    return spark.createDataFrame([(r.name, len(r.required), len(r.queries)) for r in found if r.name.isupper()], "relation string, n_required int, n_queries int")
+    """Raw entities of every registered relation, one for each part, of which every fourth by size lacks its first field."""
+    out = None
+    for k, name in enumerate(n for n in entities.relations() if n.isupper()):
+        kind = entities.relation(name)
+        fields = [c.split() for c in kind.schema.split(", ")]
+        value = lambda n, t: (F.when((F.col("p_size") % 4 != 0) | F.lit(n != kind.required[0]), F.lit("1" if n in ("value", "source_index") else "x"))).cast(t).alias(n)  # noqa: B023, E731
+        raw = ln.table(spark, sf, "part").where(F.col("p_partkey") % 3 == k).select(*[value(n, t) for n, t in fields])
+        one = raw.agg(F.count(F.lit(1)).alias("n")).join(kind.parse(entities.required(raw, kind.required), "Acme").agg(F.count(F.lit(1)).alias("n_whole"))).select(F.lit(name).alias("relation"), "n", "n_whole")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 # Sections
