@@ -31,7 +31,7 @@ def test_text(spark):
 
 def test_numbers(spark):
     urls = [("https://x/CIK0001801602.json",), ("https://x/CIK0000000000.json",), ("none",), (None,)]
-    assert values(spark, urls, "c string", n.cik_of_url(F.col("c"))) == [("1801602",), ("0",), ("",), ("",)]
+    assert values(spark, urls, "c string", n.cik_of_url(F.col("c"))) == [("1801602",), ("0",), (None,), (None,)]
     pairs = [("108", "$ million", 110e6), ("100", "$ million", 110e6), ("0", "x", 0.0), ("5", "x", 0.0), ("bad", "x", 1.0)]
     got = values(spark, pairs, "v string, u string, g double", n.values_match(n.scaled(F.col("v"), F.col("u")), F.col("g")))
     assert got == [(True,), (False,), (True,), (False,), (False,)]
