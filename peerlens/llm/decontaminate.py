@@ -11,8 +11,8 @@ automaton of its own, and the documents pass one block after the other, adding s
 before the next one reads it, so that no worker holds two automata. An item is never divided.
 
 Defined cases: a null or empty text has no words and is never contaminated; null or empty items match nothing; a null
-item_id counts as the empty text; items with equal ids count once; repeated rows are judged alike; with an empty
-benchmark nothing is hit; an empty table gives no rows; a very long text is streamed like any other, in memory that its
+item_id counts as the empty text; items with equal ids count once; repeated rows are judged alike; a null
+doc_id is passed on; with an empty benchmark nothing is hit; an empty table gives no rows; a very long text is streamed like any other, in memory that its
 words need. `scan` replaces columns of docs that are called like an added one; `decontaminate` leaves all as they are.
 """
 

@@ -8,8 +8,8 @@ the tokens (the last ones have powers of two), every sequence is filled and noth
 Sequences are made in groups of about `group_tokens` tokens inside a partition, so nothing is shuffled and memory is
 bounded. A document longer than a group is still one list of ids.
 
-Defined cases: a null text counts as empty and gives its end id only; repeated rows are packed as often as they come; an
-empty table gives no rows; a very long text is cut into as many sequences as it fills. Extra columns are ignored, whatever
+Defined cases: a null text counts as empty and gives its end id only; repeated rows are packed as often as they come; a
+null doc_id stays null, and its pieces are packed like others; an empty table gives no rows; a very long text is cut into as many sequences as it fills. Extra columns are ignored, whatever
 their names.
 """
 
