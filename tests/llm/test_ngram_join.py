@@ -110,3 +110,44 @@ def test_hot_elements_fold_within_a_batch():
     assert [np.frombuffer(r, nj._COUNT).tolist() for r in rows.column("raw").to_pylist()] == [[(3, 1)]]
     none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     assert [len(x) for x in nj.fold_to_stars(*none)] == [len(x) for x in nj.fold_to_counts(4)(*none)] == [0, 0, 0]
+
+
+def test_maps_grow_with_the_classes(spark):
+    import numpy as np
+
+    assert nj.map_bits(0) == nj.map_bits(100) == nj.LEAST_BITS
+    assert all(nj.map_bits(n) >= nj.BITS_A_CLASS * n for n in (300_000, 3_000_000))
+    keys = [5, -1, 1 << 40, -(1 << 63), 77]
+    known = nj._bitmap(spark.createDataFrame([(k,) for k in keys], "key long"), nj.LEAST_BITS)
+    assert nj._only(known, np.array(keys)).all() and np.unpackbits(known).sum() == len({k % nj.LEAST_BITS for k in keys})
+    assert not nj._only(known, np.array([6, 7, -2])).any()
+
+
+def test_sets_that_link_have_neighbouring_bands(spark):
+    pairs = [(n, m) for n in (1, 3, 4, 5, 12, 100, 999, 65_536) for m in (n, (4 * n) // 3)]
+    rows = spark.createDataFrame(pairs, "n long, m long").select(nj.band_of(nj.F.col("n")).alias("a"), nj.band_of(nj.F.col("m")).alias("b")).collect()
+    assert all(0 <= r["b"] - r["a"] <= 1 for r in rows)
+
+
+def test_a_large_group_meets_neighbouring_bands_only(spark, monkeypatch):
+    """Chains of texts of many sizes that share a passage: one candidate group, in small blocks."""
+    monkeypatch.setattr(nj, "BLOCK", 2)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(words[: int(12 * 1.2**k)])) for k in range(18)] + [(100 + k, " ".join([*words[: int(12 * 1.2**k)], "x"])) for k in range(18)]
+    got = sorted((repr(r["doc_id"]), r["n_shingles"], repr(r["component_id"])) for r in nj.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows)
+
+
+def test_what_a_stored_table_shuffled_is_gone(spark):
+    import time
+
+    from peerlens.llm import common
+
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    before = files()
+    out = common.stored(spark.range(10_000).repartition(7, "id"), "gone")
+    wait = time.monotonic() + 10
+    while files() > before and time.monotonic() < wait:
+        time.sleep(0.1)
+    assert files() <= before and out.count() == 10_000
+    assert spark.conf.get(common.CLEANUP, "false") == "false"
