@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from peerlens.llm import common, decontaminate, line_dedup, ngram_join, packing, quality_crf
 
+#: Encoded pieces that a worker of the last stage keeps: fewer than packing alone does, as workers of earlier stages are still
+#: there, idle, with what they have loaded.
+PIECES = 200_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -49,7 +52,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents that stay, in sequences of 1024 tokens."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), pieces=PIECES)
 
 
 STAGES = [("quality classifier", quality), ("line dedup", lines), ("n-gram Jaccard join", near_copies), ("benchmark decontamination", benchmark), ("packing", packed)]
