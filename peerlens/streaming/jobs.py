@@ -63,6 +63,9 @@ class Follower(StatefulProcessor):
         (job,) = key
         heard, ended, timer = self.job.get() if self.job.exists() else (0, 0, 0)
         now = timerValues.getCurrentProcessingTimeInMs() if self.clock else 0
+        # Steps are read from the state and written to it once in a trigger, not for each event.
+        known: dict[int, tuple | None] = {}
+        changed: set[int] = set()
         # Rows come in any order; those of one trigger and job are put in theirs, the terminal one last of equal times.
         for r in sorted(rows, key=lambda r: (r["ts"], r["status"] in TERMINAL, r["step"] or 0, r["status"] or "")):
             at = _micros(r["ts"])
@@ -72,13 +75,19 @@ class Follower(StatefulProcessor):
             if r["status"] in TERMINAL:
                 ended = at
                 self.steps.clear()
+                changed.clear()
                 yield Entry(job, "end", None, r["status"], r["ts"])
                 continue
-            step = (r["step"] or 0,)
-            known = self.steps.getValue(step) if self.steps.containsKey(step) else None
-            if known is None or (at, r["status"] or "") > (known[0], known[1] or ""):
-                self.steps.updateValue(step, (at, r["status"]))
+            step = r["step"] or 0
+            if step not in known:
+                known[step] = self.steps.getValue((step,)) if self.steps.containsKey((step,)) else None
+            last = known[step]
+            if last is None or (at, r["status"] or "") > (last[0], last[1] or ""):
+                known[step] = (at, r["status"])
+                changed.add(step)
                 yield Entry(job, "step", r["step"], r["status"], r["ts"])
+        for step in sorted(changed):
+            self.steps.updateValue((step,), known[step])
         since = now or (ended or heard) // 1000
         self.job.update((heard, ended, self._wake(timer, since + (self.idle if ended else self.silence))))
 
