@@ -39,12 +39,25 @@ def deduplicated(rows: DataFrame, order: str = "seq") -> DataFrame:
     return dedup.nested(rows, [n for n, _, _ in LISTS if n in rows.columns], ITEM_KEYS, order)
 
 
-def context(rows: DataFrame, most: int = CONTEXT_ROWS, order: str = "seq", whole: bool = False) -> DataFrame:
-    """One row with the first rows as JSON, long strings cut unless whole."""
-    small = cleaned(rows.orderBy(order).limit(most))
+def _shown(rows: DataFrame, most: int, order: str, whole: bool) -> DataFrame:
+    """The first rows, and of each what is shown. They are found by their order alone, so whole rows stay where they are."""
+    first = rows.select(F.col(order).alias("_first")).orderBy("_first").limit(most).groupBy("_first").agg(F.count(F.lit(1)).alias("_most"))
+    same = Window.partitionBy(order).orderBy(order)
+    found = rows.join(F.broadcast(first), F.col(order).eqNullSafe(F.col("_first")))
+    small = cleaned(found.withColumn("_n", F.row_number().over(same)).where("_n <= _most").select(*rows.columns))
     small = small if whole else shortened(small)
-    body = F.to_json(F.array_sort(F.collect_list(F.struct(order, F.struct(*[c for c in small.columns if c != order]).alias("row")))), {"pretty": "true"})
-    return small.agg(body.alias("context"))
+    return small.select(F.struct(order, F.struct(*[c for c in small.columns if c != order]).alias("row")).alias("shown"))
+
+
+def context_lines(rows: DataFrame, most: int = CONTEXT_ROWS, order: str = "seq", whole: bool = False) -> DataFrame:
+    """The first rows, each as JSON, in order of the column of that name; long strings cut unless whole. For rows of any size."""
+    small = _shown(rows, most, order, whole)
+    return small.select(F.col(f"shown.{order}").alias(order), F.to_json("shown").alias("line"))
+
+
+def context(rows: DataFrame, most: int = CONTEXT_ROWS, order: str = "seq", whole: bool = False) -> DataFrame:
+    """One row with the first rows as one JSON text, for a prompt; long strings cut unless whole."""
+    return _shown(rows, most, order, whole).agg(F.to_json(F.array_sort(F.collect_list("shown")), {"pretty": "true"}).alias("context"))
 
 
 def items(rows: DataFrame, order: str = "seq") -> DataFrame:
