@@ -47,24 +47,31 @@ def by_call(most: int = 10) -> tuple[Rule, int]:
 
 def fold(sizes: Sequence[int], rule: Rule, held: int = 0, batch: int = 0) -> tuple[list[int], int, int]:
     """The batch of each item, what is held in the end, and the number of the batch that is open then."""
-    out, state = [], np.array([held], np.int64)
+    out: list[int] = []
+    steps: dict[tuple[int, int], tuple[int, int, int]] = {}  # what the rule has said
     for size in sizes:
-        before, after, state = rule(state, size)
-        batch += int(before[0])
+        step = steps.get((held, size))
+        if step is None:
+            step = steps[held, size] = tuple(int(x[0]) for x in rule(np.array([held], np.int64), size))
+        batch += step[0]
         out.append(batch)
-        batch += int(after[0])
-    return out, int(state[0]), batch
+        batch += step[1]
+        held = step[2]
+    return out, held, batch
 
 
 def summary(sizes: Sequence[int], rule: Rule, states: int) -> list[tuple[int, int, int]]:
     """Runs of incoming values: first value, batches that end, what is held in the end."""
     held, which, ended = np.arange(states, dtype=np.int64), np.arange(states), np.zeros(states, np.int64)
-    for size in sizes:
+    for k, size in enumerate(sizes):
         before, after, held = rule(held, size)
         ended = ended + before + after
-        if len(held) > 1:  # values that have become alike, with as many batches, stay alike
-            pairs, back = np.unique(np.stack([held, ended]), axis=1, return_inverse=True)
-            held, ended, which = pairs[0], pairs[1], back.reshape(-1)[which]
+        pairs, back = np.unique(np.stack([held, ended]), axis=1, return_inverse=True)  # alike now, alike from here on
+        held, ended, which = pairs[0], pairs[1], back.reshape(-1)[which]
+        if len(held) == 1:
+            _, last, more = fold(sizes[k + 1 :], rule, int(held[0]))
+            held, ended = np.array([last]), ended + more
+            break
     end, count = held[which], ended[which]
     first = np.flatnonzero(np.r_[True, (np.diff(end) != 0) | (np.diff(count) != 0)])
     return [(int(s), int(count[s]), int(end[s])) for s in first]

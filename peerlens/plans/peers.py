@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import concepts, entities, text, tokens
-from ..operators import bm25, decisions, facts, graph
+from ..operators import batches, bm25, facts, graph
 from .provider import Provider
 
 
@@ -71,16 +71,24 @@ def risk_texts(filings: DataFrame) -> DataFrame:
 
 def risk_batches(risks: DataFrame) -> DataFrame:
     """cik, company, batch, paragraphs, prompt: a filing's risks in batches of about 5000 characters."""
-    numbered = risks.withColumn("b", decisions.size_batches(F.transform("individual_risks", F.length)))
-    rows = numbered.select("cik", "company", F.posexplode(F.arrays_zip("b", "individual_risks")).alias("pos", "x"))
-    grouped = rows.groupBy("cik", "company", F.col("x.b").alias("batch")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("x.individual_risks").alias("t")))), lambda p: p["t"]).alias("paragraphs"))
+    return paragraph_batches(risks.select("cik", "company", F.posexplode("individual_risks").alias("pos", "t")))
+
+
+def paragraph_batches(rows: DataFrame) -> DataFrame:
+    """The same from a row for each paragraph (cik, company, pos, t). A filing may have any number of them."""
+    dealt = batches.batched(rows.withColumn("_n", F.length("t")), ["cik", "company"], ["pos"], "_n", batches.by_size())
+    grouped = dealt.groupBy("cik", "company", F.col("batch").cast("int").alias("batch")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda p: p["t"]).alias("paragraphs"))
     return grouped.withColumn("prompt", text.numbered(F.col("paragraphs")))
 
 
-def structured_risks(batches: DataFrame, provider: Provider, job: str) -> DataFrame:
+def risk_prompts(filed: DataFrame, job: str) -> DataFrame:
+    """What is asked for the batches of all filings."""
+    return filed.select(F.lit(job).alias("job_id"), F.lit("peer_risks").alias("phase"), F.col("batch").alias("idx"), "prompt", "cik", "company", "paragraphs")
+
+
+def structured_risks(filed: DataFrame, provider: Provider, job: str) -> DataFrame:
     """Validated risks of all batches with risk_id, citation_id and the paragraph they come from."""
-    prompts = batches.select(F.lit(job).alias("job_id"), F.lit("peer_risks").alias("phase"), F.col("batch").alias("idx"), "prompt", "cik", "company", "paragraphs")
-    replies = provider.replies(prompts)
+    replies = provider.replies(risk_prompts(filed, job))
     rows = replies.select("cik", "company", F.col("idx").alias("batch"), "paragraphs", F.posexplode(text.json_array(F.col("reply"), text.struct_of(entities.RISK))).alias("pos", "r")).select("cik", "company", "batch", "pos", "paragraphs", "r.*")
     valid = entities.valid_peer_risks(rows, "").withColumn("organization", F.when(F.col("organization") == "", F.col("company")).otherwise(F.col("organization")))
     placed = valid.withColumn("source_text", entities.source_paragraph(F.col("paragraphs"), F.col("source_index"))).drop("paragraphs", "source_index")

@@ -115,5 +115,9 @@ class Recording:
         said.select("prompt", "reply").distinct().write.mode("append").parquet(self.path)
         return said
 
+    def record(self, prompts: DataFrame) -> None:
+        """Keeps the replies, of which nothing else is wanted."""
+        self.provider.replies(prompts).select("prompt", "reply").distinct().write.mode("append").parquet(self.path)
+
     def recorded(self) -> DataFrame:
         return self.spark.read.schema("prompt string, reply string").parquet(self.path)

@@ -16,6 +16,7 @@ from .run_queries import odd_items
 from .source_queries import scratch
 from .sources import fetch
 from .sources.landing import Landing
+from .sources.shared import stored
 from .sources.store import StoredGraph, StoredTable
 from .sources.term_index import TermIndex
 
@@ -99,9 +100,9 @@ def indexed_top15(spark, sf):
 SELECT source AS cik, source || '_risk_' || row_number() OVER (PARTITION BY source ORDER BY doc_id) AS risk_id, printf('PEER_R%04d', row_number() OVER (ORDER BY source, doc_id)) AS citation_id, CAST(doc_id AS VARCHAR) AS risk_name FROM t""")
 def recorded_peer_risks(spark, sf):
     """Structured risks of all filings, whose batches have the same numbers, from replies that an earlier run recorded."""
-    batches = risk_batches(spark, sf)
+    batches = stored(risk_batches(spark, sf).drop("prompt"), "risk-batches").withColumn("prompt", text.numbered(F.col("paragraphs")))
     tape = replies.Recording(provider.Rules(risk_reply()), spark, scratch(spark, "tape"))
-    peers.structured_risks(batches, tape, "job")
+    tape.record(peers.risk_prompts(batches, "job"))
     out = peers.structured_risks(batches, provider.Recorded(tape.recorded()), "another")
     return out.where(F.col("source_text").startswith(F.col("risk_name"))).select("cik", "risk_id", "citation_id", "risk_name")
 
