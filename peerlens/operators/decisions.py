@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
+from . import batches
 from .numbering import numbered
 
 SCHEMA = "idx int, action string, merge_into int, value string, unit string, gaap_concept string, category string, reason string"
@@ -161,16 +162,14 @@ def size_batches(lengths: Column, least: int = 5000) -> Column:
     return F.aggregate(lengths, start, step, lambda a: a["out"])
 
 
-def sliced_calls(sizes: Column, most: int = 10) -> Column:
-    """item, start, n, call: items with more than `most` evaluations are cut into slices, and the slices dealt to calls."""
-    slices = F.flatten(
-        F.transform(
-            sizes,
-            lambda n, i: F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(most))).otherwise(F.array().cast("array<int>")), lambda s: F.struct(i.alias("item"), s.alias("start"), F.least(F.lit(most), n - s).alias("n"))),
-        )
-    )
-    calls = call_batches(F.transform(slices, lambda s: s["n"]), most)
-    return F.zip_with(slices, calls, lambda s, c: F.struct(s["item"].alias("item"), s["start"].alias("start"), s["n"].alias("n"), c.alias("call")))
+def sliced_calls(df: DataFrame, group: Sequence[str], order: Sequence[str], size: str, most: int = 10) -> DataFrame:
+    """item, start, n, call of each group's items, in order: those with more than `most` evaluations are cut into slices, and
+    the slices dealt to calls. A group may have any number of items."""
+    n = F.col(size).cast("int")
+    placed = numbered(df.select(*group, *order, size), group, order, "_n").where(n > 0)
+    cut = placed.select(*group, (F.col("_n") - 1).cast("int").alias("item"), n.alias("_size"), F.explode(F.sequence(F.lit(0), n - 1, F.lit(most))).alias("start"))
+    slices = cut.select(*group, "item", "start", F.least(F.lit(most), F.col("_size") - F.col("start")).alias("n"))
+    return batches.batched(slices, group, ["item", "start"], "n", batches.by_call(most), "call").withColumn("call", F.col("call").cast("int"))
 
 
 def call_batches(sizes: Column, most: int = 10) -> Column:

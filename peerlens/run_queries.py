@@ -9,7 +9,7 @@ from .answer_queries import ITEMS, answer_rows
 from .operators import batches, numbering, sections
 from .plans import evaluation, provider, qa
 from .registry import query
-from .source_queries import json_files, scratch
+from .source_queries import dealt_to, json_files, scratch
 from .sources import tables
 from .streaming import jobs, steps
 
@@ -153,7 +153,7 @@ def section_files(spark, sf):
     """Sections as JSON files, read by the scan."""
     parsed = sections.headed(ln.markdown(spark, sf)).select("doc", "pos", "title", "level")
     docs = parsed.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "title", "level"))).alias("sections"))
-    back = tables.sections(spark, json_files(docs, F.pmod(F.col("doc"), F.lit(8)), "sections"))
+    back = tables.sections(spark, json_files(docs, dealt_to(F.col("doc"), ln.table(spark, sf, "documents").count(), 1_000, 8), "sections"))
     flat = back.select(F.col("doc").cast("long").alias("doc"), F.inline("sections"))
     return flat.groupBy("doc").agg(F.count("*").alias("n"), F.sum("level").alias("levels"))
 

@@ -29,6 +29,11 @@ def files(rows: DataFrame, label: str) -> str:
     return f"{path}/*"
 
 
+def dealt_to(key: Column, rows: int, each: int, least: int = 1) -> Column:
+    """The number of a file, by key, so that files of about `each` rows hold them all: files become more, not larger."""
+    return F.pmod(F.xxhash64(key), F.lit(max(least, -(-rows // each))))
+
+
 def json_files(rows: DataFrame, bucket: Column, label: str) -> str:
     """Rows as JSON arrays, one file for each bucket."""
     return files(rows.groupBy(bucket.cast("string").alias("file")).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value")), label)
@@ -45,7 +50,7 @@ def relation_files(spark, sf):
         target = F.struct(F.lit("T").alias("type"), tgt.alias("name"), *[F.create_map(F.lit(k), v).alias("properties") for k, v in props.items()])
         return F.struct(F.struct(F.lit("S").alias("type"), src.alias("name")).alias("src"), target.alias("tgt"), F.lit(rel).alias("rel"), *[c.alias(k) for k, c in more.items()])
 
-    listed = p.groupBy(F.col("p_brand").alias("file")).agg(F.to_json(F.struct(F.collect_list(relation(F.col("p_brand"), "HAS_METRIC", F.col("p_name"), value=F.col("p_size").cast("string"), source_page=F.col("p_size"))).alias("relations"))).alias("value"))
+    listed = p.groupBy(F.concat_ws("-", "p_brand", dealt_to(F.col("p_partkey"), p.count(), 20_000)).alias("file")).agg(F.to_json(F.struct(F.collect_list(relation(F.col("p_brand"), "HAS_METRIC", F.col("p_name"), value=F.col("p_size").cast("string"), source_page=F.col("p_size"))).alias("relations"))).alias("value"))
     single = n.select(F.col("n_name").alias("file"), F.to_json(F.struct(relation(F.col("n_name"), "OPERATES_IN", F.concat(F.lit("Industry "), "n_regionkey")).alias("validated_relation"))).alias("value"))
     found = tables.relations(spark, files(listed.unionByName(single), "relations"))
     return found.select(F.col("src.name").alias("src"), "rel", F.col("tgt.name").alias("tgt"), F.col("tgt.properties")["value"].alias("value"), F.col("source_page").alias("page"))
@@ -57,7 +62,7 @@ def search_pages(spark, sf):
     cik = F.lpad(F.col("user_id").cast("string"), 10, "0")
     source = F.struct(F.array(cik).alias("ciks"), F.array(F.concat(F.lit("User "), "user_id", F.lit("  (CIK "), cik, F.lit(")"))).alias("display_names"), F.col("event_type").alias("form"), F.lit("a").alias("adsh"), F.date_format("ts", "yyyy-MM-dd").alias("file_date"))
     hit = F.struct(F.concat(F.col("event_id").cast("string"), F.lit(":f.htm")).alias("_id"), source.alias("_source"))
-    pages = e.groupBy((F.col("event_id") % 40).cast("string").alias("file")).agg(F.to_json(F.struct(F.struct(F.collect_list(hit).alias("hits")).alias("hits"))).alias("value"))
+    pages = e.groupBy(dealt_to(F.col("event_id"), e.count(), 2_500, 40).cast("string").alias("file")).agg(F.to_json(F.struct(F.struct(F.collect_list(hit).alias("hits")).alias("hits"))).alias("value"))
     return tables.search_hits(spark, files(pages, "search")).select("id", "cik", "name", "form", "filing_date")
 
 
@@ -70,7 +75,7 @@ def _fact_files(spark, sf):
     kinds = tags.groupBy("cik", "taxonomy").agg(F.map_from_entries(F.collect_list(F.struct("tag", "content"))).alias("tags"))
     docs = kinds.groupBy("cik").agg(F.map_from_entries(F.collect_list(F.struct("taxonomy", "tags"))).alias("facts"))
     docs = docs.select(F.col("cik").cast("string").alias("cik"), F.concat(F.lit("Company "), "cik").alias("entityName"), "facts")
-    return tables.company_facts(spark, json_files(docs, F.pmod(F.col("cik").cast("long"), F.lit(16)), "facts"))
+    return tables.company_facts(spark, json_files(docs, dealt_to(F.col("cik"), ln.table(spark, sf, "supplier").count(), 60, 16), "facts"))
 
 
 @query(f"""WITH {ln.FACTS} SELECT CAST(cik AS VARCHAR) AS cik, taxonomy, tag, 'Label of ' || tag AS label, unit, CAST(dense_rank() OVER (PARTITION BY cik, taxonomy, tag ORDER BY unit) - 1 AS INT) AS unit_ord,
@@ -89,7 +94,7 @@ def facts_last_taxonomy(spark, sf):
 
 @query("SELECT 'Tag' || p_partkey AS tag, p_name AS label FROM part")
 def taxonomy_labels(spark, sf):
-    """A label linkbase with a locator, an arc, a standard label and a documentation for each part."""
+    """Label linkbases, of bounded size, with a locator, an arc, a standard label and a documentation for each part."""
     p = ln.table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("k"), "p_name")
     parts = (
         '<link:loc xlink:type="locator" xlink:href="gaap.xsd#us-gaap_Tag', F.col("k"), '" xlink:label="loc_', F.col("k"), '"/>\n<link:labelArc xlink:from="loc_', F.col("k"), '" xlink:to="lab_', F.col("k"),
@@ -97,7 +102,8 @@ def taxonomy_labels(spark, sf):
         '</link:label>\n<link:label xlink:label="lab_', F.col("k"), '" xlink:role="http://www.xbrl.org/2003/role/documentation">about it</link:label>',
     )
     body = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
-    return tables.taxonomy(spark, files(p.select(F.lit("labels").alias("file"), body.alias("value")), "taxonomy"))
+    file = F.concat(F.lit("labels-"), dealt_to(F.col("k"), p.count(), 20_000))
+    return tables.taxonomy(spark, files(p.select(file.alias("file"), body.alias("value")), "taxonomy"))
 
 
 @query("""SELECT 'C' || doc_id AS dimension, CAST(quality AS DOUBLE) AS score, 'why "' || toxic || '",' || chr(10) || 'so' AS note FROM labels
@@ -122,7 +128,7 @@ def job_states(spark, sf):
     e = ln.table(spark, sf, "events")
     done = F.collect_set(F.when(F.col("event_type") == "purchase", (F.hour("ts") % 5 + 1).cast("int")))
     states = e.groupBy(F.col("user_id").cast("string").alias("job_id")).agg(F.sort_array(done).alias("completed_steps")).withColumn("main_company", F.concat(F.lit("C"), "job_id"))
-    back = tables.job_state(spark, json_files(states, F.pmod(F.xxhash64("job_id"), F.lit(8)), "states"))
+    back = tables.job_state(spark, json_files(states, dealt_to(F.col("job_id"), e.count(), 10_000, 8), "states"))
     return back.join(steps.next_step(back.select("job_id", "completed_steps")), "job_id").select("job_id", F.size("completed_steps").cast("long").alias("n_done"), "step")
 
 
@@ -231,6 +237,7 @@ def html_headings(spark, sf):
         F.lit('<div id="DSPFiXBRLHidden">hidden</div><p>PART I</p><p>Item 4. Not bold, so it is no heading</p><div><span style="font-weight:700">'), item, F.lit("</span></div><p>Body "), clean,
         F.lit("</p><hr/><p>More <a href='x'>words</a></p><table><tr><td><div><b>Item 3. In a table</b></div></td></tr></table><div><b>"), item, F.lit("</b></div><h3>A <i>heading</i></h3><img src='x'/>end"),
     )
+    filings.small_batches(spark)
     md = ln.table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), filings.markdown_of(html).alias("text"))
     out = sections.with_pages(sections.with_parents(sections.headed(md)).withColumn("leaf", F.lit(True)))
     return out.select("doc", "pos", "title", "level", "start_page", "end_page")
@@ -259,8 +266,7 @@ f AS (SELECT k, place, 0 AS call, n AS held FROM s WHERE place = 1 UNION ALL SEL
 SELECT s.k AS brand, CAST(item AS INT) AS item, CAST(start AS INT) AS start, CAST(s.n AS INT) AS n, CAST(call AS INT) AS call FROM s JOIN f ON f.k = s.k AND f.place = s.place""")
 def evaluation_calls(spark, sf):
     """Evaluations of at most ten a call; items with more are cut into slices."""
-    sizes = ln.table(spark, sf, "part").groupBy("p_brand").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_size"))), lambda x: x["p_size"]).alias("sizes"))
-    return sizes.select(F.col("p_brand").alias("brand"), F.inline(decisions.sliced_calls(F.col("sizes"))))
+    return decisions.sliced_calls(ln.table(spark, sf, "part"), ["p_brand"], ["p_partkey"], "p_size").withColumnRenamed("p_brand", "brand")
 
 
 @query("""SELECT s_suppkey, lpad(CAST(s_suppkey AS VARCHAR), 10, '0') AS padded, 'https://www.sec.gov/Archives/edgar/data/' || s_suppkey || '/' || '0001' || s_nationkey || '/f.htm' AS url,
