@@ -59,7 +59,8 @@ def risk_calls(found: DataFrame, job: Sequence[str] = ("job_id",), most: int = C
     Rows of one text are asked together, in slices of at most `most`; slices go to calls in the order of their texts' first
     rows, and a call takes slices while it has `most` evaluations or fewer."""
     text_of = F.sha2(F.col("chunk_text").cast("binary"), 256)
-    rows = numbered(found.withColumn("_text", text_of), [*job, "_text"], ["citation_id", "risk_theme"], "_n")
+    # Rows of one citation and theme go by the company, so that equal inputs always get equal numbers.
+    rows = numbered(found.withColumn("_text", text_of), [*job, "_text"], ["citation_id", "risk_theme", *[c for c in ("company", "cik") if c in found.columns]], "_n")
     rows = rows.withColumns({"_slice": F.floor((F.col("_n") - 1) / most), "theme": ((F.col("_n") - 1) % most + 1).cast("int")})
     # An evaluation's text comes once for each slice.
     slices = rows.groupBy(*job, "_text", "_slice").agg(F.count(F.lit(1)).alias("_size"))
