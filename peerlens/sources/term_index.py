@@ -65,9 +65,9 @@ class TermIndex:
 
         def write(name: str, df: DataFrame) -> None:
             rows = df.select(*[c.split()[0] for c in self.schemas[name].split(", ")], self._bucket().alias("bucket"))
-            rows.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.path}/{name}/segment={segment}")
+            rows.repartition("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.path}/{name}/segment={segment}")
 
-        # A bucket of a frequent term is dealt to several tasks: by term and block.
+        # A bucket is dealt to several tasks: above by term, here, where terms are frequent, by block.
         rows = postings.select("term", "doc", "block", "f", "dl", self._bucket().alias("bucket"))
         rows.repartition("bucket", "block").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.path}/postings/segment={segment}")
         own = self.spark.read.schema(self.schemas["postings"]).parquet(f"{self.path}/postings/segment={segment}")
