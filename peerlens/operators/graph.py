@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers
+from ..sources.shared import dealt
 from .numbering import numbered
 
 EDGES = "src_label string, src string, rel string, dst_label string, dst string, props map<string,string>"
@@ -33,17 +34,28 @@ def stamped(old: DataFrame, new: DataFrame, keys: Sequence[str], at: Column, seq
     return out.join(found, list(keys), "left").withColumn("updated_at", F.when(F.col("_found"), at).otherwise(before)).drop("_found")
 
 
+def _ends(nodes: DataFrame) -> DataFrame:
+    """_end (label and key in one column) of the nodes. Dealt by number, so that edges that meet them in a sort-merge join stay
+    in as many tasks; in one column, as Spark deals by the key alone where labels are constants."""
+    given = nodes.where(F.col("label").isNotNull() & F.col("key").isNotNull())
+    return dealt(given.select(F.struct("label", "key").alias("_end")), "_end").distinct()
+
+
+def _at(of: str) -> Column:
+    """Whether an edge's end is the node of _ends; one without label or key is none."""
+    return F.struct(F.col(f"{of}_label").alias("label"), F.col(of).alias("key")) == F.col("_end")
+
+
 def upsert_edges(old: DataFrame, new: DataFrame, nodes: DataFrame, seq: str = "seq") -> DataFrame:
     """Edges whose two ends exist (nodes: label, key); equal ones once, the properties of the last write by seq counting
     (all writes without that column count as one, and the largest properties by name count)."""
-    ends = nodes.select("label", "key").distinct()
-    ok = new.join(ends, (F.col("src_label") == F.col("label")) & (F.col("src") == F.col("key")), "left_semi")
-    ok = ok.join(ends, (F.col("dst_label") == F.col("label")) & (F.col("dst") == F.col("key")), "left_semi")
+    ends = _ends(nodes)
+    ok = new.join(ends, _at("src"), "left_semi").join(ends, _at("dst"), "left_semi")
     written = F.col(seq).cast("long") if seq in new.columns else F.lit(0).cast("long")
     key = ["src_label", "src", "rel", "dst_label", "dst"]
     place = lambda step, at: F.struct(F.lit(step).alias("step"), at.alias("at"), F.to_json("props").alias("tie")).alias("_place")
     every = old.select(*key, "props", place(0, F.lit(0).cast("long"))).unionByName(ok.select(*key, "props", place(1, written)))
-    return every.groupBy(*key).agg(F.max_by("props", "_place").alias("props"))
+    return dealt(every, *key).groupBy(*key).agg(F.max_by("props", "_place").alias("props"))
 
 
 def sic_edges(industries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -56,10 +68,8 @@ def sic_edges(industries: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def dropped_edges(new: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges that upsert_edges leaves out, as an end is missing."""
-    ends = nodes.select("label", "key").distinct()
-    left = new.join(ends, (F.col("src_label") == F.col("label")) & (F.col("src") == F.col("key")), "left_anti")
-    right = new.join(ends, (F.col("src_label") == F.col("label")) & (F.col("src") == F.col("key")), "left_semi")
-    return left.unionByName(right.join(ends, (F.col("dst_label") == F.col("label")) & (F.col("dst") == F.col("key")), "left_anti"))
+    ends = _ends(nodes)
+    return new.join(ends, _at("src"), "left_anti").unionByName(new.join(ends, _at("src"), "left_semi").join(ends, _at("dst"), "left_anti"))
 
 
 def replace_of_company(old: DataFrame, new: DataFrame, company: str = "company") -> DataFrame:

@@ -10,7 +10,7 @@ from .functions import numbers, text, tokens
 from .operators import bm25, claims, decisions, dedup, facts, graph, scores, sections
 from .plans import patterns, qa
 from .registry import ORACLE_SQL, QUERIES, query
-from .sources.shared import spread
+from .sources.shared import dealt, spread
 from .streaming import steps
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -77,7 +77,7 @@ def _nodes_edges(spark, sf):
     s = ln.suppliers(spark, sf)
     metric_nodes = ln.entities(spark, sf).select(F.lit("Metric").alias("label"), F.col("idx").cast("string").alias("key"))
     nodes = s.select(F.lit("Company").alias("label"), F.col("name").alias("key")).unionByName(metric_nodes)
-    pairs = ln.table(spark, sf, "lineitem").select("l_suppkey", "l_partkey").distinct().join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    pairs = dealt(ln.table(spark, sf, "lineitem").select("l_suppkey", "l_partkey"), "l_suppkey", "l_partkey").distinct().join(s, F.col("l_suppkey") == F.col("s_suppkey"))
     props = F.create_map(F.lit("k"), F.col("l_suppkey").cast("string"))
     edges = pairs.select(F.lit("Company").alias("src_label"), F.col("name").alias("src"), F.lit("HAS_METRIC").alias("rel"), F.lit("Metric").alias("dst_label"), F.col("l_partkey").cast("string").alias("dst"), props.alias("props"))
     return nodes, edges
