@@ -3,9 +3,9 @@
 A segment holds whole documents in ascending order of doc_id. It starts with the documents' ids and numbers of tokens and
 a table of how often each token id occurs (the order-0 prediction); then come blocks of `BLOCK` ids, each coded on its own
 and with a checksum of its own. Within a block two tables learn which id follows the last one (order 1) and the last two
-(order 2), with a confidence; adaptive hit rates for every pair of confidences mix the three predictions into one
-distribution, by which a range coder codes the id. All blocks of a segment are coded side by side, as rows of numpy
-arrays.
+(order 2), with a confidence; for every pair of confidences, hits counted so far in the block mix the three predictions into
+one distribution, by which a range coder codes the id. All blocks of a segment are coded side by side, as rows of numpy
+arrays, so that a step costs a few dozen calls for thousands of ids.
 
 Segments are rows of a Parquet table (part, number in the part, documents, tokens, bytes), so any store that Spark writes
 can hold them, and a lost task writes its own part again.
@@ -29,13 +29,18 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MAGIC = b"PLTK\x01"
+MAGIC = b"PLTK\x02"
 BLOCK = 4096
-SEGMENT_TOKENS = 4 << 20
-SCALE, STATIC = 24, 20
-SLOTS2, SLOTS1 = 1024, 1024
-_U = np.uint64
-_TOP, _BOT = _U(1 << 48), _U(1 << 40)
+SEGMENT_TOKENS = 8 << 20
+STATIC = 20
+#: Entries of a block's table of each order.
+SLOTS = 1024
+#: Contexts of the weights; steps after which these are set anew.
+KINDS, EVERY = 32, 128
+_NONE, _HASH = 1 << 26, 0x2F0D5
+_SURER, _SUREST = np.array([[4], [1]], np.int32), np.array([[12], [3]], np.int32)
+#: A range below the first makes room for a word of 24 bits, so each has 28 to 52 bits.
+_SMALL, _WORD = float(1 << 28), float(1 << 24)
 _SCHEMA = "part long, number long, n_docs long, n_tokens long, body binary"
 
 
@@ -44,136 +49,216 @@ class ChecksumError(ValueError):
 
 
 class _Model:
-    """Predictions for many blocks at once; the coder and the decoder drive equal copies of it. A table's entry is an id and,
-    in its two lowest bits, how sure it is."""
-
-    def __init__(self, lanes: int, cumulative: np.ndarray):
-        self.cum = cumulative.astype(np.int64)
-        self.row = np.arange(lanes, dtype=np.int64)
-        self.table2, self.table1 = np.full(lanes * SLOTS2, -4, np.int32), np.full(lanes * SLOTS1, -4, np.int32)
-        self.rate2, self.rate1 = np.full(lanes * 16, 1 << 15, np.int32), np.full(lanes * 16, 1 << 14, np.int32)
-        self.base2, self.base1, self.base = self.row * SLOTS2, self.row * SLOTS1, self.row * 16
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-
-    def predict(self) -> None:
-        """Sets both candidates and the weights w2, w1 and w0, which sum to 2^SCALE."""
-        self.slot2 = self.base2 + (((self.last * 0x9E3B + self.before * 0x2F0D5) ^ (self.last >> 5)) & (SLOTS2 - 1))
-        self.slot1 = self.base1 + ((self.last ^ (self.last >> 9)) & (SLOTS1 - 1))
-        self.v2, self.v1 = self.table2.take(self.slot2), self.table1.take(self.slot1)
-        self.c2, self.c1 = self.v2 >> 2, self.v1 >> 2
-        self.s2, self.s1 = self.v2 & 3, self.v1 & 3
-        self.at = self.base + (self.s2 * 4 + self.s1)
-        self.p2, self.p1 = self.rate2.take(self.at), self.rate1.take(self.at)
-        # At most 3/4 of what is left goes to each candidate, so order 0 keeps a sixteenth.
-        self.w2 = self.p2.astype(np.int64) * (192 * (self.s2 > 0))
-        left = (1 << SCALE) - self.w2
-        self.w1 = (left >> 16) * (self.p1.astype(np.int64) * 3 >> 2) * ((self.s1 > 0) & (self.c1 != self.c2))
-        self.both = self.w2 + self.w1
-        self.w0 = left - self.w1
-
-    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width of the ids' shares."""
-        self.hit2, self.hit1 = ids == self.c2, ids == self.c1
-        two = self.hit2 & (self.w2 > 0)
-        one = self.hit1 & (self.w1 > 0)
-        low = self.cum.take(ids) * self.w0 >> STATIC
-        high = self.cum.take(ids + 1) * self.w0 >> STATIC
-        start = np.where(two, 0, np.where(one, self.w2, self.both + low))
-        return start, np.where(two, self.w2, np.where(one, self.w1, high - low))
-
-    def learn(self, ids: np.ndarray) -> None:
-        """Of the ids that interval() was last asked for."""
-        self.rate2[self.at] = self.p2 + (((self.hit2.astype(np.int32) << 16) - self.p2) >> 5)
-        rate1 = self.p1 + (((self.hit1.astype(np.int32) << 16) - self.p1) >> 5)
-        self.rate1[self.at] = np.where(self.hit2, self.p1, rate1)
-        new = (ids << 2 | 1).astype(np.int32)
-        for hit, value, sure, slot, table in ((self.hit2, self.v2, self.s2, self.slot2, self.table2), (self.hit1, self.v1, self.s1, self.slot1, self.table1)):
-            table[slot] = np.where(hit, value + (sure < 3), np.where(sure > 1, value - 1, new))
-        self.before, self.last = self.last, ids
-
-
-def _unsettled(low: np.ndarray, width: np.ndarray) -> np.ndarray:
-    """Where the first 16 bits are settled, or the width has become too small."""
-    return ((low ^ (low + width)) < _TOP) | (width < _BOT)
-
-
-def _shares(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ids and their numbers, scaled to sum to 2^STATIC with at least 1 each."""
-    distinct, counts = np.unique(ids, return_counts=True)
+    """Predictions for many blocks at once; the coder and the decoder drive equal copies of it.
+
+    A table's entry is an id with, in its low four bits, how often in a row it has been right (order 2: 4 to 12, order 1:
+    1 to 3). Row 0 of the arrays is order 2, row 1 order 1. What both orders' confidences say, and whether they agree on the
+    id, is the context of the weights; these come from the block's hits so far and are set anew at the steps of `_due`.
+    """
+
+    def __init__(self, lanes: int):
+        lane = np.arange(lanes, dtype=np.int64)
+        # Entries that are empty differ from each other and from all ids.
+        self.table = np.repeat(np.array([_NONE << 4, (_NONE + 1) << 4], np.int32), lanes * SLOTS)
+        self.base = np.stack([lane, lane + lanes]) * SLOTS
+        self.slot, self.entry = np.empty((2, lanes), np.int64), np.empty((2, lanes), np.int32)
+        self.both, self.beside = np.empty(lanes, np.int32), np.empty(lanes, np.int32)
+        self.mixed, self.last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.own = lane * KINDS
+        self.kinds, self.hits = np.empty((EVERY, lanes), np.int64), np.empty((EVERY, 2, lanes), bool)
+        self.seen, self.right = np.zeros(lanes * KINDS), np.zeros((2, lanes * KINDS))
+        self.limits, self.step, self.noted = np.empty((2, lanes * KINDS)), 0, 0
+        self.limit = np.empty((2, lanes))
+        kind = np.arange(lanes * KINDS) % KINDS
+        self.has2, self.has1 = (kind & 12) > 0, ((kind & 3) > 0) & (kind >= 16)
+        self._weigh()
+
+    def _weigh(self) -> None:
+        """The shares of the two candidates, one above the other; order 0 keeps a sixteenth at least."""
+        two, both = self.limits
+        np.divide(self.right[0] + 1.0, self.seen + 2.5, out=two)
+        np.clip(two, 1 / 256, 7 / 8, out=two)
+        two *= self.has2
+        one = (self.right[1] + 0.5) / (self.seen - self.right[0] + 2.5)
+        np.clip(one, 1 / 32, 7 / 8, out=one)
+        one *= self.has1
+        np.minimum(two + (1 - two) * one, 15 / 16, out=both)
+
+    def predict(self) -> np.ndarray:
+        """Sets both entries; gives the upper limits, as shares of the whole, of order 2's candidate and of order 1's."""
+        slot = self.slot
+        np.add(self.mixed, self.last, out=slot[0])
+        slot[1] = self.last
+        slot &= SLOTS - 1
+        slot += self.base
+        self.table.take(slot, out=self.entry, mode="clip")
+        # The confidences alone where both name one id, else and 16.
+        np.bitwise_xor(self.entry[0], self.entry[1], out=self.both)
+        np.bitwise_and(self.both, 15, out=self.beside)
+        self.beside |= 16
+        np.minimum(self.both, self.beside, out=self.both)
+        kind = self.kinds[self.noted]
+        np.add(self.both, self.own, out=kind)
+        return self.limits.take(kind, axis=1, out=self.limit, mode="clip")
+
+    def learn(self, ids: np.ndarray) -> np.ndarray:
+        """Takes the ids that came; whether each order's entry was right."""
+        shifted = (ids << 4).astype(np.int32)
+        new = self.entry ^ shifted
+        right = np.less(new, 16, out=self.hits[self.noted])
+        new += _SURER
+        np.minimum(new, _SUREST, out=new)
+        new = np.where(right, new, _SURER)
+        new += shifted
+        self.table[self.slot] = new
+        np.multiply(self.last, _HASH, out=self.mixed)
+        self.last[:] = ids
+        self.step += 1
+        self.noted += 1
+        if self.noted == EVERY or self.step < EVERY and not self.step & (self.step - 1):
+            self._note()
+        return right
+
+    def _note(self) -> None:
+        kinds, right = self.kinds[: self.noted].ravel(), self.hits[: self.noted]
+        two, one = right[:, 0].ravel(), (right[:, 1] & ~right[:, 0]).ravel()
+        for sums, own in ((self.seen, kinds), (self.right[0], kinds[two]), (self.right[1], kinds[one])):
+            sums += np.bincount(own, minlength=len(sums))
+        self.noted = 0
+        self._weigh()
+
+
+class _Coder:
+    """Ranges of many blocks at once, as whole numbers below 2^52 in doubles, so that all products and sums are exact."""
+
+    def __init__(self, lanes: int, shares: np.ndarray):
+        self.shares = shares.astype(np.float64)
+        self.starts = np.cumsum(self.shares) - self.shares
+        self.width = np.full(lanes, float((1 << 52) - 1))
+        self.cuts, self.free = np.zeros((3, lanes)), np.empty((2, lanes))
+        self.unit = np.empty(lanes)
+
+    def divide(self, limits: np.ndarray) -> np.ndarray:
+        """Cuts the ranges: where order 2's and order 1's candidates end, and the unit of order 0's shares of the rest."""
+        ends = limits * self.width
+        np.floor(ends, out=ends)
+        self.cuts[1] = ends[0]
+        np.subtract(ends[1], ends[0], out=self.cuts[2])
+        np.subtract(self.width, ends[1], out=self.unit)
+        self.unit *= 2.0**-STATIC
+        np.floor(self.unit, out=self.unit)
+        return ends
+
+    def narrow(self, ids: np.ndarray, any_hit: np.ndarray, hit2: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Takes the ids' parts of the ranges; where they start."""
+        free = self.free
+        self.starts.take(ids, out=free[0], mode="clip")
+        self.shares.take(ids, out=free[1], mode="clip")
+        free *= self.unit
+        free[0] += ends[1]
+        np.copyto(free, self.cuts[1:], where=any_hit)
+        np.copyto(free, self.cuts[:2], where=hit2)
+        self.width[:] = free[1]
+        return free[0]
+
+    def widen(self, small: np.ndarray) -> np.ndarray:
+        """Where the range has become small, its first 24 bits are settled: gives the factor that makes room."""
+        np.less(self.width, _SMALL, out=small)
+        factor = np.where(small, _WORD, 1.0)
+        self.width *= factor
+        return factor
+
+
+def _shares(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids, their numbers, scaled to sum to 2^STATIC with at least 1 each, and each id's place among the distinct."""
+    if int(ids.max()) < 1 << 22:
+        counts = np.bincount(ids)
+        distinct = np.flatnonzero(counts)
+        counts, place = counts[distinct], np.zeros(len(counts), np.int32)
+        place[distinct] = np.arange(len(distinct))
+        index = place[ids]
+    else:
+        distinct, index, counts = np.unique(ids, return_inverse=True, return_counts=True)
     total, room = int(counts.sum()), (1 << STATIC) - len(distinct)
     scaled = 1 + counts * room // total
     scaled[int(np.argmax(scaled))] += (1 << STATIC) - int(scaled.sum())
-    return distinct, scaled
+    return distinct, scaled, index
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """The table (distinct ids, shares) and every block's bytes."""
-    distinct, shares = _shares(ids)
-    index = np.searchsorted(distinct, ids).astype(np.int64)
+    distinct, shares, index = _shares(ids)
     lanes = -(-len(index) // block)
-    padded = np.full(lanes * block, index[-1], np.int64)
-    padded[: len(index)] = index
-    steps = np.ascontiguousarray(padded.reshape(lanes, block).T)
-    model = _Model(lanes, np.concatenate([[0], np.cumsum(shares)]))
-    low, width = np.zeros(lanes, _U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, _U)
-    out, place = np.zeros((lanes, 2 * block + 8), np.uint16), np.zeros(lanes, np.int64)
-    for own in steps:
-        model.predict()
-        start, share = model.interval(own)
-        model.learn(own)
-        width >>= _U(SCALE)
-        low += width * start.astype(_U)
-        width *= share.astype(_U)
-        go = np.flatnonzero(_unsettled(low, width))
-        while len(go):
-            w, x = width[go], low[go]
-            w = np.where((x ^ (x + w)) >= _TOP, (_U(0) - x) & (_BOT - _U(1)), w) << _U(16)
-            out[go, place[go]] = (x >> _U(48)).astype(np.uint16)
-            place[go] += 1
-            x <<= _U(16)
-            low[go], width[go] = x, w
-            go = go[_unsettled(x, w)]
-    for k in range(4):
-        out[model.row, place + k] = (low >> _U(48 - 16 * k)).astype(np.uint16)
-    return distinct, shares, [out[i, : n + 4].astype("<u2").tobytes() for i, n in enumerate(place.tolist())]
+    steps = np.full(lanes * block, index[-1], np.int32)
+    steps[: len(index)] = index
+    steps = np.ascontiguousarray(steps.reshape(lanes, block).T)
+    model, coder = _Model(lanes), _Coder(lanes, shares)
+    low, full = np.zeros(lanes), np.empty(lanes)
+    # A step's word is kept where it is settled; it may have a 25th bit, which belongs to the word before.
+    words, settled = np.empty((block + 1, lanes), np.int32), np.ones((block + 1, lanes), bool)
+    place, places = np.zeros(lanes, np.int32), np.empty((block + 1, lanes), np.int32)
+    for t in range(block):
+        own = steps[t].astype(np.int64)
+        ends = coder.divide(model.predict())
+        right = model.learn(own)
+        low += coder.narrow(own, right[0] | right[1], right[0], ends)
+        factor = coder.widen(settled[t])
+        np.multiply(low, 1 / _SMALL, out=full)
+        np.floor(full, out=full)
+        words[t], places[t] = full, place
+        place += settled[t]
+        full *= _SMALL * settled[t]
+        low -= full
+        low *= factor
+    words[block] = np.ceil(low / _SMALL)
+    places[block] = place
+    counts = place + 1
+    places += np.cumsum(counts) - counts
+    flat = np.empty(int(counts.sum()), np.int32)
+    flat[places[settled]] = words[settled]
+    while (over := flat >> 24).any():
+        flat &= (1 << 24) - 1
+        flat[:-1] += over[1:]
+    raw = np.ascontiguousarray(flat.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:]).tobytes()
+    ends = np.cumsum(3 * counts).tolist()
+    return distinct, shares, [raw[b:e] for b, e in zip([0, *ends], ends, strict=False)]
 
 
 def decode_blocks(distinct: np.ndarray, shares: np.ndarray, blocks: list[bytes], block: int = BLOCK) -> np.ndarray:
     """The ids of all blocks, the last one's padding included."""
     lanes = len(blocks)
-    cumulative = np.concatenate([[0], np.cumsum(shares)])
-    of_slot = np.repeat(np.arange(len(distinct), dtype=np.int32), shares)
-    model = _Model(lanes, cumulative)
-    longest = max(map(len, blocks)) // 2
-    words = np.zeros((lanes, longest + 8), np.uint16)
-    for i, b in enumerate(blocks):
-        words[i, : len(b) // 2] = np.frombuffer(b, "<u2")
-    low, width = np.zeros(lanes, _U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, _U)
-    code, place = np.zeros(lanes, _U), np.full(lanes, 4, np.int64)
-    for k in range(4):
-        code = code << _U(16) | words[:, k].astype(_U)
-    out = np.zeros((block, lanes), np.int64)
+    of_slot = np.repeat(np.arange(len(distinct), dtype=np.uint16 if len(distinct) <= 1 << 16 else np.int32), shares)
+    model, coder = _Model(lanes), _Coder(lanes, shares)
+    # 24-bit words, and zeros behind each block's last; from the third on, the bits that follow the first 52.
+    raw = np.frombuffer(b"".join(x for b in blocks for x in (b, bytes(12))), np.uint8).reshape(-1, 3).astype(np.int64)
+    raw = raw[:, 0] << 16 | raw[:, 1] << 8 | raw[:, 2]
+    sizes = np.fromiter(map(len, blocks), np.int64, lanes) // 3 + 4
+    place = np.cumsum(sizes) - sizes
+    code = (raw[place] << 28 | raw[place + 1] << 4 | raw[place + 2] >> 20).astype(np.float64)
+    words = np.zeros(len(raw))
+    words[:-1] = (raw[:-1] & 0xFFFFF) << 4 | raw[1:] >> 20
+    place += 2
+    out = np.zeros((block, lanes), np.int32)
+    rest, word, slot, own, small = np.empty(lanes), np.empty(lanes), np.empty(lanes, np.int64), np.empty(lanes, np.int64), np.empty(lanes, bool)
     for t in range(block):
-        model.predict()
-        width >>= _U(SCALE)
-        value = np.minimum((code - low) // width, _U((1 << SCALE) - 1)).astype(np.int64)
-        rest = np.maximum(value - model.both, 0)
-        free = of_slot.take(np.minimum((((rest + 1) << STATIC) - 1) // model.w0, (1 << STATIC) - 1))
-        own = np.where(value < model.w2, model.c2, np.where(value < model.both, model.c1, free)).astype(np.int64)
-        start, share = model.interval(own)
+        ends = coder.divide(model.predict())
+        hit2, any_hit = code < ends
+        np.subtract(code, ends[1], out=rest)
+        # The quotient rounds to no other whole number, as both are below 2^53.
+        rest /= coder.unit
+        np.copyto(slot, rest, casting="unsafe")
+        np.copyto(own, of_slot.take(slot, mode="clip"))
+        entry = model.entry >> 4
+        np.copyto(own, entry[1], where=any_hit)
+        np.copyto(own, entry[0], where=hit2)
         model.learn(own)
+        code -= coder.narrow(own, any_hit, hit2, ends)
         out[t] = own
-        low += width * start.astype(_U)
-        width *= share.astype(_U)
-        go = np.flatnonzero(_unsettled(low, width))
-        while len(go):
-            w, x = width[go], low[go]
-            w = np.where((x ^ (x + w)) >= _TOP, (_U(0) - x) & (_BOT - _U(1)), w) << _U(16)
-            code[go] = code[go] << _U(16) | words[go, np.minimum(place[go], longest + 7)].astype(_U)
-            place[go] += 1
-            x <<= _U(16)
-            low[go], width[go] = x, w
-            go = go[_unsettled(x, w)]
+        code *= coder.widen(small)
+        words.take(place, out=word, mode="clip")
+        word *= small
+        code += word
+        place += small
     return distinct[np.ascontiguousarray(out.T).ravel()]
 
 
@@ -242,8 +327,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, leading_space: bool
         for batch in common.slices(batches, "text", 1 << 20):
             ids, counts = encode(batch.column("text").to_pylist())
             sizes = counts + 1
-            whole = np.full(int(sizes.sum()), end_id, np.uint32)
-            whole[common.ragged(np.cumsum(sizes) - sizes, counts)] = ids
+            whole, inner = np.full(int(sizes.sum()), end_id, np.uint32), np.ones(int(sizes.sum()), bool)
+            inner[np.cumsum(sizes) - 1] = False
+            whole[inner] = ids
             waiting.append((batch.column("doc_id").to_pylist(), sizes, whole))
             held += len(whole)
             if held >= segment_tokens:
