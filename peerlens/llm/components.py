@@ -26,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = small.select(F.col("b").alias("x"), "m").unionByName(small.select(F.col("a").alias("x"), "m")).where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct()
         new = common.stored(small, "edges")
         # Done when no vertex has two parents and no parent has one: the edges are stars.
-        loose = new.groupBy("a").count().where("count > 1").limit(1).count() or new.join(new.select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1).count()
+        with common.passing(new.sparkSession):
+            loose = new.groupBy("a").count().where("count > 1").limit(1).count() or new.join(new.select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1).count()
         for done in (step, least, large, low):
             common.removed(done)
         step = new

@@ -151,3 +151,22 @@ def test_what_a_stored_table_shuffled_is_gone(spark):
         time.sleep(0.1)
     assert files() <= before and out.count() == 10_000
     assert spark.conf.get(common.CLEANUP, "false") == "false"
+
+
+def test_blocks_meet_in_rounds(spark, monkeypatch):
+    """Where more meets than fits, a share of the pairs of blocks after the other, and all links are found."""
+    monkeypatch.setattr(nj, "BLOCK", 3)
+    monkeypatch.setattr(nj, "rounds_for", lambda sent, once: 3 if sent >= once > 0 else 0)
+    rows = corpus(2)
+    got = nj.ngram_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in got) == brute(rows)
+
+
+def test_counters_grow_with_the_elements(spark):
+    import numpy as np
+
+    assert nj.rounds_for(None, None) == nj.rounds_for(nj.ROUND, 5) == 1 and nj.rounds_for(10 * nj.ROUND, nj.ROUND) == 5
+    assert nj.cells_for(0) == nj.CELLS and nj.cells_for(16 * nj.CELLS) >= 2 * nj.CELLS and nj.cells_for(1 << 40) == nj.MOST_CELLS
+    sets = spark.createDataFrame([(1, np.array([5, 70_000, 5 + 128], np.uint64).tobytes())] * 70_000, "key long, raw binary")
+    counted = nj._frequencies(sets.repartition(3), 128)
+    assert counted.dtype == np.uint16 and counted[5] == 65_535 and counted[70_000 % 128] == 65_535 and counted.astype(int).sum() == 2 * 65_535
