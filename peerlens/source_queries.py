@@ -12,7 +12,7 @@ from .functions import entities, numbers, text
 from .operators import decisions, facts, scores, sections
 from .plans import patterns
 from .registry import query
-from .sources import filings, tables
+from .sources import filings, shared, tables
 from .streaming import steps
 
 
@@ -24,8 +24,14 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 def files(rows: DataFrame, label: str) -> str:
     """Writes rows (file, value) as one text file each and gives the pattern that reads them."""
+    return written(rows.repartition("file"), label)
+
+
+def written(rows: DataFrame, label: str) -> str:
+    """The same for rows that are dealt by file already."""
     path = scratch(rows.sparkSession, label)
-    rows.repartition("file").write.partitionBy("file").text(path)
+    with shared.passing(rows.sparkSession):
+        rows.write.partitionBy("file").option("compression", "gzip").text(path)
     return f"{path}/*"
 
 
@@ -68,14 +74,16 @@ def search_pages(spark, sf):
 
 def _fact_files(spark, sf):
     """company facts as the service gives them: taxonomy to tag to unit to entries."""
-    found = ln.facts(spark, sf)
-    units = found.groupBy("cik", "taxonomy", "tag", "unit").agg(F.collect_list(F.struct("end", "val", "fy", "fp", "form", "filed")).alias("entries"))
+    file = dealt_to(F.col("cik").cast("string"), ln.table(spark, sf, "supplier").count(), 60, 16).cast("string")
+    # Dealt by file once: all that is nested below stays where it is.
+    found = shared.dealt(ln.facts(spark, sf).withColumn("file", file), "file")
+    units = found.groupBy("file", "cik", "taxonomy", "tag", "unit").agg(F.collect_list(F.struct("end", "val", "fy", "fp", "form", "filed")).alias("entries"))
     content = F.struct(F.concat(F.lit("Label of "), F.first("tag")).alias("label"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("unit", "entries")))).alias("units"))
-    tags = units.groupBy("cik", "taxonomy", "tag").agg(content.alias("content"))
-    kinds = tags.groupBy("cik", "taxonomy").agg(F.map_from_entries(F.collect_list(F.struct("tag", "content"))).alias("tags"))
-    docs = kinds.groupBy("cik").agg(F.map_from_entries(F.collect_list(F.struct("taxonomy", "tags"))).alias("facts"))
-    docs = docs.select(F.col("cik").cast("string").alias("cik"), F.concat(F.lit("Company "), "cik").alias("entityName"), "facts")
-    return tables.company_facts(spark, json_files(docs, dealt_to(F.col("cik"), ln.table(spark, sf, "supplier").count(), 60, 16), "facts"))
+    tags = units.groupBy("file", "cik", "taxonomy", "tag").agg(content.alias("content"))
+    kinds = tags.groupBy("file", "cik", "taxonomy").agg(F.map_from_entries(F.collect_list(F.struct("tag", "content"))).alias("tags"))
+    docs = kinds.groupBy("file", "cik").agg(F.map_from_entries(F.collect_list(F.struct("taxonomy", "tags"))).alias("facts"))
+    doc = F.struct(F.col("cik").cast("string").alias("cik"), F.concat(F.lit("Company "), "cik").alias("entityName"), "facts")
+    return tables.company_facts(spark, written(docs.groupBy("file").agg(F.to_json(F.collect_list(doc)).alias("value")), "facts"))
 
 
 @query(f"""WITH {ln.FACTS} SELECT CAST(cik AS VARCHAR) AS cik, taxonomy, tag, 'Label of ' || tag AS label, unit, CAST(dense_rank() OVER (PARTITION BY cik, taxonomy, tag ORDER BY unit) - 1 AS INT) AS unit_ord,

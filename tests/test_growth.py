@@ -166,3 +166,33 @@ def test_edges_stay_dealt(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept[0])
         spark.conf.set("spark.sql.shuffle.partitions", kept[1])
+
+
+def _shuffle_files(spark):
+    return spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+
+
+def _settles(spark, before):
+    import time
+
+    wait = time.monotonic() + 10
+    while _shuffle_files(spark) > before and time.monotonic() < wait:
+        time.sleep(0.1)
+    return _shuffle_files(spark) <= before
+
+
+def test_company_facts_are_dealt_once_and_leave_nothing_behind(spark, monkeypatch):
+    from conftest import SF
+
+    from peerlens import source_queries
+
+    plans = []
+    monkeypatch.setattr(source_queries, "written", lambda rows, label, run=source_queries.written: plans.append(rows) or run(rows, label))
+    spark.sparkContext._jvm.System.gc()
+    before = _shuffle_files(spark)
+    docs = source_queries._fact_files(spark, SF)
+    assert _settles(spark, before + 8)
+    # Joins aside, rows are dealt by file, and by nothing that is nested.
+    text = plans[0]._jdf.queryExecution().executedPlan().toString()
+    assert text.count("hashpartitioning(file#") == 1 and "hashpartitioning(cik" not in text
+    assert all(f.endswith(".txt.gz") for f in docs.inputFiles()) and docs.count() > 0
