@@ -26,6 +26,12 @@ from ..operators.dedup import first_of
 from . import shared
 
 BUCKETS, BLOCK_DOCS, LEADING = 64, 128, 4
+#: Tokens of a task that makes postings, about.
+TASK_TOKENS = 2_000_000
+
+
+def _partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def weight(f, dl, avgdl):
@@ -57,19 +63,25 @@ class TermIndex:
 
     def add(self, corpus: DataFrame, doc: str = "doc_id", tokens: str = "tokens") -> None:
         """corpus: new documents and their tokens. Counts of the segment are derived from its postings, not from the texts."""
+        with shared.passing(self.spark):
+            self._add(corpus, doc, tokens)
+
+    def _add(self, corpus: DataFrame, doc: str, tokens: str) -> None:
         segment = uuid.uuid4().hex[:12]
         sized = corpus.select(F.col(doc).alias("doc"), F.size(tokens).cast("long").alias("dl"), F.col(tokens).alias("tokens"))
-        n = sized.count()
+        n, total = sized.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
         block = F.concat(F.lit(segment + ":"), F.pmod(F.xxhash64("doc"), F.lit(max(1, n // self.block_docs))).cast("string"))
-        postings = sized.select("doc", "dl", block.alias("block"), F.explode("tokens").alias("term")).groupBy("term", "doc", "block", "dl").agg(F.count(F.lit(1)).alias("f"))
+        # Documents are dealt by block, a block to one task: its counts and files need no other exchange.
+        parts = max(_partitions(self.spark), -(-total // TASK_TOKENS))
+        dealt = sized.withColumn("block", block).repartition(parts, "block")
+        postings = dealt.select("doc", "dl", "block", F.explode("tokens").alias("term")).groupBy("term", "doc", "block", "dl").agg(F.count(F.lit(1)).alias("f"))
 
         def write(name: str, df: DataFrame) -> None:
+            """Each task writes the rows that it has of every bucket."""
             rows = df.select(*[c.split()[0] for c in self.schemas[name].split(", ")], self._bucket().alias("bucket"))
-            rows.repartition("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.path}/{name}/segment={segment}")
+            rows.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.path}/{name}/segment={segment}")
 
-        # A bucket is dealt to several tasks: above by term, here, where terms are frequent, by block.
-        rows = postings.select("term", "doc", "block", "f", "dl", self._bucket().alias("bucket"))
-        rows.repartition("bucket", "block").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.path}/postings/segment={segment}")
+        write("postings", postings)
         own = self.spark.read.schema(self.schemas["postings"]).parquet(f"{self.path}/postings/segment={segment}")
         write("blocks", own.groupBy("term", "block").agg(F.max("f").alias("most_f"), F.min("dl").alias("least_dl")))
         write("terms", own.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
@@ -104,19 +116,23 @@ class TermIndex:
 
         most = F.greatest(F.lit(0.0), F.col("factor") * weight(F.col("most_f"), F.col("least_dl"), F.col("avgdl")))
         bounds = shared.stored(held("blocks").groupBy("query", "block").agg((F.sum(most) * (1 + 1e-9)).alias("bound")), "bounds")
-        postings = held("postings")
-
-        def scored(blocks: DataFrame) -> DataFrame:
-            own = postings.join(blocks.select("query", "block"), ["query", "block"], "left_semi")
+        postings = self._read("postings", buckets).join(terms.select("term").distinct(), "term", "left_semi")
+        parts = _partitions(self.spark)
+
+        def scored(blocks: DataFrame, few: bool = False) -> DataFrame:
+            # Postings are dealt by block as they are, and come to their queries there: what is sent doesn't grow with these.
+            own = postings.join(blocks.select("block").distinct(), "block", "left_semi") if few else postings
+            by_block = blocks.repartition(parts, "block").groupBy("block").agg(F.collect_set("query").alias("queries"))
+            own = own.repartition(parts, "block").join(by_block, "block").join(terms, "term").where(F.array_contains("queries", F.col("query")))
             score = F.sum(F.col("factor") * weight(F.col("f"), F.col("dl"), F.col("avgdl")))
-            out = own.groupBy("query", "doc").agg(score.alias("score")).where(F.col("score") >= least)
+            out = own.groupBy("block", "query", "doc").agg(score.alias("score")).where(F.col("score") >= least).drop("block")
             return first_of(out.withColumn("place", F.round("score", digits)), ["query"], [F.col("place").desc(), F.col("doc")], k).drop("place")
 
         w = Window.partitionBy("query").orderBy(F.desc("bound"), "block")
-        leading = bounds.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= LEADING).drop("_n")
-        first = shared.stored(scored(leading), "leading")
+        leading = shared.stored(bounds.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= LEADING).drop("_n"), "leading-blocks")
+        first = shared.stored(scored(leading, few=True), "leading")
         reached = first.groupBy("query").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(least)).alias("reached"))
         wanted = bounds.join(leading.select("query", "block"), ["query", "block"], "left_anti").join(reached, "query", "left")
-        rest = scored(wanted.where(F.col("bound") * (1 + 1e-9) + 10.0**-digits >= F.coalesce("reached", F.lit(least))))
+        rest = shared.stored(scored(wanted.where(F.col("bound") * (1 + 1e-9) + 10.0**-digits >= F.coalesce("reached", F.lit(least)))), "rest")
         both = first.unionByName(rest).withColumn("place", F.round("score", digits))
         return first_of(both, ["query"], [F.col("place").desc(), F.col("doc")], k).select("query", "doc", "score")

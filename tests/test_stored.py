@@ -398,3 +398,21 @@ def test_section_tree(spark, tmp_path):
     rows = sorted((r.path.rsplit("/", 1)[1], r.pos, r.title, r.level, r.parent, r.leaf, (r.pages or [[None]])[0][0]) for r in tables.section_tree(spark, f"{tmp_path}/*.json").collect())
     x = [("A", 1, None, False, None), ("B", 2, 0, True, 1), ("C", 2, 0, False, None), ("D", 4, 2, False, None), ("E", 5, 3, False, None), ("F", 6, 4, True, 5), ("G", 1, None, True, 6)]
     assert rows == [("x.json", k, *r) for k, r in enumerate(x)] + [("y.json", 0, "H", 1, None, True, 1)]
+
+
+def test_an_addition_to_the_index_leaves_no_shuffle_files(spark, tmp_path):
+    from test_growth import _settles, _shuffle_files
+
+    from peerlens.sources.term_index import TermIndex
+
+    rows = [(k, [f"w{k % 7}", f"w{k % 5}", f"w{k % 7}", f"x{k}"]) for k in range(600)] + [(3, ["w3", "w3", "w3", "x3"])]
+    index = TermIndex(spark, str(tmp_path / "index"), "long", buckets=2, block_docs=8)
+    corpus = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    spark.sparkContext._jvm.System.gc()
+    before = _shuffle_files(spark)
+    index.add(corpus)
+    assert _settles(spark, before)
+    # Rows that share a doc and a length are one document's.
+    assert [r["f"] for r in index._read("postings").where("doc = 3 and term = 'w3'").collect()] == [6]
+    found = index.search(spark.createDataFrame([(1, ["x3", "w3"]), (2, ["x9"])], "query long, tokens array<string>"), 1, 0.1).collect()
+    assert sorted((r["query"], r["doc"]) for r in found) == [(1, 3), (2, 9)]
